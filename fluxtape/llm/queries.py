@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash, topk
+from . import bpe, sharding, simhash, suffix_dedup, topk
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,11 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
+    return done.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -47,7 +52,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op7_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op6_suffix_array_dedup, op7_byte_bpe, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
