@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding, simhash, suffix_dedup, topk
+from . import bpe, line_rules, mixing, ppm, quality, sharding, simhash, suffix_dedup, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,20 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
 
 
+def op3_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.weak_label_quality(_table(spark, sf_dir, "documents"))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = mixing.mixed(_table(spark, sf_dir, "documents")).where("drawn")
+    return drawn.select("doc_id", F.col("source_").alias("source"), F.col("lang_").alias("lang"), F.col("topic_").alias("topic"), F.col("tokens_").alias("tokens"), F.round("p", 6).alias("p"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = toxicity.toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"))
+    return done.select("doc.doc_id", "held_out", "score", "predicted")
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=400)
     return done.select("doc.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -34,6 +48,14 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.line_frequency_rules(_table(spark, sf_dir, "documents"))
+
+
+def op9_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.language_scores(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"), shards=40)
 
@@ -52,8 +74,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op6_suffix_array_dedup, op7_byte_bpe, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_weak_label_quality, op4_source_mixing, op5_toxicity, op6_suffix_array_dedup, op7_byte_bpe, op8_line_frequency_rules, op9_ppm_scoring, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL.strip()}
+    return {"op2_exact_top_k": OP2_SQL.strip(), "op4_source_mixing": mixing.oracle_sql(), "op8_line_frequency_rules": line_rules.SQL}
