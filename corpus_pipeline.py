@@ -6,19 +6,58 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxtape.llm import bpe
-from fluxtape.llm.scratch import materialize
+from fluxtape.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from fluxtape.llm.scratch import materialize, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(docs, labels).where("predicted = 0").select("doc.*")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each near-duplicate group, by five-word shingles.
+
+    A doc_id on several rows keeps each of its different texts; rows without a
+    doc_id are kept, one for each text.
+    """
+    classes = simhash.near_duplicate_classes(docs, shingle_words=5, max_bits=2)
+    first = materialize(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows_")), "first")
+    once = docs.join(first.where("rows_ = 1"), "doc_id", "left_semi")
+    several = docs.join(first.where("rows_ > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    nameless = docs.where("doc_id IS NULL").dropDuplicates(["text"])
+    return once.union(several.select(*once.columns)).union(nameless.select(*once.columns)).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of repeated strings of 400 bytes; emptied ones stay."""
+    done = suffix_dedup.remove_repeats(docs, length=400, as_text=True)
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
+    return done.select(*(new.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with flattened shares of source, language and topic."""
+    return mixing.mixed(docs, carry=docs.columns).where("drawn_").select(*docs.columns)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with the count and digest of its token ids."""
     return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id", "lang", "source"])
 
 
-STAGES: list[tuple[str, Stage]] = [("byte-level BPE", tokens)]
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("SimHash near-dedup", one_of_each_group),
+    ("suffix-array dedup", cut_repeats),
+    ("mixing sources to target weights", mix),
+    ("byte-level BPE", tokens),
+]
 
 #: A trained scorer, fingerprints and suffix sorting are not expressible in SQL.
 ORACLE_SQL = None
@@ -27,6 +66,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    before = None
+    for _, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), "stage")
+        if before is not None:
+            release(before)
+        before = docs
     return docs

@@ -28,11 +28,11 @@ GRID = (-160, 160)
 TOPIC_SQL = "CASE WHEN contains(text, '|') THEN 'table' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, '=') THEN 'config' WHEN contains(text, '#') THEN 'markup' ELSE 'prose' END"
 
 
-def _placed(docs: DataFrame, topic_sql: str) -> DataFrame:
+def _placed(docs: DataFrame, topic_sql: str, carry: list[str]) -> DataFrame:
     named = {"source": F.coalesce(F.col("source"), F.lit("-")), "lang": F.coalesce(F.col("lang"), F.lit("-")), "topic": F.coalesce(F.expr(topic_sql), F.lit("-"))}
     tokens = F.expr("greatest(1L, cast(octet_length(coalesce(text, '')) as bigint) div 4L)")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    return docs.select("doc_id", *(named[d].alias(f"{d}_") for d in DIMENSIONS), tokens.alias("tokens_"), key.alias("key_"))
+    return docs.select(*(F.col(f"`{c}`") for c in carry), *(named[d].alias(f"{d}_") for d in DIMENSIONS), tokens.alias("tokens_"), key.alias("key_"))
 
 
 def raked_cells(placed: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -62,15 +62,16 @@ def raked_cells(placed: DataFrame, targets: dict[str, dict[str, float]] | None =
     return cells.select(*names, "tokens", "w")
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = 11, topic_sql: str = TOPIC_SQL) -> DataFrame:
-    """Every row's probability and draw: ``doc_id, source_, lang_, topic_, tokens_, key_, p, drawn``.
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = 11, topic_sql: str = TOPIC_SQL, carry: list[str] | None = None) -> DataFrame:
+    """Every row's probability and draw: ``doc_id, source_, lang_, topic_, tokens_, key_, p_, drawn_``.
 
+    ``carry`` names the columns of ``docs`` that come first instead of doc_id.
     ``docs`` has doc_id, text, source and lang; tokens are a quarter of the UTF-8
     bytes, one at least.  Null sources, languages and texts are members of their own
     ("-", and the empty text).  Rows with equal doc_ids are drawn alike if they are in
     one cell; null doc_ids are one id.  An empty table gives no rows.
     """
-    placed = _placed(docs, topic_sql)
+    placed = _placed(docs, topic_sql, carry or ["doc_id"])
     cells = materialize(raked_cells(placed, targets, rounds).withColumn("g", F.col("w") / F.col("tokens")), "raked")
     lo, hi = GRID
     steps = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda j: F.pow(F.lit(2.0), j / F.lit(16.0)))
@@ -79,9 +80,10 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     best = sums.where(F.col("kept") <= F.lit(budget) * F.col("all")).agg(F.max("factor").alias("f")).first()
     factor = best.f if best.f is not None else 2.0 ** (lo / 16)
     toss = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key_")).cast("binary")), 1, 13), 16, 10).cast("bigint")
-    p = F.least(F.lit(1.0), F.lit(factor) * F.col("g"))
-    out = placed.join(cells.select(*(f"{d}_" for d in DIMENSIONS), "g"), [f"{d}_" for d in DIMENSIONS]).withColumn("p", p)
-    return out.withColumn("drawn", toss.cast("double") / F.lit(float(1 << 52)) < F.col("p")).drop("g")
+    p = F.least(F.lit(1.0), F.lit(factor) * F.col("g_"))
+    factors = cells.select(*(f"{d}_" for d in DIMENSIONS), F.col("g").alias("g_"))
+    out = placed.join(factors, [f"{d}_" for d in DIMENSIONS]).withColumn("p_", p)
+    return out.withColumn("drawn_", toss.cast("double") / F.lit(float(1 << 52)) < F.col("p_")).drop("g_")
 
 
 def oracle_sql(rounds: int = ROUNDS, budget: float = BUDGET, seed: int = 11) -> str:

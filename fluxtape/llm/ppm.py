@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .features import chunks
 from .scratch import materialize
 
-ORDER = 4
-#: Byte strings of ORDER + 1 that the trie is built from, and its contexts of full order, at most.
-GRAMS, CONTEXTS = 1_000_000, 60_000
+ORDER = 5
+#: Byte strings of ORDER + 1 that the trie is built from, and its contexts of one order, at most.
+GRAMS, CONTEXTS = 1_000_000, 30_000
 #: Words whose counts are sent to the executors, at most.
 HEAD = 200_000
 #: Different words a task counts before it passes them on.
@@ -148,7 +148,7 @@ class Trie:
             if order:
                 total = np.bincount(row, n)
                 known = np.array([int(k) & ((1 << (8 * (order - 1))) - 1) in parents for k in keys], bool)
-                if order == ORDER and known.sum() > contexts:
+                if known.sum() > contexts:
                     edge = np.partition(total[known], known.sum() - contexts)[known.sum() - contexts]
                     known &= total > edge
                 use = known[row]

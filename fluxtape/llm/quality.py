@@ -82,7 +82,7 @@ def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return distinct(row, feature & np.uint32(WIDTH - 1))
 
 
-def fit(features: list[np.ndarray], target: np.ndarray, epochs: int = 12, rate: float = 0.5) -> tuple[np.ndarray, float]:
+def fit(features: list[np.ndarray], target: np.ndarray, epochs: int = 6, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets; a text's features share one unit of weight."""
     w, bias, seen = np.zeros(WIDTH), 0.0, np.full(WIDTH, 1e-3)
     order = np.random.default_rng(5).permutation(len(features))

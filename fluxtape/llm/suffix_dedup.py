@@ -221,9 +221,12 @@ def merge_spans(spans, length: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, as_text: bool = False) -> DataFrame:
     """``doc`` (the row as it was), ``n_bytes``, ``n_removed``, ``n_spans``, ``kept`` (bytes).
 
+    With ``as_text``, ``kept`` is a string, without the fragments of characters that
+    were cut in two.
+
     Every byte goes that is covered by a string of ``length`` UTF-8 bytes that also
     starts anywhere else in ``docs``, the same text included.  Matches do not cross
     texts, overlaps count, and strings are judged on the input.  ``length`` is at
@@ -251,9 +254,9 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
                 gone = merge_spans([(s["lo"], s["hi"]) for s in found or ()], length)
                 ends = [0, *(b for _, b in gone)]
                 kept = b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in gone), len(text)]))
-                made.append((len(text), len(text) - len(kept), len(gone), kept))
+                made.append((len(text), len(text) - len(kept), len(gone), kept.decode("utf-8", "ignore") if as_text else kept))
             cols = zip(*made) if made else ([], [], [], [])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return rows.mapInArrow(run, f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    return rows.mapInArrow(run, f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {"string" if as_text else "binary"}")
