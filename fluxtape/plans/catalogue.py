@@ -1,11 +1,580 @@
-"""The registered queries over evaluated-data sections, with their SQL."""
+"""The registered queries over evaluated-data sections, with their SQL.
+
+Each query renders driver columns as fields, records or sections, and decodes,
+validates, matches, compares or edits those; its SQL states the expected answer on
+the original columns.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import fields as fd
+from ..layout import lane
+from ..layout.engine import Options
+from ..operators import cells as ce
+from ..operators import records as rc
+from ..operators import tape as tp
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def _query(sql: str = ""):
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = " ".join(sql.split())
+        return f
 
-def queries() -> dict:
-    return {}
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+C, L = F.col, F.lit
+BLANK = L(" " * 11)
+
+# -- number fields
+
+
+@_query("SELECT l_orderkey, l_linenumber, l_extendedprice AS v FROM lineitem")
+def q01_fort_float_parse(spark, sf):
+    text = fd.float_field(C("l_extendedprice"), prefer_noexp=True)
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fd.fort_float(text).alias("v"))
+
+
+@_query("SELECT o_orderkey, CAST(format('{:.6e}', o_totalprice) AS DOUBLE) AS v FROM orders")
+def q02_fort_float_spaces(spark, sf):
+    text = fd.float_field(C("o_totalprice"))
+    spaced = F.concat(F.substring(text, 1, 4), L(" "), F.substring(text, 5, 20), L("  "))
+    return _t(spark, sf, "orders").select("o_orderkey", fd.fort_float(spaced).alias("v"))
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_nationkey END::BIGINT AS v FROM customer")
+def q03_fort_int_blank(spark, sf):
+    text = F.when(C("c_custkey") % 7 == 0, BLANK).otherwise(fd.int_field(C("c_nationkey")))
+    return _t(spark, sf, "customer").select("c_custkey", fd.fort_int(text).alias("v"))
+
+
+@_query(r"SELECT o_orderkey, lpad(regexp_replace(format('{:.6e}', o_totalprice), 'e([+-])0*([0-9]+)$', '\1\2'), 11, ' ') AS v FROM orders")
+def q04_float_to_exp(spark, sf):
+    return _t(spark, sf, "orders").select("o_orderkey", fd.float_field(C("o_totalprice")).alias("v"))
+
+
+@_query(r"SELECT o_orderkey, lpad(regexp_replace(format('{:.5e}', o_totalprice), 'e([+-])0*([0-9]+)$', 'e\1\2'), 11, ' ') AS v FROM orders")
+def q05_float_to_exp_keep_e(spark, sf):
+    return _t(spark, sf, "orders").select("o_orderkey", fd.float_field(C("o_totalprice"), keep_e=True).alias("v"))
+
+
+@_query(r"SELECT p_partkey, lpad(regexp_replace(regexp_replace(format('{:.2f}', p_retailprice), '0+$', ''), '\.$', ''), 11, ' ') AS v FROM part")
+def q06_float_noexp(spark, sf):
+    return _t(spark, sf, "part").select("p_partkey", fd.float_field(F.round("p_retailprice", 2), prefer_noexp=True).alias("v"))
+
+
+@_query("SELECT o_orderkey, lpad(CAST(o_custkey AS VARCHAR), 11, '0') AS src, CAST(o_custkey AS DOUBLE) AS v FROM orders")
+def q07_source_string(spark, sf):
+    src = F.lpad(C("o_custkey").cast("string"), 11, "0")
+    kept = F.struct(fd.fort_float(src).alias("v"), src.alias("src"))
+    return _t(spark, sf, "orders").select("o_orderkey", kept.alias("k")).select("o_orderkey", "k.src", "k.v")
+
+
+@_query("SELECT l_orderkey, l_linenumber, abs(l_extendedprice - round(l_extendedprice, 0)) <= 1e-8 + 1e-5 * abs(round(l_extendedprice, 0)) AS v FROM lineitem")
+def q08_isclose(spark, sf):
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fd.is_close(C("l_extendedprice"), F.round("l_extendedprice", 0)).alias("v"))
+
+
+@_query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: 3 * CAST(x AS DOUBLE))), 6) AS v, true AS close FROM embeddings")
+def q09_vector_ops(spark, sf):
+    xs = F.transform("embedding", lambda x: x.cast("double"))
+    triple = fd.vector_op(fd.vector_op(xs, xs, lambda a, b: a + b), xs, lambda a, b: a + b)
+    total = F.aggregate(triple, L(0.0), lambda a, x: a + x)
+    return _t(spark, sf, "embeddings").select("vec_id", F.round(total, 6).alias("v"), fd.all_close(triple, F.transform(xs, lambda x: x * 3)).alias("close"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey // 4 END AS v FROM lineitem")
+def q10_exact_div(spark, sf):
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fd.exact_div(C("l_orderkey"), L(4)).alias("v"))
+
+
+@_query("SELECT event_id, ((3 - event_id) % 6 + 6) % 6 AS v FROM events")
+def q11_floor_mod(spark, sf):
+    return _t(spark, sf, "events").select("event_id", fd.floor_mod(L(3) - C("event_id"), L(6)).alias("v"))
+
+
+# -- records
+
+
+def _order_lines(spark, sf) -> DataFrame:
+    """One HEAD line per order with 1/2/3 as control, files of one order each."""
+    body = rc.cont_body(fd.float_field(C("o_totalprice"), prefer_noexp=True), BLANK, C("o_custkey"), L(0), F.length("o_orderpriority"), L(0))
+    ctrl = rc.control(C("o_custkey") % 9999 + 1, C("o_orderkey") % 40 + 1, C("o_orderkey") % 900 + 1)
+    return _t(spark, sf, "orders").select("*", rc.numbered(body, ctrl, L(1)).alias("line"))
+
+
+@_query("SELECT o_orderkey, o_totalprice AS c1, 0.0::DOUBLE AS c2, o_custkey AS l1, length(o_orderpriority)::BIGINT AS n1 FROM orders")
+def q12_cont_roundtrip(spark, sf):
+    got = rc.read_cont(C("line"))
+    return _order_lines(spark, sf).select("o_orderkey", *(got[k].alias(k) for k in ("c1", "c2", "l1", "n1")))
+
+
+@_query("SELECT c_custkey, substring(c_name, 1, 22) AS name, c_mktsegment AS segment FROM customer")
+def q13_text_roundtrip(spark, sf):
+    body = F.rpad(F.concat(F.rpad("c_name", 22, " "), F.rpad("c_mktsegment", 44, " ")), 66, " ")
+    line = F.concat(body, rc.control(L(1), L(1), L(451)))
+    return _t(spark, sf, "customer").select("c_custkey", F.rtrim(F.substring(line, 1, 22)).alias("name"), F.rtrim(F.substring(line, 23, 44)).alias("segment"))
+
+
+@_query("SELECT n_nationkey::BIGINT AS l1, n_regionkey::BIGINT AS l2, length(n_name)::BIGINT AS n1 FROM nation")
+def q14_dir_roundtrip(spark, sf):
+    got = rc.read_dir(rc.dir_body(C("n_nationkey"), C("n_regionkey"), F.length("n_name"), L(0)))
+    return _t(spark, sf, "nation").select(*(got[k].alias(k) for k in ("l1", "l2", "n1")))
+
+
+@_query("SELECT vec_id, (vec_id % 90000)::BIGINT AS ii, list_transform(embedding[1:18], lambda x: CAST(floor(CAST(x AS DOUBLE) * 50) AS BIGINT)) AS v FROM embeddings")
+def q15_intg_roundtrip(spark, sf):
+    values = F.transform(F.slice("embedding", 1, 18), lambda x: F.floor(x.cast("double") * 50).cast("bigint"))
+    got = rc.read_packed(rc.packed_body(C("vec_id") % 90000, L(1), values, 2), 2)
+    return _t(spark, sf, "embeddings").select("vec_id", got["ii"].alias("ii"), got["values"].alias("v"))
+
+
+def _list_sections(spark, sf) -> DataFrame:
+    """``file_id, lines`` of a LIST per order: quantities and prices interleaved, in line order."""
+    part = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice")))
+    orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(part.alias("p"))
+    values = F.flatten(F.transform("p", lambda x: F.array(x["l_quantity"], x["l_extendedprice"])))
+    orders = orders.select(C("l_orderkey").alias("file_id"), fd.float_fields(values, prefer_noexp=True).alias("fields"))
+    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), F.size("fields") / 2), 66, " ")
+    return orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines"))
+
+
+ITEMS = "list 0 0 0 0 2*N N\n    for i = 1..N\n        section item[i]\n            vals q p"
+
+
+@_query("SELECT l_orderkey AS file_id, count(*) * 2 AS n1, list(l_quantity ORDER BY l_linenumber, l_quantity) AS q FROM lineitem GROUP BY l_orderkey")
+def q16_list_roundtrip(spark, sf):
+    got = rc.read_list(C("lines"))
+    return _list_sections(spark, sf).select("file_id", got["n1"].alias("n1"), rc.every_other(got["values"], 0).alias("q"))
+
+
+def _tab1_sections(spark, sf) -> DataFrame:
+    """``file_id, lines`` of a TAB1 per user: event rank and value."""
+    part = F.array_sort(F.collect_list(F.struct("ts", "event_id", F.round("value", 2).alias("v"))))
+    users = _t(spark, sf, "events").groupBy("user_id").agg(part.alias("p"))
+    points = F.flatten(F.transform("p", lambda x, i: F.array((i + 1).cast("double"), x["v"])))
+    users = users.select("user_id", F.size("p").alias("n"), fd.float_fields(points, prefer_noexp=True).alias("fields"))
+    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), L(1), C("n")), 66, " ")
+    table = rc.value_lines(F.array(fd.int_field(C("n")), fd.int_field(L(2))))
+    return users.select(C("user_id").alias("file_id"), F.concat(F.array(head), table, rc.value_lines(C("fields"))).alias("lines"))
+
+
+@_query("SELECT user_id AS file_id, count(*) AS np, count(*) AS nbt, list(round(value, 2) ORDER BY ts, event_id) AS y FROM events GROUP BY user_id")
+def q17_tab1_roundtrip(spark, sf):
+    got = rc.read_tab1(C("lines"))
+    return _tab1_sections(spark, sf).select("file_id", got["n2"].alias("np"), F.get(got["nbt"], L(0)).alias("nbt"), got["y"].alias("y"))
+
+
+NESTED = "tab2 0 0 0 0 NS\nfor s = 1..NS\n    section segment[s]\n        tab1 0 0 0 0 -> t X Y"
+
+
+@_query("""SELECT c_nationkey::BIGINT AS file_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment)::VARCHAR AS segment, count(*) AS n,
+  round(sum(round(c_acctbal, 2)), 2) AS total FROM customer GROUP BY c_nationkey, c_mktsegment""")
+def q18_tab2_nested(spark, sf):
+    part = F.array_sort(F.collect_list(F.struct("c_custkey", F.round("c_acctbal", 2).alias("b"))))
+    segs = _t(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(part.alias("p"))
+    points = F.flatten(F.transform("p", lambda x, i: F.array((i + 1).cast("double"), x["b"])))
+    segs = segs.select("c_nationkey", "c_mktsegment", F.size("p").alias("n"), fd.float_fields(points, prefer_noexp=True).alias("fields"))
+    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), L(1), C("n")), 66, " ")
+    segs = segs.select("c_nationkey", "c_mktsegment", F.concat(F.array(head), rc.value_lines(F.array(fd.int_field(C("n")), fd.int_field(L(2)))), rc.value_lines(C("fields"))).alias("lines"))
+    nations = segs.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_mktsegment", "lines"))).alias("p"))
+    top = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), L(1), F.size("p")), 66, " ")
+    lines = F.concat(F.array(top), rc.value_lines(F.array(fd.int_field(F.size("p")), fd.int_field(L(1)))), F.flatten(F.transform("p", lambda x: x["lines"])))
+    got = lane.cells(nations.select(C("c_nationkey").cast("bigint").alias("file_id"), lines.alias("lines")), ["file_id"], NESTED)
+    ys = got.where(ce.matches(C("path"), ["segment", "*", "t", "Y", "*"]))
+    return ys.groupBy("file_id", F.get("path", L(1)).alias("segment")).agg(F.count("*").alias("n"), F.round(F.sum("f"), 2).alias("total"))
+
+
+@_query("SELECT o_orderkey, o_custkey % 9999 + 1 AS mat, o_orderkey % 40 + 1 AS mf, o_orderkey % 900 + 1 AS mt FROM orders")
+def q19_ctrl_decode(spark, sf):
+    got = rc.read_control(C("line"))
+    return _order_lines(spark, sf).select("o_orderkey", *(got[k].alias(k) for k in ("mat", "mf", "mt")))
+
+
+@_query("SELECT event_id, ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 99999 + 1)::BIGINT AS ns FROM events")
+def q20_line_numbers(spark, sf):
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    line = rc.numbered(F.rpad(fd.float_field(C("value")), 66, " "), rc.control(L(1), L(3), L(1)), tp.line_number(place))
+    return _t(spark, sf, "events").select("event_id", line.alias("line")).select("event_id", fd.fort_int(F.substring("line", 76, 5)).alias("ns"))
+
+
+def _item_tape(spark, sf) -> DataFrame:
+    """``file_id, ofs, raw``: a line per item; file = customer block, MAT = order, MF = linenumber, MT = quantity."""
+    body = rc.cont_body(fd.float_field(C("l_extendedprice"), prefer_noexp=True), BLANK, C("l_partkey"), C("l_suppkey"), L(0), L(0))
+    ctrl = rc.control(C("l_orderkey") % 9999 + 1, C("l_linenumber"), C("l_quantity").cast("int"))
+    items = _t(spark, sf, "lineitem")
+    return items.select((C("l_orderkey") / 9999).cast("bigint").alias("file_id"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("ofs"), F.concat(F.rpad(body, 66, " "), ctrl).alias("raw"))
+
+
+@_query("""SELECT CAST(floor(l_orderkey / 9999) AS BIGINT) AS file_id, l_orderkey % 9999 + 1 AS mat, l_linenumber::BIGINT AS mf, CAST(l_quantity AS BIGINT) AS mt, count(*) AS n_lines FROM lineitem GROUP BY ALL""")
+def q21_section_split(spark, sf):
+    return tp.sections(tp.with_control(_item_tape(spark, sf))).select(*tp.SECTION, C("n_lines").cast("bigint"))
+
+
+@_query("SELECT l_linenumber::BIGINT AS mf, count(*) AS n FROM lineitem WHERE l_linenumber = 3 OR (l_linenumber = 1 AND CAST(l_quantity AS BIGINT) = 5) GROUP BY 1")
+def q22_include_exclude(spark, sf):
+    lines = tp.with_control(_item_tape(spark, sf))
+    return tp.keep_sections(lines, include=[3, (1, 5)]).groupBy("mf").agg(F.count("*").alias("n"))
+
+
+# -- validation
+
+
+def _dirty(spark, sf) -> DataFrame:
+    """One-line sections per order with a defect by o_orderkey % 5: none, non-zero in a zero slot, bad digit, missing line, wrong constant."""
+    kind = C("o_orderkey") % 5
+    l2 = F.when(kind == 1, 7).otherwise(0)
+    n2 = F.when(kind == 4, 9).otherwise(2)
+    good = rc.cont_body(fd.float_field(C("o_totalprice"), prefer_noexp=True), BLANK, C("o_custkey"), l2, L(1), n2)
+    bad = F.concat(F.substring(good, 1, 22), F.rpad(L("  1x"), 11, " "), F.substring(good, 34, 33))
+    lines = F.when(kind == 2, F.array(bad)).when(kind == 3, F.array().cast("array<string>")).otherwise(F.array(good))
+    return _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), lines.alias("lines"))
+
+
+DIRTY = "cont P 0 K 0 1 2"
+_CODES = "CASE o_orderkey % 5 WHEN 1 THEN {1} WHEN 2 THEN 'bad_number' WHEN 3 THEN 'missing_line' WHEN 4 THEN {4} END"
+
+
+@_query(f"SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 5 = 0 THEN 'parsed' ELSE 'failed' END AS status, {_CODES.replace('{1}', chr(39) + 'mismatch' + chr(39)).replace('{4}', chr(39) + 'mismatch' + chr(39))} AS code FROM orders")
+def q23_strict_validate(spark, sf):
+    return lane.status(_dirty(spark, sf), ["file_id"], DIRTY, options=Options(ignore_zero_mismatch=False, ignore_varspec_mismatch=False))
+
+
+@_query("SELECT CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'parsed' ELSE 'failed' END AS status, count(*) AS n FROM orders GROUP BY 1")
+def q24_zero_slot_policy(spark, sf):
+    return lane.status(_dirty(spark, sf), ["file_id"], DIRTY).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN 'parsed' ELSE 'failed' END AS status, count(*) AS n FROM orders GROUP BY 1")
+def q25_desired_number_policy(spark, sf):
+    return lane.status(_dirty(spark, sf), ["file_id"], "cont P 0 K 0 1 2?", options=Options(ignore_number_mismatch=True)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT l_orderkey, l_linenumber, abs(round(l_extendedprice, 1) - l_extendedprice) <= 1e-7 + 1e-5 * abs(l_extendedprice) AS ok FROM lineitem")
+def q26_fuzzy_match(spark, sf):
+    first, again = (fd.fort_float(fd.float_field(x, prefer_noexp=True)) for x in (C("l_extendedprice"), F.round("l_extendedprice", 1)))
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fd.is_close(again, first, 1e-5, 1e-7).alias("ok"))
+
+
+@_query("""SELECT o_orderkey AS file_id, CASE o_orderkey % 4 WHEN 1 THEN 'missing_send' WHEN 2 THEN 'missing_tend' WHEN 3 THEN 'mt_change' END AS code FROM orders WHERE o_orderkey % 4 <> 0""")
+def q27_end_record_rules(spark, sf):
+    kind = C("o_orderkey") % 4
+
+    def line(mat, mf, mt):
+        return F.concat(L(" " * 66), rc.control(L(mat), L(mf), L(mt)))
+
+    data, other, send, fend, mend, tend = line(9, 3, 1), line(9, 3, 2), line(9, 3, 0), line(9, 0, 0), line(0, 0, 0), line(-1, 0, 0)
+    text = (
+        F.when(kind == 1, F.array(data, fend, mend, tend))
+        .when(kind == 2, F.array(data, send, fend, mend))
+        .when(kind == 3, F.array(data, other, send, fend, mend, tend))
+        .otherwise(F.array(data, send, fend, mend, tend))
+    )
+    lines = _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.posexplode(text).alias("ofs", "raw"))
+    return tp.end_record_issues(lines).select("file_id", "code")
+
+
+@_query("SELECT o_orderkey AS file_id, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1")
+def q28_blank_lines(spark, sf):
+    text = F.when(C("o_orderkey") % 3 == 0, F.concat(C("line"), L("\n"), L("   \n"), C("line"))).otherwise(F.concat(C("line"), L("\r\n"), C("line")))
+    files = _order_lines(spark, sf).select("o_orderkey", text.alias("t"))
+    return tp.blank_lines(tp.split_text(files, "o_orderkey", "t")).groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT l_orderkey AS file_id, CASE WHEN l_orderkey % 3 = 0 THEN 'list_too_long' END AS code FROM lineitem GROUP BY l_orderkey")
+def q29_list_length_guard(spark, sf):
+    layout = "list 0 0 0 0 N1 N\n    let M = N\n    for i = 1..M\n        vals q[i] p[i]"
+    lists = _list_sections(spark, sf)
+    head = F.get("lines", L(0))
+    fewer = F.concat(F.substring(head, 1, 55), fd.int_field(fd.fort_int(F.substring(head, 56, 11)) - 1))
+    lines = F.when(C("file_id") % 3 == 0, F.concat(F.array(fewer), F.slice("lines", L(2), F.size("lines")))).otherwise(C("lines"))
+    return lane.status(lists.select("file_id", lines.alias("lines")), ["file_id"], layout).select("file_id", "code")
+
+
+# -- paths
+
+
+def _props(spark, sf) -> DataFrame:
+    """Cells of events: props/k and meta/user/<n>."""
+    ev = _t(spark, sf, "events")
+    k = F.get_json_object("props", "$.k").cast("double")
+    made = F.array(F.struct(F.array(L("props"), L("k")).alias("path"), k.alias("f"), L(None).cast("string").alias("s")), F.struct(F.array(L("meta"), L("type")).alias("path"), L(None).cast("double").alias("f"), C("event_type").alias("s")))
+    return ev.select(C("event_id").alias("file_id"), F.explode(made).alias("c")).select("file_id", "c.*").where("f IS NOT NULL OR s IS NOT NULL")
+
+
+@_query("SELECT event_id AS file_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS v FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def q30_path_get(spark, sf):
+    return ce.get(_props(spark, sf), "/props/k").select("file_id", C("f").alias("v"))
+
+
+@_query("SELECT event_id AS file_id FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def q31_path_exists(spark, sf):
+    return ce.exists(_props(spark, sf), "props")
+
+
+@_query("SELECT event_id AS file_id, CASE WHEN event_id % 2 = 0 THEN event_id::DOUBLE ELSE CAST(json_extract(props, '$.k') AS DOUBLE) END AS v FROM events WHERE event_id % 2 = 0 OR json_extract(props, '$.k') IS NOT NULL")
+def q32_path_set(spark, sf):
+    new = _t(spark, sf, "events").where("event_id % 2 = 0").select(C("event_id").alias("file_id"), F.array(L("props"), L("k")).alias("path"), C("event_id").cast("double").alias("f"), L(None).cast("string").alias("s"))
+    return ce.get(ce.put(_props(spark, sf), new), "props[k]").select("file_id", C("f").alias("v"))
+
+
+@_query("SELECT event_id AS file_id, event_type AS s FROM events WHERE event_type IS NOT NULL")
+def q33_path_remove(spark, sf):
+    return ce.remove(_props(spark, sf), "/props").select("file_id", "s")
+
+
+@_query("SELECT conv_id AS file_id, 'turn/' || turn || '/text' AS path FROM conversations WHERE text IS NOT NULL")
+def q34_locate(spark, sf):
+    conv = _t(spark, sf, "conversations")
+    made = F.array(*(F.struct(F.array(L("turn"), C("turn").cast("string"), L(n)).alias("path"), C(n).alias("s")) for n in ("role", "text")))
+    table = conv.select(C("conv_id").alias("file_id"), F.explode(made).alias("c")).select("file_id", "c.path", "c.s").where("s IS NOT NULL")
+    return ce.locate(table, "text").select("file_id", F.array_join("path", "/").alias("path"))
+
+
+def _items(spark, sf) -> DataFrame:
+    """Cells of the LIST sections by their layout: item/<i>/q and item/<i>/p."""
+    return lane.cells(_list_sections(spark, sf), ["file_id"], ITEMS)
+
+
+@_query("SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::VARCHAR AS step, 2::BIGINT AS n_cells, false AS is_value FROM lineitem")
+def q35_show_children(spark, sf):
+    return ce.children(_items(spark, sf), "/item")
+
+
+def _matched(cells: DataFrame, query: str) -> DataFrame:
+    return ce.match(cells, query).where("matched").select("file_id")
+
+
+@_query("SELECT l_orderkey AS file_id FROM lineitem GROUP BY 1 HAVING count(*) >= 5")
+def q36_match_relation(spark, sf):
+    return _matched(_items(spark, sf), "/N >= 5")
+
+
+@_query("SELECT DISTINCT l_orderkey AS file_id FROM lineitem WHERE l_extendedprice > 60000")
+def q37_match_wildcard(spark, sf):
+    return _matched(_items(spark, sf), "/item/*/p > 60000")
+
+
+@_query("""SELECT l_orderkey AS file_id FROM lineitem GROUP BY 1
+  HAVING (bool_or(l_quantity < 5) AND count(*) > 2) OR bool_or(NOT l_extendedprice > 5000)""")
+def q38_match_and_or_not(spark, sf):
+    return _matched(_items(spark, sf), "(/item/*/q < 5 & /N > 2) | ! /item/*/p > 5000")
+
+
+@_query("SELECT DISTINCT l_orderkey AS file_id FROM lineitem WHERE l_quantity < 10 AND l_extendedprice > 15000")
+def q39_match_prefix(spark, sf):
+    return _matched(_items(spark, sf), "/item/*(/q < 10 & /p > 15000)")
+
+
+@_query("SELECT l_orderkey AS file_id FROM lineitem GROUP BY 1 HAVING max(l_quantity) > 7 * min(l_quantity) / 7 AND count(DISTINCT l_quantity) > 1")
+def q40_match_path_vs_path(spark, sf):
+    return _matched(_items(spark, sf), "/item/*/q > /item/*/q")
+
+
+# -- differences and edits
+
+
+def _price_cells(spark, sf, price) -> DataFrame:
+    return _t(spark, sf, "lineitem").select(C("l_orderkey").alias("file_id"), F.array(L("item"), *(C(f"l_{k}").cast("string") for k in ("linenumber", "partkey", "suppkey"))).alias("path"), fd.fort_float(fd.float_field(price, prefer_noexp=True)).alias("f"), L(None).cast("string").alias("s"))
+
+
+@_query("SELECT l_orderkey AS file_id, concat_ws('/', 'item', l_linenumber, l_partkey, l_suppkey) AS path, 'value' AS code FROM lineitem WHERE l_orderkey % 11 = 0")
+def q41_diff_values(spark, sf):
+    right = _price_cells(spark, sf, F.when(C("l_orderkey") % 11 == 0, C("l_extendedprice") + 1).otherwise(C("l_extendedprice")))
+    return ce.compare(_price_cells(spark, sf, C("l_extendedprice")), right).select("file_id", F.array_join("path", "/").alias("path"), "code")
+
+
+@_query("SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 3 = 0 THEN 'only_right' ELSE 'only_left' END AS code FROM orders WHERE (o_orderkey % 3 = 0) <> (o_orderkey % 4 = 0)")
+def q42_diff_keys(spark, sf):
+    base = _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(L("p")).alias("path"), C("o_totalprice").alias("f"), C("o_orderstatus").alias("s"))
+    return ce.compare(base.where("file_id % 4 = 0"), base.where("file_id % 3 = 0")).select("file_id", "code")
+
+
+@_query("SELECT doc_id AS file_id, 'length' AS code FROM documents WHERE doc_id % 5 = 0 AND text IS NOT NULL")
+def q43_diff_strings(spark, sf):
+    docs = _t(spark, sf, "documents").select(C("doc_id").alias("file_id"), F.array(L("text")).alias("path"), L(None).cast("double").alias("f"), C("text").alias("s"))
+    padded = docs.withColumn("s", F.when(C("file_id") % 5 == 0, F.concat("s", L("  "))).otherwise(C("s")))
+    return ce.compare(docs, padded).select("file_id", "code")
+
+
+@_query("""SELECT l_orderkey AS file_id, round(sum(CASE WHEN l_linenumber = 1 THEN l_extendedprice + 1 ELSE l_extendedprice END), 2) AS total FROM lineitem GROUP BY 1""")
+def q44_replace_subtree(spark, sf):
+    done = ce.replace_subtree(_price_cells(spark, sf, C("l_extendedprice")), _price_cells(spark, sf, C("l_extendedprice") + 1), "/item/1")
+    return done.groupBy("file_id").agg(F.round(F.sum("f"), 2).alias("total"))
+
+
+@_query("""WITH c AS (SELECT CAST(floor(l_orderkey / 9999) AS BIGINT) AS file_id, l_linenumber::BIGINT AS mf, CAST(l_quantity AS BIGINT) AS mt, count(*) AS n FROM lineitem GROUP BY ALL
+  UNION ALL SELECT DISTINCT CAST(floor(l_orderkey / 9999) AS BIGINT), 1, 451, 0 FROM lineitem), k AS (SELECT *, count(*) OVER (PARTITION BY file_id) AS k FROM c)
+  SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY mf, mt) AS i, mf, mt, CASE WHEN mf = 1 AND mt = 451 THEN 4 + 6 + k ELSE n END::BIGINT AS nc, CASE WHEN mt % 2 = 0 THEN mt ELSE 0 END::BIGINT AS mod FROM k""")
+def q45_update_directory(spark, sf):
+    counted = tp.with_control(_item_tape(spark, sf)).groupBy("file_id", "mf", "mt").agg(F.count("*").alias("n"))
+    files = counted.select("file_id").distinct()
+    every = counted.union(files.select("file_id", L(1).cast("bigint"), L(451).cast("bigint"), L(0).cast("bigint")))
+    old = counted.where("mt % 2 = 0").select("file_id", "mf", "mt", C("mt").alias("mod"))
+    return ce.updated_directory(every, old, files.withColumn("nwd", L(6))).withColumn("mod", C("mod").cast("bigint"))
+
+
+@_query("SELECT doc_id AS file_id, len(string_split(coalesce(text, ''), chr(10))) + 1 + 5 AS nwd, 'inserted' AS second FROM documents")
+def q46_description_edit(spark, sf):
+    lines = F.split(F.coalesce("text", L("")), "\n", -1)
+    padded = F.transform(lines, lambda x: F.when(F.length(x) < 66, F.rpad(x, 66, " ")).otherwise(x))
+    new = F.concat(F.slice(padded, 1, 1), F.array(F.rpad(L("inserted"), 66, " ")), F.slice(padded, L(2), F.greatest(F.size(padded) - 1, L(0))))
+    return _t(spark, sf, "documents").select(C("doc_id").alias("file_id"), (F.size(new) + 5).cast("bigint").alias("nwd"), F.rtrim(F.get(new, L(1))).alias("second"))
+
+
+#: NLIB, NVER and LREL of each library name.
+LIBRARIES = {"ENDF/B-VII.0": (0, 7, 0), "ENDF/B-VII.1": (0, 7, 1), "ENDF/B-VIII.0": (0, 8, 0), "FENDL-3.2": (33, 3, 2)}
+
+
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 33 ELSE 0 END AS nlib, CASE o_orderkey % 4 WHEN 3 THEN 3 WHEN 2 THEN 8 ELSE 7 END AS nver, CASE o_orderkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS lrel FROM orders""")
+def q47_set_library(spark, sf):
+    name = F.element_at(F.array(*(L(x) for x in LIBRARIES)), (C("o_orderkey") % 4 + 1).cast("int"))
+    table = F.create_map(*(x for k, v in LIBRARIES.items() for x in (L(k), F.struct(*(L(i).alias(n) for i, n in zip(v, ("nlib", "nver", "lrel")))))))
+    return _t(spark, sf, "orders").select("o_orderkey", table[name].alias("m")).select("o_orderkey", "m.*")
+
+
+@_query("SELECT o_orderkey AS file_id, o_totalprice AS f FROM orders WHERE (o_orderkey % 4 = 0 OR o_orderkey % 4 = 1) AND o_orderstatus <> 'F'")
+def q48_delete_merge(spark, sf):
+    orders = _t(spark, sf, "orders").where("o_orderstatus <> 'F'").select(C("o_orderkey").alias("file_id"), F.array(C("o_orderstatus")).alias("path"), C("o_totalprice").alias("f"))
+    return orders.where("file_id % 4 = 0").unionByName(orders.where("file_id % 4 = 1")).select("file_id", "f")
+
+
+@_query("SELECT l_orderkey AS file_id, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
+def q49_json_roundtrip(spark, sf):
+    documents = lane.to_json(_list_sections(spark, sf), ["file_id"], ITEMS)
+    again = lane.cells(lane.from_json(documents, ["file_id"], "document", ITEMS), ["file_id"], ITEMS)
+    return ce.get(again, "/item/*/p").groupBy("file_id").agg(F.count("*").alias("n"), F.round(F.sum("f"), 2).alias("total"))
+
+
+@_query("""WITH s AS (SELECT DISTINCT CAST(floor(l_orderkey / 9999) AS BIGINT) AS file_id, l_orderkey % 9999 + 1 AS mat, l_linenumber AS mf, CAST(l_quantity AS BIGINT) AS mt FROM lineitem),
+  n AS (SELECT CAST(floor(l_orderkey / 9999) AS BIGINT) AS file_id, count(*) AS n FROM lineitem GROUP BY 1)
+  SELECT s.file_id, any_value(n) + count(*) + count(DISTINCT (mat, mf)) + count(DISTINCT mat) + 1 AS n_lines FROM s JOIN n USING (file_id) GROUP BY 1""")
+def q50_write_sort(spark, sf):
+    texts = tp.file_texts(tp.with_control(_item_tape(spark, sf)))
+    return texts.select("file_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+
+
+# -- layouts
+
+
+@_query("SELECT l_orderkey AS file_id, count(*) FILTER (WHERE l_quantity > 25) AS n FROM lineitem GROUP BY 1")
+def q51_layout_for_loop(spark, sf):
+    part = F.collect_list(F.when(C("l_quantity") > 25, C("l_extendedprice")))
+    orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(part.alias("v")).select(C("l_orderkey").alias("file_id"), fd.float_fields(C("v"), prefer_noexp=True).alias("fields"))
+    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), L(0)), 66, " ")
+    lists = orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines"))
+    got = lane.cells(lists, ["file_id"], "list 0 0 0 0 N 0\n    for i = 1..N\n        vals v[i]")
+    return got.groupBy("file_id").agg(F.count(F.when(ce.matches(C("path"), ["v", "*"]), 1)).alias("n"))
+
+
+@_query("""WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT p_brand AS file_id, (least(n, 8) * (least(n, 8) + 1)) // 2 AS cells FROM b""")
+def q52_layout_triangle(spark, sf):
+    brands = _t(spark, sf, "part").groupBy("p_brand").agg(F.least(F.count("*"), L(8)).alias("n"))
+    values = F.transform(fd.counted(L(1), C("n") * (C("n") + 1) / 2), lambda i: i.cast("double"))
+    brands = brands.select(C("p_brand").alias("file_id"), "n", fd.float_fields(values, prefer_noexp=True).alias("fields"))
+    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), C("n")), 66, " ")
+    lists = brands.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines"))
+    got = lane.cells(lists, ["file_id"], "list 0 0 0 0 NT N\n    for i = 1..N\n        for j = i..N\n            vals F[i,j]")
+    return ce.get(got, "/F/*/*").groupBy("file_id").agg(F.count("*").alias("cells"))
+
+
+@_query("SELECT o_orderkey AS file_id, CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE 'B' END AS branch, o_custkey::DOUBLE AS f FROM orders")
+def q53_layout_if_lookahead(spark, sf):
+    flag = F.when(C("o_orderstatus") == "F", 1).otherwise(2)
+    line = F.rpad(rc.cont_body(BLANK, BLANK, flag, C("o_custkey"), L(0), L(0)), 66, " ")
+    made = _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(line).alias("lines"))
+    got = lane.cells(made, ["file_id"], "if LF == 1 ~1\n    cont 0 0 LF A 0 0\nelse\n    cont 0 0 LF B 0 0")
+    return got.where(F.get("path", L(0)) != "LF").select("file_id", F.get("path", L(0)).alias("branch"), "f")
+
+
+@_query("SELECT c_nationkey::BIGINT AS file_id, least(count(*), 20) AS n FROM customer GROUP BY 1")
+def q54_layout_repeat_until(spark, sf):
+    nations = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.least(F.count("*"), L(20)).alias("n"))
+    lines = F.transform(fd.counted(L(1), C("n")), lambda i: F.rpad(rc.cont_body(BLANK, BLANK, C("n"), i, L(0), L(0)), 66, " "))
+    got = lane.cells(nations.select(C("c_nationkey").cast("bigint").alias("file_id"), lines.alias("lines")), ["file_id"], "repeat i = 1 until IG[i] == NG\n    cont 0 0 NG IG[i] 0 0")
+    return ce.get(got, "/IG/*").groupBy("file_id").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT o_orderkey AS file_id, o_custkey::DOUBLE AS n FROM orders")
+def q55_layout_linear_solve(spark, sf):
+    line = F.rpad(rc.cont_body(BLANK, BLANK, C("o_custkey") * 2 + 1, C("o_custkey"), L(0), L(0)), 66, " ")
+    got = lane.cells(_t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(line).alias("lines")), ["file_id"], "cont 0 0 2*N+1 N 0 0")
+    return ce.get(got, "/N").select("file_id", C("f").alias("n"))
+
+
+@_query("SELECT l_orderkey AS file_id, count(*)::DOUBLE AS n, ((5 - count(*)) % 6 + 6) % 6 AS spare FROM lineitem GROUP BY 1")
+def q56_layout_abbreviation(spark, sf):
+    orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.collect_list("l_quantity").alias("v"))
+    spare = fd.floor_mod(L(5) - C("n"), L(6))
+    values = F.concat(C("v"), F.array_repeat(L(0.0), spare.cast("int")))
+    orders = orders.select(C("l_orderkey").alias("file_id"), "n", fd.float_fields(values, prefer_noexp=True).alias("fields"))
+    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), C("n")), 66, " ")
+    got = lane.cells(orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines")), ["file_id"], "let SP = (5-N)%6\nlist 0 0 0 0 NT N\n    for i = 1..N\n        vals q[i]\n    for i = 1..SP\n        vals z[i]")
+    return got.groupBy("file_id").agg(F.max(F.when(ce.matches(C("path"), ["N"]), C("f"))).alias("n"), F.count(F.when(ce.matches(C("path"), ["z", "*"]), 1)).alias("spare"))
+
+
+@_query("SELECT l_orderkey AS file_id, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
+def q57_padline(spark, sf):
+    part = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity", "l_extendedprice")))
+    orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(part.alias("p"), F.count("*").alias("n"))
+
+    def padded(name):
+        v = F.transform("p", lambda x: x[name])
+        return F.concat(v, F.array_repeat(L(0.0), ((6 - C("n") % 6) % 6).cast("int")))
+
+    orders = orders.select(C("l_orderkey").alias("file_id"), "n", fd.float_fields(F.concat(padded("l_quantity"), padded("l_extendedprice")), prefer_noexp=True).alias("fields"))
+    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), C("n")), 66, " ")
+    got = lane.cells(orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines")), ["file_id"], "list 0 0 0 0 NT N\n    for i = 1..N\n        vals q[i]\n    pad\n    for i = 1..N\n        vals p[i]\n    pad")
+    return ce.get(got, "/p/*").groupBy("file_id").agg(F.count("*").alias("n"), F.round(F.sum("f"), 2).alias("total"))
+
+
+@_query("SELECT o_orderkey AS file_id, o_custkey::DOUBLE AS f FROM orders")
+def q58_nested_index(spark, sf):
+    first = F.rpad(rc.cont_body(BLANK, BLANK, L(10), L(3), L(0), L(0)), 66, " ")
+    second = F.rpad(rc.cont_body(BLANK, BLANK, C("o_custkey"), L(0), L(0), L(0)), 66, " ")
+    got = lane.cells(_t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(first, second).alias("lines")), ["file_id"], "cont 0 0 A[1] A[2] 0 0\ncont 0 0 B[A[1]-A[2]] 0 0 0")
+    return ce.get(got, "/B/7").select("file_id", "f")
+
+
+@_query("SELECT l_orderkey AS file_id, max(l_extendedprice) AS top FROM lineitem GROUP BY 1")
+def q59_layout_sections(spark, sf):
+    return ce.get(_items(spark, sf), "/item/*/p").groupBy("file_id").agg(F.max("f").alias("top"))
+
+
+@_query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'parsed' ELSE 'kept' END AS status, count(*) AS n FROM orders GROUP BY 1")
+def q61_nofail_status(spark, sf):
+    done = lane.status(_dirty(spark, sf), ["file_id"], DIRTY, options=Options(ignore_zero_mismatch=False))
+    return done.groupBy(F.when(C("status") == "parsed", "parsed").otherwise("kept").alias("status")).agg(F.count("*").alias("n"))
+
+
+@_query("SELECT c_nationkey::BIGINT AS mat, count(*) AS n_lines FROM customer WHERE c_nationkey > 0 GROUP BY 1")
+def q64_multi_material(spark, sf):
+    body = F.rpad(fd.float_field(C("c_acctbal"), prefer_noexp=True), 66, " ")
+    lines = _t(spark, sf, "customer").select(L("one").alias("file_id"), C("c_custkey").alias("ofs"), F.concat(body, rc.control(C("c_nationkey"), L(3), L(1))).alias("raw"))
+    counted = tp.data_lines(tp.with_control(lines)).groupBy("mat").agg(F.count("*").alias("n_lines"))
+    return counted
