@@ -47,7 +47,12 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 C, L = F.col, F.lit
-BLANK = L(" " * 11)
+
+
+def _blank():
+    """An empty field; made when a query is, because it needs a session."""
+    return L(" " * 11)
+
 
 # -- number fields
 
@@ -67,7 +72,7 @@ def q02_fort_float_spaces(spark, sf):
 
 @_query("SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 0 ELSE c_nationkey END::BIGINT AS v FROM customer")
 def q03_fort_int_blank(spark, sf):
-    text = F.when(C("c_custkey") % 7 == 0, BLANK).otherwise(fd.int_field(C("c_nationkey")))
+    text = F.when(C("c_custkey") % 7 == 0, _blank()).otherwise(fd.int_field(C("c_nationkey")))
     return _t(spark, sf, "customer").select("c_custkey", fd.fort_int(text).alias("v"))
 
 
@@ -121,7 +126,7 @@ def q11_floor_mod(spark, sf):
 
 def _order_lines(spark, sf) -> DataFrame:
     """One HEAD line per order with 1/2/3 as control, files of one order each."""
-    body = rc.cont_body(fd.float_field(C("o_totalprice"), prefer_noexp=True), BLANK, C("o_custkey"), L(0), F.length("o_orderpriority"), L(0))
+    body = rc.cont_body(fd.float_field(C("o_totalprice"), prefer_noexp=True), _blank(), C("o_custkey"), L(0), F.length("o_orderpriority"), L(0))
     ctrl = rc.control(C("o_custkey") % 9999 + 1, C("o_orderkey") % 40 + 1, C("o_orderkey") % 900 + 1)
     return _t(spark, sf, "orders").select("*", rc.numbered(body, ctrl, L(1)).alias("line"))
 
@@ -158,7 +163,7 @@ def _list_sections(spark, sf) -> DataFrame:
     orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(part.alias("p"))
     values = F.flatten(F.transform("p", lambda x: F.array(x["l_quantity"], x["l_extendedprice"])))
     orders = orders.select(C("l_orderkey").alias("file_id"), fd.float_fields(values, prefer_noexp=True).alias("fields"))
-    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), F.size("fields") / 2), 66, " ")
+    head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), F.size("fields") / 2), 66, " ")
     return orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines"))
 
 
@@ -177,7 +182,7 @@ def _tab1_sections(spark, sf) -> DataFrame:
     users = _t(spark, sf, "events").groupBy("user_id").agg(part.alias("p"))
     points = F.flatten(F.transform("p", lambda x, i: F.array((i + 1).cast("double"), x["v"])))
     users = users.select("user_id", F.size("p").alias("n"), fd.float_fields(points, prefer_noexp=True).alias("fields"))
-    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), L(1), C("n")), 66, " ")
+    head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), L(1), C("n")), 66, " ")
     table = rc.value_lines(F.array(fd.int_field(C("n")), fd.int_field(L(2))))
     return users.select(C("user_id").alias("file_id"), F.concat(F.array(head), table, rc.value_lines(C("fields"))).alias("lines"))
 
@@ -198,10 +203,10 @@ def q18_tab2_nested(spark, sf):
     segs = _t(spark, sf, "customer").groupBy("c_nationkey", "c_mktsegment").agg(part.alias("p"))
     points = F.flatten(F.transform("p", lambda x, i: F.array((i + 1).cast("double"), x["b"])))
     segs = segs.select("c_nationkey", "c_mktsegment", F.size("p").alias("n"), fd.float_fields(points, prefer_noexp=True).alias("fields"))
-    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), L(1), C("n")), 66, " ")
+    head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), L(1), C("n")), 66, " ")
     segs = segs.select("c_nationkey", "c_mktsegment", F.concat(F.array(head), rc.value_lines(F.array(fd.int_field(C("n")), fd.int_field(L(2)))), rc.value_lines(C("fields"))).alias("lines"))
     nations = segs.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_mktsegment", "lines"))).alias("p"))
-    top = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), L(1), F.size("p")), 66, " ")
+    top = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), L(1), F.size("p")), 66, " ")
     lines = F.concat(F.array(top), rc.value_lines(F.array(fd.int_field(F.size("p")), fd.int_field(L(1)))), F.flatten(F.transform("p", lambda x: x["lines"])))
     got = lane.cells(nations.select(C("c_nationkey").cast("bigint").alias("file_id"), lines.alias("lines")), ["file_id"], NESTED)
     ys = got.where(ce.matches(C("path"), ["segment", "*", "t", "Y", "*"]))
@@ -225,7 +230,7 @@ def q20_line_numbers(spark, sf):
 
 def _item_tape(spark, sf) -> DataFrame:
     """``file_id, ofs, raw``: a line per item; file = customer block, MAT = order, MF = linenumber, MT = quantity."""
-    body = rc.cont_body(fd.float_field(C("l_extendedprice"), prefer_noexp=True), BLANK, C("l_partkey"), C("l_suppkey"), L(0), L(0))
+    body = rc.cont_body(fd.float_field(C("l_extendedprice"), prefer_noexp=True), _blank(), C("l_partkey"), C("l_suppkey"), L(0), L(0))
     ctrl = rc.control(C("l_orderkey") % 9999 + 1, C("l_linenumber"), C("l_quantity").cast("int"))
     items = _t(spark, sf, "lineitem")
     return items.select((C("l_orderkey") / 9999).cast("bigint").alias("file_id"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("ofs"), F.concat(F.rpad(body, 66, " "), ctrl).alias("raw"))
@@ -250,7 +255,7 @@ def _dirty(spark, sf) -> DataFrame:
     kind = C("o_orderkey") % 5
     l2 = F.when(kind == 1, 7).otherwise(0)
     n2 = F.when(kind == 4, 9).otherwise(2)
-    good = rc.cont_body(fd.float_field(C("o_totalprice"), prefer_noexp=True), BLANK, C("o_custkey"), l2, L(1), n2)
+    good = rc.cont_body(fd.float_field(C("o_totalprice"), prefer_noexp=True), _blank(), C("o_custkey"), l2, L(1), n2)
     bad = F.concat(F.substring(good, 1, 22), F.rpad(L("  1x"), 11, " "), F.substring(good, 34, 33))
     lines = F.when(kind == 2, F.array(bad)).when(kind == 3, F.array().cast("array<string>")).otherwise(F.array(good))
     return _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), lines.alias("lines"))
@@ -486,7 +491,7 @@ def q50_write_sort(spark, sf):
 def q51_layout_for_loop(spark, sf):
     part = F.collect_list(F.when(C("l_quantity") > 25, C("l_extendedprice")))
     orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(part.alias("v")).select(C("l_orderkey").alias("file_id"), fd.float_fields(C("v"), prefer_noexp=True).alias("fields"))
-    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), L(0)), 66, " ")
+    head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), L(0)), 66, " ")
     lists = orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines"))
     got = lane.cells(lists, ["file_id"], "list 0 0 0 0 N 0\n    for i = 1..N\n        vals v[i]")
     return got.groupBy("file_id").agg(F.count(F.when(ce.matches(C("path"), ["v", "*"]), 1)).alias("n"))
@@ -497,7 +502,7 @@ def q52_layout_triangle(spark, sf):
     brands = _t(spark, sf, "part").groupBy("p_brand").agg(F.least(F.count("*"), L(8)).alias("n"))
     values = F.transform(fd.counted(L(1), C("n") * (C("n") + 1) / 2), lambda i: i.cast("double"))
     brands = brands.select(C("p_brand").alias("file_id"), "n", fd.float_fields(values, prefer_noexp=True).alias("fields"))
-    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), C("n")), 66, " ")
+    head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), C("n")), 66, " ")
     lists = brands.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines"))
     got = lane.cells(lists, ["file_id"], "list 0 0 0 0 NT N\n    for i = 1..N\n        for j = i..N\n            vals F[i,j]")
     return ce.get(got, "/F/*/*").groupBy("file_id").agg(F.count("*").alias("cells"))
@@ -506,7 +511,7 @@ def q52_layout_triangle(spark, sf):
 @_query("SELECT o_orderkey AS file_id, CASE WHEN o_orderstatus = 'F' THEN 'A' ELSE 'B' END AS branch, o_custkey::DOUBLE AS f FROM orders")
 def q53_layout_if_lookahead(spark, sf):
     flag = F.when(C("o_orderstatus") == "F", 1).otherwise(2)
-    line = F.rpad(rc.cont_body(BLANK, BLANK, flag, C("o_custkey"), L(0), L(0)), 66, " ")
+    line = F.rpad(rc.cont_body(_blank(), _blank(), flag, C("o_custkey"), L(0), L(0)), 66, " ")
     made = _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(line).alias("lines"))
     got = lane.cells(made, ["file_id"], "if LF == 1 ~1\n    cont 0 0 LF A 0 0\nelse\n    cont 0 0 LF B 0 0")
     return got.where(F.get("path", L(0)) != "LF").select("file_id", F.get("path", L(0)).alias("branch"), "f")
@@ -515,14 +520,14 @@ def q53_layout_if_lookahead(spark, sf):
 @_query("SELECT c_nationkey::BIGINT AS file_id, least(count(*), 20) AS n FROM customer GROUP BY 1")
 def q54_layout_repeat_until(spark, sf):
     nations = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.least(F.count("*"), L(20)).alias("n"))
-    lines = F.transform(fd.counted(L(1), C("n")), lambda i: F.rpad(rc.cont_body(BLANK, BLANK, C("n"), i, L(0), L(0)), 66, " "))
+    lines = F.transform(fd.counted(L(1), C("n")), lambda i: F.rpad(rc.cont_body(_blank(), _blank(), C("n"), i, L(0), L(0)), 66, " "))
     got = lane.cells(nations.select(C("c_nationkey").cast("bigint").alias("file_id"), lines.alias("lines")), ["file_id"], "repeat i = 1 until IG[i] == NG\n    cont 0 0 NG IG[i] 0 0")
     return ce.get(got, "/IG/*").groupBy("file_id").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT o_orderkey AS file_id, o_custkey::DOUBLE AS n FROM orders")
 def q55_layout_linear_solve(spark, sf):
-    line = F.rpad(rc.cont_body(BLANK, BLANK, C("o_custkey") * 2 + 1, C("o_custkey"), L(0), L(0)), 66, " ")
+    line = F.rpad(rc.cont_body(_blank(), _blank(), C("o_custkey") * 2 + 1, C("o_custkey"), L(0), L(0)), 66, " ")
     got = lane.cells(_t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(line).alias("lines")), ["file_id"], "cont 0 0 2*N+1 N 0 0")
     return ce.get(got, "/N").select("file_id", C("f").alias("n"))
 
@@ -533,7 +538,7 @@ def q56_layout_abbreviation(spark, sf):
     spare = fd.floor_mod(L(5) - C("n"), L(6))
     values = F.concat(C("v"), F.array_repeat(L(0.0), spare.cast("int")))
     orders = orders.select(C("l_orderkey").alias("file_id"), "n", fd.float_fields(values, prefer_noexp=True).alias("fields"))
-    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), C("n")), 66, " ")
+    head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), C("n")), 66, " ")
     got = lane.cells(orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines")), ["file_id"], "let SP = (5-N)%6\nlist 0 0 0 0 NT N\n    for i = 1..N\n        vals q[i]\n    for i = 1..SP\n        vals z[i]")
     return got.groupBy("file_id").agg(F.max(F.when(ce.matches(C("path"), ["N"]), C("f"))).alias("n"), F.count(F.when(ce.matches(C("path"), ["z", "*"]), 1)).alias("spare"))
 
@@ -548,15 +553,15 @@ def q57_padline(spark, sf):
         return F.concat(v, F.array_repeat(L(0.0), ((6 - C("n") % 6) % 6).cast("int")))
 
     orders = orders.select(C("l_orderkey").alias("file_id"), "n", fd.float_fields(F.concat(padded("l_quantity"), padded("l_extendedprice")), prefer_noexp=True).alias("fields"))
-    head = F.rpad(rc.cont_body(BLANK, BLANK, L(0), L(0), F.size("fields"), C("n")), 66, " ")
+    head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), C("n")), 66, " ")
     got = lane.cells(orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines")), ["file_id"], "list 0 0 0 0 NT N\n    for i = 1..N\n        vals q[i]\n    pad\n    for i = 1..N\n        vals p[i]\n    pad")
     return ce.get(got, "/p/*").groupBy("file_id").agg(F.count("*").alias("n"), F.round(F.sum("f"), 2).alias("total"))
 
 
 @_query("SELECT o_orderkey AS file_id, o_custkey::DOUBLE AS f FROM orders")
 def q58_nested_index(spark, sf):
-    first = F.rpad(rc.cont_body(BLANK, BLANK, L(10), L(3), L(0), L(0)), 66, " ")
-    second = F.rpad(rc.cont_body(BLANK, BLANK, C("o_custkey"), L(0), L(0), L(0)), 66, " ")
+    first = F.rpad(rc.cont_body(_blank(), _blank(), L(10), L(3), L(0), L(0)), 66, " ")
+    second = F.rpad(rc.cont_body(_blank(), _blank(), C("o_custkey"), L(0), L(0), L(0)), 66, " ")
     got = lane.cells(_t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(first, second).alias("lines")), ["file_id"], "cont 0 0 A[1] A[2] 0 0\ncont 0 0 B[A[1]-A[2]] 0 0 0")
     return ce.get(got, "/B/7").select("file_id", "f")
 
