@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxtape.llm import bpe, mixing, simhash, suffix_dedup, toxicity
+from fluxtape.llm import bpe, mixing, similar, suffix_dedup, toxicity
 from fluxtape.llm.scratch import materialize, release
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -21,12 +21,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each near-duplicate group, by five-word shingles.
+    """The document of the smallest id of each near-duplicate group: SimHash
+    links and a similarity of 0.8 or more of five-word shingles.
 
     A doc_id on several rows keeps each of its different texts; rows without a
     doc_id are kept, one for each text.
     """
-    classes = simhash.near_duplicate_classes(docs, shingle_words=5, max_bits=2)
+    classes = similar.similar_classes(docs, shingle_words=5, similarity=0.8, max_bits=2)
     first = materialize(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows_")), "first")
     once = docs.join(first.where("rows_ = 1"), "doc_id", "left_semi")
     several = docs.join(first.where("rows_ > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])

@@ -33,18 +33,22 @@ BITS = 64
 BUCKET = 48
 
 
-def fingerprint(text: bytes, shingle_words: int) -> int:
-    """SimHash of one text: majority bit over the XXH64 (seed 42) of its word shingles."""
+def shingle_hashes(text: bytes, shingle_words: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle of a text, repeats included."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     k = min(shingle_words, len(words))
     line = b" ".join(words)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     starts = [0, *(gaps + 1).tolist()]
     ends = [*gaps.tolist(), len(line)]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[k - 1 :])], np.uint64)
+    return np.array([digest(line[a:b], 42) for a, b in zip(starts, ends[k - 1 :])], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes; zero without hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 8192):
         part = hashes[at : at + 8192]
@@ -52,6 +56,11 @@ def fingerprint(text: bytes, shingle_words: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(text: bytes, shingle_words: int) -> int:
+    """SimHash of one text: majority bit over the hashes of its word shingles."""
+    return majority(shingle_hashes(text, shingle_words))
+
+
 def with_fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     """``(doc_id, fp)``, one row per row of ``docs``; a null or wordless text has fingerprint zero."""
     id_type = docs.schema["doc_id"].dataType
@@ -190,6 +199,20 @@ def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
     return found.union(star)
 
 
+def components_of(marked: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id`` of each row of ``marked``, from links ``(a, b)`` of fingerprints."""
+    roots = materialize(connected_components(edges), "roots")
+    linked = roots.select(F.col("node").alias("fp"), "root").join(classes, "fp")
+    lowest = linked.groupBy("root").agg(F.min("first_id").alias("low"))
+    lows = linked.join(lowest, "root").select("fp", "low")
+    named = classes.join(lows, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def as_hex():
+    return F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+
+
 def near_duplicate_classes(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint``, ``component_id``.
 
@@ -206,9 +229,4 @@ def near_duplicate_classes(docs: DataFrame, shingle_words: int = 3, max_bits: in
     """
     marked = materialize(with_fingerprints(docs, shingle_words), "fp")
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    roots = materialize(connected_components(links(classes.select("fp"), max_bits)), "roots")
-    linked = roots.select(F.col("node").alias("fp"), "root").join(classes, "fp")
-    lowest = linked.groupBy("root").agg(F.min("first_id").alias("low"))
-    lows = linked.join(lowest, "root").select("fp", "low")
-    named = classes.join(lows, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return components_of(marked, classes, links(classes.select("fp"), max_bits)).select("doc_id", as_hex(), "component_id")

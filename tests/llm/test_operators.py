@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from fluxtape.llm import bpe, induced, line_rules, mixing, ppm, quality, sharding, simhash, suffix_dedup, topk, toxicity
+from fluxtape.llm import bpe, induced, line_rules, mixing, ppm, quality, sharding, similar, simhash, suffix_dedup, topk, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k1 string, spans int, doc string, fp int, h string"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -48,6 +48,7 @@ def labels(spark, rows):
 def test_empty_tables(docs, labels):
     none = docs.limit(0)
     assert simhash.near_duplicate_classes(none).count() == 0
+    assert similar.similar_classes(none).count() == 0
     assert topk.exact_top_k(none.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding")), F.lit(True)).count() == 0
     assert quality.weak_label_quality(none).count() == 0
     assert mixing.mixed(none).count() == 0
@@ -100,6 +101,31 @@ def test_simhash_crowded_values(spark, monkeypatch):
     assert got == {a: root[a] for a in linked}
 
 
+def test_similar_classes(spark, monkeypatch):
+    monkeypatch.setattr(similar, "PAIRED", 4)  # groups go past it
+    rng = random.Random(3)
+    texts = []
+    for size in (1, 1, 2, 3, 12, 40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        texts += [" ".join(f"v{rng.randrange(10**6)}" if rng.random() < (0.012 if k else 0) else w for w in base) for k in range(size)]
+    texts += ["", None, "one two", texts[3], texts[3].upper() + " "]
+    docs = spark.createDataFrame([(i, t, "a", "b") for i, t in enumerate(texts)] + [(None, texts[4], "a", "b")], "doc_id bigint, text string, fp string, bands string")
+    got = {r.doc_id: r.component_id for r in similar.similar_classes(docs).collect()}
+
+    def shingles(text):
+        ws = words(text or "")
+        return {b" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets, low = [shingles(t) for t in texts], list(range(len(texts)))
+    for _ in texts:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if a == b or len(a & b) >= 0.8 * len(a | b):
+                    low[i] = low[j] = min(low[i], low[j])
+    assert [got[i] for i in range(len(texts))] == low
+    assert got[None] == low[4]
+
+
 def test_thresholds_cover_the_distance():
     _, t = simhash.allocate([[0, 5, 9, 12], [0, 1, 2, 9], [0, 7, 8, 9]], 3)
     assert sum(x + 1 for x in t) == 3 and t == [0, 1, -1] or sum(x + 1 for x in t) == 3
