@@ -2,10 +2,9 @@
 
 Two texts whose five-word shingles have a Jaccard similarity of 0.8 differ in about
 ten of 64 SimHash bits.  No allocation of pigeonhole thresholds finds that many
-without comparing a fixed share of all pairs, so the links within a few bits are
-joined by links that a min-wise sketch proposes and the shingle sets themselves
-confirm.  Both kinds of links connect fingerprints, and the classes are the connected
-components of all of them.
+without comparing a fixed share of all pairs, so besides the pairs within a few bits
+a min-wise sketch proposes pairs.  The shingle sets themselves confirm every pair of
+either kind, and the classes are the connected components of the confirmed ones.
 """
 
 from __future__ import annotations
@@ -73,7 +72,7 @@ def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
 
 
 def _candidates(classes: DataFrame) -> DataFrame:
-    """Distinct ``(a, b)``, a < b, of fingerprints that share a band value."""
+    """``(a, b)``, a < b, of fingerprints that share a band value."""
     rows = classes.select("fp", F.explode("bands").alias("v"))
     order = [F.min(F.struct(F.xxhash64("fp", "v", F.lit(i)).alias("o"), "fp")).alias(f"l{i}") for i in range(LEADERS)]
     shared = rows.groupBy("v").agg(F.count("*").alias("n"), *order).where("n > 1")
@@ -83,16 +82,18 @@ def _candidates(classes: DataFrame) -> DataFrame:
     few = met.where(F.col("n") <= PAIRED).select("fp", "v")
     pairs = few.join(few.select(F.col("fp").alias("other"), "v"), "v").select("fp", "other")
     both = star.union(pairs).where("fp <> other")
-    return both.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b")).distinct()
+    return both.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
 
-def similarity_links(docs: DataFrame, classes: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+def similarity_links(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """``(a, b)`` of fingerprints whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     ``classes(fp, first_id, bands)`` has one row per fingerprint, whose text is that of
-    the row ``first_id``; a fingerprint of null doc_ids alone takes no part.
+    the row ``first_id``; a fingerprint of null doc_ids alone takes no part.  ``near(a, b)``
+    are pairs that are looked at besides those of the sketches.
     """
-    pairs = materialize(_candidates(classes.where("first_id IS NOT NULL")), "pairs")
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = materialize(_candidates(classes.where("first_id IS NOT NULL")).union(near).distinct(), "pairs")
     wanted = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(classes.select("fp", "first_id"), "fp"), "wanted")
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
     sets = materialize(_sets(texts, shingle_words).join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.max("shingles").alias("s")), "sets")
@@ -108,13 +109,13 @@ def similarity_links(docs: DataFrame, classes: DataFrame, shingle_words: int, si
 def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint``, ``component_id``.
 
-    Texts are linked if their fingerprints differ in at most ``max_bits`` bits, or if
-    the sets of their ``shingle_words``-word shingles have a Jaccard similarity of
-    ``similarity`` or more (found with a chance of 0.998 at 0.8, and more above).
+    Texts are linked if the sets of their ``shingle_words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more.  Such pairs are found if their fingerprints
+    differ in at most ``max_bits`` bits, and else with a chance of 0.998 at 0.8 and more above.
     component_id is the smallest doc_id that can be reached through links.  Texts of
     one fingerprint are one class, and the text of its smallest doc_id stands for it.
 
-    Null and wordless texts have fingerprint zero and are linked like any other.  A
+    Null and wordless texts have fingerprint zero and are one class.  A
     null doc_id keeps its row and takes its component from the others; a component
     of null doc_ids alone has a null component_id.  Repeated rows are all returned.
     An empty table gives an empty result, and columns other than doc_id and text are
@@ -124,5 +125,5 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float =
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bands")).alias("m")
     classes = materialize(marked.groupBy("fp").agg(first).select("fp", F.col("m.doc_id").alias("first_id"), F.col("m.bands").alias("bands")), "classes")
     narrow = classes.select("fp", "first_id")
-    edges = links(classes.select("fp"), max_bits).union(similarity_links(docs, classes, shingle_words, similarity))
+    edges = similarity_links(docs, classes, links(classes.select("fp"), max_bits), shingle_words, similarity)
     return components_of(marked.select("doc_id", "fp"), narrow, edges).select("doc_id", as_hex(), "component_id")
