@@ -201,7 +201,11 @@ def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
 
 def components_of(marked: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of each row of ``marked``, from links ``(a, b)`` of fingerprints."""
-    roots = materialize(connected_components(edges), "roots")
+    return named_by(marked, classes, materialize(connected_components(edges), "roots"))
+
+
+def named_by(marked: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """``doc_id, fp, component_id`` of each row of ``marked``, from the ``(node, root)`` of linked fingerprints."""
     linked = roots.select(F.col("node").alias("fp"), "root").join(classes, "fp")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("low"))
     lows = linked.join(lowest, "root").select("fp", "low")

@@ -14,13 +14,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .components import connected_components
 from .scratch import materialize
-from .simhash import as_hex, components_of, links, majority, shingle_hashes
+from .simhash import as_hex, links, majority, named_by, shingle_hashes
 
 #: A pair of similarity s shares one of BANDS values of ROWS minima with 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8.
 BANDS, ROWS = 16, 5
-#: All pairs of a band value are compared up to this many fingerprints; beyond it each with LEADERS of them.
+#: All pairs of a band value are compared up to this many fingerprints.  Beyond it each is compared with LEADERS
+#: of them first, and then with all those that no chain of links has joined it to.
 PAIRED, LEADERS = 16, 4
+#: Fingerprints of such a value that one task compares with the others.
+BLOCK = 256
 
 _RANDOM = np.random.default_rng(20)
 _ODD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -46,16 +50,17 @@ def _sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            fps, sketches = [], []
+            fps, sketches, sizes = [], [], []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 hashes = shingle_hashes(t or b"", shingle_words)
                 fps.append(majority(hashes))
                 sketches.append(bands(hashes))
+                sizes.append(len(np.unique(hashes)))
             cuts = pa.array(np.r_[0, np.cumsum([len(x) for x in sketches])].astype(np.int32))
             lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), lists], ["doc_id", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int32())], ["doc_id", "fp", "bands", "size"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint, bands array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint, bands array<bigint>, size int")
 
 
 def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -71,39 +76,76 @@ def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "fp bigint, shingles array<bigint>")
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b, of fingerprints that share a band value."""
-    rows = classes.select("fp", F.explode("bands").alias("v"))
-    order = [F.min(F.struct(F.xxhash64("fp", "v", F.lit(i)).alias("o"), "fp")).alias(f"l{i}") for i in range(LEADERS)]
+def _met(classes: DataFrame) -> DataFrame:
+    """``v``, ``fp``, ``size`` of the band values that fingerprints share, with their number ``n`` and ``leaders``."""
+    rows = classes.select("fp", "size", F.explode("bands").alias("v"))
+    order = [F.min(F.struct(F.xxhash64("fp", "v", F.lit(i)).alias("o"), "fp", "size")).alias(f"l{i}") for i in range(LEADERS)]
     shared = rows.groupBy("v").agg(F.count("*").alias("n"), *order).where("n > 1")
-    shared = shared.select("v", "n", F.array_distinct(F.array(*(F.col(f"l{i}.fp") for i in range(LEADERS)))).alias("leaders"))
-    met = materialize(rows.join(shared, "v"), "met")
-    star = met.where(F.col("n") > PAIRED).select("fp", F.explode("leaders").alias("other"))
-    few = met.where(F.col("n") <= PAIRED).select("fp", "v")
-    pairs = few.join(few.select(F.col("fp").alias("other"), "v"), "v").select("fp", "other")
-    both = star.union(pairs).where("fp <> other")
-    return both.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
+    leaders = F.array_distinct(F.array(*(F.struct(f"l{i}.fp", f"l{i}.size") for i in range(LEADERS))))
+    return materialize(rows.join(shared.select("v", "n", leaders.alias("leaders")), "v"), "met")
 
 
-def similarity_links(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """``(a, b)`` of fingerprints whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
+def _ordered(pairs: DataFrame, similarity: float) -> DataFrame:
+    """``(a, b)``, a < b, of ``(fp, size, other, other_size)`` whose sizes allow the similarity."""
+    fit = pairs.where("fp <> other").where(F.least("size", "other_size") >= similarity * F.greatest("size", "other_size"))
+    return fit.select(F.least("fp", "other").alias("a"), F.greatest("fp", "other").alias("b"))
 
-    ``classes(fp, first_id, bands)`` has one row per fingerprint, whose text is that of
-    the row ``first_id``; a fingerprint of null doc_ids alone takes no part.  ``near(a, b)``
-    are pairs that are looked at besides those of the sketches.
+
+def _candidates(met: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of the band values of few fingerprints, and each fingerprint with the leaders of the rest."""
+    star = met.where(F.col("n") > PAIRED).select("fp", "size", F.explode("leaders").alias("l")).select("fp", "size", F.col("l.fp").alias("other"), F.col("l.size").alias("other_size"))
+    few = met.where(F.col("n") <= PAIRED).select("fp", "size", "v")
+    pairs = few.join(few.select(F.col("fp").alias("other"), F.col("size").alias("other_size"), "v"), "v")
+    return _ordered(star.union(pairs.select(*star.columns)), similarity)
+
+
+def _unjoined(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that share a band value of many and are in different components so far.
+
+    Within a value the members of its largest component are only compared with the
+    others.  Members are dealt into blocks of about BLOCK, so no task meets a whole value.
     """
-    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = materialize(_candidates(classes.where("first_id IS NOT NULL")).union(near).distinct(), "pairs")
+    crowd = met.where(F.col("n") > PAIRED).select("fp", "size", "v").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    crowd = crowd.withColumn("root", F.coalesce("root", "fp"))
+    parts = crowd.groupBy("v", "root").agg(F.count("*").alias("m"))
+    main = parts.groupBy("v").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("k"))
+    split = main.where("k > 1").select("v", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rest = materialize(crowd.join(split, "v"), "rest")
+    some = rest.where("root <> main").select("v", "fp", "size", "root", F.pmod(F.xxhash64("fp"), "blocks").alias("block"))
+    every = rest.select("v", F.col("fp").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
+    return _ordered(some.join(every, ["v", "block"]).where("root <> other_root"), similarity)
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose shingle sets are as similar as that."""
     wanted = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(classes.select("fp", "first_id"), "fp"), "wanted")
     texts = docs.select("doc_id", "text").join(wanted.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
     sets = materialize(_sets(texts, shingle_words).join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.max("shingles").alias("s")), "sets")
     one, two = (sets.select(F.col("fp").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     joint = F.size(F.array_intersect("sa", "sb"))
-    # the size of the sets bounds their similarity, and costs nothing to look at
-    sized = sets.select("fp", F.size("s").alias("n"))
-    close = pairs.join(sized.select(F.col("fp").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("fp").alias("b"), F.col("n").alias("nb")), "b")
-    close = close.where(F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b")
-    return close.join(one, "a").join(two, "b").where(joint >= similarity * (F.size("sa") + F.size("sb") - joint)).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").where(joint >= similarity * (F.size("sa") + F.size("sb") - joint)).select("a", "b")
+
+
+def similarity_roots(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """``(node, root)`` of the fingerprints that links join: those whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    ``classes(fp, first_id, bands, size)`` has one row per fingerprint, whose text is that
+    of the row ``first_id``; a fingerprint of null doc_ids alone takes no part.
+    ``near(a, b)`` are pairs that are looked at besides those of the sketches.
+    """
+    sized = classes.where("first_id IS NOT NULL").select("fp", "size")
+    near = near.join(sized.select(F.col("fp").alias("a"), "size"), "a").join(sized.select(F.col("fp").alias("b"), F.col("size").alias("other_size")), "b")
+    near = _ordered(near.select(F.col("a").alias("fp"), "size", F.col("b").alias("other"), "other_size"), similarity)
+    met = _met(classes.where("first_id IS NOT NULL"))
+    pairs = materialize(_candidates(met, similarity).union(near).distinct(), "pairs")
+    roots = materialize(connected_components(_confirmed(docs, classes, pairs, shingle_words, similarity)), "roots")
+    more = materialize(_unjoined(met, roots, similarity).distinct(), "pairs")
+    if more.isEmpty():
+        return roots
+    found = materialize(_confirmed(docs, classes, more, shingle_words, similarity), "found")
+    if found.isEmpty():
+        return roots
+    return materialize(connected_components(found.union(roots.select("node", "root"))), "roots")
 
 
 def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
@@ -111,7 +153,9 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float =
 
     Texts are linked if the sets of their ``shingle_words``-word shingles have a Jaccard
     similarity of ``similarity`` or more.  Such pairs are found if their fingerprints
-    differ in at most ``max_bits`` bits, and else with a chance of 0.998 at 0.8 and more above.
+    differ in at most ``max_bits`` bits, and else with a chance of 0.998 at 0.8 and more above:
+    of those that share a value of the sketch every pair is compared, however many share
+    it, but for pairs that other links have joined already.
     component_id is the smallest doc_id that can be reached through links.  Texts of
     one fingerprint are one class, and the text of its smallest doc_id stands for it.
 
@@ -122,8 +166,8 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float =
     not read.
     """
     marked = materialize(_sketched(docs, shingle_words), "sketched")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bands")).alias("m")
-    classes = materialize(marked.groupBy("fp").agg(first).select("fp", F.col("m.doc_id").alias("first_id"), F.col("m.bands").alias("bands")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bands", "size")).alias("m")
+    classes = materialize(marked.groupBy("fp").agg(first).select("fp", F.col("m.doc_id").alias("first_id"), F.col("m.bands").alias("bands"), F.col("m.size").alias("size")), "classes")
     narrow = classes.select("fp", "first_id")
-    edges = similarity_links(docs, classes, links(classes.select("fp"), max_bits), shingle_words, similarity)
-    return components_of(marked.select("doc_id", "fp"), narrow, edges).select("doc_id", as_hex(), "component_id")
+    roots = similarity_roots(docs, classes, links(classes.select("fp"), max_bits), shingle_words, similarity)
+    return named_by(marked.select("doc_id", "fp"), narrow, roots).select("doc_id", as_hex(), "component_id")

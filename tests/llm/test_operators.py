@@ -103,8 +103,14 @@ def test_simhash_crowded_values(spark, monkeypatch):
 
 def test_similar_classes(spark, monkeypatch):
     monkeypatch.setattr(similar, "PAIRED", 4)  # groups go past it
+    monkeypatch.setattr(similar, "LEADERS", 1)  # and past those linked to a leader
+    monkeypatch.setattr(similar, "BLOCK", 8)
     rng = random.Random(3)
     texts = []
+    ends = [f"u{i}" for i in range(200)]  # two groups around texts of similarity 0.7, which share band values
+    for part in (ends[:164] + ["x"] * 3, ends[36:] + ["y"] * 3):
+        texts += [" ".join([*part, *(f"z{rng.randrange(10**6)}" for _ in range(k % 3))]) for k in range(30)]
+    texts += [" ".join(ends[i : i + 150]) for i in range(0, 50, 6)]  # a chain whose ends are far apart
     for size in (1, 1, 2, 3, 12, 40):
         base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
         texts += [" ".join(f"v{rng.randrange(10**6)}" if rng.random() < (0.012 if k else 0) else w for w in base) for k in range(size)]
