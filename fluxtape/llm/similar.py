@@ -25,6 +25,8 @@ BANDS, ROWS = 16, 5
 PAIRED, LEADERS = 16, 4
 #: Fingerprints of such a value that one task compares with the others.
 BLOCK = 256
+#: Longs of the bitmap of a set, which bounds from above how much two sets can share.
+LONGS = 16
 
 _RANDOM = np.random.default_rng(20)
 _ODD = _RANDOM.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -45,22 +47,31 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return value.view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """One bit for each value of the low bits of the hashes, as LONGS longs."""
+    seen = np.zeros(LONGS * 64, bool)
+    seen[hashes & np.uint64(LONGS * 64 - 1)] = True
+    return np.packbits(seen).view(np.int64)
+
+
 def _sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps, sketches, sizes = [], [], []
+            fps, sketches, sizes, maps = [], [], [], []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 hashes = shingle_hashes(t or b"", shingle_words)
                 fps.append(majority(hashes))
                 sketches.append(bands(hashes))
                 sizes.append(len(np.unique(hashes)))
+                maps.append(bitmap(hashes))
             cuts = pa.array(np.r_[0, np.cumsum([len(x) for x in sketches])].astype(np.int32))
             lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int32())], ["doc_id", "fp", "bands", "size"])
+            seen = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * LONGS), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int32()), seen], ["doc_id", "fp", "bands", "size", "map"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint, bands array<bigint>, size int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint, bands array<bigint>, size int, map array<bigint>")
 
 
 def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -99,8 +110,15 @@ def _candidates(met: DataFrame, similarity: float) -> DataFrame:
     return _ordered(star.union(pairs.select(*star.columns)), similarity)
 
 
-def _unjoined(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """The pairs that share a band value of many and are in different components so far.
+def _may_be_similar(similarity: float):
+    """False only for sets too different: a bit of one bitmap alone is a member of that set alone."""
+    alone = lambda x, y: sum((F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in range(LONGS)), F.lit(0))
+    joint = F.least(F.col("size") - alone("m", "o"), F.col("other_size") - alone("o", "m"))
+    return joint * (1 + similarity) >= similarity * (F.col("size") + F.col("other_size")) - 1e-6
+
+
+def _unjoined(classes: DataFrame, met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that share a band value of many, are in different components so far and may be similar.
 
     Within a value the members of its largest component are only compared with the
     others.  Members are dealt into blocks of about BLOCK, so no task meets a whole value.
@@ -110,10 +128,12 @@ def _unjoined(met: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
     parts = crowd.groupBy("v", "root").agg(F.count("*").alias("m"))
     main = parts.groupBy("v").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n"), F.count("*").alias("k"))
     split = main.where("k > 1").select("v", F.col("main.root").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rest = materialize(crowd.join(split, "v"), "rest")
-    some = rest.where("root <> main").select("v", "fp", "size", "root", F.pmod(F.xxhash64("fp"), "blocks").alias("block"))
-    every = rest.select("v", F.col("fp").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"))
-    return _ordered(some.join(every, ["v", "block"]).where("root <> other_root"), similarity)
+    maps = classes.select("fp", *(F.col("map")[i].alias(f"m{i}") for i in range(LONGS)))
+    rest = materialize(crowd.join(split, "v").join(maps, "fp"), "rest")
+    bits = [F.col(f"m{i}").alias(f"o{i}") for i in range(LONGS)]
+    some = rest.where("root <> main").select("v", "fp", "size", "root", F.pmod(F.xxhash64("fp"), "blocks").alias("block"), *(f"m{i}" for i in range(LONGS)))
+    every = rest.select("v", F.col("fp").alias("other"), F.col("size").alias("other_size"), F.col("root").alias("other_root"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), *bits)
+    return _ordered(some.join(every, ["v", "block"]).where("root <> other_root").where(_may_be_similar(similarity)), similarity)
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -129,7 +149,7 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle_wo
 def similarity_roots(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """``(node, root)`` of the fingerprints that links join: those whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    ``classes(fp, first_id, bands, size)`` has one row per fingerprint, whose text is that
+    ``classes(fp, first_id, bands, size, map)`` has one row per fingerprint, whose text is that
     of the row ``first_id``; a fingerprint of null doc_ids alone takes no part.
     ``near(a, b)`` are pairs that are looked at besides those of the sketches.
     """
@@ -139,7 +159,7 @@ def similarity_roots(docs: DataFrame, classes: DataFrame, near: DataFrame, shing
     met = _met(classes.where("first_id IS NOT NULL"))
     pairs = materialize(_candidates(met, similarity).union(near).distinct(), "pairs")
     roots = materialize(connected_components(_confirmed(docs, classes, pairs, shingle_words, similarity)), "roots")
-    more = materialize(_unjoined(met, roots, similarity).distinct(), "pairs")
+    more = materialize(_unjoined(classes, met, roots, similarity).distinct(), "pairs")
     if more.isEmpty():
         return roots
     found = materialize(_confirmed(docs, classes, more, shingle_words, similarity), "found")
@@ -166,8 +186,8 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float =
     not read.
     """
     marked = materialize(_sketched(docs, shingle_words), "sketched")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bands", "size")).alias("m")
-    classes = materialize(marked.groupBy("fp").agg(first).select("fp", F.col("m.doc_id").alias("first_id"), F.col("m.bands").alias("bands"), F.col("m.size").alias("size")), "classes")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bands", "size", "map")).alias("m")
+    classes = materialize(marked.groupBy("fp").agg(first).select("fp", F.col("m.doc_id").alias("first_id"), F.col("m.bands").alias("bands"), F.col("m.size").alias("size"), F.col("m.map").alias("map")), "classes")
     narrow = classes.select("fp", "first_id")
     roots = similarity_roots(docs, classes, links(classes.select("fp"), max_bits), shingle_words, similarity)
     return named_by(marked.select("doc_id", "fp"), narrow, roots).select("doc_id", as_hex(), "component_id")
