@@ -21,33 +21,37 @@ SAMPLE = 10_000
 #: Weights of the scorer.
 WIDTH = 1 << 18
 
-#: Votes as SQL over t (text) and measures of it: 1 good, 0 bad, -1 nothing.
-LABELLERS = {
-    "length": "CASE WHEN n < 30 THEN 0 WHEN n >= 120 THEN 1 ELSE -1 END",
-    "word_length": "CASE WHEN n = 0 THEN 0 WHEN chars / n NOT BETWEEN 2.5 AND 12 THEN 0 WHEN chars / n BETWEEN 3.5 AND 8 THEN 1 ELSE -1 END",
-    "symbols": "CASE WHEN symbols > 0.04 * chars THEN 0 WHEN symbols = 0 THEN 1 ELSE -1 END",
-    "digits": "CASE WHEN digits > 0.08 * chars THEN 0 WHEN digits < 0.01 * chars THEN 1 ELSE -1 END",
-    "sentences": "CASE WHEN stops = 0 THEN 0 WHEN n / stops BETWEEN 3 AND 60 THEN 1 ELSE 0 END",
-    "repeated_lines": "CASE WHEN lines >= 4 AND different < 0.7 * lines THEN 0 WHEN different = lines THEN 1 ELSE -1 END",
-}
-
-
-def votes(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``votes``, one number per labeller in order of LABELLERS."""
-    def less(chars: str) -> str:
-        return f"cast(length(t) - length(translate(t, '{chars}', '')) as double)"
-    measured = docs.withColumn("t", F.coalesce(F.col("text"), F.lit("")))
-    measured = measured.withColumns(
-        {
-            "gaps": F.expr(less(" \\t\\n\\r")),
-            "symbols": F.expr(less("#*$%&|<>{}=@~^")),
-            "digits": F.expr(less("0123456789")),
-            "stops": F.expr(less(".!?")),
-            "all_lines": F.expr("filter(split(t, '\\n'), x -> x <> '')"),
-        }
-    )
-    measured = measured.withColumns({"n": F.expr("CASE WHEN t = '' THEN 0D ELSE gaps + 1 END"), "chars": F.expr("cast(length(t) as double) - gaps"), "lines": F.expr("size(all_lines)"), "different": F.expr("size(array_distinct(all_lines))")})
-    return measured.select("doc_id", "text", F.array(*(F.expr(x).cast("int") for x in LABELLERS.values())).alias("votes"))
+#: The heuristics, in order of their votes.
+LABELLERS = ("length", "word_length", "symbols", "digits", "sentences", "repeated_lines")
+
+_GAPS, _SYMBOLS, _DIGITS, _STOPS, _CONTINUED = b" \t\n\r", b"#*$%&|<>{}=@~^", b"0123456789", b".!?", bytes(range(0x80, 0xC0))
+
+
+def votes(texts: list[bytes]) -> np.ndarray:
+    """A row of votes, 1 good, 0 bad, -1 nothing, for each text of UTF-8 bytes."""
+    rows = []
+    for t in texts:
+        lines = [x for x in t.split(b"\n") if x]
+        rows.append((len(t), *(len(t.translate(None, x)) for x in (_GAPS, _SYMBOLS, _DIGITS, _STOPS, _CONTINUED)), len(lines), len(set(lines))))
+    size, gaps, symbols, digits, stops, points, lines, different = np.array(rows, np.int64).reshape(-1, 8).T
+    gaps, symbols, digits, stops = (size - x for x in (gaps, symbols, digits, stops))
+    n, chars = np.where(size > 0, gaps + 1, 0), points - gaps
+
+    def vote(bad, good):
+        return np.where(bad, 0, np.where(good, 1, -1))
+
+    width = chars / np.maximum(n, 1)
+    pace = n / np.maximum(stops, 1)
+    good_pace = (stops > 0) & (pace >= 3) & (pace <= 60)
+    columns = [
+        vote(n < 30, n >= 120),
+        vote((n == 0) | (width < 2.5) | (width > 12), (width >= 3.5) & (width <= 8)),
+        vote(symbols > 0.04 * chars, symbols == 0),
+        vote(digits > 0.08 * chars, digits < 0.01 * chars),
+        vote(~good_pace, good_pace),
+        vote((lines >= 4) & (different < 0.7 * lines), different == lines),
+    ]
+    return np.stack(columns, axis=1)
 
 
 class Labellers:
@@ -77,6 +81,14 @@ class Labellers:
         return sigmoid(odds)
 
 
+def _bytes(batch: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _lists(rows: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(rows) + 1) * len(LABELLERS)).astype(np.int32)), pa.array(rows.ravel().astype(np.int32)))
+
+
 def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     row, feature = word_features(texts)
     return distinct(row, feature & np.uint32(WIDTH - 1))
@@ -113,23 +125,29 @@ def weak_label_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     are not read.
     """
     spark = docs.sparkSession
-    voted = votes(docs.select("doc_id", "text"))
-    counted = voted.groupBy("votes").count().collect()
+    texts_only = docs.select("text")
+
+    def tally(batches):
+        for batch in batches:
+            found, n = np.unique(votes(_bytes(batch)), axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([_lists(found), pa.array(n)], ["votes", "n"])
+
+    counted = texts_only.mapInArrow(tally, "votes array<int>, n bigint").groupBy("votes").agg(F.sum("n").alias("n")).collect()
     patterns = np.array([r.votes for r in counted], np.int64).reshape(-1, len(LABELLERS))
-    counts = np.array([r["count"] for r in counted], np.float64)
+    counts = np.array([r.n for r in counted], np.float64)
     model = Labellers(patterns, counts)
     total = int(counts.sum())
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) <= min(1 << 20, int(SAMPLE / max(total, 1) * (1 << 20)))
 
     def gather(batches):
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            texts = _bytes(batch)
             for lo, hi in chunks(texts):
                 row, feature = _hashed(texts[lo:hi])
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("votes").slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.view(np.int32)))], ["votes", "features"])
+                yield pa.RecordBatch.from_arrays([_lists(votes(texts[lo:hi])), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.view(np.int32)))], ["votes", "features"])
 
-    sample = voted.where(drawn).mapInArrow(gather, "votes array<int>, features array<int>").toArrow()
+    sample = docs.where(drawn).select("text").mapInArrow(gather, "votes array<int>, features array<int>").toArrow()
     lists = sample.column("features").combine_chunks()
     if sample.num_rows:
         flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -143,14 +161,13 @@ def weak_label_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     def run(batches):
         w, b, em = sent.value
         for batch in batches:
-            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            texts = _bytes(batch)
             out = np.zeros(len(texts))
             for lo, hi in chunks(texts):
                 row, feature = _hashed(texts[lo:hi])
                 size = np.bincount(row, minlength=hi - lo)
                 out[lo:hi] = np.bincount(row, w[feature], hi - lo) / np.sqrt(np.maximum(size, 1))
             out = sigmoid(out + b)
-            rows = batch.column("votes").flatten().to_numpy().reshape(-1, len(LABELLERS)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(em.posterior(rows)), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc_id", "weak_label", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(em.posterior(votes(texts))), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc_id", "weak_label", "score", "predicted"])
 
-    return voted.mapInArrow(run, f"doc_id {id_type}, weak_label double, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, weak_label double, score double, predicted int")
