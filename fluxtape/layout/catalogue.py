@@ -5,6 +5,8 @@ Variable names are those of the public format manual.  MT -1 is an MF's default.
 
 from __future__ import annotations
 
+from .distributions import BY_SECTION
+
 TWO_COLUMNS = "cont ZA AWR 0 0 0 0\ntab1 QM QI 0 LR -> xstable E xs"
 NUBAR = """
 cont ZA AWR 0 LNU 0 0
@@ -30,6 +32,7 @@ for i = 1..NS
 """
 
 BASE: dict[tuple[int, int], str] = {
+    **BY_SECTION,
     (0, 0): "text TAPEDESCR{66}",
     (1, 451): """
 cont ZA AWR LRP LFI NLIB NMOD
@@ -82,17 +85,6 @@ for i = 1..NS
 """,
     (9, -1): PRODUCTS,
     (10, -1): PRODUCTS,
-    (12, -1): """
-cont ZA AWR LO LG NK 0
-if LO == 1
-    if NK > 1
-        tab1 0 0 0 0 -> total E y
-    for i = 1..NK
-        section subsection[i]
-            tab1 EG ES LP LF -> table E y
-elif LO == 2
-    stop transition arrays are not covered
-""",
     (13, -1): """
 cont ZA AWR 0 0 NK 0
 if NK > 1
