@@ -55,12 +55,13 @@ elif LFW == 1 and LRF == 1
     list SPI AP LSSF 0 NE NLS
         for e = 1..NE
             vals ES[e]
+    let NW = NE+6
     for n = 1..NLS
         section l_group[n]
             cont AWRI 0 L 0 NJS 0
             for j = 1..NJS
                 section j_group[j]
-                    list 0 0 L MUF NE+6 0
+                    list 0 0 L MUF NW 0
                         vals D AJ AMUN GNO GG 0
                         for e = 1..NE
                             vals GF[e]
