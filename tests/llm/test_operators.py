@@ -1,6 +1,7 @@
 """Every operator on awkward rows and on empty tables, and against brute force."""
 
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -247,6 +248,33 @@ def test_language_scores(docs, rows):
     assert all(r.train_tokens == total and r.score < 0 for r in got)
 
 
+def test_language_scores_use_every_count(spark, docs, rows, monkeypatch):
+    monkeypatch.setattr(ppm, "GRAMS", 30)  # the rest is looked up in the table
+    monkeypatch.setattr(ppm, "HELD", 100)
+    forms = [b"\n" * 5 + b" ".join(words(r[1] or "")) + b"\n" for r in rows]
+    trie = collections.defaultdict(collections.Counter)
+    for r, form in zip(rows, forms):
+        if r[0] is None or zlib.crc32(str(r[0]).encode()) % 5 != 1:
+            for i in range(5, len(form)):
+                for k in range(6):
+                    trie[form[i - k : i]][form[i]] += 1
+
+    @functools.cache
+    def cost(string):
+        barred, total = set(), 0.0
+        for k in range(5, -1, -1):
+            seen = {s: c for s, c in trie.get(string[5 - k : 5], {}).items() if s not in barred}
+            if seen:
+                bottom = sum(seen.values()) + len(seen)
+                if string[5] in seen:
+                    return total + math.log10(seen[string[5]] / bottom)
+                total, barred = total + math.log10(len(seen) / bottom), barred | seen.keys()
+        return total - math.log10(256 - len(barred))
+
+    want = collections.Counter((r[0], round(sum(cost(f[i - 5 : i + 1]) for i in range(5, len(f))), 4)) for r, f in zip(rows, forms))
+    assert collections.Counter((r.doc_id, round(r.score, 4)) for r in ppm.language_scores(docs).collect()) == want
+
+
 def test_trie_rows_are_distributions():
     trie = ppm.Trie(*ppm._gram_counts([b"the cat sat on the mat", b"the hat", "é".encode()]))
     p = 10.0 ** trie.log_p.astype(float)
