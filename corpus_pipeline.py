@@ -44,7 +44,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with flattened shares of source, language and topic."""
-    return mixing.mixed(docs, carry=docs.columns).where("drawn_").select(*docs.columns)
+    return mixing.mixed(docs, carry=docs.columns, reach=True).where("drawn_").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

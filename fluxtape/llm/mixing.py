@@ -4,7 +4,8 @@ Token counts of (source, language, topic) cells are raked: each step scales the
 weights of one dimension's members to their target share.  The ratio of a cell's
 raked to its own tokens, times one common factor, is the probability with which its
 documents are kept; the factor is the largest on a fixed grid whose expected tokens
-stay within the budget.  The draw is a hash of the document's id, so it is repeatable.
+stay within the budget.  Where that factor takes cells beyond a probability of 1, the
+sample misses the raked shares; ``reach`` lowers it until none is.  The draw is a hash of the document's id, so it is repeatable.
 """
 
 from __future__ import annotations
@@ -62,10 +63,12 @@ def raked_cells(placed: DataFrame, targets: dict[str, dict[str, float]] | None =
     return cells.select(*names, "tokens", "w")
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = 11, topic_sql: str = TOPIC_SQL, carry: list[str] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = 11, topic_sql: str = TOPIC_SQL, carry: list[str] | None = None, reach: bool = False) -> DataFrame:
     """Every row's probability and draw: ``doc_id, source_, lang_, topic_, tokens_, key_, p_, drawn_``.
 
     ``carry`` names the columns of ``docs`` that come first instead of doc_id.
+    With ``reach`` no probability is cut at 1, so the expected tokens have the raked shares
+    and may stay far below the budget; without it they follow ``oracle_sql``.
     ``docs`` has doc_id, text, source and lang; tokens are a quarter of the UTF-8
     bytes, one at least.  Null sources, languages and texts are members of their own
     ("-", and the empty text).  Rows with equal doc_ids are drawn alike if they are in
@@ -79,6 +82,9 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     sums = spread.groupBy("factor").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * F.col("g"))).alias("kept"), F.sum("tokens").alias("all"))
     best = sums.where(F.col("kept") <= F.lit(budget) * F.col("all")).agg(F.max("factor").alias("f")).first()
     factor = best.f if best.f is not None else 2.0 ** (lo / 16)
+    if reach:
+        most = cells.agg(F.max("g").alias("g")).first().g
+        factor = min(factor, 1 / most) if most else factor
     toss = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key_")).cast("binary")), 1, 13), 16, 10).cast("bigint")
     p = F.least(F.lit(1.0), F.lit(factor) * F.col("g_"))
     factors = cells.select(*(f"{d}_" for d in DIMENSIONS), F.col("g").alias("g_"))

@@ -305,6 +305,19 @@ def test_mixing_reaches_the_targets(spark):
     assert counts["a"] / counts["b"] == pytest.approx(1, abs=0.2)
 
 
+def test_mixing_draws_the_raked_shares(spark):
+    texts = {"prose": "x" * 400, "config": "=" * 400}
+    frame = spark.createDataFrame([(i, texts["prose" if i % 90 else "config"], "en" if i % 7 else "de", "a" if i % 5 else "b") for i in range(9000)], "doc_id int, text string, lang string, source string")
+    cells = mixing.raked_cells(mixing._placed(frame, mixing.TOPIC_SQL, ["doc_id"])).collect()
+    rows = mixing.mixed(frame, reach=True).select("source_", "lang_", "topic_", "tokens_", "p_").collect()
+    kept = sum(r.tokens_ * r.p_ for r in rows)
+    assert kept <= mixing.BUDGET * sum(r.tokens_ for r in rows) and max(r.p_ for r in rows) <= 1 + 1e-9
+    for d in ("source_", "lang_", "topic_"):
+        for member in {c[d] for c in cells}:
+            goal = sum(c.w for c in cells if c[d] == member) / sum(c.w for c in cells)
+            assert sum(r.tokens_ * r.p_ for r in rows if r[d] == member) / kept == pytest.approx(goal, rel=1e-6)
+
+
 def test_awkward_rows_are_scored(docs, rows, labels):
     assert mixing.mixed(docs).count() == len(rows)
     scored = toxicity.toxicity(docs, labels).collect()
