@@ -205,16 +205,16 @@ def components_of(marked: DataFrame, classes: DataFrame, edges: DataFrame) -> Da
 
 
 def named_by(marked: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """``doc_id, fp, component_id`` of each row of ``marked``, from the ``(node, root)`` of linked fingerprints."""
+    """Each row of ``marked`` with its ``component_id``, from the ``(node, root)`` of linked classes ``fp``."""
     linked = roots.select(F.col("node").alias("fp"), "root").join(classes, "fp")
     lowest = linked.groupBy("root").agg(F.min("first_id").alias("low"))
     lows = linked.join(lowest, "root").select("fp", "low")
     named = classes.join(lows, "fp", "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select(*marked.columns, "component_id")
 
 
-def as_hex():
-    return F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
+def as_hex(name: str = "fp"):
+    return F.lower(F.lpad(F.hex(name), 16, "0")).alias("fingerprint")
 
 
 def near_duplicate_classes(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2) -> DataFrame:

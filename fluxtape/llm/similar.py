@@ -5,12 +5,18 @@ ten of 64 SimHash bits.  No allocation of pigeonhole thresholds finds that many
 without comparing a fixed share of all pairs, so besides the pairs within a few bits
 a min-wise sketch proposes pairs.  The shingle sets themselves confirm every pair of
 either kind, and the classes are the connected components of the confirmed ones.
+
+A fingerprint counts repeats and a set doesn't, so texts of one fingerprint can have
+little in common.  What is compared are the distinct sets, named by a digest ``fp``;
+equal fingerprints, and those within a few bits, are values that sets share like
+those of the sketch.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,10 +26,10 @@ from .simhash import as_hex, links, majority, named_by, shingle_hashes
 
 #: A pair of similarity s shares one of BANDS values of ROWS minima with 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8.
 BANDS, ROWS = 16, 5
-#: All pairs of a band value are compared up to this many fingerprints.  Beyond it each is compared with LEADERS
+#: All pairs of a band value are compared up to this many sets.  Beyond it each is compared with LEADERS
 #: of them first, and then with all those that no chain of links has joined it to.
 PAIRED, LEADERS = 16, 4
-#: Fingerprints of such a value that one task compares with the others.
+#: Sets of such a value that one task compares with the others.
 BLOCK = 256
 #: Longs of the bitmap of a set, which bounds from above how much two sets can share.
 LONGS = 16
@@ -54,24 +60,31 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(seen).view(np.int64)
 
 
+def set_key(distinct: np.ndarray) -> int:
+    """A 64-bit digest of a set of shingle hashes in order."""
+    return xxhash.xxh64_intdigest(distinct.tobytes(), 42)
+
+
 def _sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            fps, sketches, sizes, maps = [], [], [], []
+            fps, sims, sketches, sizes, maps = [], [], [], [], []
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 hashes = shingle_hashes(t or b"", shingle_words)
-                fps.append(majority(hashes))
+                sims.append(majority(hashes))
+                hashes = np.unique(hashes)
+                fps.append(set_key(hashes))
                 sketches.append(bands(hashes))
-                sizes.append(len(np.unique(hashes)))
+                sizes.append(len(hashes))
                 maps.append(bitmap(hashes))
             cuts = pa.array(np.r_[0, np.cumsum([len(x) for x in sketches])].astype(np.int32))
             lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
             seen = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * LONGS), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), lists, pa.array(sizes, pa.int32()), seen], ["doc_id", "fp", "bands", "size", "map"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sims)), lists, pa.array(sizes, pa.int32()), seen], ["doc_id", "fp", "sim", "bands", "size", "map"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint, bands array<bigint>, size int, map array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint, sim bigint, bands array<bigint>, size int, map array<bigint>")
 
 
 def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -80,16 +93,31 @@ def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for t in batch.column("text").cast(pa.binary()).to_pylist():
-                hashes = shingle_hashes(t or b"", shingle_words)
-                one = pa.array([np.unique(hashes).view(np.int64)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([majority(hashes)], np.uint64).view(np.int64)), one], ["fp", "shingles"])
+                hashes = np.unique(shingle_hashes(t or b"", shingle_words))
+                one = pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([set_key(hashes)], np.uint64).view(np.int64)), one], ["fp", "shingles"])
 
     return docs.select("text").mapInArrow(run, "fp bigint, shingles array<bigint>")
 
 
-def _met(classes: DataFrame) -> DataFrame:
-    """``v``, ``fp``, ``size`` of the band values that fingerprints share, with their number ``n`` and ``leaders``."""
-    rows = classes.select("fp", "size", F.explode("bands").alias("v"))
+def _by_fingerprint(sims: DataFrame, max_bits: int) -> DataFrame:
+    """``fp``, ``size``, ``v``: a value for each fingerprint, and one for each two that differ in at most ``max_bits`` bits.
+
+    ``sims(fp, size, sim)`` are the fingerprints of the texts of each set.
+    """
+    near = links(sims.select(F.col("sim").alias("fp")).distinct(), max_bits)
+    near = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    ends = near.select(F.xxhash64(F.lit("near"), "a", "b").alias("v"), F.explode(F.array("a", "b")).alias("sim"))
+    own = sims.select("fp", "size", F.xxhash64(F.lit("same"), "sim").alias("v"))
+    return own.union(sims.join(ends, "sim").select("fp", "size", "v").distinct())
+
+
+def _met(classes: DataFrame, more: DataFrame) -> DataFrame:
+    """``v``, ``fp``, ``size`` of the values that sets share, with their number ``n`` and ``leaders``.
+
+    The values are the bands, and those of ``more(fp, size, v)``.
+    """
+    rows = classes.select("fp", "size", F.explode("bands").alias("v")).union(more.select("fp", "size", "v"))
     order = [F.min(F.struct(F.xxhash64("fp", "v", F.lit(i)).alias("o"), "fp", "size")).alias(f"l{i}") for i in range(LEADERS)]
     shared = rows.groupBy("v").agg(F.count("*").alias("n"), *order).where("n > 1")
     leaders = F.array_distinct(F.array(*(F.struct(f"l{i}.fp", f"l{i}.size") for i in range(LEADERS))))
@@ -103,7 +131,7 @@ def _ordered(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _candidates(met: DataFrame, similarity: float) -> DataFrame:
-    """All pairs of the band values of few fingerprints, and each fingerprint with the leaders of the rest."""
+    """All pairs of the values of few sets, and each set with the leaders of the rest."""
     star = met.where(F.col("n") > PAIRED).select("fp", "size", F.explode("leaders").alias("l")).select("fp", "size", F.col("l.fp").alias("other"), F.col("l.size").alias("other_size"))
     few = met.where(F.col("n") <= PAIRED).select("fp", "size", "v")
     pairs = few.join(few.select(F.col("fp").alias("other"), F.col("size").alias("other_size"), "v"), "v")
@@ -146,23 +174,20 @@ def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle_wo
     return pairs.join(one, "a").join(two, "b").where(joint >= similarity * (F.size("sa") + F.size("sb") - joint)).select("a", "b")
 
 
-def similarity_roots(docs: DataFrame, classes: DataFrame, near: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """``(node, root)`` of the fingerprints that links join: those whose texts' shingle sets have a Jaccard similarity of ``similarity`` or more.
+def similarity_roots(docs: DataFrame, classes: DataFrame, more: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """``(node, root)`` of the sets that links join: those with a Jaccard similarity of ``similarity`` or more.
 
-    ``classes(fp, first_id, bands, size, map)`` has one row per fingerprint, whose text is that
-    of the row ``first_id``; a fingerprint of null doc_ids alone takes no part.
-    ``near(a, b)`` are pairs that are looked at besides those of the sketches.
+    ``classes(fp, first_id, bands, size, map)`` has one row per set, which is read from the
+    row ``first_id``; a set of null doc_ids alone takes no part.  ``more(fp, size, v)`` are
+    values whose sets are compared besides those of the sketches.
     """
-    sized = classes.where("first_id IS NOT NULL").select("fp", "size")
-    near = near.join(sized.select(F.col("fp").alias("a"), "size"), "a").join(sized.select(F.col("fp").alias("b"), F.col("size").alias("other_size")), "b")
-    near = _ordered(near.select(F.col("a").alias("fp"), "size", F.col("b").alias("other"), "other_size"), similarity)
-    met = _met(classes.where("first_id IS NOT NULL"))
-    pairs = materialize(_candidates(met, similarity).union(near).distinct(), "pairs")
+    met = _met(classes.where("first_id IS NOT NULL"), more)
+    pairs = materialize(_candidates(met, similarity).distinct(), "pairs")
     roots = materialize(connected_components(_confirmed(docs, classes, pairs, shingle_words, similarity)), "roots")
-    more = materialize(_unjoined(classes, met, roots, similarity).distinct(), "pairs")
-    if more.isEmpty():
+    rest = materialize(_unjoined(classes, met, roots, similarity).distinct(), "pairs")
+    if rest.isEmpty():
         return roots
-    found = materialize(_confirmed(docs, classes, more, shingle_words, similarity), "found")
+    found = materialize(_confirmed(docs, classes, rest, shingle_words, similarity), "found")
     if found.isEmpty():
         return roots
     return materialize(connected_components(found.union(roots.select("node", "root"))), "roots")
@@ -177,7 +202,7 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float =
     of those that share a value of the sketch every pair is compared, however many share
     it, but for pairs that other links have joined already.
     component_id is the smallest doc_id that can be reached through links.  Texts of
-    one fingerprint are one class, and the text of its smallest doc_id stands for it.
+    one shingle set, by a 64-bit digest of it, are one class.
 
     Null and wordless texts have fingerprint zero and are one class.  A
     null doc_id keeps its row and takes its component from the others; a component
@@ -189,5 +214,6 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float =
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bands", "size", "map")).alias("m")
     classes = materialize(marked.groupBy("fp").agg(first).select("fp", F.col("m.doc_id").alias("first_id"), F.col("m.bands").alias("bands"), F.col("m.size").alias("size"), F.col("m.map").alias("map")), "classes")
     narrow = classes.select("fp", "first_id")
-    roots = similarity_roots(docs, classes, links(classes.select("fp"), max_bits), shingle_words, similarity)
-    return named_by(marked.select("doc_id", "fp"), narrow, roots).select("doc_id", as_hex(), "component_id")
+    sims = materialize(marked.select("fp", "sim").distinct().join(classes.where("first_id IS NOT NULL").select("fp", "size"), "fp"), "sims")
+    roots = similarity_roots(docs, classes, _by_fingerprint(sims, max_bits), shingle_words, similarity)
+    return named_by(marked.select("doc_id", "fp", "sim"), narrow, roots).select("doc_id", as_hex("sim"), "component_id")

@@ -133,6 +133,14 @@ def test_similar_classes(spark, monkeypatch):
     assert got[None] == low[4]
 
 
+def test_equal_fingerprints_of_different_sets_are_not_one_class(spark):
+    rng = random.Random(4)
+    texts = ["same three words\n" * 200 + " ".join(f"v{rng.randrange(10**6)}" for _ in range(50)) for _ in range(25)]
+    got = similar.similar_classes(spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id bigint, text string")).collect()
+    assert len({r.fingerprint for r in got}) == 1
+    assert {r.doc_id: r.component_id for r in got} == {**{i: i for i in range(25)}, 25: 0}
+
+
 def test_thresholds_cover_the_distance():
     _, t = simhash.allocate([[0, 5, 9, 12], [0, 1, 2, 9], [0, 7, 8, 9]], 3)
     assert sum(x + 1 for x in t) == 3 and t == [0, 1, -1] or sum(x + 1 for x in t) == 3
