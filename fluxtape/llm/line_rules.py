@@ -23,7 +23,7 @@ WS = r"[\\x20\\x09-\\x0D]"
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """One row per row: base measures, host, and (hash, words) of each line with a word."""
+    """One row per row: base measures, host, text, and (hash, words) of each line."""
     rows = docs.select("doc_id", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-")).alias("host"), F.coalesce(F.col("text"), F.lit("")).alias("t"))
     rows = rows.withColumns({"ws": F.expr(f"array_remove(split(t, '{WS}+'), '')"), "ls": F.expr(f"filter(split(t, '\\n'), x -> x rlike '[^\\\\x20\\\\x09-\\\\x0D]')")})
     rows = rows.withColumns({"n": F.expr("coalesce(size(ws), 0)"), "nb": F.expr("coalesce(64 - length(bin(greatest(size(ws), 1))) , 0)")})
@@ -44,12 +44,16 @@ def _measured(docs: DataFrame) -> DataFrame:
         F.expr("cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint)").alias("n_symbols"),
         F.expr("cast(size(ls) - size(array_distinct(ls)) as bigint)").alias("n_dup_lines"),
         F.expr(f"cast({covered} as bigint)").alias("n_repeat_words"),
-        F.expr(f"transform(ls, x -> {line})").alias("lines"),
+        F.expr(f"transform(split(t, '\\n'), x -> {line})").alias("lines"),
+        F.col("t").alias("text"),
     )
 
 
 def line_frequency_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """``doc_id``, the base measures, ``base_failed``, ``n_words_left`` and ``kept`` of every row.
+    """``doc_id``, the base measures, ``base_failed``, ``n_words_left``, ``kept`` and ``text_left`` of every row.
+
+    ``text_left`` is the text without its frequent lines, rejected rows' too, and
+    ``n_words_left`` counts its words; lines without a word stay.
 
     A line is its words in lower case with single blanks; lines without a word are
     not counted.  Each row is a document, repeated rows and repeated doc_ids
@@ -60,14 +64,17 @@ def line_frequency_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, mi
     them for texts of up to a million words.
     """
     base = materialize(_measured(docs).withColumn("rid", F.monotonically_increasing_id()), "rules")
-    lines = base.select("rid", "host", F.explode(F.expr("array_distinct(transform(lines, x -> x.h))")).alias("h"))
+    lines = base.select("rid", "host", F.explode(F.expr("array_distinct(transform(filter(lines, x -> x.w > 0), x -> x.h))")).alias("h"))
     often = materialize(lines.groupBy("host", "h").count().where(F.col("count") > max_documents).select("host", "h"), "often")
-    every = base.select("rid", "host", F.explode("lines").alias("x")).select("rid", "host", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
-    gone = every.join(often, ["host", "h"], "left_semi").groupBy("rid").agg(F.sum("w").alias("gone"))
-    left = base.drop("lines", "host").join(materialize(gone, "gone"), "rid", "left").withColumn("n_words_left", F.col("n_words") - F.coalesce("gone", F.lit(0)))
+    gone = lines.join(often, ["host", "h"]).groupBy("rid").agg(F.collect_list("h").alias("gone"))  # distinct in a row
+    left = base.drop("host").join(materialize(gone, "gone"), "rid", "left")
+    stays = "filter(split(text, '\\n'), (x, i) -> lines[i].w = 0 OR NOT array_contains(gone, lines[i].h))"
+    left = left.withColumn("text_left", F.expr(f"CASE WHEN gone IS NULL THEN text ELSE array_join({stays}, '\n') END"))
+    counted = F.expr(f"CASE WHEN gone IS NULL THEN n_words ELSE cast(size(array_remove(split(text_left, '{WS}+'), '')) as bigint) END")
+    left = left.withColumn("n_words_left", counted)
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     enough = (F.col("n_words_left") >= min_words) & (F.col("n_words_left") >= F.lit(min_share) * F.col("n_words"))
-    return left.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_words_left", (~failed & enough).alias("kept"))
+    return left.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_words_left", (~failed & enough).alias("kept"), "text_left")
 
 
 SQL = r"""

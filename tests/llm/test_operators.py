@@ -240,6 +240,14 @@ def test_line_rules_reject_documents_of_common_lines(spark):
     assert kept == set(range(30, 50))
 
 
+def test_line_rules_return_texts_without_common_lines(spark):
+    texts = [f"\n  Common   LINE\nown {i} a b\n\ncommon line" if i < 30 else f"own {i}\n" for i in range(40)]
+    got = line_rules.line_frequency_rules(spark.createDataFrame([(i, t, "h") for i, t in enumerate(texts)], "doc_id int, text string, source string")).collect()
+    want = {i: f"\nown {i} a b\n" if i < 30 else t for i, t in enumerate(texts)}
+    assert {r.doc_id: r.text_left for r in got} == want
+    assert all(r.n_words_left == len(want[r.doc_id].split()) for r in got)
+
+
 def test_language_scores(docs, rows):
     got = ppm.language_scores(docs).collect()
     counts = collections.Counter()
