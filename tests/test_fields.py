@@ -1,5 +1,7 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,3 +37,38 @@ def test_columns_read_like_the_scalar_functions(spark):
 def test_ints_and_empty_range(spark):
     row = spark.range(1).select(fd.fort_int(F.lit("  ")).alias("a"), fd.fort_int(F.lit("12345678901")).alias("b"), fd.fort_int(F.lit("1x")).alias("c"), fd.counted(F.lit(1), F.lit(0)).alias("d"), fd.floor_mod(F.lit(-7), F.lit(3)).alias("e")).first()
     assert tuple(row) == (0, 12345678901, None, [], 2)
+
+
+def _sweep() -> np.ndarray:
+    rng = np.random.default_rng(3)
+    tens = 10.0 ** np.arange(-25, 25)
+    return np.concatenate([
+        rng.uniform(-1e5, 1e5, 500).round(2), rng.uniform(0, 1, 300), 10.0 ** rng.uniform(-30, 30, 800) * rng.choice([-1, 1], 800),
+        (rng.integers(0, 10**8, 500) + 0.5) / 10.0 ** rng.integers(0, 8, 500), tens, tens * (1 - 1e-12), np.nextafter(tens, 0),
+        [0.0, -0.0, 9.9999999e9, 9.99996e-10, 99999999.96, 0.99999999999, 1e-300, 1e300, 1234567.5, 123456789012.0],
+    ])
+
+
+@pytest.mark.parametrize("options", list(itertools.product([False, True], repeat=4)))
+def test_arrays_are_written_like_single_numbers(options):
+    """All combinations of options: the array way equals the one-by-one way, fits, and reads back closely."""
+    named = dict(zip(("prefer_noexp", "keep_e", "abuse_signpos", "skip_intzero"), options))
+    values = _sweep()
+    fields = fd.write_floats(values, **named).to_pylist()
+    assert fields == [fd.write_float(float(v), **named) for v in values]
+    assert {len(f) for f in fields} == {11}
+    back = np.array([fd.read_float(f) for f in fields])
+    assert (np.abs(back - values) <= 5.1e-5 * np.abs(values)).all()
+
+
+def test_rendering_is_the_longest_that_fits():
+    assert fd.write_float(9.9999999e9) == " 1.00000+10"
+    assert fd.write_float(9.9999999e-10) == " 1.000000-9"
+    assert fd.write_float(0.123456789123, prefer_noexp=True) == " 0.12345679"
+    assert fd.write_float(0.123456789123, prefer_noexp=True, skip_intzero=True) == " .123456789"
+    assert fd.write_float(0.123456789123, prefer_noexp=True, skip_intzero=True, abuse_signpos=True) == ".1234567891"
+    assert fd.write_float(-12345678.96, prefer_noexp=True) == "-12345679.0".replace(".0", "").rjust(11)
+
+
+def test_what_is_not_finite_gives_null():
+    assert fd.write_floats(np.array([1.0, np.nan, np.inf])).to_pylist() == [" 1.000000+0", None, None]
