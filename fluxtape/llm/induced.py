@@ -2,103 +2,265 @@
 
 A suffix is L-type if it is larger than the next one and S-type otherwise; S*
 suffixes are S-type ones that follow an L-type.  The S*-substrings are named, the
-string of names is sorted by the same procedure (in memory once it is short), and
-all other suffixes are induced: L-type ones from left to right, S-type ones from
-right to left.
+string of names is sorted by the same procedure, and all other suffixes are induced:
+L-type ones from left to right, S-type ones from right to left.
 
 Both inductions take suffixes from a priority queue in order of first symbol and
-insert their predecessors.  Keys only ever grow (or only shrink) while the queue is
-drained, so it is kept as one sequence of (position, common prefix) tuples for each
-symbol, each in its order of insertion, and moved to disk past a memory budget.  A
-bucket is drained in blocks, and a predecessor's common prefix is one more than the
+insert their predecessors.  The queue is a sequence heap: every insertion is a sorted
+run of (position, common prefix) tuples, runs of one size are merged into longer ones,
+and past a memory budget they lie on disk.  Keys only ever grow (or only shrink) while
+the queue is drained, so a symbol's tuples are the slices of all runs, oldest first.
+A bucket is drained in blocks, and a predecessor's common prefix is one more than the
 least value in the stream since the last predecessor with the same first symbol,
 carried from block to block.
 
-Temporary files are unlinked as they are opened: they are the working memory of one
-task, hold nothing that another task reads, and vanish with it.
+Where the alphabet is large, as in strings of names, buckets are small; then as many
+neighbouring buckets as do not induce into each other are drained in one step.
+S*-substrings are named in groups of equal first symbols.
+
+The text, its types, names and orders are arrays that are mapped from disk past the
+budget, so what a sort holds in memory is the budget, some blocks, ``base`` names and
+the largest group of S*-substrings that start with the same two symbols.  Working
+files are unlinked as they are opened: they are the working memory of one task, hold
+nothing that another task reads, and vanish with it.
 """
 
 from __future__ import annotations
 
+import bisect
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 
-#: A suffix and its common prefix with the one before it in its sequence.
-ENTRY = np.dtype([("pos", "<i4"), ("lcp", "<i4")])
+#: Runs of one level that are merged into one of the next.
+FAN = 8
+#: Entries that are first tried as one step of several buckets, and the fewest.
+STEP, LEAST = 4096, 64
+
+
+class Disk:
+    """The working memory of one sort: a budget of queue entries, and a file for what is beyond it."""
+
+    def __init__(self, memory: int, n: int):
+        self.memory, self.left, self.spilled = memory, memory, 0
+        place = "<i4" if n < 1 << 31 else "<i8"
+        self.entry = np.dtype([("pos", place), ("lcp", "<i4")])  # a suffix, and its common prefix with the one before it
+        self.file, self.end = None, 0
+
+    def array(self, count: int, dtype) -> np.ndarray:
+        """An array of undefined values, mapped from disk if it is longer than the budget."""
+        if count <= self.memory:
+            return np.empty(count, dtype)
+        with tempfile.TemporaryFile() as f:
+            f.truncate(count * np.dtype(dtype).itemsize)
+            return np.memmap(f, dtype, "r+", shape=(count,))
+
+    def write(self, entries: np.ndarray) -> int:
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.file.seek(self.end)
+        entries.tofile(self.file)
+        self.file.flush()
+        at, self.end = self.end, self.end + entries.nbytes
+        self.spilled += len(entries)
+        return at
+
+    def read(self, at: int, count: int) -> np.ndarray:
+        self.file.seek(at)
+        return np.fromfile(self.file, self.entry, count)
+
+
+class Piece:
+    """Entries that stay in memory while the budget lasts."""
 
+    __slots__ = ("disk", "data", "at")
 
-class Budget:
-    """Memory shared by the sequences of one sort; past it they go to disk."""
+    def __init__(self, disk: Disk, entries: np.ndarray):
+        self.disk, self.data, self.at = disk, None, 0
+        if len(entries) <= disk.left:
+            disk.left -= len(entries)
+            self.data = entries
+        else:
+            self.at = disk.write(entries)
+
+    def __del__(self):
+        if self.data is not None:
+            self.disk.left += len(self.data)
 
-    def __init__(self, entries: int):
-        self.left, self.spilled = entries, 0
+    def read(self, lo: int, hi: int) -> np.ndarray:
+        if self.data is not None:
+            return self.data[lo:hi]
+        return self.disk.read(self.at + lo * self.disk.entry.itemsize, hi - lo)
 
 
 class Sequence:
-    """Entries in order of insertion, the older part on disk if memory ran short."""
+    """Entries in order of insertion, as parts of pieces."""
+
+    def __init__(self, disk: Disk):
+        self.disk, self.parts, self.ends, self.count = disk, [], [], 0
+
+    def _add(self, piece: Piece, lo: int, hi: int) -> None:
+        self.parts.append((piece, lo, hi))
+        self.count += hi - lo
+        self.ends.append(self.count)
 
-    def __init__(self, budget: Budget):
-        self.budget, self.parts, self.held, self.file, self.count = budget, [], 0, None, 0
+    def put(self, entries: np.ndarray) -> None:
+        if len(entries):
+            self._add(Piece(self.disk, entries), 0, len(entries))
 
     def append(self, pos: np.ndarray, lcp: np.ndarray) -> None:
-        part = np.empty(len(pos), ENTRY)
-        part["pos"], part["lcp"] = pos, lcp
-        self.parts.append(part)
-        self.held += len(part)
-        self.count += len(part)
-        self.budget.left -= len(part)
-        if self.budget.left < 0:
-            self._spill()
-
-    def _spill(self) -> None:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        self.file.seek(0, 2)
-        for part in self.parts:
-            part.tofile(self.file)
-        self.file.flush()
-        self.budget.left += self.held
-        self.budget.spilled += self.held
-        self.parts, self.held = [], 0
-
-    def _read(self, lo: int, hi: int) -> np.ndarray:
-        stored = self.count - self.held
-        out = []
-        if lo < stored:
-            self.file.seek(lo * ENTRY.itemsize)
-            out.append(np.fromfile(self.file, ENTRY, min(hi, stored) - lo))
-        if hi > stored:
-            if len(self.parts) > 1:
-                self.parts = [np.concatenate(self.parts)]
-            out.append(self.parts[0][max(lo - stored, 0) : hi - stored])
-        return out[0] if len(out) == 1 else np.concatenate(out)
+        entries = np.empty(len(pos), self.disk.entry)
+        entries["pos"], entries["lcp"] = pos, lcp
+        self.put(entries)
+
+    def extend(self, other: Sequence, lo: int, hi: int) -> None:
+        """Take over a range of another sequence's entries, without copying them."""
+        k = bisect.bisect_right(other.ends, lo)
+        while lo < hi:
+            piece, a, b = other.parts[k]
+            begin = other.ends[k] - (b - a)
+            upto = min(hi, other.ends[k])
+            self._add(piece, a + lo - begin, a + upto - begin)
+            lo, k = upto, k + 1
+
+    def _ranges(self, size: int, back: bool) -> Iterator[list[tuple[Piece, int, int]]]:
+        held, have = [], 0
+        for piece, lo, hi in reversed(self.parts) if back else self.parts:
+            while lo < hi:
+                take = min(size - have, hi - lo)
+                held.append((piece, hi - take, hi) if back else (piece, lo, lo + take))
+                lo, hi = (lo, hi - take) if back else (lo + take, hi)
+                have += take
+                if have == size:
+                    yield held
+                    held, have = [], 0
+        if held:
+            yield held
 
     def blocks(self, size: int) -> Iterator[np.ndarray]:
-        for lo in range(0, self.count, size):
-            yield self._read(lo, min(lo + size, self.count))
+        for held in self._ranges(size, False):
+            yield held[0][0].read(*held[0][1:]) if len(held) == 1 else np.concatenate([p.read(a, b) for p, a, b in held])
 
     def blocks_back(self, size: int) -> Iterator[np.ndarray]:
-        for hi in range(self.count, 0, -size):
-            yield self._read(max(hi - size, 0), hi)
-
-    def close(self) -> None:
-        self.budget.left += self.held
-        self.parts, self.held, self.count = [], 0, 0
-        if self.file is not None:
-            self.file.close()
-            self.file = None
-
-
-def _types(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each suffix is S-type, and the length of the run of one symbol it starts with."""
-    ends = np.flatnonzero(text[:-1] != text[1:])
-    sizes = np.diff(np.r_[-1, ends])
-    small = np.ones(len(text), bool)
-    small[: len(text) - 1] = np.repeat(text[ends] < text[ends + 1], sizes)
-    run = np.ones(len(text), np.int32)
-    run[: len(text) - 1] = np.repeat(ends, sizes) - np.arange(len(text) - 1) + 1
+        for held in self._ranges(size, True):
+            yield held[0][0].read(*held[0][1:]) if len(held) == 1 else np.concatenate([p.read(a, b) for p, a, b in reversed(held)])
+
+
+class Run:
+    """Sorted entries: those of ``symbols[i]`` are at ``ends[i]`` to ``ends[i + 1]``."""
+
+    def __init__(self, level: int, symbols: np.ndarray, ends: np.ndarray, entries: Sequence):
+        self.level, self.symbols, self.ends, self.entries = level, symbols, ends, entries
+
+    def of(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Beginning and number of the entries of each symbol."""
+        at = np.searchsorted(self.symbols, symbols)
+        near = np.minimum(at, len(self.symbols) - 1)
+        here = self.symbols[near] == symbols
+        return np.where(here, self.ends[near], 0), np.where(here, self.ends[near + 1] - self.ends[near], 0)
+
+
+class Heap:
+    """The priority queue of one induction, a sequence heap."""
+
+    def __init__(self, disk: Disk, sigma: int, block: int):
+        self.disk, self.block, self.runs, self.passed = disk, block, [], 0
+        self.counts = np.zeros(sigma, np.int64)
+
+    def push(self, symbols: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
+        """Insert entries that are sorted by symbol, in order within each."""
+        cuts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+        own, ends = symbols[cuts], np.r_[cuts, len(symbols)]
+        self.counts[own] += np.diff(ends)
+        entries = Sequence(self.disk)
+        entries.append(pos, lcp)
+        self.runs.append(Run(0, own, ends, entries))
+        while len(self.runs) >= FAN and self.runs[-FAN].level == self.runs[-1].level:
+            last, self.runs = self.runs[-FAN:], self.runs[:-FAN]
+            self.runs.append(self._merged(last))
+
+    def _merged(self, runs: list[Run]) -> Run:
+        symbols = np.unique(np.concatenate([r.symbols for r in runs]))
+        symbols = symbols[self.counts[symbols] > 0]  # those that were taken are done with
+        lo, n = (np.array(x) for x in zip(*(r.of(symbols) for r in runs)))
+        total = n.sum(axis=0)
+        out, at = Sequence(self.disk), 0
+        while at < len(symbols):
+            to = at + 1
+            size = total[at]
+            while to < len(symbols) and size + total[to] <= self.block:
+                size += total[to]
+                to += 1
+            if to == at + 1:
+                for run, a, k in zip(runs, lo[:, at], n[:, at]):
+                    out.extend(run.entries, int(a), int(a + k))
+            else:
+                here = Sequence(self.disk)
+                for run, a, k in zip(runs, lo[:, at:to], n[:, at:to]):
+                    if k.any():
+                        begin = int(a[k > 0][0])
+                        here.extend(run.entries, begin, begin + int(k.sum()))
+                keys = np.concatenate([np.repeat(symbols[at:to], k) for k in n[:, at:to]])
+                entries = np.concatenate(list(here.blocks(self.block)))
+                out.put(entries[np.argsort(keys, kind="stable")])
+            at = to
+        return Run(runs[0].level + 1, symbols, np.r_[0, np.cumsum(total)], out)
+
+    def look(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols and entries of a range of symbols, by symbol and in order of insertion within one."""
+        keys, parts = [], []
+        for run in self.runs:
+            i, j = np.searchsorted(run.symbols, (low, high + 1)).tolist()
+            if i < j:
+                own = Sequence(self.disk)
+                own.extend(run.entries, int(run.ends[i]), int(run.ends[j]))
+                parts += own.blocks(own.count)
+                keys.append(np.repeat(run.symbols[i:j], np.diff(run.ends[i : j + 1])))
+        if not parts:
+            return np.zeros(0, np.int64), np.zeros(0, self.disk.entry)
+        keys, entries = np.concatenate(keys), np.concatenate(parts)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], entries[order]
+
+    def done(self, low: int, high: int) -> None:
+        """Forget the entries of a range of symbols; none may be inserted into it afterwards."""
+        self.counts[low : high + 1] = 0
+        self.passed += 1
+        if self.passed % FAN == 0:
+            self.runs = [r for r in self.runs if r.symbols[-1] > high or r.symbols[0] < low]
+            self.runs = [r for r in self.runs if self.counts[r.symbols[0]] or self.counts[r.symbols[-1]]]
+
+    def pop(self, symbol: int) -> Sequence:
+        """All entries of a symbol in order of insertion; none may be inserted afterwards."""
+        out = Sequence(self.disk)
+        for run in self.runs:
+            begin, n = run.of(np.array([symbol]))
+            if n[0]:
+                out.extend(run.entries, int(begin[0]), int(begin[0] + n[0]))
+        self.done(symbol, symbol)
+        return out
+
+
+def _types(disk: Disk, text: np.ndarray, limit: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each suffix is S-type, and the length (up to the limit) of the run of one symbol it starts with."""
+    n = len(text)
+    small, run = disk.array(n, bool), disk.array(n, np.int32)
+    small[n - 1], run[n - 1] = True, 1
+    hi = n - 1
+    while hi > 0:
+        lo = max(hi - block, 0)
+        part = np.asarray(text[lo : hi + 1])
+        k = len(part) - 1
+        ends = np.flatnonzero(part[:-1] != part[1:])
+        sizes = np.diff(np.r_[-1, ends])
+        c = int(ends[-1]) + 1 if len(ends) else 0
+        s, r = np.full(k, bool(small[hi])), np.empty(k, np.int64)
+        s[:c] = np.repeat(part[ends] < part[ends + 1], sizes)
+        r[:c] = np.repeat(ends, sizes) - np.arange(c) + 1
+        r[c:] = int(run[hi]) + k - np.arange(c, k)
+        small[lo:hi], run[lo:hi] = s, np.minimum(r, limit)
+        hi = lo
     return small, run
 
 
@@ -119,11 +281,10 @@ def _crowded(rank: np.ndarray) -> np.ndarray:
     return np.bincount(rank, minlength=len(rank))[rank] > 1
 
 
-def _name(text: np.ndarray, small: np.ndarray, stars: np.ndarray, sigma: int) -> np.ndarray:
-    """Rank of each S*-substring, symbols compared with their types (L before S)."""
+def _name(text: np.ndarray, small: np.ndarray, stars: np.ndarray, size: np.ndarray, sigma: int) -> np.ndarray:
+    """Rank of each S*-substring of ``size`` symbols, compared with their types (L before S)."""
     bits = max(1, (2 * sigma + 1).bit_length())
     per = 63 // bits
-    size = np.r_[stars[1:] - stars[:-1] + 1, 1]
     rank = np.zeros(len(stars), np.int64)
     at = 0
     sel = np.arange(len(stars))
@@ -141,6 +302,39 @@ def _name(text: np.ndarray, small: np.ndarray, stars: np.ndarray, sigma: int) ->
     return rank
 
 
+def _named(disk: Disk, text: np.ndarray, small: np.ndarray, stars: np.ndarray, sigma: int, block: int) -> tuple[np.ndarray, bool]:
+    """Rank of each S*-substring, in groups of equal first symbols; and whether all differ."""
+    m = len(stars)
+    two = sigma <= 512
+    spots = range(0, m, block)
+
+    def keys(lo: int) -> np.ndarray:
+        s = stars[lo : min(lo + block, m)]
+        first = text[s].astype(np.int64)
+        return first * sigma + text[np.minimum(s + 1, len(text) - 1)] if two else first
+
+    counts = np.zeros(sigma * sigma if two else sigma, np.int64)
+    for lo in spots:
+        counts += np.bincount(keys(lo), minlength=len(counts))
+    names, distinct, done, key = disk.array(m, np.int64), True, 0, 0
+    before = np.r_[0, np.cumsum(counts)]
+    while done < m:
+        upto = max(int(np.searchsorted(before, done + block, side="right")) - 1, key + 1)
+        while before[upto] == done:
+            upto += 1
+        if before[upto] - done == m:
+            sel = np.arange(m)
+        else:
+            sel = np.concatenate([lo + np.flatnonzero(((k := keys(lo)) >= key) & (k < upto)) for lo in spots])
+        after = np.minimum(sel + 1, m - 1)
+        own = np.asarray(stars[sel], np.int64)
+        rank = _name(text, small, own, np.where(sel + 1 < m, stars[after] - own + 1, 1), sigma)
+        distinct &= not _crowded(rank).any()
+        names[sel] = rank + done
+        done, key = int(before[upto]), upto
+    return names, distinct
+
+
 def _doubling(names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a short string by doubling ranks, and common prefixes from them."""
     m = len(names)
@@ -185,28 +379,6 @@ def _extend(text: np.ndarray, a: np.ndarray, b: np.ndarray, common: np.ndarray,
     return out
 
 
-def _stars(text: np.ndarray, small: np.ndarray, sigma: int, limit: int, memory: int, base: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """S* suffixes in order, and their common prefixes."""
-    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    if len(stars) == 1:
-        return stars, np.zeros(1, np.int64)
-    rank = _name(text, small, stars, sigma)
-    order = np.argsort(rank, kind="stable")
-    if (np.diff(rank[order]) > 0).all():
-        common = np.zeros(len(stars), np.int64)
-    else:
-        dense = np.zeros(len(stars), np.int64)
-        dense[order] = np.cumsum(np.r_[0, rank[order][1:] != rank[order][:-1]])
-        if len(dense) <= base:
-            order, names = _doubling(dense, limit)
-        else:  # the last S*-substring is the end mark, the smallest, so names end with their own end mark
-            order, names = sort_suffixes(dense, limit, memory, base, block)
-        a = order[:-1]
-        common = np.r_[0, stars[np.minimum(a + names[1:], len(stars) - 1)] - stars[a]]
-    found = stars[order]
-    return found, np.r_[0, _extend(text, found[:-1], found[1:], common[1:], limit)]
-
-
 def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """min(values[lo..hi]) of each pair, lo <= hi, by doubling windows."""
     out = np.empty(len(lo), values.dtype)
@@ -223,68 +395,82 @@ def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray
     return out
 
 
-class _Queue:
-    """The priority queue of one induction: a sequence for each symbol."""
-
-    def __init__(self, text: np.ndarray, budget: Budget, limit: int):
-        self.text, self.budget, self.limit, self.buckets = text, budget, limit, {}
-
-    def push(self, symbols: np.ndarray, pos: np.ndarray, lcp: np.ndarray) -> None:
-        """Insert entries that are sorted by symbol, in order within each."""
-        cuts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
-        for lo, hi in zip(cuts, [*cuts[1:], len(symbols)]):
-            self.bucket(int(symbols[lo])).append(pos[lo:hi], lcp[lo:hi])
-
-    def bucket(self, symbol: int) -> Sequence:
-        if symbol not in self.buckets:
-            self.buckets[symbol] = Sequence(self.budget)
-        return self.buckets[symbol]
-
-
-class _Drain:
-    """Inserts the predecessors of one bucket's stream, block by block."""
-
-    def __init__(self, queue: _Queue, symbol: int, larger: bool):
-        self.queue, self.symbol, self.larger = queue, symbol, larger
-        self.since: dict[int, int] = {}  # least common prefix since a symbol's last predecessor
-        self.least = queue.limit
-
-    def take(self, pos: np.ndarray, lcp: np.ndarray) -> None:
-        text, limit = self.queue.text, self.queue.limit
-        before = np.where(pos > 0, text[np.maximum(pos - 1, 0)], self.symbol)
-        use = np.flatnonzero(before > self.symbol if self.larger else before < self.symbol)
-        if not len(use):
-            self._pass(int(lcp.min()))
-            return
-        order = use[np.argsort(before[use], kind="stable")]
-        symbols = before[order]
-        first = np.r_[True, symbols[1:] != symbols[:-1]]
-        lo = np.where(first, 0, np.r_[0, order[:-1]] + 1)
+def _stars(disk: Disk, text: np.ndarray, small: np.ndarray, sigma: int, limit: int, memory: int, base: int, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """S* suffixes in order, and their common prefixes."""
+    spots = range(1, len(text), block)
+    new = lambda lo: np.flatnonzero(small[lo : lo + block] & ~small[lo - 1 : min(lo + block, len(text)) - 1]) + lo
+    m = sum(len(new(lo)) for lo in spots)
+    stars, at = disk.array(m, np.int64), 0
+    for lo in spots:
+        found = new(lo)
+        stars[at : at + len(found)] = found
+        at += len(found)
+    if m == 1:
+        return stars, np.zeros(1, np.int32)
+    names, distinct = _named(disk, text, small, stars, sigma, block)
+    half = limit // 2 + 2  # S* suffixes are two symbols apart at least
+    if distinct:
+        order, shared = disk.array(m, np.int64), disk.array(m, np.int32)
+        shared[:] = 0
+        for lo in range(0, m, block):
+            part = names[lo : lo + block]
+            order[part] = np.arange(lo, lo + len(part))
+    elif m <= base:
+        order, shared = _doubling(np.asarray(names), half)
+    else:  # the last S*-substring is the end mark, the smallest, so names end with their own end mark
+        order, shared = disk.array(m, np.int64), disk.array(m + 1, np.int32)  # shared[i + 1] belongs to order[i] and order[i + 1]
+        place = m
+
+        def emit(pos: np.ndarray, lcp: np.ndarray) -> None:
+            nonlocal place
+            order[place - len(pos) : place] = pos[::-1]
+            shared[place - len(pos) + 1 : place + 1] = lcp[::-1]
+            place -= len(pos)
+
+        sort_suffixes(names, half, memory, base, block, emit)
+    found, common = disk.array(m, np.int64), disk.array(m, np.int32)
+    for lo in range(0, m, block):
+        hi = min(lo + block, m)
+        found[lo:hi] = stars[order[lo:hi]]
+        a = np.asarray(order[np.maximum(np.arange(lo, hi) - 1, 0)])
+        least = stars[np.minimum(a + shared[lo:hi], m - 1)] - stars[a]
+        common[lo:hi] = _extend(text, np.asarray(stars[a]), np.asarray(found[lo:hi]), least, limit)
+    common[0] = 0
+    return found, common
+
+
+def _insert(text: np.ndarray, heap: Heap, pos: np.ndarray, lcp: np.ndarray, use: np.ndarray, limit: int, since: np.ndarray | None = None) -> None:
+    """Insert the predecessors of the entries at ``use`` of a stream; ``since`` goes with it from block to block."""
+    passed = int(lcp.min())
+    if len(use):
+        before = text[pos[use] - 1]
+        by = np.argsort(before, kind="stable")
+        order, symbols = use[by], before[by]
+        starts = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]])
+        lo = np.r_[0, order[:-1] + 1]
+        lo[starts] = order[starts] if since is None else 0
         least = _range_min(lcp, lo, order)
-        starts = np.flatnonzero(first)
-        for i in starts:
-            s = int(symbols[i])
-            if s in self.since:
-                least[i] = min(self.since[s], least[i])
-            else:  # an earlier source starts with another symbol
-                least[i] = 0 if self.queue.bucket(s).count else -1
-        self.queue.push(symbols, pos[order] - 1, np.minimum(least + 1, limit))
-        self._pass(int(lcp.min()))
-        lasts = np.r_[starts[1:], len(order)] - 1
-        for i in lasts:
-            tail = lcp[order[i] + 1 :]
-            self.since[int(symbols[i])] = int(tail.min()) if len(tail) else limit
-
-    def _pass(self, least: int) -> None:
-        for s in self.since:
-            self.since[s] = min(self.since[s], least)
-
-
-def _own_runs(text: np.ndarray, start: Sequence, symbol: int, budget: Budget, block: int, limit: int) -> list[Sequence]:
+        own = symbols[starts]
+        # without an earlier predecessor in this stream, one in another starts with another symbol
+        other = np.where(heap.counts[own] > 0, 0, -1)
+        least[starts] = other if since is None else np.where(since[own] >= 0, np.minimum(since[own], least[starts]), other)
+        heap.push(symbols, pos[order] - 1, np.minimum(least + 1, limit))
+    if since is not None:
+        np.minimum(since, passed, out=since, where=since >= 0)
+        if len(use):
+            last = order[np.r_[starts[1:], len(order)] - 1]
+            tails = np.full(len(last), limit, np.int64)
+            more = np.flatnonzero(last + 1 < len(lcp))
+            if len(more):
+                tails[more] = _range_min(lcp, last[more] + 1, np.full(len(more), len(lcp) - 1))
+            since[own] = tails
+
+
+def _own_runs(text: np.ndarray, start: Sequence, symbol: int, disk: Disk, block: int, limit: int) -> list[Sequence]:
     """The bucket's inserted entries, then those they induce into the bucket itself, run by run."""
     out, length = [start], 1
     while True:
-        grown = Sequence(budget)
+        grown = Sequence(disk)
         least, any_yet = limit, False
         for part in out[-1].blocks(block):
             pos, lcp = part["pos"], part["lcp"]
@@ -303,90 +489,229 @@ def _own_runs(text: np.ndarray, start: Sequence, symbol: int, budget: Budget, bl
         length += 1
 
 
-def sort_suffixes(text: np.ndarray, limit: int, memory: int = 1 << 24, base: int = 1 << 22, block: int = 1 << 20, emit=None):
+class _Feed:
+    """Gathers the stream of one bucket into blocks and inserts its predecessors beyond (``side`` 1) or below (-1) a symbol."""
+
+    def __init__(self, sort: _Sort, heap: Heap, symbol: int, side: int, put=None):
+        self.sort, self.heap, self.symbol, self.side, self.put = sort, heap, symbol, side, put
+        self.held, self.count, self.since = [], 0, None
+
+    def take(self, pos: np.ndarray, lcp: np.ndarray) -> None:
+        if self.count and self.count + len(pos) > self.sort.block:
+            if self.since is None:
+                self.since = np.full(self.sort.sigma, -1, np.int64)
+            self.flush()
+        self.held.append((pos, lcp))
+        self.count += len(pos)
+
+    def flush(self) -> None:
+        if self.count:
+            pos, lcp = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*self.held))
+            before = np.where(pos > 0, self.sort.text[np.maximum(pos - 1, 0)], self.symbol)
+            _insert(self.sort.text, self.heap, pos, lcp, np.flatnonzero(before > self.symbol if self.side > 0 else before < self.symbol), self.sort.limit, self.since)
+            if self.put:
+                self.put(pos, lcp)
+            self.held, self.count = [], 0
+
+
+class _Sort:
+    """One sort: the text, its types, the sorted S* suffixes, and the L-type ones once they are induced."""
+
+    def __init__(self, text: np.ndarray, limit: int, memory: int, base: int, block: int):
+        self.text, self.limit, self.block = text, limit, block
+        n, sigma = len(text), int(text.max()) + 1
+        self.disk = Disk(memory, n)
+        self.small, self.run = _types(self.disk, text, limit, block)
+        self.stars, self.shared = _stars(self.disk, text, self.small, sigma, limit, memory, base, block)
+        present, heads = np.zeros(sigma, bool), np.zeros(sigma, np.int64)
+        for lo in range(0, n, block):
+            present[text[lo : lo + block]] = True
+        for lo in range(0, len(self.stars), block):
+            heads += np.bincount(text[self.stars[lo : lo + block]], minlength=sigma)
+        self.sigma, self.symbols = sigma, np.flatnonzero(present)
+        self.cuts = np.r_[0, np.cumsum(heads)]  # of the S* suffixes by first symbol
+        self.large = Sequence(self.disk)  # all L-type suffixes in order
+        self.larges = np.zeros(sigma + 1, np.int64)  # their ends by first symbol, moved by one
+        self.step = STEP
+
+    def _reach(self, heap: Heap, sizes: np.ndarray, at: int, ahead: int) -> int:
+        """How many symbols from ``at`` on, in steps of ``ahead``, make one step."""
+        near = self.symbols[at : at + self.step] if ahead > 0 else self.symbols[max(at - self.step + 1, 0) : at + 1][::-1]
+        have = np.cumsum(heap.counts[near] + sizes[near])
+        return max(int(np.searchsorted(have, self.step, side="right")), 1)
+
+    def _adapt(self, tried: int, done: int) -> None:
+        self.step = min(self.step * 2, self.block) if done == tried else max(self.step // 2, LEAST) if 2 * done < tried else self.step
+
+    def _joint(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefixes of suffixes of different types that start with the same symbol."""
+        return np.minimum(np.minimum(self.run[a], self.run[b]), self.limit)
+
+    def up(self) -> None:
+        """Induce the L-type suffixes."""
+        heap, at = Heap(self.disk, self.sigma, self.block), 0
+        sizes = np.diff(self.cuts)
+        while at < len(self.symbols):
+            n = self._reach(heap, sizes, at, 1)
+            done = self._up_step(heap, at, n) if n > 1 else 0
+            if n > 1:
+                self._adapt(n, done)
+            if not done:
+                self._up_one(heap, int(self.symbols[at]))
+                done = 1
+            at += done
+
+    def _up_step(self, heap: Heap, at: int, n: int) -> int:
+        """Drain up to ``n`` buckets that do not induce into each other; their number, 0 if the first induces into itself."""
+        text, chosen = self.text, self.symbols[at : at + n]
+        low, high = int(chosen[0]), int(chosen[-1])
+        keys, found = heap.look(low, high)
+        a, b = int(self.cuts[low]), int(self.cuts[high + 1])
+        stars = np.asarray(self.stars[a:b])
+        heads = text[stars].astype(np.int64)
+        order = np.argsort(np.r_[keys * 2, heads * 2 + 1], kind="stable")
+        key, pos = np.r_[keys, heads][order], np.r_[found["pos"], stars][order]
+        lcp = np.r_[found["lcp"], self.shared[a:b]].astype(np.int64)[order]
+        star = order >= len(keys)
+        before = np.where(pos > 0, text[np.maximum(pos - 1, 0)], -1)
+        inner = before[(before >= key) & (before <= high)]
+        if len(inner):
+            n = int(np.searchsorted(chosen, inner.min()))
+            if not n:
+                return 0
+            high = int(chosen[n - 1])
+            key, pos, lcp, star, before = (x[: np.searchsorted(key, high, side="right")] for x in (key, pos, lcp, star, before))
+        if len(key):
+            fresh = np.r_[True, key[1:] != key[:-1]]
+            lcp[fresh] = 0
+            turn = np.flatnonzero(star & ~fresh & np.r_[False, ~star[:-1]])
+            lcp[turn] = self._joint(pos[turn - 1], pos[turn])
+            self.large.append(pos[~star], lcp[~star])
+            self.larges[1:] += np.bincount(key[~star], minlength=self.sigma) if self.sigma < 4 * len(key) else 0
+            if self.sigma >= 4 * len(key):
+                np.add.at(self.larges, key[~star] + 1, 1)
+            heap.done(low, high)
+            _insert(text, heap, pos, lcp, np.flatnonzero(before >= key), self.limit)
+        return n
+
+    def _up_one(self, heap: Heap, c: int) -> None:
+        """Drain one bucket of any size, also into itself."""
+        last, feed = None, _Feed(self, heap, c, 1)
+        if heap.counts[c]:
+            for seq in _own_runs(self.text, heap.pop(c), c, self.disk, self.block, self.limit):
+                self.large.extend(seq, 0, seq.count)
+                self.larges[c + 1] += seq.count
+                for part in seq.blocks(self.block):
+                    lcp = part["lcp"].astype(np.int64)
+                    if last is None:
+                        lcp[0] = 0
+                    feed.take(part["pos"], lcp)
+                    last = part["pos"][-1]
+        for at in range(int(self.cuts[c]), int(self.cuts[c + 1]), self.block):
+            end = min(at + self.block, int(self.cuts[c + 1]))
+            lcp = self.shared[at:end].astype(np.int64)
+            if at == self.cuts[c]:
+                lcp[0] = 0 if last is None else self._joint(last, self.stars[at])
+            feed.take(np.asarray(self.stars[at:end]), lcp)
+        feed.flush()
+
+    def down(self, put) -> None:
+        """Induce the S-type suffixes and put all, from the largest to the smallest."""
+        heap, at = Heap(self.disk, self.sigma, self.block), len(self.symbols) - 1
+        sizes, self.ends, self.step = self.larges[1:].copy(), np.cumsum(self.larges), STEP
+        while at > 0:
+            n = min(self._reach(heap, sizes, at, -1), at)
+            done = self._down_step(heap, at, n, put) if n > 1 else 0
+            if n > 1:
+                self._adapt(n, done)
+            if not done:
+                self._down_one(heap, int(self.symbols[at]), put)
+                done = 1
+            at -= done
+        put(np.array([len(self.text) - 1]), np.zeros(1, np.int64))
+
+    def _large_part(self, low: int, high: int) -> Sequence:
+        out = Sequence(self.disk)
+        out.extend(self.large, int(self.ends[low]), int(self.ends[high + 1]))
+        return out
+
+    def _down_step(self, heap: Heap, at: int, n: int, put) -> int:
+        """As :meth:`_up_step`, downwards."""
+        text, chosen = self.text, self.symbols[at - n + 1 : at + 1]
+        low, high = int(chosen[0]), int(chosen[-1])
+        keys, found = heap.look(low, high)
+        part = self._large_part(low, high)
+        large = np.concatenate(list(part.blocks(part.count))) if part.count else np.zeros(0, self.disk.entry)
+        heads = text[large["pos"]][::-1].astype(np.int64)
+        order = np.argsort(np.r_[-keys * 2, -heads * 2 + 1], kind="stable")
+        key, pos = np.r_[keys, heads][order], np.r_[found["pos"], large["pos"][::-1]][order]
+        # an entry's value belongs to its pair with the smaller neighbour: hand it on
+        lcp = np.r_[found["lcp"], 0, large["lcp"][:0:-1]][: len(key)].astype(np.int64)[order]
+        big = order >= len(keys)
+        before = np.where(pos > 0, text[np.maximum(pos - 1, 0)], high + 1)
+        fits = (before < key) | ((before == key) & ~big)
+        inner = before[fits & (before >= low)]
+        if len(inner):
+            n = len(chosen) - int(np.searchsorted(chosen, inner.max(), side="right"))
+            if not n:
+                return 0
+            low = int(chosen[-n])
+            upto = int(np.searchsorted(-key, -low, side="right"))
+            key, pos, lcp, big, fits = (x[:upto] for x in (key, pos, lcp, big, fits))
+        if len(key):
+            fresh = np.r_[True, key[1:] != key[:-1]]
+            lcp[fresh] = 0
+            turn = np.flatnonzero(big & ~fresh & np.r_[False, ~big[:-1]])
+            lcp[turn] = self._joint(pos[turn - 1], pos[turn])
+            heap.done(low, high)
+            _insert(text, heap, pos, lcp, np.flatnonzero(fits), self.limit)
+            put(pos, lcp)
+        return n
+
+    def _down_one(self, heap: Heap, c: int, put) -> None:
+        last, held, feed = None, 0, _Feed(self, heap, c, -1, put)
+        for seq in _own_runs(self.text, heap.pop(c), c, self.disk, self.block, self.limit) if heap.counts[c] else []:
+            for part in seq.blocks(self.block):
+                lcp = part["lcp"].astype(np.int64)
+                if last is None:
+                    lcp[0] = 0
+                feed.take(part["pos"], lcp)
+                last = part["pos"][-1]
+        first = True
+        for part in self._large_part(c, c).blocks_back(self.block):
+            pos = part["pos"][::-1]
+            lcp = np.r_[held, part["lcp"][:0:-1]].astype(np.int64)
+            if first:
+                lcp[0] = 0 if last is None else self._joint(last, pos[0])
+            first, held = False, int(part["lcp"][0])
+            feed.take(pos, lcp)
+        feed.flush()
+
+
+def sort_suffixes(text: np.ndarray, limit: int, memory: int = 1 << 20, base: int = 1 << 20, block: int = 1 << 18, emit=None):
     """Suffix order of ``text`` and each suffix's common prefix with the one before it.
 
-    The last symbol is the only smallest one.  Common prefixes are cut at ``limit``,
-    and suffixes that agree that far are in any order.  ``memory`` is the number of
-    queue entries kept in memory and ``base`` the longest string of names that is
+    The last symbol is the only smallest one, and symbols are whole numbers from 0 that
+    are not much larger than the text is long.  Common prefixes are cut at ``limit``,
+    and suffixes that agree that far are in any order.  ``memory`` is the
+    number of queue entries kept in memory and ``base`` the longest string of names that is
     sorted in memory; ``block`` entries are worked on at a time.  With ``emit``, the
     pairs go to ``emit(positions, common prefixes)`` from the largest suffix to the
     smallest, each with its common prefix with the next larger one, and are not kept.
     """
-    n, sigma = len(text), int(text.max()) + 1
-    if n == 1:
-        if emit:
-            emit(np.zeros(1, np.int64), np.zeros(1, np.int64))
-        return np.zeros(1, np.int64), np.zeros(1, np.int64)
-    small, run = _types(text)
-    stars, shared = _stars(text, small, sigma, limit, memory, base, block)
-    budget = Budget(memory)
-    ups = _Queue(text, budget, limit)
-    head = text[stars]
-    cuts = np.searchsorted(head, np.arange(sigma + 1)) if sigma < 1 << 16 else None
-    symbols = np.unique(text).tolist()
-    larges: dict[int, list[Sequence]] = {}
-    for c in symbols:
-        drain = _Drain(ups, c, larger=True)
-        last = None
-        if c in ups.buckets:
-            larges[c] = _own_runs(text, ups.buckets.pop(c), c, budget, block, limit)
-            for length, seq in enumerate(larges[c]):
-                for part in seq.blocks(block):
-                    lcp = part["lcp"].copy()
-                    if last is None or part["pos"][0] == -1:
-                        lcp[0] = 0
-                    drain.take(part["pos"], lcp)
-                    last = int(part["pos"][-1])
-        lo, hi = (cuts[c], cuts[c + 1]) if cuts is not None else np.searchsorted(head, [c, c + 1])
-        for at in range(lo, hi, block):
-            end = min(at + block, hi)
-            lcp = shared[at:end].astype(np.int32)
-            if at == lo:
-                lcp[0] = 0 if last is None else min(run[last], run[stars[at]], limit)
-            drain.take(stars[at:end].astype(np.int32), lcp)
-    downs = _Queue(text, budget, limit)
     order, common = [], []
 
-    def put(pos: np.ndarray, lcp: np.ndarray) -> None:
-        if emit:
-            emit(pos, lcp)
-        else:
-            order.append(pos.astype(np.int64))
-            common.append(lcp.astype(np.int64))
-
-    for c in reversed(symbols):
-        if c == symbols[0]:
-            put(np.array([n - 1]), np.zeros(1, np.int64))
-            break
-        drain = _Drain(downs, c, larger=False)
-        last = None
-        runs = _own_runs(text, downs.buckets.pop(c), c, budget, block, limit) if c in downs.buckets else []
-        for seq in runs:
-            for part in seq.blocks(block):
-                lcp = part["lcp"].copy()
-                if last is None:
-                    lcp[0] = 0
-                drain.take(part["pos"], lcp)
-                put(part["pos"], lcp)
-                last = int(part["pos"][-1])
-            seq.close()
-        for seq in reversed(larges.pop(c, [])):
-            for part in seq.blocks_back(block):
-                pos = part["pos"][::-1]
-                # an entry's value belongs to its pair with the smaller neighbour: hand it on
-                lcp = np.r_[0, part["lcp"][:0:-1]].astype(np.int32)
-                if last is None:
-                    lcp[0] = 0
-                elif small[last]:
-                    lcp[0] = min(run[last], run[pos[0]], limit)
-                else:
-                    lcp[0] = held
-                held = int(part["lcp"][0])
-                drain.take(pos, lcp)
-                put(pos, lcp)
-                last = int(pos[-1])
-            seq.close()
+    def keep(pos: np.ndarray, lcp: np.ndarray) -> None:
+        order.append(pos.astype(np.int64))
+        common.append(lcp.astype(np.int64))
+
+    put = emit or keep
+    if len(text) == 1:
+        put(np.zeros(1, np.int64), np.zeros(1, np.int64))
+    else:
+        sort = _Sort(text, limit, memory, base, block)
+        sort.up()
+        sort.down(put)
     if emit:
         return None
     down, with_larger = np.concatenate(order), np.concatenate(common)

@@ -19,13 +19,14 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a folder of our own only where none is set.
+    """The cluster's checkpoint folder; a folder of our own only in a local session that sets none.
 
-    An unset folder means a local test session: on a cluster the administrator
-    names one, because nothing else is visible to every machine.
+    On a cluster the administrator names one, because nothing else is visible to every machine.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = "file://" + os.path.join(tempfile.gettempdir(), f"fluxtape-{os.getpid()}")
         spark.conf.set("spark.checkpoint.dir", path)
     return path

@@ -1,17 +1,19 @@
 """Removal of long repeated strings by suffix sorting, in shards where all copies meet.
 
 A string of ``length`` bytes is owned by the position of the smallest hash among its
-``GRAM``-byte substrings (the leftmost of equals).  The owner depends on the string
+substrings of some bytes (the leftmost of equals).  The owner depends on the string
 alone, so equal strings have the same owning hash, and neighbouring strings mostly
 share one: a text falls into *snippets*, each all strings owned by one position.
 
-Hashes that occur once own nothing that repeats.  Where all snippets of a hash are
-the same, all of them repeat.  What is left are snippets that agree in part, around
-the edges of copied passages: one of each kind is cut from its text, dealt by hash
-to shards, and each shard is sorted by :mod:`induced`; common prefixes of ``length``
-or more are the repeats.  A hash with very many different snippets (the edges of a
-passage that many documents share) would not fit one shard.  Its strings are
-compared by hash instead, sixteen neighbours at a time through the bytes they have in
+Hashes that occur once own nothing that repeats.  Of every other one the different
+snippets are cut from their texts, each once with the number of its occurrences, and
+dealt by hash to shards.  Each shard is sorted by :mod:`induced`, whose queues and
+arrays go to disk past a budget; a string repeats where its suffix has a common prefix
+of ``length`` or more with a neighbour, or its snippet occurs again.
+
+A hash with very many different snippets (the edges of a passage that very many
+documents share) would make one shard of any size.  Its strings are
+compared by 128-bit hashes instead, sixteen neighbours at a time through the bytes they have in
 common first and one by one where those repeat, so that no task gets them all.
 
 Texts are told apart by a 128-bit digest, so equal texts are worked on alike.
@@ -19,6 +21,8 @@ Texts are told apart by a 128-bit digest, so equal texts are worked on alike.
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,29 +30,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .induced import repeated
-from .scratch import materialize, text_key
+from .scratch import materialize, release, text_key
 
-#: Bytes of the substrings whose smallest hash owns a string.
-GRAM = 128
-#: Different snippets of one hash that a shard takes; with more they are split.
-CROWD = 160
+#: Different snippets of one hash that a shard takes; with more they are compared by hashes.
+CROWD = 2048
 #: Neighbouring strings whose common bytes are compared first, in crowded hashes.
 GROUP = 16
-#: Bytes of one shard, about.
-SHARD_BYTES = 1 << 20
+#: Bytes of one shard, about; there are fewer to a shard where the session asks for more shuffle partitions.
+SHARD_BYTES = 1 << 26
+#: Queue entries that a sort keeps in memory, and names that it sorts there; the rest is on disk or sorted in turn.
+MEMORY, BASE = 1 << 20, 1 << 20
 #: String starts that are worked on at a time in a very long text.
 STRETCH = 1 << 22
 
 
-def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes from each position, by doubling."""
+def gram_size(length: int) -> int:
+    """Bytes of the substrings whose smallest hash owns a string: a power of two, about a quarter of it at most."""
+    return 1 << ((length // 4).bit_length() - 1)
+
+
+def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 64-bit hash of the ``gram`` bytes from each position, by doubling."""
     padded = np.ascontiguousarray(data)
     h = np.lib.stride_tricks.as_strided(padded.view(np.uint8), (len(data) - 7, 8), (1, 1)).copy().view(np.uint64).ravel()
     odd = np.uint64(0x9E3779B97F4A7C15)
     size = 8
     h = h * odd
     h ^= h >> np.uint64(29)
-    while size < GRAM:
+    while size < gram:
         h = (h[: len(h) - size] * np.uint64(0xBF58476D1CE4E5B9)) + (h[size:] ^ (h[size:] >> np.uint64(31)))
         h *= odd
         h ^= h >> np.uint64(32)
@@ -72,12 +81,12 @@ def snippets(data: bytes, length: int):
     """``(owner position, first start, last start, owner hash)`` arrays of a text's snippets."""
     out = []
     starts = len(data) - length + 1
-    whole = np.frombuffer(data, np.uint8)
+    whole, gram = np.frombuffer(data, np.uint8), gram_size(length)
     for at in range(0, max(starts, 0), STRETCH):
         part = whole[at : min(at + STRETCH, starts) + length - 1]
-        h = _gram_hashes(part)
+        h = _gram_hashes(part, gram)
         tagged = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
-        low = _window_min(tagged, length - GRAM + 1)
+        low = _window_min(tagged, length - gram + 1)
         first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
         last = np.r_[first[1:], len(low)] - 1
         owner = (low[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
@@ -116,43 +125,66 @@ def _cut(wanted: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             rows = []
             for text, wants in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wants").to_pylist()):
-                rows += [(w["h"], w["sh"], w["hot"], text[w["s0"] : w["s1"] + length]) for w in wants]
+                rows += [(w["h"], w["sh"], w["again"], w["hot"], text[w["s0"] : w["s1"] + length]) for w in wants]
             for at in range(0, len(rows), 20_000):
-                h, sh, hot, data = zip(*rows[at : at + 20_000])
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(sh, pa.int64()), pa.array(hot), pa.array(data, pa.binary())], ["h", "sh", "hot", "data"])
+                cols = zip(*rows[at : at + 20_000])
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "sh", "again", "hot", "data"])
+
+    return wanted.select("text", "wants").mapInArrow(run, "h bigint, sh bigint, again boolean, hot boolean, data binary")
 
-    return wanted.select("text", "wants").mapInArrow(run, "h bigint, sh bigint, hot boolean, data binary")
+
+def _shard_text(batches, file) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Write a shard's snippets to ``file`` as symbols; their keys, sizes, and whether they occur again.
+
+    Bytes are symbols from 2 on, each snippet ends with a 1, and the shard with its only 0.
+    """
+    keys, sizes, again, seen = [], [], [], set()
+    for batch in batches:
+        part = []
+        for h, sh, more, data in zip(*(batch.column(c).to_pylist() for c in ("h", "sh", "again", "data"))):
+            if (h, sh) not in seen:  # a snippet cut from two equal rows is one
+                seen.add((h, sh))
+                part.append(data)
+                keys.append((h, sh))
+                again.append(more)
+        if part:
+            text = np.frombuffer(b"\x00".join(part) + b"\x00", np.uint8).astype(np.int16) + 2
+            own = np.array([len(x) for x in part])
+            text[np.cumsum(own + 1) - 1] = 1
+            text.tofile(file)
+            sizes.append(own)
+    np.zeros(1, np.int16).tofile(file)
+    file.flush()
+    return np.array(keys, np.int64).reshape(-1, 2), np.concatenate([np.zeros(0, np.int64), *sizes]), np.array(again, bool)
 
 
 def _sorted_shards(snips: DataFrame, length: int, shards: int) -> DataFrame:
-    """Runs of string starts in each snippet that repeat in its shard."""
+    """Runs of string starts in each snippet that repeat."""
+    options = {"memory": MEMORY, "base": BASE}
 
     def run(batches):
-        parts: dict[tuple[int, int], bytes] = {}
-        for batch in batches:
-            for h, sh, data in zip(*(batch.column(c).to_pylist() for c in ("h", "sh", "data"))):
-                parts[h, sh] = data  # a snippet cut from two equal rows is one
-        if not parts:
-            return
-        keys = np.array(list(parts), np.int64)
-        sizes = np.array([len(d) for d in parts.values()])
-        text = np.frombuffer(b"\x00".join(parts.values()) + b"\x00", np.uint8).astype(np.int16) + 2
-        ends = np.cumsum(sizes + 1) - 1
-        begins = ends - sizes
-        text[ends] = 1  # between snippets
-        text = np.append(text, np.int16(0))
-        parts.clear()
-        hit = repeated(text, length)
-        usable = np.zeros(len(text) + 1, np.int8)
-        np.add.at(usable, begins, 1)
-        np.add.at(usable, begins + sizes - length + 1, -1)
-        hit &= np.cumsum(usable[:-1]) > 0
-        edge = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
-        lo, hi = edge[::2], edge[1::2] - 1
-        own = np.searchsorted(begins, lo, side="right") - 1
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[own, 0], keys[own, 1], lo - begins[own], hi - begins[own])], ["h", "sh", "lo", "hi"])
-
-    return snips.repartition(shards, "h").select("h", "sh", "data").mapInArrow(run, "h bigint, sh bigint, lo bigint, hi bigint")
+        with tempfile.TemporaryFile() as file:  # the working memory of this task
+            keys, sizes, again = _shard_text(batches, file)
+            if not len(keys):
+                return
+            hit = repeated(np.memmap(file, np.int16, "r"), length, **options)
+        begins = np.r_[0, np.cumsum(sizes + 1)]
+        at = 0
+        while at < len(sizes):
+            to = max(int(np.searchsorted(begins, begins[at] + (1 << 20), side="right")) - 1, at + 1)
+            lo, hi = begins[at], begins[to]
+            inside = np.arange(hi - lo) - np.repeat(begins[at:to] - lo, sizes[at:to] + 1)
+            usable = inside <= np.repeat(sizes[at:to] - length, sizes[at:to] + 1)
+            mine = usable & (hit[lo:hi] | np.repeat(again[at:to], sizes[at:to] + 1))
+            edge = np.flatnonzero(np.diff(np.r_[False, mine, False].astype(np.int8)))
+            first, last = edge[::2], edge[1::2] - 1
+            own = at + np.searchsorted(begins[at:to] - lo, first, side="right") - 1
+            inner = begins[own] - lo
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys[own, 0], keys[own, 1], first - inner, last - inner)], ["h", "sh", "lo", "hi"])
+            at = to
+
+    return snips.repartition(shards, "h").select("h", "sh", "again", "data").mapInArrow(run, "h bigint, sh bigint, lo bigint, hi bigint")
 
 
 def _crowded(snips: DataFrame, length: int) -> DataFrame:
@@ -162,7 +194,7 @@ def _crowded(snips: DataFrame, length: int) -> DataFrame:
         short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
         for batch in batches:
             rows = []
-            for h, sh, data in zip(*(batch.column(c).to_pylist() for c in ("h", "sh", "data"))):
+            for h, sh, more, data in zip(*(batch.column(c).to_pylist() for c in ("h", "sh", "again", "data"))):
                 starts = len(data) - length + 1
                 owner = int(snippets(data, length)[0][0])
                 for g in range((owner - starts + 1) // GROUP, owner // GROUP + 1):
@@ -170,18 +202,23 @@ def _crowded(snips: DataFrame, length: int) -> DataFrame:
                     if lo <= hi:
                         core = owner - g * GROUP
                         each = [long(data[p : p + length]) for p in range(lo, hi + 1)]
-                        rows.append((h, sh, short(data[core : core + length - GROUP + 1]) >> 1, lo, [x >> 65 for x in each], [x & (1 << 63) - 1 for x in each]))
+                        rows.append((h, sh, more, short(data[core : core + length - GROUP + 1]) >> 1, lo, [x >> 65 for x in each], [x & (1 << 63) - 1 for x in each]))
             for at in range(0, len(rows), 5_000):
-                h, sh, core, lo, w1, w2 = zip(*rows[at : at + 5_000])
-                wide = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in (h, sh, core, lo)), pa.array(w1, wide), pa.array(w2, wide)], ["h", "sh", "core", "lo", "w1", "w2"])
-
-    groups = materialize(snips.select("h", "sh", "data").dropDuplicates(["h", "sh"]).mapInArrow(run, "h bigint, sh bigint, core bigint, lo bigint, w1 array<bigint>, w2 array<bigint>"), "groups")
-    cores = materialize(groups.groupBy("h", "core").count().where("count > 1").select("h", "core"), "cores")
-    one = groups.join(cores, ["h", "core"]).select("h", "sh", "lo", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("h", "sh", (F.col("lo") + F.col("i")).alias("at"), "w.w1", "w.w2")
-    one = materialize(one, "strings")
-    twice = materialize(one.groupBy("h", "w1", "w2").count().where("count > 1").select("h", "w1", "w2"), "twice")
-    return one.join(twice, ["h", "w1", "w2"]).select("h", "sh", F.col("at").alias("lo"), F.col("at").alias("hi"))
+                wide, long_ = pa.list_(pa.int64()), pa.int64()
+                kinds = (long_, long_, pa.bool_(), long_, long_, wide, wide)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5_000]), kinds)], ["h", "sh", "again", "core", "lo", "w1", "w2"])
+
+    times = F.sum(F.when(F.col("again"), 2).otherwise(1))
+    shape = "h bigint, sh bigint, again boolean, core bigint, lo bigint, w1 array<bigint>, w2 array<bigint>"
+    groups = materialize(snips.select("h", "sh", "again", "data").dropDuplicates(["h", "sh"]).mapInArrow(run, shape), "groups")
+    cores = materialize(groups.groupBy("h", "core").agg(times.alias("n")).where("n > 1").select("h", "core"), "cores")
+    one = groups.join(cores, ["h", "core"]).select("h", "sh", "again", "lo", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w"))
+    one = materialize(one.select("h", "sh", "again", (F.col("lo") + F.col("i")).alias("at"), "w.w1", "w.w2"), "strings")
+    twice = materialize(one.groupBy("h", "w1", "w2").agg(times.alias("n")).where("n > 1").select("h", "w1", "w2"), "twice")
+    out = materialize(one.join(twice, ["h", "w1", "w2"]).select("h", "sh", F.col("at").alias("lo"), F.col("at").alias("hi")), "crowded")
+    for used in (groups, cores, one, twice):
+        release(used)
+    return out
 
 
 def repeat_starts(docs: DataFrame, length: int) -> DataFrame:
@@ -190,24 +227,28 @@ def repeat_starts(docs: DataFrame, length: int) -> DataFrame:
     k1, k2 = text_key()
     keyed = docs.select(k1, k2, F.xxhash64("doc_id").alias("did"), "text")
     all_of = materialize(_all_snippets(keyed, length), "snippets")
-    by_hash = all_of.groupBy("h").agg(F.count("*").alias("n"), (F.min("sh") == F.max("sh")).alias("pure"))
-    often = materialize(by_hash.where("n > 1").select("h", "pure"), "often")
+    often = all_of.groupBy("h").count().where("count > 1").select("h")
     kept = materialize(all_of.join(often, "h"), "kept")
-    mixed = kept.where("NOT pure")
-    kinds = materialize(mixed.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "did", "s0", "s1")).alias("at")), "kinds")
-    crowd = materialize(kinds.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("hot")), "crowd")
-    want = kinds.join(crowd, "h", "left").select("at.k1", "at.k2", "at.did", F.struct("h", "sh", "at.s0", "at.s1", F.coalesce("hot", F.lit(False)).alias("hot")).alias("w"))
-    wants = materialize(want.groupBy("k1", "k2", "did").agg(F.collect_list("w").alias("wants")), "wants")
+    release(all_of)
+    kinds = materialize(kept.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "did", "s0", "s1")).alias("at")), "kinds")
+    places = materialize(kept.select("k1", "k2", "h", "sh", "s0").distinct(), "places")
+    release(kept)
+    crowd = kinds.groupBy("h").count().where(F.col("count") > CROWD).select("h", F.lit(True).alias("hot"))
+    snip = F.struct("h", "sh", "at.s0", "at.s1", (F.col("n") > 1).alias("again"), F.coalesce("hot", F.lit(False)).alias("hot"))
+    wants = kinds.join(crowd, "h", "left").select("at.k1", "at.k2", "at.did", snip.alias("w")).groupBy("k1", "k2", "did").agg(F.collect_list("w").alias("wants"))
     snips = materialize(_cut(keyed.join(wants, ["k1", "k2", "did"]), length), "cut")
-    size = snips.agg(F.sum(F.when(~F.col("hot"), F.length("data")))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
-    found = _sorted_shards(snips.where("NOT hot"), length, shards).union(_crowded(snips.where("hot"), length))
-    found = materialize(found, "found")
-    single = kinds.where("n = 1").join(found, ["h", "sh"]).select("at.k1", "at.k2", (F.col("at.s0") + F.col("lo")).alias("lo"), (F.col("at.s0") + F.col("hi")).alias("hi"))
-    several = mixed.join(kinds.where("n > 1").select("h", "sh"), ["h", "sh"]).select("k1", "k2", F.col("s0").alias("lo"), F.col("s1").alias("hi"))
-    same = kept.where("pure").select("k1", "k2", F.col("s0").alias("lo"), F.col("s1").alias("hi"))
-    every = same.union(several).union(single).distinct()
-    return materialize(every.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    release(kinds)
+    sums = snips.agg(F.sum(F.when(~F.col("hot"), F.length("data"))).alias("size"), F.bool_or("hot").alias("hot")).first()
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums.size or 0) // SHARD_BYTES))
+    found = materialize(_sorted_shards(snips.where("NOT hot"), length, shards), "found")
+    crowded = _crowded(snips.where("hot"), length) if sums.hot else None
+    release(snips)
+    runs = found.union(crowded) if crowded is not None else found
+    every = places.join(runs, ["h", "sh"]).select("k1", "k2", (F.col("s0") + F.col("lo")).alias("lo"), (F.col("s0") + F.col("hi")).alias("hi")).distinct()
+    spans = materialize(every.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans")
+    for used in (places, found, *([crowded] if crowded is not None else [])):
+        release(used)
+    return spans
 
 
 def merge_spans(spans, length: int) -> list[tuple[int, int]]:
@@ -230,7 +271,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, as_text: bool = False) ->
     Every byte goes that is covered by a string of ``length`` UTF-8 bytes that also
     starts anywhere else in ``docs``, the same text included.  Matches do not cross
     texts, overlaps count, and strings are judged on the input.  ``length`` is at
-    least twice GRAM.
+    least 64.
 
     A null text is empty, texts shorter than ``length`` are kept whole, and texts of
     any length are worked on whole.  Repeated rows and repeated doc_ids are rows like
@@ -238,8 +279,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, as_text: bool = False) ->
     doc_ids are kept.  An empty table gives no rows; other columns, whatever their
     names, are only carried in ``doc``.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
+    if length < 64:
+        raise ValueError("length must be at least 64")
     spans = repeat_starts(docs, length)
     k1, k2 = text_key()
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))

@@ -164,8 +164,12 @@ def test_top_k(spark, monkeypatch):
         assert got == sorted(want)
 
 
-@pytest.mark.parametrize("options", [{}, {"base": 2, "memory": 5, "block": 3}])
-def test_suffix_sorting_in_memory_and_on_disk(options):
+@pytest.mark.parametrize("step", [4096, 6])
+@pytest.mark.parametrize("options", [{}, {"base": 2, "memory": 5, "block": 3}, {"base": 2, "memory": 1000, "block": 100}])
+def test_suffix_sorting_in_memory_and_on_disk(options, step, monkeypatch):
+    """Order and common prefixes equal sorting, with names sorted in memory or in turn, queues in memory or on disk."""
+    monkeypatch.setattr(induced, "STEP", step)
+    monkeypatch.setattr(induced, "LEAST", 2)
     random.seed(5)
     for _ in range(400):
         unit = [random.randint(1, random.choice([1, 2, 3, 50])) for _ in range(random.randint(0, 50))]
@@ -181,7 +185,27 @@ def test_suffix_sorting_in_memory_and_on_disk(options):
         assert (list(got[0]), list(got[1])) == (order, common)
 
 
-@pytest.mark.parametrize("crowd", [160, 2])
+def test_a_long_text_is_sorted_on_disk():
+    """A shard far larger than the memory of its sort: names are sorted in turn and queues spill."""
+    rng = random.Random(9)
+    words_ = ["".join(rng.choices("abcdefg", k=rng.randint(2, 7))) for _ in range(300)]
+    data = " ".join(rng.choices(words_, k=40_000)).encode()
+    data += data[5_000:9_000] + data[100:700] + data[-300:]
+    text = np.append(np.frombuffer(data, np.uint8).astype(np.int16) + 2, np.int16(0))
+    disk = []
+    made = induced.Disk
+    try:
+        induced.Disk = lambda *a: disk.append(made(*a)) or disk[-1]
+        hit = induced.repeated(text, 100, memory=1000, base=500, block=4096)
+    finally:
+        induced.Disk = made
+    seen = collections.Counter(data[i : i + 100] for i in range(len(data) - 99))
+    want = [seen[data[i : i + 100]] > 1 for i in range(len(data) - 99)]
+    assert hit[: len(want)].tolist() == want
+    assert len(disk) > 2 and disk[0].spilled > len(text) // 2
+
+
+@pytest.mark.parametrize("crowd", [2048, 2])
 def test_repeats_are_removed(docs, rows, crowd, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
     got = collections.Counter((r.doc.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, 400).collect())
