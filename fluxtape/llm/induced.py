@@ -39,14 +39,28 @@ FAN = 8
 STEP, LEAST = 4096, 64
 
 
+class Segment:
+    """A working file of entries, which goes when no piece lies in it any more."""
+
+    def __init__(self):
+        self.file, self.end = tempfile.TemporaryFile(), 0
+
+    def write(self, entries: np.ndarray) -> int:
+        self.file.seek(self.end)
+        entries.tofile(self.file)
+        self.file.flush()
+        at, self.end = self.end, self.end + entries.nbytes
+        return at
+
+
 class Disk:
-    """The working memory of one sort: a budget of queue entries, and a file for what is beyond it."""
+    """The working memory of one sort: a budget of queue entries, and files for what is beyond it."""
 
     def __init__(self, memory: int, n: int):
         self.memory, self.left, self.spilled = memory, memory, 0
-        place = "<i4" if n < 1 << 31 else "<i8"
-        self.entry = np.dtype([("pos", place), ("lcp", "<i4")])  # a suffix, and its common prefix with the one before it
-        self.file, self.end = None, 0
+        self.place = np.dtype("<i4" if n < 1 << 31 else "<i8")
+        self.entry = np.dtype([("pos", self.place), ("lcp", "<i4")])  # a suffix, and its common prefix with the one before it
+        self.segment = None
 
     def array(self, count: int, dtype) -> np.ndarray:
         """An array of undefined values, mapped from disk if it is longer than the budget."""
@@ -56,33 +70,25 @@ class Disk:
             f.truncate(count * np.dtype(dtype).itemsize)
             return np.memmap(f, dtype, "r+", shape=(count,))
 
-    def write(self, entries: np.ndarray) -> int:
-        if self.file is None:
-            self.file = tempfile.TemporaryFile()
-        self.file.seek(self.end)
-        entries.tofile(self.file)
-        self.file.flush()
-        at, self.end = self.end, self.end + entries.nbytes
+    def write(self, entries: np.ndarray) -> tuple[Segment, int]:
+        if self.segment is None or self.segment.end > self.memory * self.entry.itemsize:
+            self.segment = Segment()
         self.spilled += len(entries)
-        return at
-
-    def read(self, at: int, count: int) -> np.ndarray:
-        self.file.seek(at)
-        return np.fromfile(self.file, self.entry, count)
+        return self.segment, self.segment.write(entries)
 
 
 class Piece:
     """Entries that stay in memory while the budget lasts."""
 
-    __slots__ = ("disk", "data", "at")
+    __slots__ = ("disk", "data", "segment", "at")
 
     def __init__(self, disk: Disk, entries: np.ndarray):
-        self.disk, self.data, self.at = disk, None, 0
+        self.disk, self.data, self.segment, self.at = disk, None, None, 0
         if len(entries) <= disk.left:
             disk.left -= len(entries)
             self.data = entries
         else:
-            self.at = disk.write(entries)
+            self.segment, self.at = disk.write(entries)
 
     def __del__(self):
         if self.data is not None:
@@ -91,7 +97,8 @@ class Piece:
     def read(self, lo: int, hi: int) -> np.ndarray:
         if self.data is not None:
             return self.data[lo:hi]
-        return self.disk.read(self.at + lo * self.disk.entry.itemsize, hi - lo)
+        self.segment.file.seek(self.at + lo * self.disk.entry.itemsize)
+        return np.fromfile(self.segment.file, self.disk.entry, hi - lo)
 
 
 class Sequence:
@@ -124,6 +131,11 @@ class Sequence:
             self._add(piece, a + lo - begin, a + upto - begin)
             lo, k = upto, k + 1
 
+    def forget(self, lo: int, hi: int) -> None:
+        """Let go of what lies outside of a range."""
+        for k in [*range(bisect.bisect_right(self.ends, lo)), *range(bisect.bisect_left(self.ends, hi) + 1, len(self.parts))]:
+            self.parts[k] = None
+
     def _ranges(self, size: int, back: bool) -> Iterator[list[tuple[Piece, int, int]]]:
         held, have = [], 0
         for piece, lo, hi in reversed(self.parts) if back else self.parts:
@@ -229,6 +241,11 @@ class Heap:
         self.passed += 1
         if self.passed % FAN == 0:
             self.runs = [r for r in self.runs if r.symbols[-1] > high or r.symbols[0] < low]
+            for r in self.runs:
+                left = self.counts[r.symbols] > 0
+                if left[0] != left[-1]:
+                    at = int(left.argmax()) if left[-1] else int(left.argmin())
+                    r.entries.forget(*((int(r.ends[at]), r.entries.count) if left[-1] else (0, int(r.ends[at]))))
             self.runs = [r for r in self.runs if self.counts[r.symbols[0]] or self.counts[r.symbols[-1]]]
 
     def pop(self, symbol: int) -> Sequence:
@@ -245,7 +262,7 @@ class Heap:
 def _types(disk: Disk, text: np.ndarray, limit: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether each suffix is S-type, and the length (up to the limit) of the run of one symbol it starts with."""
     n = len(text)
-    small, run = disk.array(n, bool), disk.array(n, np.int32)
+    small, run = disk.array(n, bool), disk.array(n, np.int16 if limit < 1 << 15 else np.int32)
     small[n - 1], run[n - 1] = True, 1
     hi = n - 1
     while hi > 0:
@@ -316,7 +333,7 @@ def _named(disk: Disk, text: np.ndarray, small: np.ndarray, stars: np.ndarray, s
     counts = np.zeros(sigma * sigma if two else sigma, np.int64)
     for lo in spots:
         counts += np.bincount(keys(lo), minlength=len(counts))
-    names, distinct, done, key = disk.array(m, np.int64), True, 0, 0
+    names, distinct, done, key = disk.array(m, disk.place), True, 0, 0
     before = np.r_[0, np.cumsum(counts)]
     while done < m:
         upto = max(int(np.searchsorted(before, done + block, side="right")) - 1, key + 1)
@@ -400,7 +417,7 @@ def _stars(disk: Disk, text: np.ndarray, small: np.ndarray, sigma: int, limit: i
     spots = range(1, len(text), block)
     new = lambda lo: np.flatnonzero(small[lo : lo + block] & ~small[lo - 1 : min(lo + block, len(text)) - 1]) + lo
     m = sum(len(new(lo)) for lo in spots)
-    stars, at = disk.array(m, np.int64), 0
+    stars, at = disk.array(m, disk.place), 0
     for lo in spots:
         found = new(lo)
         stars[at : at + len(found)] = found
@@ -410,7 +427,7 @@ def _stars(disk: Disk, text: np.ndarray, small: np.ndarray, sigma: int, limit: i
     names, distinct = _named(disk, text, small, stars, sigma, block)
     half = limit // 2 + 2  # S* suffixes are two symbols apart at least
     if distinct:
-        order, shared = disk.array(m, np.int64), disk.array(m, np.int32)
+        order, shared = disk.array(m, disk.place), disk.array(m, np.int32)
         shared[:] = 0
         for lo in range(0, m, block):
             part = names[lo : lo + block]
@@ -418,7 +435,7 @@ def _stars(disk: Disk, text: np.ndarray, small: np.ndarray, sigma: int, limit: i
     elif m <= base:
         order, shared = _doubling(np.asarray(names), half)
     else:  # the last S*-substring is the end mark, the smallest, so names end with their own end mark
-        order, shared = disk.array(m, np.int64), disk.array(m + 1, np.int32)  # shared[i + 1] belongs to order[i] and order[i + 1]
+        order, shared = disk.array(m, disk.place), disk.array(m + 1, np.int32)  # shared[i + 1] belongs to order[i] and order[i + 1]
         place = m
 
         def emit(pos: np.ndarray, lcp: np.ndarray) -> None:
@@ -428,13 +445,14 @@ def _stars(disk: Disk, text: np.ndarray, small: np.ndarray, sigma: int, limit: i
             place -= len(pos)
 
         sort_suffixes(names, half, memory, base, block, emit)
-    found, common = disk.array(m, np.int64), disk.array(m, np.int32)
+    del names
+    found, common = disk.array(m, disk.place), disk.array(m, np.int32)
     for lo in range(0, m, block):
         hi = min(lo + block, m)
         found[lo:hi] = stars[order[lo:hi]]
-        a = np.asarray(order[np.maximum(np.arange(lo, hi) - 1, 0)])
+        a = np.asarray(order[np.maximum(np.arange(lo, hi) - 1, 0)], np.int64)
         least = stars[np.minimum(a + shared[lo:hi], m - 1)] - stars[a]
-        common[lo:hi] = _extend(text, np.asarray(stars[a]), np.asarray(found[lo:hi]), least, limit)
+        common[lo:hi] = _extend(text, np.asarray(stars[a], np.int64), np.asarray(found[lo:hi], np.int64), least.astype(np.int64), limit)
     common[0] = 0
     return found, common
 
@@ -619,6 +637,7 @@ class _Sort:
         """Induce the S-type suffixes and put all, from the largest to the smallest."""
         heap, at = Heap(self.disk, self.sigma, self.block), len(self.symbols) - 1
         sizes, self.ends, self.step = self.larges[1:].copy(), np.cumsum(self.larges), STEP
+        self.stars = self.shared = None
         while at > 0:
             n = min(self._reach(heap, sizes, at, -1), at)
             done = self._down_step(heap, at, n, put) if n > 1 else 0
@@ -628,6 +647,8 @@ class _Sort:
                 self._down_one(heap, int(self.symbols[at]), put)
                 done = 1
             at -= done
+            if self.large.count:
+                self.large.forget(0, int(self.ends[self.symbols[at] + 1]))
         put(np.array([len(self.text) - 1]), np.zeros(1, np.int64))
 
     def _large_part(self, low: int, high: int) -> Sequence:

@@ -36,10 +36,10 @@ from .scratch import materialize, release, text_key
 CROWD = 2048
 #: Neighbouring strings whose common bytes are compared first, in crowded hashes.
 GROUP = 16
-#: Bytes of one shard, about; there are fewer to a shard where the session asks for more shuffle partitions.
-SHARD_BYTES = 1 << 26
+#: Bytes of one shard, about, and shards for each shuffle partition at least.  A sort takes about 14 bytes of disk a byte.
+SHARD_BYTES, SPREAD = 1 << 26, 3
 #: Queue entries that a sort keeps in memory, and names that it sorts there; the rest is on disk or sorted in turn.
-MEMORY, BASE = 1 << 20, 1 << 20
+MEMORY, BASE = 1 << 18, 1 << 20
 #: String starts that are worked on at a time in a very long text.
 STRETCH = 1 << 22
 
@@ -239,7 +239,7 @@ def repeat_starts(docs: DataFrame, length: int) -> DataFrame:
     snips = materialize(_cut(keyed.join(wants, ["k1", "k2", "did"]), length), "cut")
     release(kinds)
     sums = snips.agg(F.sum(F.when(~F.col("hot"), F.length("data"))).alias("size"), F.bool_or("hot").alias("hot")).first()
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums.size or 0) // SHARD_BYTES))
+    shards = max(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sums.size or 0) // SHARD_BYTES))
     found = materialize(_sorted_shards(snips.where("NOT hot"), length, shards), "found")
     crowded = _crowded(snips.where("hot"), length) if sums.hot else None
     release(snips)
