@@ -28,6 +28,7 @@ nothing that another task reads, and vanish with it.
 from __future__ import annotations
 
 import bisect
+import os
 import tempfile
 from collections.abc import Iterator
 
@@ -43,15 +44,21 @@ class Segment:
     """A working file of entries, which goes when no piece lies in it any more."""
 
     def __init__(self):
-        self.file, self.end = tempfile.TemporaryFile(), 0
+        self.file, self.end = tempfile.TemporaryFile(buffering=0), 0
 
     def write(self, entries: np.ndarray) -> int:
-        self.file.seek(self.end)
-        entries.tofile(self.file)
-        self.file.flush()
-        at, self.end = self.end, self.end + entries.nbytes
+        data, at = memoryview(np.ascontiguousarray(entries)).cast("B"), self.end
+        while len(data):
+            n = os.pwrite(self.file.fileno(), data, self.end)
+            data, self.end = data[n:], self.end + n
         return at
 
+    def read(self, at: int, count: int, kind: np.dtype) -> np.ndarray:
+        data = bytearray()
+        while len(data) < count * kind.itemsize:
+            data += os.pread(self.file.fileno(), count * kind.itemsize - len(data), at + len(data))
+        return np.frombuffer(data, kind)
+
 
 class Disk:
     """The working memory of one sort: a budget of queue entries, and files for what is beyond it."""
@@ -97,8 +104,8 @@ class Piece:
     def read(self, lo: int, hi: int) -> np.ndarray:
         if self.data is not None:
             return self.data[lo:hi]
-        self.segment.file.seek(self.at + lo * self.disk.entry.itemsize)
-        return np.fromfile(self.segment.file, self.disk.entry, hi - lo)
+        kind = self.disk.entry
+        return self.segment.read(self.at + lo * kind.itemsize, hi - lo, kind)
 
 
 class Sequence:
@@ -445,6 +452,7 @@ def _stars(disk: Disk, text: np.ndarray, small: np.ndarray, sigma: int, limit: i
             place -= len(pos)
 
         sort_suffixes(names, half, memory, base, block, emit)
+        shared[0] = 0
     del names
     found, common = disk.array(m, disk.place), disk.array(m, np.int32)
     for lo in range(0, m, block):
