@@ -7,9 +7,12 @@ the class prior, is toxic too.  With the logistic loss l, the risk is
 
 and where the second term would turn negative its gradient is reversed, so the model
 can't gain by memorising unlabelled texts as clean.  The model is a numpy linear
-scorer over hashed words and word prefixes.  Features that are not clearly commoner
-among toxic texts than among unlabelled ones are left out, which keeps long clean
-texts from adding up many small weights.
+scorer over hashed words and word prefixes.  Its features are those whose excess among
+toxic texts is larger than chance gives to the luckiest of so many features (a
+likelihood ratio against twice the logarithm of their number), and the FEWEST best ones
+in any case; what evidence is asked of a feature so follows the sample by itself.  They
+must also be several times commoner among toxic texts than among unlabelled ones, for
+long clean texts would else add up many small weights.
 """
 
 from __future__ import annotations
@@ -25,8 +28,8 @@ from .features import chunks, distinct, sigmoid, word_features
 
 #: Bounds of the training sample: confirmed toxic texts and unlabelled texts.
 POSITIVES, UNLABELLED = 3000, 9000
-#: Features of the model, at most.
-KEPT = 4096
+#: Features of the model, at most and at least.
+KEPT, FEWEST = 4096, 64
 
 
 @dataclass
@@ -55,22 +58,60 @@ class Model:
         return sigmoid(out)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 800, rate: float = 0.5, decay: float = 1e-4) -> Model:
+_ODD = np.random.default_rng(5).integers(0, 1 << 31, 12, np.uint32) * np.uint32(2) + np.uint32(1)
+
+
+def _without_copies(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """The first of texts with nearly the same features, by three keys of four minima each: copies are no further evidence."""
+    seen, out = set(), []
+    for features in texts:
+        if len(features):
+            low = (features * _ODD[:, None] ^ (features >> np.uint32(15)) * _ODD[::-1, None]).min(axis=1).reshape(3, 4)
+            keys = {(i, *k) for i, k in enumerate(low.tolist())}
+            if keys & seen:
+                continue
+            seen |= keys
+        out.append(features)
+    return out
+
+
+def _excess(p_n: np.ndarray, u_n: np.ndarray, p_all: int, u_all: int) -> np.ndarray:
+    """Likelihood ratio (twice its logarithm) of a feature's rate among toxic texts being its own; 0 where it is not higher."""
+    whole = (p_n + u_n + 0.5) / (p_all + u_all + 1)
+
+    def gain(n: np.ndarray, of: int) -> np.ndarray:
+        rate = np.clip(n / of, 1e-9, 1 - 1e-9)
+        return n * np.log(rate / whole) + (of - n) * np.log((1 - rate) / (1 - whole))
+
+    return np.where(p_n / p_all > u_n / u_all, 2 * (gain(p_n, p_all) + gain(u_n, u_all)), 0.0)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 800, rate: float = 0.5, decay: float = 1e-3) -> Model:
     """Train from the distinct features of each text; without toxic texts everything is clean."""
     if not positive or not unlabelled:
         return Model(np.zeros(0, np.uint32), np.zeros(0), -4.0)
+    positive, unlabelled = _without_copies(positive), _without_copies(unlabelled)
     p_all, p_n = np.unique(np.concatenate(positive), return_counts=True)
     u_all, u_n = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.minimum(np.searchsorted(u_all, p_all), len(u_all) - 1)
-    in_u = np.where(u_all[at] == p_all, u_n[at], 0)
-    p_rate, u_rate = p_n / len(positive), (in_u + 0.5) / len(unlabelled)
-    sure = np.maximum(p_rate - 3 * np.sqrt(p_rate / len(positive)), 0)  # three deviations down
-    lift = sure / (u_rate + 3 * np.sqrt(u_rate / len(unlabelled)))
-    order = np.argsort(-lift, kind="stable")[:KEPT]
+    if not len(p_all):
+        return Model(np.zeros(0, np.uint32), np.zeros(0), -4.0)
+    in_u = np.zeros(len(p_all), np.int64)
+    if len(u_all):
+        at = np.minimum(np.searchsorted(u_all, p_all), len(u_all) - 1)
+        in_u = np.where(u_all[at] == p_all, u_n[at], 0)
+    excess = _excess(p_n, in_u, len(positive), len(unlabelled))
     # a feature of toxic texts alone has a lift of 1 / prior, one that says nothing has 1: cut half-way
-    features = np.sort(p_all[order[(lift[order] > prior**-0.5) & (p_n[order] >= 8)]])
+    lift = (p_n / len(positive)) / ((in_u + np.sqrt(in_u)) / len(unlabelled) + 1e-12)
+    excess[lift < prior**-0.5] = 0
+    order = np.argsort(-excess, kind="stable")[:KEPT]
+    sure = max(int((excess[order] > 2 * np.log(len(p_all))).sum()), FEWEST)
+    best = order[:sure][excess[order[:sure]] > 0]
+    features = np.sort(p_all[best])
     if not len(features):
         return Model(features, np.zeros(0), -4.0)
+    # where a feature is of toxic texts alone, its rates tell the share of toxic texts among the unlabelled ones
+    share = (in_u[best].sum() / len(unlabelled)) / (p_n[best].sum() / len(positive))
+    prior = min(max(share, 0.005), prior)
 
     def rows(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         all_of = np.concatenate(lists)
@@ -102,36 +143,61 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on rows outside the held-out third; labels are used for confirmed toxic rows and the prior."""
-    known = labels.where(~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    counts = known.agg(F.count("toxic").alias("n"), F.sum("toxic").alias("toxic")).first()
-    prior = min(max((counts.toxic or 0) / max(counts.n, 1), 0.005), 0.5)
-    toss = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    some = known.where("toxic = 1").where(toss <= _share(POSITIVES, counts.toxic or 0)).select("doc_id", F.lit(1).alias("toxic_row")).limit(POSITIVES)
-    total = docs.count()
-    rows = docs.where(~held_out()).select("doc_id", "text").join(F.broadcast(some), "doc_id", "left")  # POSITIVES rows at most
-    rows = rows.where(F.col("toxic_row").isNotNull() | (toss <= _share(UNLABELLED, total * 2 // 3)))
+def _sampled(docs: DataFrame, some: DataFrame, most: int) -> DataFrame:
+    """``toxic``, ``toss``, ``features``: the distinct features of the training texts, one row for equal tosses of a task."""
+    toss = F.pmod(F.xxhash64("doc_id", "text"), F.lit(_TOSS))
+    rows = docs.where(~held_out()).select("doc_id", "text", toss.alias("toss")).join(F.broadcast(some), "doc_id", "left")  # POSITIVES rows at most
+    rows = rows.where(F.col("toxic").isNotNull() | (F.col("toss") <= most)).select(F.coalesce("toxic", F.lit(0)).alias("toxic"), "toss", "text")
 
     def run(batches):
+        seen = set()
         for batch in batches:
+            keys = list(zip(batch.column("toxic").to_pylist(), batch.column("toss").to_pylist()))
+            fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             for lo, hi in chunks(texts):
                 row, feature = distinct(*word_features(texts[lo:hi]))
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1))
                 lists = pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(feature.view(np.int32))).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic_row").slice(lo, hi - lo), lists], ["toxic_row", "features"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in ("toxic", "toss")), lists], ["toxic", "toss", "features"])
+
+    return rows.mapInArrow(run, "toxic int, toss bigint, features array<int>")
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Fit on rows outside the held-out third; labels are used for confirmed toxic rows and the prior.
+
+    The sample follows from hashes of the rows, not from their order, and one task fits
+    the model from it: about POSITIVES and UNLABELLED texts, however many there are.
+    """
+    known = labels.where(~held_out() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    counts = known.agg(F.count("toxic").alias("n"), F.sum("toxic").alias("toxic")).first()
+    prior = min(max((counts.toxic or 0) / max(counts.n, 1), 0.005), 0.5)
+    some = known.where("toxic = 1").select("doc_id", F.lit(1).alias("toxic"), F.xxhash64("doc_id").alias("o")).orderBy("o").limit(POSITIVES).drop("o")
+    most = _share(UNLABELLED, docs.count() * 2 // 3)
+
+    def run(batches):
+        texts = {}
+        for batch in batches:
+            for toxic, toss, features in zip(batch.column("toxic").to_pylist(), batch.column("toss").to_pylist(), batch.column("features")):
+                texts[toxic, toss] = features.values.to_numpy().view(np.uint32)
+        order = sorted(texts)
+        model = fit([texts[k] for k in order if k[0]], [texts[k] for k in order if not k[0]], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.features.astype(np.int64)]), pa.array([model.weights]), pa.array([model.bias])], ["features", "weights", "bias"])
+
+    fitted = _sampled(docs, some, most).repartition(1).mapInArrow(run, "features array<bigint>, weights array<double>, bias double").first()
+    if fitted is None:
+        return fit([], [], prior)
+    return Model(np.array(fitted.features, np.uint32), np.array(fitted.weights, float), fitted.bias)
+
 
-    found = rows.mapInArrow(run, "toxic_row int, features array<int>").limit(POSITIVES + UNLABELLED * 2).toArrow()
-    lists = found.column("features").combine_chunks()
-    flat, offsets = lists.values.to_numpy().view(np.uint32), lists.offsets.to_numpy()
-    each = [flat[a:b] for a, b in zip(offsets, offsets[1:])]
-    toxic = found.column("toxic_row").is_valid().to_pylist()
-    return fit([x for x, t in zip(each, toxic) if t], [x for x, t in zip(each, toxic) if not t], prior)
+#: Values of the hash that a row is drawn by.
+_TOSS = 1 << 40
 
 
 def _share(wanted: int, of: int) -> int:
-    return (1 << 20) if of <= wanted else int(wanted / of * (1 << 20))
+    return _TOSS if of <= wanted else int(wanted / of * _TOSS)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
