@@ -98,18 +98,25 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, np.uint64).view(np.int64)
 
 
+def _texts(column: pa.Array):
+    """The texts of a column as bytes, one at a time: a list of all would double a batch."""
+    column = column.cast(pa.binary())
+    for i in range(len(column)):
+        yield column[i].as_py()
+
+
 def _all_snippets(keyed: DataFrame, length: int) -> DataFrame:
     def run(batches):
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
-            for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            for i, text in enumerate(_texts(batch.column("text"))):
                 if text is not None and len(text) >= length:
                     owner, first, last, h = snippets(text, length)
-                    same = [digest(text[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]
-                    for col, x in zip(cols, (np.full(len(h), i), owner - first, first, last, h)):
+                    view = memoryview(text)
+                    same = [digest(view[a : b + length]) for a, b in zip(first.tolist(), last.tolist())]
+                    for col, x in zip(cols, (np.full(len(h), i), _signed(same), first, last, h)):
                         col.append(x)
-                    cols[1][-1] = _signed(same)
             if cols[0]:
                 row, sh, first, last, h = (np.concatenate(c) for c in cols)
                 keys = [batch.column(k).take(pa.array(row)) for k in ("k1", "k2", "did")]
@@ -118,18 +125,33 @@ def _all_snippets(keyed: DataFrame, length: int) -> DataFrame:
     return keyed.mapInArrow(run, "k1 bigint, k2 bigint, did bigint, h bigint, sh bigint, s0 bigint, s1 bigint")
 
 
+#: Bytes of snippets that go out in one batch.
+OUT_BYTES = 1 << 23
+
+
 def _cut(wanted: DataFrame, length: int) -> DataFrame:
     """The bytes of the wanted snippets, from rows that hold a text and a list of them."""
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for text, wants in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("wants").to_pylist()):
-                rows += [(w["h"], w["sh"], w["again"], w["hot"], text[w["s0"] : w["s1"] + length]) for w in wants]
-            for at in range(0, len(rows), 20_000):
-                cols = zip(*rows[at : at + 20_000])
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h", "sh", "again", "hot", "data"])
+            lists = batch.column("wants")
+            flat, ends = lists.flatten(), np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+            begin, until = flat.field("s0").to_numpy(), flat.field("s1").to_numpy() + length
+            held, size, at = [], 0, 0
+
+            def out():
+                part = flat.slice(at, len(held))
+                return pa.RecordBatch.from_arrays([*(part.field(c) for c in ("h", "sh", "again", "hot")), pa.array(held, pa.binary())], ["h", "sh", "again", "hot", "data"])
+
+            for text, lo, hi in zip(_texts(batch.column("text")), [0, *ends[:-1].tolist()], ends.tolist()):
+                for a, b in zip(begin[lo:hi].tolist(), until[lo:hi].tolist()):
+                    held.append(text[a:b])
+                    size += len(held[-1])
+                    if size > OUT_BYTES:
+                        yield out()
+                        at, held, size = at + len(held), [], 0
+            if held:
+                yield out()
 
     return wanted.select("text", "wants").mapInArrow(run, "h bigint, sh bigint, again boolean, hot boolean, data binary")
 
@@ -288,16 +310,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, as_text: bool = False) ->
     kind = docs.select(whole.alias("doc")).schema["doc"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
-            made = []
-            for text, found in zip(batch.column("own").cast(pa.binary()).to_pylist(), batch.column("spans").to_pylist()):
-                text = text or b""
-                gone = merge_spans([(s["lo"], s["hi"]) for s in found or ()], length)
-                ends = [0, *(b for _, b in gone)]
-                kept = b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in gone), len(text)]))
-                made.append((len(text), len(text) - len(kept), len(gone), kept.decode("utf-8", "ignore") if as_text else kept))
-            cols = zip(*made) if made else ([], [], [], [])
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch, made = whole.slice(at, 500), []
+                for text, found in zip(_texts(batch.column("own")), batch.column("spans").to_pylist()):
+                    text = text or b""
+                    gone = merge_spans([(s["lo"], s["hi"]) for s in found or ()], length)
+                    ends = [0, *(b for _, b in gone)]
+                    kept = b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in gone), len(text)]))
+                    made.append((len(text), len(text) - len(kept), len(gone), kept.decode("utf-8", "ignore") if as_text else kept))
+                cols = zip(*made)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if as_text else pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return rows.mapInArrow(run, f"doc {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept {"string" if as_text else "binary"}")
