@@ -287,6 +287,12 @@ def replace_subtree(target: DataFrame, source: DataFrame, path: str) -> DataFram
     return remove(target, path).unionByName(source.where(below(F.col("path"), parse_path(path))).select(*target.columns))
 
 
+def merge(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Cells of both; where both hold a path, that of the second."""
+    ours = first.join(second.select("file_id", "path"), ["file_id", "path"], "left_anti")
+    return ours.select(*first.columns).unionByName(second.select(*first.columns))
+
+
 def updated_directory(line_counts: DataFrame, old: DataFrame, nwd: DataFrame) -> DataFrame:
     """``file_id, i, mf, mt, nc, mod`` from counted lines of sections.
 

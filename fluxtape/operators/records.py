@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import WIDTH, counted, fort_float, fort_int, int_field
 
 #: Values that fit a packed-integer line, by digits.
-PACKED = {2: 18, 3: 13, 4: 11, 5: 9, 6: 8}
+PACKED = {2: 18, 3: 14, 4: 11, 5: 9, 6: 8}
 
 
 def control(mat: Column, mf: Column, mt: Column) -> Column:
@@ -49,13 +49,27 @@ def read_dir(line: Column) -> dict[str, Column]:
 
 
 def packed_body(ii: Column, jj: Column, values: Column, digits: int) -> Column:
-    """II and JJ in five columns each, then values of ``digits`` places and a sign; zero is blank."""
-    wide = digits + 1
-    text = F.array_join(F.transform(F.slice(values, 1, PACKED[digits]), lambda v: F.when(v == 0, F.lit(" " * wide)).otherwise(F.lpad(v.cast("string"), wide, " "))), "")
-    return F.rpad(F.concat(int_field(ii, 5), int_field(jj, 5), F.lit("" if digits == 6 else " "), text), 66, " ")
+    """II and JJ in five columns each, then values of ``digits`` places and a sign.
+
+    Fourteen values of three digits take a column more than the 66 of a line's body.
+    """
+    if digits not in PACKED:
+        raise ValueError(f"a packed line has 2 to 6 digits, not {digits}")
+    text = F.array_join(F.transform(F.slice(values, 1, PACKED[digits]), lambda v: F.lpad(v.cast("string"), digits + 1, " ")), "")
+    body = F.concat(int_field(ii, 5), int_field(jj, 5), F.lit("" if digits == 6 else " "), text)
+    return F.when(F.length(body) > 66, body).otherwise(F.rpad(body, 66, " "))
+
+
+def packed_parts(values: Column, digits: int) -> Column:
+    """Values in groups that fit one packed line each; the last may be shorter."""
+    wide = PACKED[digits]
+    count = F.ceil(F.size(values) / F.lit(wide)).cast("int")
+    return F.transform(counted(F.lit(0), count - 1), lambda i: F.slice(values, i * wide + 1, F.lit(wide)))
 
 
 def read_packed(line: Column, digits: int) -> dict[str, Column]:
+    if digits not in PACKED:
+        raise ValueError(f"a packed line has 2 to 6 digits, not {digits}")
     wide, first = digits + 1, 11 if digits == 6 else 12
     values = F.transform(F.sequence(F.lit(0), F.lit(PACKED[digits] - 1)), lambda k: fort_int(F.substr(line, F.lit(first) + k * F.lit(wide), F.lit(wide))))
     return {"ii": fort_int(F.substring(line, 1, 5)), "jj": fort_int(F.substring(line, 6, 5)), "values": values}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import fort_float
 from .records import read_control
 
 SECTION = ["file_id", "mat", "mf", "mt"]
@@ -52,6 +53,11 @@ def sections(lines: DataFrame) -> DataFrame:
     return grouped.select(*SECTION, F.get("parts", F.lit(0))["ofs"].alias("first_ofs"), F.size("parts").alias("n_lines"), F.transform("parts", lambda p: p["raw"]).alias("lines"))
 
 
+def section_sizes(lines: DataFrame) -> DataFrame:
+    """One row per section with its first line and number of data lines; no lines are gathered."""
+    return data_lines(lines).groupBy(*SECTION).agg(F.min("ofs").alias("first_ofs"), F.count("*").alias("n_lines"))
+
+
 def line_number(position: Column, head: bool = False) -> Column:
     """NS of a section's line from its 1-based position; wraps after 99999."""
     return (position - 1) % 99999 + F.lit(0 if head else 1)
@@ -61,40 +67,80 @@ def blank_lines(lines: DataFrame) -> DataFrame:
     return lines.where(F.trim("raw") == "")
 
 
-def end_record_issues(lines: DataFrame) -> DataFrame:
-    """``file_id, ofs, code`` of each break of the end-record rules.
+#: The end record that closes each level: the tape, a material, a file (MF) and a section (MT).
+CLOSES = ("missing_tend", "missing_mend", "missing_fend", "missing_send")
+
+
+def tape_heads(lines: DataFrame) -> DataFrame:
+    """``file_id, ofs, raw`` of the first line of each file that is not blank, if its MF and MT are 0."""
+    seen = with_control(lines.where(F.trim("raw") != ""))
+    first = seen.groupBy("file_id").agg(F.min_by(F.struct("ofs", "raw", "mf", "mt"), "ofs").alias("h"))
+    return first.where("h.mf = 0 AND h.mt = 0").select("file_id", "h.ofs", "h.raw")
+
 
-    A section ends with MT=0, a file with MF=0, a material with MAT=0 and the tape
-    with MAT=-1; each level must be closed before it may change.
+def end_record_issues(lines: DataFrame, ignore_missing_tpid: bool = False, ignore_send_records: bool = False, ignore_blank_lines: bool = False) -> DataFrame:
+    """``file_id, ofs, code`` of each break of the control rules, in all files.
+
+    A file begins with its tape head (MF and MT 0).  A data line opens the section MT of
+    file MF of material MAT; each is closed by an end record of its own, in turn, and the
+    tape by a MAT of -1.  So the level before a line is three less the end records since
+    the last data line.  A data line may only differ in what is closed (``mt_change``,
+    ``mf_change``, ``mat_change``), an end record must be the one that its level asks for
+    (CLOSES) and hold zeros or blanks (``end_fields``), nothing but blank lines follows the tape's
+    end (``after_tend``) and nothing may be left open (``open_section``, ``missing_tend``, at
+    the last line).  ``no_tape_head``, ``blank_line`` and ``bad_control`` name lines that are
+    not what they should be.  After a break, counting goes on as if the line were right.
     """
     order = Window.partitionBy("file_id").orderBy("ofs")
-    last = Window.partitionBy("file_id")
-    kind = F.when(F.col("mat") == -1, "TEND").when(F.col("mat") == 0, "MEND").when(F.col("mf") == 0, "FEND").when(F.col("mt") == 0, "SEND").otherwise("DATA")
-    seen = with_control(lines).withColumn("kind", kind)
-    seen = seen.withColumns({c: F.lag(c0).over(order) for c, c0 in (("p_kind", "kind"), ("p_mat", "mat"), ("p_mf", "mf"), ("p_mt", "mt"))})
-    seen = seen.withColumns({"end": F.max("ofs").over(last), "tend": F.min(F.when(F.col("kind") == "TEND", F.col("ofs"))).over(last)})
-    data, before = F.col("kind") == "DATA", F.col("p_kind") == "DATA"
-    code = (
-        F.when(F.col("ofs") > F.col("tend"), F.when(F.trim("raw") == "", F.lit(None)).otherwise("after_tend"))
-        .when(data & before & (F.col("mat") != F.col("p_mat")), "mat_change")
-        .when(data & before & (F.col("mf") != F.col("p_mf")), "mf_change")
-        .when(data & before & (F.col("mt") != F.col("p_mt")), "mt_change")
-        .when(before & F.col("kind").isin("FEND", "MEND", "TEND"), "missing_send")
-        .when((F.col("p_kind") == "SEND") & F.col("kind").isin("MEND", "TEND"), "missing_fend")
-        .when((F.col("p_kind") == "FEND") & (F.col("kind") == "TEND"), "missing_mend")
-        .when((F.col("ofs") == F.col("end")) & F.col("tend").isNull(), "missing_tend")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    text = with_control(lines).withColumn("blank", F.trim("raw") == "")
+    text = text.withColumn("n", F.sum(F.when(~F.col("blank"), 1).otherwise(0)).over(upto))
+    first = (F.col("n") == 1) & ~F.col("blank")
+    known = F.col("mat").isNotNull() & F.col("mf").isNotNull() & F.col("mt").isNotNull()
+    text = text.withColumn("data", ~F.col("blank") & known & (F.col("mat") != 0) & (F.col("mf") != 0) & (F.col("mt") != 0))
+    text = text.withColumn("head", first & known & (F.col("mf") == 0) & (F.col("mt") == 0))
+    text = text.withColumn("end", ~F.col("blank") & known & ~F.col("data") & ~F.col("head"))
+    # an opened level is known by its last data line; end records are counted from there
+    text = text.withColumn("ends", F.sum(F.col("end").cast("int")).over(upto))
+    text = text.withColumn("open", F.max(F.when(F.col("data"), F.struct("ofs", "ends", "mat", "mf", "mt"))).over(upto))
+    after = F.when(F.col("data"), 3).otherwise(F.when(F.col("open").isNull(), 0).otherwise(3) - (F.col("ends") - F.coalesce("open.ends", F.lit(0))))
+    text = text.withColumn("after", F.greatest(after, F.lit(-1)))
+    text = text.withColumns({"level": F.coalesce(F.lag("after").over(order), F.lit(0)), "last": F.lag("open").over(order), "final": F.lead("ofs").over(order).isNull()})
+    level, last = F.col("level"), F.col("last")
+    right_end = (
+        F.when(level >= 3, (F.col("mat") == last["mat"]) & (F.col("mf") == last["mf"]))
+        .when(level == 2, (F.col("mat") == last["mat"]) & (F.col("mf") == 0))
+        .when(level == 1, (F.col("mat") == 0) & (F.col("mf") == 0))
+        .otherwise((F.col("mat") == -1) & (F.col("mf") == 0))
+    )
+    zeros = F.lit(True)
+    for k in range(6):
+        zeros = zeros & (F.coalesce(fort_float(F.substring("raw", 11 * k + 1, 11)), F.lit(1.0)) == 0)
+    strict = F.lit(not ignore_send_records)
+    here = (
+        F.when(F.col("blank"), F.when((level > -1) & F.lit(not ignore_blank_lines), "blank_line"))
+        .when(~known, "bad_control")
+        .when(first & ~F.col("head") & F.lit(not ignore_missing_tpid), "no_tape_head")
+        .when(strict & (level <= -1), "after_tend")
+        .when(strict & F.col("data"), F.when((level >= 3) & (F.col("mt") != last["mt"]), "mt_change").when((level >= 2) & (F.col("mf") != last["mf"]), "mf_change").when((level >= 1) & (F.col("mat") != last["mat"]), "mat_change"))
+        .when(strict & F.col("end"), F.when(~right_end, F.element_at(F.array(*(F.lit(c) for c in CLOSES)), (level + 1).cast("int"))).when(~zeros, "end_fields"))
     )
-    return seen.withColumn("code", code).where("code IS NOT NULL").select("file_id", "ofs", "code")
+    left = F.when(strict & F.col("final"), F.when(F.col("after") >= 1, "open_section").when(F.col("after") == 0, "missing_tend"))
+    codes = F.filter(F.array(here, left), lambda c: c.isNotNull())
+    return text.select("file_id", "ofs", F.explode(codes).alias("code"))
 
 
-def end_records(sections_of: DataFrame) -> DataFrame:
-    """SEND, FEND, MEND and TEND lines for (file_id, mat, mf, mt), each with its sort place."""
-    zeros = F.lit("".join(("0.000000+0",) and [" 0.000000+0"] * 2 + [f"{0:11d}"] * 4))
+def end_records(sections_of: DataFrame, zero_as_blank: bool = False) -> DataFrame:
+    """SEND, FEND, MEND and TEND lines for (file_id, mat, mf, mt), each with its sort place.
+
+    Their six fields are zeros, or blanks with ``zero_as_blank``.
+    """
+    zeros = F.lit(" " * 66 if zero_as_blank else "".join(("0.000000+0".rjust(11),) + ("0.000000+0".rjust(11),) + (f"{0:11d}",) * 4))
 
     def line(mat: Column, mf: Column, ns: int) -> Column:
         return F.concat(zeros, F.lpad(mat.cast("string"), 4, " "), F.lpad(mf.cast("string"), 2, " "), F.lit(f"{0:3d}{ns:5d}"))
 
-    key = sections_of.select(*SECTION).distinct()
+    key = sections_of.where("mf <> 0").select(*SECTION).distinct()
     top = F.lit(1 << 20)
     send = key.select(*SECTION, F.lit(1 << 40).alias("ofs"), line(F.col("mat"), F.col("mf"), 99999).alias("raw"))
     fend = key.select("file_id", "mat", "mf").distinct().select("file_id", "mat", "mf", top.alias("mt"), F.lit(0).alias("ofs"), line(F.col("mat"), F.lit(0), 0).alias("raw"))
@@ -103,8 +149,35 @@ def end_records(sections_of: DataFrame) -> DataFrame:
     return send.union(fend).union(mend).union(tend)
 
 
-def file_texts(lines: DataFrame) -> DataFrame:
-    """``file_id, text``: data lines (with mat, mf, mt, ofs, raw) and end records in order of MAT, MF and MT."""
-    every = lines.select(*SECTION, F.col("ofs").cast("bigint"), "raw").union(end_records(lines).select(*SECTION, F.col("ofs").cast("bigint"), "raw"))
+def renumbered(lines: DataFrame, include_linenum: bool = True) -> DataFrame:
+    """Lines cut after column 75, with a line number in each section's order unless that is left out."""
+    from .records import numbered
+
+    place = F.row_number().over(Window.partitionBy(*SECTION).orderBy("ofs"))
+    cut = F.rpad(F.substring("raw", 1, 75), 75, " ")
+    number = F.lpad(line_number(place.cast("bigint")).cast("string"), 5, " ")
+    return lines.withColumn("raw", F.concat(cut, number) if include_linenum else cut)
+
+
+def _every_line(lines: DataFrame, zero_as_blank: bool) -> DataFrame:
+    """Data lines and end records with their sort places; a tape head (MF and MT 0) comes first."""
+    columns = [*SECTION, F.col("ofs").cast("bigint").alias("ofs"), "raw"]
+    placed = lines.withColumn("mat", F.when((F.col("mf") == 0) & (F.col("mt") == 0), -1).otherwise(F.col("mat")))
+    return placed.select(*columns).union(end_records(lines, zero_as_blank).select(*columns))
+
+
+def ordered_lines(lines: DataFrame, zero_as_blank: bool = False) -> DataFrame:
+    """``file_id, mat, mf, mt, ofs, raw``: data lines and end records, dealt out and sorted as they are written.
+
+    Files are split over tasks by range and no file is gathered into a row, so a file may
+    be of any size; writing the partitions in turn gives its lines in order.
+    """
+    order = [*SECTION, "ofs"]
+    return _every_line(lines, zero_as_blank).repartitionByRange(*order).sortWithinPartitions(*order)
+
+
+def file_texts(lines: DataFrame, zero_as_blank: bool = False) -> DataFrame:
+    """``file_id, text``: each file as one string, for files that fit a row."""
+    every = _every_line(lines, zero_as_blank)
     part = F.array_sort(F.collect_list(F.struct("mat", "mf", "mt", "ofs", "raw")))
     return every.groupBy("file_id").agg(part.alias("parts")).select("file_id", F.array_join(F.transform("parts", lambda p: p["raw"]), "\n").alias("text"))

@@ -150,11 +150,15 @@ def q14_dir_roundtrip(spark, sf):
     return _t(spark, sf, "nation").select(*(got[k].alias(k) for k in ("l1", "l2", "n1")))
 
 
-@_query("SELECT vec_id, (vec_id % 90000)::BIGINT AS ii, list_transform(embedding[1:18], lambda x: CAST(floor(CAST(x AS DOUBLE) * 50) AS BIGINT)) AS v FROM embeddings")
+@_query("""SELECT vec_id, k, (vec_id % 90000)::BIGINT AS ii, k AS jj, list_concat(v[(k - 1) * 18 + 1:k * 18], list_transform(range(greatest(0, k * 18 - len(v))::BIGINT), lambda x: 0)) AS v
+  FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 50) AS BIGINT)) AS v, unnest(range(1, (len(embedding) + 17) // 18 + 1)) AS k FROM embeddings)""")
 def q15_intg_roundtrip(spark, sf):
-    values = F.transform(F.slice("embedding", 1, 18), lambda x: F.floor(x.cast("double") * 50).cast("bigint"))
-    got = rc.read_packed(rc.packed_body(C("vec_id") % 90000, L(1), values, 2), 2)
-    return _t(spark, sf, "embeddings").select("vec_id", got["ii"].alias("ii"), got["values"].alias("v"))
+    """Whole vectors over as many packed lines as they need."""
+    values = F.transform("embedding", lambda x: F.floor(x.cast("double") * 50).cast("bigint"))
+    parts = F.posexplode(rc.packed_parts(values, 2)).alias("k", "part")
+    packed = _t(spark, sf, "embeddings").select("vec_id", parts).withColumn("k", (C("k") + 1).cast("bigint"))
+    got = rc.read_packed(rc.packed_body(C("vec_id") % 90000, C("k"), C("part"), 2), 2)
+    return packed.select("vec_id", "k", got["ii"].alias("ii"), got["jj"].alias("jj"), got["values"].alias("v"))
 
 
 def _list_sections(spark, sf) -> DataFrame:
@@ -238,7 +242,7 @@ def _item_tape(spark, sf) -> DataFrame:
 
 @_query("""SELECT CAST(floor(l_orderkey / 9999) AS BIGINT) AS file_id, l_orderkey % 9999 + 1 AS mat, l_linenumber::BIGINT AS mf, CAST(l_quantity AS BIGINT) AS mt, count(*) AS n_lines FROM lineitem GROUP BY ALL""")
 def q21_section_split(spark, sf):
-    return tp.sections(tp.with_control(_item_tape(spark, sf))).select(*tp.SECTION, C("n_lines").cast("bigint"))
+    return tp.section_sizes(tp.with_control(_item_tape(spark, sf))).select(*tp.SECTION, "n_lines")
 
 
 @_query("SELECT l_linenumber::BIGINT AS mf, count(*) AS n FROM lineitem WHERE l_linenumber = 3 OR (l_linenumber = 1 AND CAST(l_quantity AS BIGINT) = 5) GROUP BY 1")
@@ -286,22 +290,46 @@ def q26_fuzzy_match(spark, sf):
     return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fd.is_close(again, first, 1e-5, 1e-7).alias("ok"))
 
 
-@_query("""SELECT o_orderkey AS file_id, CASE o_orderkey % 4 WHEN 1 THEN 'missing_send' WHEN 2 THEN 'missing_tend' WHEN 3 THEN 'mt_change' END AS code FROM orders WHERE o_orderkey % 4 <> 0""")
+#: Files by o_orderkey % 16 as (MAT, MF, MT) of their lines, and the break that each has: its line and code.
+TAPES = [
+    ([(9, 3, 1), (9, 3, 0), (9, 0, 0), (0, 0, 0), (-1, 0, 0)], None),
+    ([(9, 3, 1), (9, 0, 0), (9, 0, 0), (0, 0, 0), (-1, 0, 0)], (2, "missing_send")),
+    ([(9, 3, 1), (9, 3, 0), (9, 0, 0), (0, 0, 0)], (4, "missing_tend")),
+    ([(9, 3, 1), (9, 3, 2), (9, 3, 0), (9, 0, 0), (0, 0, 0), (-1, 0, 0)], (2, "mt_change")),
+    ([(9, 3, 1), (9, 3, 0), (9, 4, 2), (9, 4, 0), (9, 0, 0), (0, 0, 0), (-1, 0, 0)], (3, "mf_change")),
+    ([(9, 3, 1), (9, 3, 0), (9, 0, 0), (8, 3, 1), (8, 3, 0), (8, 0, 0), (0, 0, 0), (-1, 0, 0)], (4, "mat_change")),
+    ([(9, 3, 1), (9, 3, 0), (0, 0, 0), (0, 0, 0), (-1, 0, 0)], (3, "missing_fend")),
+    ([(9, 3, 1), (9, 3, 0), (9, 0, 0), (-1, 0, 0), (-1, 0, 0)], (4, "missing_mend")),
+    ([(9, 3, 1), (9, 3, 0), (9, 0, 0), (0, 0, 0), (-1, 0, 0), (9, 3, 1), (9, 3, 0), (9, 0, 0), (0, 0, 0)], None),
+    ([(9, 3, 1), (9, 3, 0)], (2, "open_section")),
+    ([(9, 3, 1), (9, 3, 0), (9, 3, 2), (9, 3, 0), (9, 0, 0), (8, 0, 0), (-1, 0, 0)], (6, "missing_mend")),
+]
+
+
+def _tape_sql() -> str:
+    each = [f"WHEN {i} THEN '{code[1]}'" for i, (_, code) in enumerate(TAPES) if code]
+    at = [f"WHEN {i} THEN {code[0]}" for i, (_, code) in enumerate(TAPES) if code]
+    kind = f"o_orderkey % {len(TAPES) + 4}"
+    n = len(TAPES)
+    return f"""SELECT * FROM (SELECT o_orderkey AS file_id, CASE {kind} {" ".join(at)} WHEN 8 THEN 6 WHEN {n} THEN 0 WHEN {n + 1} THEN 3 WHEN {n + 2} THEN 2 WHEN {n + 3} THEN 1 END::INTEGER AS ofs,
+      CASE {kind} {" ".join(each)} WHEN 8 THEN 'after_tend' WHEN {n} THEN 'no_tape_head' WHEN {n + 1} THEN 'end_fields' WHEN {n + 2} THEN 'blank_line' WHEN {n + 3} THEN 'bad_control' END AS code FROM orders)
+      WHERE code IS NOT NULL"""
+
+
+def _line(mat: int, mf: int, mt: int, body: str = "") -> str:
+    return f"{body:66s}{mat:4d}{mf:2d}{mt:3d}"
+
+
+@_query(_tape_sql())
 def q27_end_record_rules(spark, sf):
-    kind = C("o_orderkey") % 4
-
-    def line(mat, mf, mt):
-        return F.concat(L(" " * 66), rc.control(L(mat), L(mf), L(mt)))
-
-    data, other, send, fend, mend, tend = line(9, 3, 1), line(9, 3, 2), line(9, 3, 0), line(9, 0, 0), line(0, 0, 0), line(-1, 0, 0)
-    text = (
-        F.when(kind == 1, F.array(data, fend, mend, tend))
-        .when(kind == 2, F.array(data, send, fend, mend))
-        .when(kind == 3, F.array(data, other, send, fend, mend, tend))
-        .otherwise(F.array(data, send, fend, mend, tend))
-    )
+    """The first break of each file; besides TAPES a missing head, fields in an end record, a blank line and letters for a MAT."""
+    head, good = _line(1, 0, 0, "a tape"), [_line(*k) for k in TAPES[0][0]]
+    made = [[head, *(_line(*k) for k in keys)] for keys, _ in TAPES]
+    made += [good, [head, good[0], good[1], _line(9, 0, 0, " 1.000000+0"), *good[3:]], [head, good[0], " ", *good[1:]], [head, good[0][:66] + " x9 3  1", *good]]
+    kind = (C("o_orderkey") % len(made) + 1).cast("int")
+    text = F.element_at(F.array(*(F.array(*(L(x) for x in m)) for m in made)), kind)
     lines = _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.posexplode(text).alias("ofs", "raw"))
-    return tp.end_record_issues(lines).select("file_id", "code")
+    return tp.end_record_issues(lines).groupBy("file_id").agg(F.min(F.struct("ofs", "code")).alias("first")).select("file_id", "first.*")
 
 
 @_query("SELECT o_orderkey AS file_id, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1")
@@ -463,10 +491,14 @@ def q47_set_library(spark, sf):
     return _t(spark, sf, "orders").select("o_orderkey", table[name].alias("m")).select("o_orderkey", "m.*")
 
 
-@_query("SELECT o_orderkey AS file_id, o_totalprice AS f FROM orders WHERE (o_orderkey % 4 = 0 OR o_orderkey % 4 = 1) AND o_orderstatus <> 'F'")
+@_query("""SELECT o_orderkey AS file_id, o_orderstatus || '/price' AS path, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS f FROM orders WHERE o_orderstatus <> 'F'""")
 def q48_delete_merge(spark, sf):
-    orders = _t(spark, sf, "orders").where("o_orderstatus <> 'F'").select(C("o_orderkey").alias("file_id"), F.array(C("o_orderstatus")).alias("path"), C("o_totalprice").alias("f"))
-    return orders.where("file_id % 4 = 0").unionByName(orders.where("file_id % 4 = 1")).select("file_id", "f")
+    """Even files merged with odd ones, and what both hold taken from the second; then a section is deleted."""
+    def cells(price):
+        return _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(C("o_orderstatus"), L("price")).alias("path"), price.alias("f"))
+
+    merged = ce.merge(cells(C("o_totalprice")), cells(C("o_totalprice") + 1).where("file_id % 2 = 1"))
+    return ce.remove(merged, "/F").select("file_id", F.array_join("path", "/").alias("path"), "f")
 
 
 @_query("SELECT l_orderkey AS file_id, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
@@ -476,12 +508,17 @@ def q49_json_roundtrip(spark, sf):
     return ce.get(again, "/item/*/p").groupBy("file_id").agg(F.count("*").alias("n"), F.round(F.sum("f"), 2).alias("total"))
 
 
-@_query("""WITH s AS (SELECT DISTINCT CAST(floor(l_orderkey / 9999) AS BIGINT) AS file_id, l_orderkey % 9999 + 1 AS mat, l_linenumber AS mf, CAST(l_quantity AS BIGINT) AS mt FROM lineitem),
-  n AS (SELECT CAST(floor(l_orderkey / 9999) AS BIGINT) AS file_id, count(*) AS n FROM lineitem GROUP BY 1)
-  SELECT s.file_id, any_value(n) + count(*) + count(DISTINCT (mat, mf)) + count(DISTINCT mat) + 1 AS n_lines FROM s JOIN n USING (file_id) GROUP BY 1""")
+@_query("""WITH d AS (SELECT CAST(floor(l_orderkey / 9999) AS BIGINT) AS file_id, l_orderkey % 9999 + 1 AS mat, l_linenumber::BIGINT AS mf, CAST(l_quantity AS BIGINT) AS mt, l_orderkey * 10 + l_linenumber AS ofs FROM lineitem),
+  c AS (SELECT *, lpad(mat::VARCHAR, 4, ' ') AS m, lpad(mf::VARCHAR, 2, ' ') AS f, lpad('0', 2, ' ') || lpad('0', 3, ' ') || lpad('0', 5, ' ') AS z FROM d)
+  SELECT file_id, mat, mf, mt, ofs, m || f || lpad(mt::VARCHAR, 3, ' ') AS control FROM c
+  UNION ALL SELECT DISTINCT file_id, mat, mf, mt, 1099511627776, m || f || lpad('0', 3, ' ') || '99999' FROM c
+  UNION ALL SELECT DISTINCT file_id, mat, mf, 1048576, 0, m || z FROM c
+  UNION ALL SELECT DISTINCT file_id, mat, 1048576, 0, 0, lpad('0', 4, ' ') || z FROM c
+  UNION ALL SELECT DISTINCT file_id, 1048576, 0, 0, 0, lpad('-1', 4, ' ') || z FROM c""")
 def q50_write_sort(spark, sf):
-    texts = tp.file_texts(tp.with_control(_item_tape(spark, sf)))
-    return texts.select("file_id", F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"))
+    """Every line as it is written, data and end records, with its sort place."""
+    done = tp.ordered_lines(tp.with_control(_item_tape(spark, sf)))
+    return done.select("file_id", *(C(c).cast("bigint").alias(c) for c in ("mat", "mf", "mt", "ofs")), F.substring("raw", 67, 14).alias("control"))
 
 
 # -- layouts
@@ -497,9 +534,9 @@ def q51_layout_for_loop(spark, sf):
     return got.groupBy("file_id").agg(F.count(F.when(ce.matches(C("path"), ["v", "*"]), 1)).alias("n"))
 
 
-@_query("""WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT p_brand AS file_id, (least(n, 8) * (least(n, 8) + 1)) // 2 AS cells FROM b""")
+@_query("""WITH b AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT p_brand AS file_id, (n * (n + 1)) // 2 AS cells FROM b""")
 def q52_layout_triangle(spark, sf):
-    brands = _t(spark, sf, "part").groupBy("p_brand").agg(F.least(F.count("*"), L(8)).alias("n"))
+    brands = _t(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n"))
     values = F.transform(fd.counted(L(1), C("n") * (C("n") + 1) / 2), lambda i: i.cast("double"))
     brands = brands.select(C("p_brand").alias("file_id"), "n", fd.float_fields(values, prefer_noexp=True).alias("fields"))
     head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), C("n")), 66, " ")
@@ -517,9 +554,9 @@ def q53_layout_if_lookahead(spark, sf):
     return got.where(F.get("path", L(0)) != "LF").select("file_id", F.get("path", L(0)).alias("branch"), "f")
 
 
-@_query("SELECT c_nationkey::BIGINT AS file_id, least(count(*), 20) AS n FROM customer GROUP BY 1")
+@_query("SELECT c_nationkey::BIGINT AS file_id, count(*) AS n FROM customer GROUP BY 1")
 def q54_layout_repeat_until(spark, sf):
-    nations = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.least(F.count("*"), L(20)).alias("n"))
+    nations = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     lines = F.transform(fd.counted(L(1), C("n")), lambda i: F.rpad(rc.cont_body(_blank(), _blank(), C("n"), i, L(0), L(0)), 66, " "))
     got = lane.cells(nations.select(C("c_nationkey").cast("bigint").alias("file_id"), lines.alias("lines")), ["file_id"], "repeat i = 1 until IG[i] == NG\n    cont 0 0 NG IG[i] 0 0")
     return ce.get(got, "/IG/*").groupBy("file_id").agg(F.count("*").alias("n"))
@@ -577,9 +614,8 @@ def q61_nofail_status(spark, sf):
     return done.groupBy(F.when(C("status") == "parsed", "parsed").otherwise("kept").alias("status")).agg(F.count("*").alias("n"))
 
 
-@_query("SELECT c_nationkey::BIGINT AS mat, count(*) AS n_lines FROM customer WHERE c_nationkey > 0 GROUP BY 1")
+@_query("SELECT c_nationkey::BIGINT + 1 AS mat, count(*) AS n_lines FROM customer GROUP BY 1")
 def q64_multi_material(spark, sf):
     body = F.rpad(fd.float_field(C("c_acctbal"), prefer_noexp=True), 66, " ")
-    lines = _t(spark, sf, "customer").select(L("one").alias("file_id"), C("c_custkey").alias("ofs"), F.concat(body, rc.control(C("c_nationkey"), L(3), L(1))).alias("raw"))
-    counted = tp.data_lines(tp.with_control(lines)).groupBy("mat").agg(F.count("*").alias("n_lines"))
-    return counted
+    lines = _t(spark, sf, "customer").select(L("one").alias("file_id"), C("c_custkey").alias("ofs"), F.concat(body, rc.control(C("c_nationkey") + 1, L(3), L(1))).alias("raw"))
+    return tp.section_sizes(tp.with_control(lines)).select("mat", "n_lines")

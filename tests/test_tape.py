@@ -14,7 +14,14 @@ def test_sections_and_texts_round_trip(spark, tmp_path):
     texts = tp.file_texts(lines)
     text = texts.first().text.split("\n")
     assert [x[66:75] for x in text] == [_line(*k)[66:] for k in [(8, 1, 451), (8, 1, 0), (8, 0, 0), (0, 0, 0), (9, 3, 1), (9, 3, 0), (9, 3, 2), (9, 3, 2), (9, 3, 0), (9, 0, 0), (0, 0, 0), (-1, 0, 0)]]
-    assert tp.end_record_issues(tp.split_text(texts, "file_id", "text")).count() == 0
+    assert [r.code for r in tp.end_record_issues(tp.split_text(texts, "file_id", "text")).collect()] == ["no_tape_head"]
+    assert tp.end_record_issues(tp.split_text(texts, "file_id", "text"), ignore_missing_tpid=True).count() == 0
+    headed = lines.unionByName(spark.createDataFrame([("f", -1, _line(1, 0, 0), 1, 0, 0)], "file_id string, ofs int, raw string, mat int, mf int, mt int"))
+    full = tp.file_texts(headed)
+    assert tp.end_record_issues(tp.split_text(full, "file_id", "text")).count() == 0
+    assert [r.raw for r in tp.ordered_lines(headed).collect()] == full.first().text.split("\n")
+    assert tp.tape_heads(tp.split_text(full, "file_id", "text")).first().raw == _line(1, 0, 0)
+    assert [r.raw[75:] for r in tp.renumbered(lines).orderBy("mat", "mt", "ofs").collect()] == ["    1", "    1", "    1", "    2"]
     tape_source.register(spark)
     out = str(tmp_path / "out")
     texts.write.format("tape80").mode("append").option("path", out).save()
