@@ -290,7 +290,8 @@ def _types(disk: Disk, text: np.ndarray, limit: int, block: int) -> tuple[np.nda
 
 def _refine(rank: np.ndarray, sel: np.ndarray, key: np.ndarray) -> None:
     """Split the groups of equal rank among ``sel`` by ``key``; a rank is its group's first place."""
-    order = np.lexsort((key, rank[sel]))
+    own = rank[sel]
+    order = np.argsort(key) if (own == own[0]).all() else np.lexsort((key, own))
     who, old, val = sel[order], rank[sel][order], key[order]
     fresh = np.r_[True, old[1:] != old[:-1]]
     first = np.flatnonzero(fresh)
@@ -362,7 +363,7 @@ def _named(disk: Disk, text: np.ndarray, small: np.ndarray, stars: np.ndarray, s
 def _doubling(names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffix order of a short string by doubling ranks, and common prefixes from them."""
     m = len(names)
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
     ranks = []
     rank = np.zeros(m, np.int64)
     rank[order] = np.cumsum(np.r_[0, names[order][1:] != names[order][:-1]])
@@ -372,7 +373,7 @@ def _doubling(names: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
         after = np.zeros(m, np.int64)
         after[: m - step] = rank[step:] + 1
         key = rank * (m + 1) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = np.zeros(m, np.int64)
         rank[order] = np.cumsum(np.r_[0, key[order][1:] != key[order][:-1]])
         ranks.append(rank.astype(np.int32))

@@ -214,9 +214,15 @@ def _crowded(snips: DataFrame, length: int) -> DataFrame:
 
     def run(batches):
         short, long = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest
+        wide, long_ = pa.list_(pa.int64()), pa.int64()
+        kinds = (long_, long_, pa.bool_(), long_, long_, wide, wide)
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["h", "sh", "again", "core", "lo", "w1", "w2"])
+
         for batch in batches:
             rows = []
-            for h, sh, more, data in zip(*(batch.column(c).to_pylist() for c in ("h", "sh", "again", "data"))):
+            for h, sh, more, data in zip(*(batch.column(c).to_pylist() for c in ("h", "sh", "again")), _texts(batch.column("data"))):
                 starts = len(data) - length + 1
                 owner = int(snippets(data, length)[0][0])
                 for g in range((owner - starts + 1) // GROUP, owner // GROUP + 1):
@@ -225,10 +231,11 @@ def _crowded(snips: DataFrame, length: int) -> DataFrame:
                         core = owner - g * GROUP
                         each = [long(data[p : p + length]) for p in range(lo, hi + 1)]
                         rows.append((h, sh, more, short(data[core : core + length - GROUP + 1]) >> 1, lo, [x >> 65 for x in each], [x & (1 << 63) - 1 for x in each]))
-            for at in range(0, len(rows), 5_000):
-                wide, long_ = pa.list_(pa.int64()), pa.int64()
-                kinds = (long_, long_, pa.bool_(), long_, long_, wide, wide)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5_000]), kinds)], ["h", "sh", "again", "core", "lo", "w1", "w2"])
+                if len(rows) > 2000:
+                    yield out(rows)
+                    rows = []
+            if rows:
+                yield out(rows)
 
     times = F.sum(F.when(F.col("again"), 2).otherwise(1))
     shape = "h bigint, sh bigint, again boolean, core bigint, lo bigint, w1 array<bigint>, w2 array<bigint>"
@@ -249,9 +256,10 @@ def repeat_starts(docs: DataFrame, length: int) -> DataFrame:
     k1, k2 = text_key()
     keyed = docs.select(k1, k2, F.xxhash64("doc_id").alias("did"), "text")
     all_of = materialize(_all_snippets(keyed, length), "snippets")
-    often = all_of.groupBy("h").count().where("count > 1").select("h")
+    often = materialize(all_of.groupBy("h").count().where("count > 1").select("h"), "often")  # a table: so a hot hash is split in the join
     kept = materialize(all_of.join(often, "h"), "kept")
     release(all_of)
+    release(often)
     kinds = materialize(kept.groupBy("h", "sh").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "did", "s0", "s1")).alias("at")), "kinds")
     places = materialize(kept.select("k1", "k2", "h", "sh", "s0").distinct(), "places")
     release(kept)
