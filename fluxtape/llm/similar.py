@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import materialize
+from .scratch import materialize, release, text_key
 from .simhash import as_hex, links, majority, named_by, shingle_hashes
 
 #: A pair of similarity s shares one of BANDS values of ROWS minima with 1 - (1 - s^ROWS)^BANDS: 0.998 at 0.8.
@@ -66,13 +66,16 @@ def set_key(distinct: np.ndarray) -> int:
 
 
 def _sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    """``doc_id``, the row's key ``did, k1, k2``, and the sketch of each row's text."""
+    keys = ["doc_id", "did", "k1", "k2"]
+    kinds = ", ".join(f"{k} {t}" for k, t in zip(keys, (docs.schema["doc_id"].dataType.simpleString(), "string", "bigint", "bigint")))
 
     def run(batches):
         for batch in batches:
             fps, sims, sketches, sizes, maps = [], [], [], [], []
-            for t in batch.column("text").cast(pa.binary()).to_pylist():
-                hashes = shingle_hashes(t or b"", shingle_words)
+            column = batch.column("text").cast(pa.binary())
+            for i in range(len(column)):
+                hashes = shingle_hashes(column[i].as_py() or b"", shingle_words)
                 sims.append(majority(hashes))
                 hashes = np.unique(hashes)
                 fps.append(set_key(hashes))
@@ -82,9 +85,15 @@ def _sketched(docs: DataFrame, shingle_words: int) -> DataFrame:
             cuts = pa.array(np.r_[0, np.cumsum([len(x) for x in sketches])].astype(np.int32))
             lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate([np.zeros(0, np.int64), *sketches])))
             seen = pa.ListArray.from_arrays(pa.array(np.arange(len(maps) + 1, dtype=np.int32) * LONGS), pa.array(np.concatenate([np.zeros(0, np.int64), *maps])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sims)), lists, pa.array(sizes, pa.int32()), seen], ["doc_id", "fp", "sim", "bands", "size", "map"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, sims)), lists, pa.array(sizes, pa.int32()), seen], [*keys, "fp", "sim", "bands", "size", "map"])
+
+    return docs.select(*keys, "text").mapInArrow(run, f"{kinds}, fp bigint, sim bigint, bands array<bigint>, size int, map array<bigint>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, fp bigint, sim bigint, bands array<bigint>, size int, map array<bigint>")
+def keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, did, k1, k2, text``: did is the id as text, empty for a null one, and k1 and k2 tell texts apart."""
+    k1, k2 = text_key()
+    return docs.select("doc_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), k1, k2, "text")
 
 
 def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
@@ -165,34 +174,59 @@ def _unjoined(classes: DataFrame, met: DataFrame, roots: DataFrame, similarity:
 
 
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs(a, b)`` whose shingle sets are as similar as that."""
-    wanted = materialize(pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct().join(classes.select("fp", "first_id"), "fp"), "wanted")
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("first_id").alias("doc_id")), "doc_id", "left_semi")
+    """Those of ``pairs(a, b)`` whose shingle sets are as similar as that; a written table."""
+    ends = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    wanted = materialize(ends.join(classes.select("fp", "did", "k1", "k2"), "fp"), "wanted")
+    texts = docs.join(wanted.select("did", "k1", "k2"), ["did", "k1", "k2"], "left_semi")
     sets = materialize(_sets(texts, shingle_words).join(wanted.select("fp"), "fp", "left_semi").groupBy("fp").agg(F.max("shingles").alias("s")), "sets")
     one, two = (sets.select(F.col("fp").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
     joint = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(one, "a").join(two, "b").where(joint >= similarity * (F.size("sa") + F.size("sb") - joint)).select("a", "b")
+    found = pairs.join(one, "a").join(two, "b").where(joint >= similarity * (F.size("sa") + F.size("sb") - joint)).select("a", "b")
+    found = materialize(found, "found")
+    release(wanted)
+    release(sets)
+    return found
 
 
 def similarity_roots(docs: DataFrame, classes: DataFrame, more: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """``(node, root)`` of the sets that links join: those with a Jaccard similarity of ``similarity`` or more.
 
-    ``classes(fp, first_id, bands, size, map)`` has one row per set, which is read from the
-    row ``first_id``; a set of null doc_ids alone takes no part.  ``more(fp, size, v)`` are
-    values whose sets are compared besides those of the sketches.
+    ``classes(fp, did, k1, k2, bands, size, map)`` has one row per set, which is read from the row of
+    ``docs(did, k1, k2, text)`` with that key.  ``more(fp, size, v)`` are values whose sets are
+    compared besides those of the sketches.
     """
-    met = _met(classes.where("first_id IS NOT NULL"), more)
+    met = _met(classes, more)
     pairs = materialize(_candidates(met, similarity).distinct(), "pairs")
-    roots = materialize(connected_components(_confirmed(docs, classes, pairs, shingle_words, similarity)), "roots")
+    found = _confirmed(docs, classes, pairs, shingle_words, similarity)
+    release(pairs)
+    roots = materialize(connected_components(found), "roots")
+    release(found)
     rest = materialize(_unjoined(classes, met, roots, similarity).distinct(), "pairs")
+    release(met)
     if rest.isEmpty():
         return roots
-    found = materialize(_confirmed(docs, classes, rest, shingle_words, similarity), "found")
+    found = _confirmed(docs, classes, rest, shingle_words, similarity)
+    release(rest)
     if found.isEmpty():
         return roots
     return materialize(connected_components(found.union(roots.select("node", "root"))), "roots")
 
 
+def _classed(docs: DataFrame, shingle_words: int, similarity: float, max_bits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with their key and set ``fp``, sets with their first row, and the ``(node, root)`` of linked sets; written tables."""
+    docs = keyed(docs)
+    marked = materialize(_sketched(docs, shingle_words), "sketched")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "did", "k1", "k2", "bands", "size", "map")).alias("m")
+    wide = materialize(marked.groupBy("fp").agg(first).select("fp", "m.*"), "classes")
+    sims = materialize(marked.select("fp", "sim").distinct().join(wide.select("fp", "size"), "fp"), "sims")
+    roots = similarity_roots(docs, wide, _by_fingerprint(sims, max_bits), shingle_words, similarity)
+    rows = materialize(marked.select("doc_id", "did", "k1", "k2", "fp", "sim"), "rows")
+    classes = materialize(wide.select("fp", "none", "doc_id", "did", "k1", "k2"), "narrow")
+    for used in (marked, wide, sims):
+        release(used)
+    return rows, classes, roots
+
+
 def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
     """One row per row of ``docs``: ``doc_id``, ``fingerprint``, ``component_id``.
 
@@ -210,10 +244,26 @@ def similar_classes(docs: DataFrame, shingle_words: int = 5, similarity: float =
     An empty table gives an empty result, and columns other than doc_id and text are
     not read.
     """
-    marked = materialize(_sketched(docs, shingle_words), "sketched")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "bands", "size", "map")).alias("m")
-    classes = materialize(marked.groupBy("fp").agg(first).select("fp", F.col("m.doc_id").alias("first_id"), F.col("m.bands").alias("bands"), F.col("m.size").alias("size"), F.col("m.map").alias("map")), "classes")
-    narrow = classes.select("fp", "first_id")
-    sims = materialize(marked.select("fp", "sim").distinct().join(classes.where("first_id IS NOT NULL").select("fp", "size"), "fp"), "sims")
-    roots = similarity_roots(docs, classes, _by_fingerprint(sims, max_bits), shingle_words, similarity)
-    return named_by(marked.select("doc_id", "fp", "sim"), narrow, roots).select("doc_id", as_hex("sim"), "component_id")
+    rows, classes, roots = _classed(docs, shingle_words, similarity, max_bits)
+    return named_by(rows.select("doc_id", "fp", "sim"), classes.select("fp", F.col("doc_id").alias("first_id")), roots).select("doc_id", as_hex("sim"), "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, max_bits: int = 2) -> DataFrame:
+    """One row of ``docs``, with all its columns, of each class of :func:`similar_classes`.
+
+    It is the row of the smallest doc_id, null ones last, and among texts of one doc_id that
+    of the smallest digest; so a doc_id on several rows counts each of its texts by itself,
+    and rows without one take part like others.  Of repeated rows with one doc_id and text any one
+    stays.  Null and wordless texts are one class, so one of them stays.
+    """
+    rows, classes, roots = _classed(docs, shingle_words, similarity, max_bits)
+    joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    first = joined.groupBy("root").agg(F.min(F.struct("none", "doc_id", "did", "k1", "k2")).alias("m")).select("m.did", "m.k1", "m.k2")
+    times = rows.groupBy("did", "k1", "k2").agg(F.count("*").alias("times"))
+    first = materialize(first.join(times, ["did", "k1", "k2"]), "first")
+    k1, k2 = text_key()
+    keys = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("did"), k1, k2)
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), keys.alias("key")).select("doc", "key.*")
+    once = whole.join(first.where("times = 1"), ["did", "k1", "k2"], "left_semi")
+    several = whole.join(first.where("times > 1"), ["did", "k1", "k2"], "left_semi").dropDuplicates(["did", "k1", "k2"])
+    return once.select("doc.*").union(several.select("doc.*"))
