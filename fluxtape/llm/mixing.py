@@ -4,8 +4,9 @@ Token counts of (source, language, topic) cells are raked: each step scales the
 weights of one dimension's members to their target share.  The ratio of a cell's
 raked to its own tokens, times one common factor, is the probability with which its
 documents are kept; the factor is the largest on a fixed grid whose expected tokens
-stay within the budget.  Where that factor takes cells beyond a probability of 1, the
-sample misses the raked shares; ``reach`` lowers it until none is.  The draw is a hash of the document's id, so it is repeatable.
+stay within the budget, lowered where a cell would go beyond a probability of 1.  So no
+cell is cut and the expected tokens have the target shares; a budget that they do not
+allow is not used up.  The draw is a hash of the document's id, so it is repeatable.
 """
 
 from __future__ import annotations
@@ -19,21 +20,31 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Rounds over the dimensions.
 ROUNDS = 6
 #: A member's target share is proportional to its tokens to this power, unless given.
-FLATTEN = {"source": 0.7, "lang": 0.85, "topic": 0.85}
+FLATTEN = {"source": 0.8, "lang": 0.9, "topic": 0.95}
 #: Expected tokens after sampling, as a share of all.
 BUDGET = 0.8
 #: The common factor is 2 ** (j / 16) for a whole j in this range.
 GRID = (-160, 160)
 
-#: A coarse topic from marks in the text, the first that is found.
-TOPIC_SQL = "CASE WHEN contains(text, '|') THEN 'table' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, '=') THEN 'config' WHEN contains(text, '#') THEN 'markup' ELSE 'prose' END"
+def _marks(marks: str) -> str:
+    """SQL for the number of the characters ``marks`` in the text."""
+    return "(" + " + ".join(f"length(text) - length(replace(text, '{m}', ''))" for m in marks) + ")"
 
 
-def _placed(docs: DataFrame, topic_sql: str, carry: list[str]) -> DataFrame:
+#: A proxy for the topic from how dense the marks of a kind of text are, the first that is dense enough:
+#: marks for each thousand characters.  A column with a real topic can be given in its place.
+TOPIC_SQL = (
+    f"CASE WHEN length(text) < 400 THEN 'note' WHEN {_marks('|')} * 1000 >= 4 * length(text) THEN 'table'"
+    f" WHEN {_marks('#*<>={}@')} * 1000 >= 3 * length(text) THEN 'markup' ELSE 'prose' END"
+)
+
+
+def _placed(docs: DataFrame, topic_sql: str) -> DataFrame:
     named = {"source": F.coalesce(F.col("source"), F.lit("-")), "lang": F.coalesce(F.col("lang"), F.lit("-")), "topic": F.coalesce(F.expr(topic_sql), F.lit("-"))}
     tokens = F.expr("greatest(1L, cast(octet_length(coalesce(text, '')) as bigint) div 4L)")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    return docs.select(*(F.col(f"`{c}`") for c in carry), *(named[d].alias(f"{d}_") for d in DIMENSIONS), tokens.alias("tokens_"), key.alias("key_"))
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    return docs.select(whole, *(named[d].alias(f"{d}_") for d in DIMENSIONS), tokens.alias("tokens_"), key.alias("key_"))
 
 
 def raked_cells(placed: DataFrame, targets: dict[str, dict[str, float]] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -63,18 +74,19 @@ def raked_cells(placed: DataFrame, targets: dict[str, dict[str, float]] | None =
     return cells.select(*names, "tokens", "w")
 
 
-def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = 11, topic_sql: str = TOPIC_SQL, carry: list[str] | None = None, reach: bool = False) -> DataFrame:
-    """Every row's probability and draw: ``doc_id, source_, lang_, topic_, tokens_, key_, p_, drawn_``.
+def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, rounds: int = ROUNDS, seed: int = 11, topic_sql: str = TOPIC_SQL) -> DataFrame:
+    """Every row with its probability and draw: ``doc, source_, lang_, topic_, tokens_, key_, p_, drawn_``.
 
-    ``carry`` names the columns of ``docs`` that come first instead of doc_id.
-    With ``reach`` no probability is cut at 1, so the expected tokens have the raked shares
-    and may stay far below the budget; without it they follow ``oracle_sql``.
-    ``docs`` has doc_id, text, source and lang; tokens are a quarter of the UTF-8
+    ``docs`` has doc_id, text, source and lang, and ``doc`` is the row as it was, so other
+    columns may have any name; tokens are a quarter of the UTF-8
     bytes, one at least.  Null sources, languages and texts are members of their own
     ("-", and the empty text).  Rows with equal doc_ids are drawn alike if they are in
     one cell; null doc_ids are one id.  An empty table gives no rows.
+
+    Cells are members of all three dimensions together and are raked by windows over one dimension, so
+    sources should be collections and not, say, all hosts of a crawl.
     """
-    placed = _placed(docs, topic_sql, carry or ["doc_id"])
+    placed = _placed(docs, topic_sql)
     cells = materialize(raked_cells(placed, targets, rounds).withColumn("g", F.col("w") / F.col("tokens")), "raked")
     lo, hi = GRID
     steps = F.transform(F.sequence(F.lit(lo), F.lit(hi)), lambda j: F.pow(F.lit(2.0), j / F.lit(16.0)))
@@ -82,9 +94,8 @@ def mixed(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, b
     sums = spread.groupBy("factor").agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("factor") * F.col("g"))).alias("kept"), F.sum("tokens").alias("all"))
     best = sums.where(F.col("kept") <= F.lit(budget) * F.col("all")).agg(F.max("factor").alias("f")).first()
     factor = best.f if best.f is not None else 2.0 ** (lo / 16)
-    if reach:
-        most = cells.agg(F.max("g").alias("g")).first().g
-        factor = min(factor, 1 / most) if most else factor
+    most = cells.agg(F.max("g").alias("g")).first().g
+    factor = min(factor, 1 / most) if most else factor
     toss = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key_")).cast("binary")), 1, 13), 16, 10).cast("bigint")
     p = F.least(F.lit(1.0), F.lit(factor) * F.col("g_"))
     factors = cells.select(*(f"{d}_" for d in DIMENSIONS), F.col("g").alias("g_"))
@@ -111,7 +122,7 @@ c1 AS (SELECT *, {goals}, sum(tokens) OVER () AS every FROM c0),
 c2 AS MATERIALIZED (SELECT *, {shares}, tokens AS w FROM c1),
 {", ".join(steps)},
 g AS (SELECT source_, lang_, topic_, tokens, w / tokens AS g FROM {last}),
-f AS (SELECT max(factor) AS factor FROM (
+f AS (SELECT least(max(factor), (SELECT 1 / max(g) FROM g)) AS factor FROM (
   SELECT factor FROM g, (SELECT power(2.0, j / 16.0) AS factor FROM range({GRID[0]}, {GRID[1] + 1}) t(j))
   GROUP BY factor HAVING sum(tokens * least(1.0, factor * g)) <= {budget} * sum(tokens))),
 o AS (SELECT p.*, least(1.0, factor * g) AS prob FROM p JOIN g USING (source_, lang_, topic_), f)

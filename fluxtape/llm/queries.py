@@ -31,7 +31,7 @@ def op3_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = mixing.mixed(_table(spark, sf_dir, "documents")).where("drawn_")
-    return drawn.select("doc_id", F.col("source_").alias("source"), F.col("lang_").alias("lang"), F.col("topic_").alias("topic"), F.col("tokens_").alias("tokens"), F.round("p_", 6).alias("p"))
+    return drawn.select("doc.doc_id", F.col("source_").alias("source"), F.col("lang_").alias("lang"), F.col("topic_").alias("topic"), F.col("tokens_").alias("tokens"), F.round("p_", 6).alias("p"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

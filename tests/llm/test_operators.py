@@ -4,6 +4,7 @@ import collections
 import functools
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from fluxtape.llm import bpe, induced, line_rules, mixing, ppm, quality, sharding, similar, simhash, suffix_dedup, topk, toxicity
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, k1 string, spans int, doc string, fp int, h string"
+TABLES = "/root/testdata/sf0.01"
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
@@ -336,7 +338,7 @@ def test_sharding(docs, rows):
 
 def test_mixing_reaches_the_targets(spark):
     frame = spark.createDataFrame([(i, "x" * 400, "en" if i % 3 else "de", "a" if i % 4 else "b") for i in range(4000)], "doc_id int, text string, lang string, source string")
-    cells = mixing.raked_cells(mixing._placed(frame, mixing.TOPIC_SQL, ["doc_id"]), {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 1.0}}, rounds=20).collect()
+    cells = mixing.raked_cells(mixing._placed(frame, mixing.TOPIC_SQL), {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 1.0}}, rounds=20).collect()
     whole = sum(c.w for c in cells)
     assert sum(c.w for c in cells if c.source_ == "a") / whole == pytest.approx(0.5, abs=1e-3)
     assert sum(c.w for c in cells if c.lang_ == "de") / whole == pytest.approx(0.5, abs=1e-3)
@@ -346,10 +348,10 @@ def test_mixing_reaches_the_targets(spark):
 
 
 def test_mixing_draws_the_raked_shares(spark):
-    texts = {"prose": "x" * 400, "config": "=" * 400}
-    frame = spark.createDataFrame([(i, texts["prose" if i % 90 else "config"], "en" if i % 7 else "de", "a" if i % 5 else "b") for i in range(9000)], "doc_id int, text string, lang string, source string")
-    cells = mixing.raked_cells(mixing._placed(frame, mixing.TOPIC_SQL, ["doc_id"])).collect()
-    rows = mixing.mixed(frame, reach=True).select("source_", "lang_", "topic_", "tokens_", "p_").collect()
+    texts = {"prose": "x" * 400, "markup": "=" * 400}
+    frame = spark.createDataFrame([(i, texts["prose" if i % 90 else "markup"], "en" if i % 7 else "de", "a" if i % 5 else "b") for i in range(9000)], "doc_id int, text string, lang string, source string")
+    cells = mixing.raked_cells(mixing._placed(frame, mixing.TOPIC_SQL)).collect()
+    rows = mixing.mixed(frame).select("source_", "lang_", "topic_", "tokens_", "p_").collect()
     kept = sum(r.tokens_ * r.p_ for r in rows)
     assert kept <= mixing.BUDGET * sum(r.tokens_ for r in rows) and max(r.p_ for r in rows) <= 1 + 1e-9
     for d in ("source_", "lang_", "topic_"):
@@ -358,6 +360,31 @@ def test_mixing_draws_the_raked_shares(spark):
             assert sum(r.tokens_ * r.p_ for r in rows if r[d] == member) / kept == pytest.approx(goal, rel=1e-6)
 
 
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables of the driver are not here")
+def test_mixing_reaches_its_targets_on_the_tables(spark):
+    """Production parameters: the expected tokens have the target share of each member within one percent."""
+    rows = mixing.mixed(spark.read.parquet(f"{TABLES}/documents.parquet")).select("source_", "lang_", "topic_", "tokens_", "p_").collect()
+    kept = sum(r.tokens_ * r.p_ for r in rows)
+    assert max(r.p_ for r in rows) <= 1 + 1e-9
+    for d in mixing.DIMENSIONS:
+        own = collections.Counter()
+        for r in rows:
+            own[r[f"{d}_"]] += r.tokens_
+        goal = {k: v ** mixing.FLATTEN[d] for k, v in own.items()}
+        for member, g in goal.items():
+            share = sum(r.tokens_ * r.p_ for r in rows if r[f"{d}_"] == member) / kept
+            assert share == pytest.approx(g / sum(goal.values()), rel=0.01)
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables of the driver are not here")
+def test_toxicity_ranks_held_out_rows_of_the_tables(spark):
+    known = spark.read.parquet(f"{TABLES}/labels.parquet")
+    done = toxicity.toxicity(spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id", "text"), known).where("held_out")
+    rows = done.select("doc.doc_id", "score").join(known, "doc_id").select("score", "toxic").collect()
+    bad, fine = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    assert np.mean([(b > f) + (b == f) / 2 for b in bad for f in fine]) > 0.9
+
+
 def test_awkward_rows_are_scored(docs, rows, labels):
     assert mixing.mixed(docs).count() == len(rows)
     scored = toxicity.toxicity(docs, labels).collect()
@@ -379,6 +406,66 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == int(r.doc.doc_id % 8 == 0) for r in held]) > 0.95
 
 
+CLASHING = ["tokens_", "source_", "lang_", "topic_", "key_", "g_", "p_", "drawn_", "doc", "key", "did", "k1", "k2", "fp", "times", "kept", "spans", "own", "score", "predicted", "held_out", "toxic"]
+
+
+def test_pipeline_stages_on_awkward_rows(spark, docs, rows, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, an empty table and clashing names."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(5, 1, 1), (None, 1, 1), (7, None, None), (7, None, 0)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    base = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = base.select("*", *(F.lit("c").alias(c) for c in CLASHING))
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        for frame in (base, wide):
+            out = stage(spark, frame, str(tmp_path))
+            if name != "byte-level BPE":
+                assert out.columns == frame.columns
+            assert stage(spark, frame.limit(0), str(tmp_path)).count() == 0
+            kept[name, len(frame.columns)] = out.collect()
+        assert len(kept[name, 5]) == len(kept[name, 5 + len(CLASHING)])
+    assert len(kept["suffix-array dedup", 5]) == len(kept["byte-level BPE", 5]) == len(rows)
+    once = kept["SimHash near-dedup", 5]
+    texts = collections.Counter(r.text for r in once)
+    assert max(texts.values()) == 1 and len([r for r in once if r.doc_id is None]) == 1
+    assert {r.doc_id for r in once if not words(r.text or "")} == {200}  # null and wordless texts are one class
+
+
+def test_near_dedup_keeps_one_row_of_each_class(spark):
+    """A doc_id on two rows does not save the row that is a near copy of another document."""
+    rng = random.Random(2)
+    b, o = (" ".join(rng.choices("abcdefghijklmnop", k=300)) for _ in range(2))
+    frame = spark.createDataFrame([(3, b), (7, b + " end"), (7, o), (7, o)], "doc_id int, text string")
+    assert sorted((r.doc_id, r.text) for r in similar.one_of_each(frame).collect()) == [(3, b), (7, o)]
+
+
+def test_near_dedup_finds_all_similar_pairs(spark):
+    """Classes equal those of all pairs of five-word shingle sets of a similarity of 0.8 or more."""
+    rng = random.Random(12)
+    data = []
+    for _ in range(25):
+        base_ = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(30, 200))]
+        data.append(" ".join(base_))
+        for _ in range(3):
+            near = list(base_)
+            for _ in range(rng.randint(0, max(1, len(near) // 30))):
+                near[rng.randrange(len(near))] = f"x{rng.randrange(9)}"
+            data.append(" ".join(near))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in data]
+    low = list(range(len(data)))
+    for _ in data:
+        for i in range(len(data)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    low[i] = low[j] = min(low[i], low[j])
+        if all(low[low[i]] == low[i] for i in range(len(data))):
+            break
+    got = {r.doc_id: r.component_id for r in similar.similar_classes(spark.createDataFrame(list(enumerate(data)), "doc_id int, text string")).collect()}
+    assert got == dict(enumerate(low)) and 25 < len(set(low)) < 100
+
+
 def test_pipeline_on_the_smallest_tables(spark):
     import corpus_pipeline
 
