@@ -4,7 +4,9 @@ Lines are normalised and hashed, each line's documents are counted per host (the
 source column), lines above the limit are removed, and documents that are left with
 too few words are rejected.  The base measures are computed in the same scan, inside
 one row and without exploding words: a text's three-word windows are hashed, tagged
-with their position, sorted as longs, and equal neighbours are repeats.
+with their position, sorted as longs, and equal neighbours are repeats.  Neighbours of
+equal hashes are compared word by word; where two differ, that text's windows are sorted
+as strings instead, so the count is exact.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ MAX_DOCUMENTS = 20
 #: A document needs this many words, and this share of its words, after removal.
 MIN_WORDS, MIN_SHARE = 50, 0.3
 
+#: The hash of the three-word window at i.
+WINDOW_HASH = "xxhash64(get(ws, i), get(ws, i + 1), get(ws, i + 2))"
+
 WS = r"[\\x20\\x09-\\x0D]"
 
 
@@ -29,11 +34,16 @@ def _measured(docs: DataFrame) -> DataFrame:
     rows = rows.withColumns({"n": F.expr("coalesce(size(ws), 0)"), "nb": F.expr("coalesce(64 - length(bin(greatest(size(ws), 1))) , 0)")})
     # positions take the low bits that the number of words needs, the hash the others
     rows = rows.withColumn("nb", F.expr("64 - nb"))
-    tagged = "CASE WHEN n >= 3 THEN transform(sequence(0, greatest(n - 3, 0)), i -> coalesce(shiftleft(shiftright(xxhash64(get(ws, i), get(ws, i + 1), get(ws, i + 2)), nb), nb) + i, 0L)) ELSE cast(array() as array<bigint>) END"
+    tagged = f"CASE WHEN n >= 3 THEN transform(sequence(0, greatest(n - 3, 0)), i -> coalesce(shiftleft(shiftright({WINDOW_HASH}, nb), nb) + i, 0L)) ELSE cast(array() as array<bigint>) END"
     rows = rows.withColumn("tagged", F.expr(f"sort_array({tagged})"))
+    place = lambda x: f"cast({x} - shiftleft(shiftright({x}, nb), nb) as int)"
     same = "shiftright(x, nb) = shiftright(get(tagged, k {} 1), nb)"
-    twice = f"filter(tagged, (x, k) -> coalesce({same.format('+')}, false) OR (k > 0 AND {same.format('-')}))"
-    rows = rows.withColumn("again", F.expr(f"sort_array(transform({twice}, x -> coalesce(x - shiftleft(shiftright(x, nb), nb), 0L)))"))
+    differ = " OR ".join(f"get(ws, {place('x')} + {j}) <> get(ws, {place('get(tagged, k - 1)')} + {j})" for j in range(3))
+    rows = rows.withColumn("clash", F.expr(f"size(filter(tagged, (x, k) -> k > 0 AND {same.format('-')} AND ({differ}))) > 0"))
+    twice = f"transform(filter(tagged, (x, k) -> coalesce({same.format('+')}, false) OR (k > 0 AND {same.format('-')})), x -> coalesce(x - shiftleft(shiftright(x, nb), nb), 0L))"
+    strings = "array_sort(transform(sequence(0, greatest(n - 3, 0)), i -> named_struct('s', concat_ws(' ', get(ws, i), get(ws, i + 1), get(ws, i + 2)), 'i', i)))"
+    equal = f"aggregate({strings}, named_struct('s', cast(null as string), 'i', -1, 'all', cast(array() as array<bigint>)), (a, x) -> named_struct('s', x.s, 'i', x.i, 'all', CASE WHEN a.s = x.s THEN array_union(a.all, array(cast(a.i as bigint), cast(x.i as bigint))) ELSE a.all END), a -> a.all)"
+    rows = rows.withColumn("again", F.expr(f"sort_array(CASE WHEN clash THEN {equal} ELSE {twice} END)"))
     covered = "aggregate(again, named_struct('last', -3L, 'all', 0L), (a, x) -> named_struct('last', x, 'all', a.all + least(3L, x - a.last)), a -> a.all)"
     line = f"named_struct('h', xxhash64(trim(regexp_replace(lower(x), '{WS}+', ' '))), 'w', cast(size(array_remove(split(x, '{WS}+'), '')) as int))"
     return rows.select(
@@ -60,8 +70,7 @@ def line_frequency_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, mi
     included, so many copies in one host do make their lines frequent.  A null source
     is one host.  Null and empty texts have no words and fail the base rule.  A null
     doc_id keeps its row.  An empty table gives no rows, and other columns are not
-    read.  Windows are compared by the leading bits of a 64-bit hash, 44 or more of
-    them for texts of up to a million words.
+    read.
     """
     base = materialize(_measured(docs).withColumn("rid", F.monotonically_increasing_id()), "rules")
     lines = base.select("rid", "host", F.explode(F.expr("array_distinct(transform(filter(lines, x -> x.w > 0), x -> x.h))")).alias("h"))

@@ -4,7 +4,8 @@ The model reads a text as its lower-cased words, one blank between them and a li
 feed at the end.  Its trie holds contexts of up to ORDER bytes with the counts of the
 bytes that followed.  A byte is predicted by the longest known context; a byte that
 was not seen there costs an escape, estimated from the number of distinct successors
-(method C), and the next shorter context predicts it with the bytes already offered
+(method D: half of their number as a share of all occurrences, taken from each of them
+alike), and the next shorter context predicts it with the bytes already offered
 excluded.  The probability of a byte depends on nothing but the counts and the byte
 string of ORDER + 1 that ends in it, so the pretrained model is a table of the log
 probabilities of all such strings; the adaptive model updates its trie after each byte.
@@ -29,8 +30,8 @@ from .features import chunks
 from .scratch import materialize
 
 ORDER = 5
-#: Byte strings of ORDER + 1 whose log probabilities are sent to the executors, at most; contexts of one order of a Trie.
-GRAMS, CONTEXTS = 1_000_000, 30_000
+#: Byte strings of ORDER + 1 whose log probabilities are sent to the executors, at most; the others meet theirs in a join.
+GRAMS = 1_000_000
 #: Counts of contexts up to this order are sent out whole (2 ** 24 strings at most), and longer
 #: contexts that end in the same SHARED + 1 bytes are counted together.
 SHARED = 2
@@ -175,13 +176,13 @@ def log_probabilities(grams: np.ndarray, levels: list[Level]) -> np.ndarray:
         total, kinds, n = of(level.total, at), of(level.kinds, at), of(level.n, mine)
         if order:
             offered = up_total - of(level.shared, at)  # noqa: F821
-            whole = np.where(known, offered + up_kinds - kinds, 0)  # noqa: F821
-            escape = np.where(whole > 0, (up_kinds - kinds) / np.maximum(whole, 1), 1.0)  # noqa: F821
-            under = np.where(up_n > 0, up_n / np.maximum(whole, 1), escape * under)  # noqa: F821
+            whole = np.where(known, offered, 0)
+            escape = np.where(whole > 0, (up_kinds - kinds) / 2 / np.maximum(whole, 1), 1.0)  # noqa: F821
+            under = np.where(up_n > 0, (up_n - 0.5) / np.maximum(whole, 1), escape * under)  # noqa: F821
         else:
             under = 1 / np.maximum(256 - kinds, 1)
-        bottom = np.maximum(total + kinds, 1)
-        p = np.where(known, np.where(n > 0, n / bottom, kinds / bottom * under), p)
+        bottom = np.maximum(total, 1)
+        p = np.where(known, np.where(n > 0, (n - 0.5) / bottom, kinds / 2 / bottom * under), p)
         up_total, up_kinds, up_n = total, kinds, n
     return np.log10(p)
 
@@ -264,91 +265,6 @@ class Head:
         return out, pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(np.concatenate(others)))
 
 
-class Trie:
-    """A pretrained model in memory: contexts, their children, and log10 probabilities of every byte."""
-
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, contexts: int = CONTEXTS):
-        """``grams`` are byte strings of ORDER + 1 as numbers, first byte highest."""
-        last = (grams & np.uint64(255)).astype(np.int64)
-        present = np.unique(last)
-        self.symbol = np.full(256, len(present), np.int32)  # bytes never seen share one symbol
-        self.symbol[present] = np.arange(len(present))
-        width = len(present) + 1
-        rare = max(256 - len(present), 1)
-        below = np.full((1, width), 1 / 256)
-        below[0, -1] = rare / 256
-        parents = {0: 0}
-        self.child = np.full((1, width), -1, np.int32)
-        probability, level_below = [], below
-        for order in range(ORDER + 1):
-            code = grams & np.uint64((1 << (8 * (order + 1))) - 1)
-            code, n = _merge(code, counts)
-            context = (code >> np.uint64(8)).astype(np.int64)
-            symbols = self.symbol[(code & np.uint64(255)).astype(np.int64)]
-            keys, row = np.unique(context, return_inverse=True)
-            if order:
-                total = np.bincount(row, n)
-                known = np.array([int(k) & ((1 << (8 * (order - 1))) - 1) in parents for k in keys], bool)
-                if known.sum() > contexts:
-                    edge = np.partition(total[known], known.sum() - contexts)[known.sum() - contexts]
-                    known &= total > edge
-                use = known[row]
-                keys, row, symbols, n = keys[known], (np.cumsum(known) - 1)[row[use]], symbols[use], n[use]
-            seen = np.zeros((len(keys), width))
-            seen[row, symbols] = n
-            if order:
-                up = np.array([parents[int(k) & ((1 << (8 * (order - 1))) - 1)] for k in keys], np.int64)
-                first = self.symbol[(keys >> (8 * (order - 1))) & 255]
-                base = len(self.child)
-                self.child[up, first] = base + np.arange(len(keys))
-                self.child = np.vstack([self.child, np.full((len(keys), width), -1, np.int32)])
-                local = up - self.first_of_level
-                # the parent's counts without what this context offers itself
-                rest = np.where(seen > 0, 0, level_seen[local])
-                offered, kinds = rest.sum(axis=1, keepdims=True), (rest > 0).sum(axis=1, keepdims=True)
-                whole = offered + kinds
-                under = np.where(level_seen[local] > 0, rest / np.maximum(whole, 1), np.where(whole > 0, kinds / np.maximum(whole, 1), 1.0) * level_below[local])
-            else:
-                keys, base = np.zeros(1, np.int64), 0
-                whole = below * (seen == 0)
-                under = np.where(seen == 0, below / np.maximum(whole.sum(axis=1, keepdims=True), 1e-300), 0.0)
-            under = np.where(seen > 0, 0.0, under)
-            offered, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-            full = kinds == width  # nothing to escape to
-            bottom = np.where(full, offered, offered + kinds)
-            p = np.where(seen > 0, seen / np.maximum(bottom, 1), np.where(bottom > 0, kinds / np.maximum(bottom, 1), 1.0) * under)
-            p[:, -1] /= rare
-            probability.append(np.log10(np.maximum(p, 1e-12)).astype(np.float32))
-            parents = {int(k): base + i for i, k in enumerate(keys)}
-            self.first_of_level, level_seen, level_below = base, seen, under
-        self.log_p = np.vstack(probability)
-        inner = self.first_of_level  # contexts of full order have no children
-        self.child = np.ascontiguousarray(self.child[:inner])
-
-    def scores(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
-        out = np.zeros(len(texts))
-        inner, width = self.child.shape
-        child, log_p = self.child.ravel(), self.log_p.ravel()
-        for lo, hi in chunks(texts):
-            data, sizes = _streams(texts[lo:hi])
-            symbols = self.symbol[data]
-            node = np.zeros(len(data) - ORDER, np.int32)
-            going = None
-            for back in range(1, ORDER + 1):
-                step = symbols[ORDER - back : len(data) - back]
-                if going is None:
-                    after = child[step]
-                else:
-                    after = np.where(going, child[np.minimum(node, inner - 1) * width + step], -1)
-                going = after >= 0
-                node = np.where(going, after, node)
-            each = log_p[node.astype(np.int64) * width + symbols[ORDER:]]
-            each = each[_scored(sizes) - ORDER].astype(np.float64)
-            out[lo:hi] = np.add.reduceat(each, np.r_[0, np.cumsum(sizes)[:-1]])
-        return out
-
-
 def adaptive_score(text: bytes, order: int = ORDER) -> float:
     """log10 probability of one text by a trie that starts empty and learns as it reads."""
     data = b" ".join(text.lower().split()) + b"\n"
@@ -359,11 +275,11 @@ def adaptive_score(text: bytes, order: int = ORDER) -> float:
         for k in range(min(order, i), -1, -1):
             seen = {s: c for s, c in trie.get(data[i - k : i], {}).items() if s not in barred}
             if seen:
-                bottom = sum(seen.values()) + len(seen)
+                bottom = sum(seen.values())
                 if byte in seen:
-                    total += math.log10(seen[byte] / bottom)
+                    total += math.log10((seen[byte] - 0.5) / bottom)
                     break
-                total += math.log10(len(seen) / bottom)
+                total += math.log10(len(seen) / 2 / bottom)
                 barred |= seen.keys()
         else:
             total -= math.log10(256 - len(barred))

@@ -245,7 +245,10 @@ def test_bpe_equals_the_library(docs, rows):
     assert collections.Counter(bytes(r.data) for r in back.collect()) == collections.Counter((r[1] or "").encode() for r in rows)
 
 
-def test_line_rules(docs, rows):
+@pytest.mark.parametrize("window_hash", [line_rules.WINDOW_HASH, "shiftleft(cast(length(get(ws, i)) as bigint), 50)"])
+def test_line_rules(docs, rows, window_hash, monkeypatch):
+    """Also where many windows have one hash."""
+    monkeypatch.setattr(line_rules, "WINDOW_HASH", window_hash)
     got = {(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in line_rules.line_frequency_rules(docs).collect()}
     want = set()
     for r in rows:
@@ -307,21 +310,24 @@ def test_language_scores_use_every_count(spark, docs, rows, monkeypatch):
         for k in range(5, -1, -1):
             seen = {s: c for s, c in trie.get(string[5 - k : 5], {}).items() if s not in barred}
             if seen:
-                bottom = sum(seen.values()) + len(seen)
+                bottom = sum(seen.values())
                 if string[5] in seen:
-                    return total + math.log10(seen[string[5]] / bottom)
-                total, barred = total + math.log10(len(seen) / bottom), barred | seen.keys()
+                    return total + math.log10((seen[string[5]] - 0.5) / bottom)
+                total, barred = total + math.log10(len(seen) / 2 / bottom), barred | seen.keys()
         return total - math.log10(256 - len(barred))
 
     want = collections.Counter((r[0], round(sum(cost(f[i - 5 : i + 1]) for i in range(5, len(f))), 4)) for r, f in zip(rows, forms))
     assert collections.Counter((r.doc_id, round(r.score, 4)) for r in ppm.language_scores(docs).collect()) == want
 
 
-def test_trie_rows_are_distributions():
-    trie = ppm.Trie(*ppm._gram_counts([b"the cat sat on the mat", b"the hat", "é".encode()]))
-    p = 10.0 ** trie.log_p.astype(float)
-    rare = 256 - (p.shape[1] - 1)
-    assert np.allclose(p[:, :-1].sum(axis=1) + rare * p[:, -1], 1, atol=1e-4)
+def test_byte_probabilities_add_up():
+    grams, counts = ppm._gram_counts([b"the cat sat on the mat", b"the hat", "é".encode()])
+    levels = []
+    for order in range(ppm.ORDER + 1):
+        levels.append(ppm.Level(grams, counts, order, levels[-1] if levels else None))
+    for context in {int(g) >> 8 for g in grams} | {0, int.from_bytes(b"zzzth", "big")}:
+        p = 10 ** ppm.log_probabilities(np.uint64(context << 8) + np.arange(256, dtype=np.uint64), levels)
+        assert p.sum() == pytest.approx(1) and (p > 0).all()
     assert ppm.adaptive_score(b"abababababababab") > ppm.adaptive_score(b"abqzcmwpxkdoeitu")
 
 
