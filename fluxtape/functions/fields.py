@@ -270,13 +270,24 @@ def all_close(xs: Column, ys: Column, rtol: float = 1e-5, atol: float = 1e-8) ->
 
 
 def vector_op(xs: Column, ys: Column, op) -> Column:
-    """``op`` on each pair of two arrays of equal length."""
-    return F.zip_with(xs, ys, op)
+    """``op`` on each pair of two arrays; arrays of different lengths are an error."""
+    wrong = F.raise_error(F.lit("vectors of different lengths"))
+    return F.when(F.size(xs) == F.size(ys), F.zip_with(xs, ys, op)).otherwise(F.when(xs.isNotNull() & ys.isNotNull(), wrong))
+
+
+def scalar_op(xs: Column, y: Column, op) -> Column:
+    """``op`` on each element of an array and one number."""
+    return F.transform(xs, lambda x: op(x, y))
 
 
 def exact_div(x: Column, y: Column) -> Column:
-    """Quotient of whole numbers that divide without rest; null otherwise."""
-    return F.when((y != 0) & (x % y == 0), (x / y).cast("bigint"))
+    """Quotient of whole numbers; an error where it leaves a rest."""
+    return F.when(floor_mod(x, y) == 0, F.call_function("div", x, y)).otherwise(F.raise_error(F.concat(x.cast("string"), F.lit(" / "), y.cast("string"), F.lit(" is not whole"))).cast("bigint"))
+
+
+def try_exact_div(x: Column, y: Column) -> Column:
+    """The same, null where it leaves a rest or divides by zero."""
+    return F.when((y != 0) & (x % y == 0), F.call_function("div", x, F.when(y != 0, y)))
 
 
 def floor_mod(x: Column, y: Column) -> Column:

@@ -5,9 +5,23 @@ Variable names are those of the public format manual.  MT -1 is an MF's default.
 
 from __future__ import annotations
 
-from .distributions import BY_SECTION
+from . import decay
+from .distributions import BY_SECTION, PRODUCTS as EMITTED
 
-TWO_COLUMNS = "cont ZA AWR 0 0 0 0\ntab1 QM QI 0 LR -> xstable E xs"
+TWO_COLUMNS = """
+#: ZA charge and mass number of the material as 1000 Z + A
+#: AWR mass of the material in units of the neutron's mass
+cont ZA AWR 0 0 0 0
+#: QM energy that the reaction sets free, from masses, in eV
+#: QI energy that the reaction to this level sets free, in eV
+#: LR flag of a complex or breakup reaction
+#: xstable cross section of the reaction by energy
+#: xstable/E energies of the incident particle in eV
+#: xstable/xs cross sections in barn
+#: xstable/NBT last point of each range of interpolation
+#: xstable/INT law of interpolation of each range
+tab1 QM QI 0 LR -> xstable E xs
+"""
 NUBAR = """
 cont ZA AWR 0 LNU 0 0
 if LNU == 1
@@ -33,8 +47,35 @@ for i = 1..NS
 
 BASE: dict[tuple[int, int], str] = {
     **BY_SECTION,
+    (8, 457): decay.DECAY,
+    (34, -1): decay.ANGLE_COVARIANCES,
     (0, 0): "text TAPEDESCR{66}",
     (1, 451): """
+#: ZA charge and mass number of the material as 1000 Z + A
+#: AWR mass of the material in units of the neutron's mass
+#: LRP whether and how resonance parameters are given in MF 2
+#: LFI whether the material fissions
+#: NLIB number of the library
+#: NMOD number of modifications
+#: ELIS energy of the target's excitation in eV
+#: STA whether the target is unstable
+#: LIS number of the target's state
+#: LISO number of the target's isomeric state
+#: NFOR version of the format
+#: AWI mass of the projectile in units of the neutron's mass
+#: EMAX upper limit of the energies in eV
+#: LREL release of the library
+#: NSUB number of the sublibrary
+#: NVER version of the library
+#: TEMP temperature in K for data that were broadened
+#: LDRV whether the material was derived
+#: NWD lines of text
+#: NXC sections in the directory
+#: DESCRIPTION[i] a line of the description
+#: MFx[i] MF of a section in the directory
+#: MTx[i] MT of a section in the directory
+#: NCx[i] lines of a section in the directory
+#: MOD[i] modification of a section in the directory
 cont ZA AWR LRP LFI NLIB NMOD
 cont ELIS STA LIS LISO 0 NFOR
 cont AWI EMAX LREL 0 NSUB NVER
@@ -122,9 +163,19 @@ for k = 1..NK
 
 DIALECTS: dict[str, dict[tuple[int, int], str]] = {
     "endf6": BASE,
-    "endf6-ext": BASE,
+    "endf6-ext": BASE | {(4, -1): decay.OLDER_ANGLES},
     "jendl": BASE,
-    "pendf": BASE | {(3, -1): "cont ZA AWR 0 LMTR 0 0\ntab1 QM QI 0 LR -> xstable E xs"},
+    "pendf": BASE
+    | {
+        (1, 451): decay.PROCESSED_HEAD,
+        (2, 152): decay.SHIELDED,
+        (2, 153): decay.PROBABILITIES,
+        (3, -1): "cont ZA AWR 0 LMTR 0 0\ntab1 QM QI 0 LR -> xstable E xs",
+        (23, -1): "cont ZA AWR 0 LMTR 0 0\ntab1 EPE EFL 0 0 -> table E sigma",
+        # of a product whose LIP is -1 or -2 nothing follows its yields, whatever its law; a negative LIP also counts edges
+        (6, -1): EMITTED.replace("        if LAW == 1\n", "        if LIP < 0 or LAW == 0\n            pass\n        elif LAW == 1\n"),
+    },
+    "test": decay.PROBES,
     "errorr": {
         (0, 0): BASE[0, 0],
         (1, 451): "cont ZA AWR 0 0 NW 0\nlist 0 0 NG 0 NG+1 0\n    for i = 1..NG+1\n        vals EGB[i]",

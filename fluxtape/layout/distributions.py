@@ -243,8 +243,10 @@ for c = 1..NI
                         vals F[k,m]
         else
             list 0 0 LT LB 2*NP NP
-                for k = 1..NP
+                for k = 1..NP-LT
                     vals E[k] F[k]
+                for k = 1..LT
+                    vals EL[k] FL[k]
 """
 COVARIANCES = f"""
 cont ZA AWR 0 MTL 0 NL

@@ -6,12 +6,13 @@ import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import catalogue
-from .engine import Options, cells_of, read_section, write_section
-from .notation import LayoutError
+from .engine import Options, as_lists, cells_of, from_lists, read_section, write_section
+from .notation import LayoutError, descriptions
 
-_CELLS = "path array<string>, f double, s string"
+_CELLS = "path array<string>, i bigint, f double, s string, src string"
 _PATH = pa.list_(pa.string())
 
 
@@ -19,14 +20,22 @@ def _keys(df: DataFrame, keys: list[str]) -> str:
     return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
+def _control(row: dict) -> tuple[int, int, int] | None:
+    """A section's control fields, where the row and its lines have them."""
+    if all(row.get(k) is not None for k in ("mat", "mf", "mt")) and row["lines"] and len(row["lines"][0]) >= 75:
+        return row["mat"], row["mf"], row["mt"]
+    return None
+
+
 def _layout(given: str | None, dialect: str, row: dict) -> str | None:
     return given if given is not None else catalogue.find(dialect, row["mf"], row["mt"])
 
 
 def cells(sections: DataFrame, keys: list[str], layout: str | None = None, dialect: str = "endf6-ext", options: Options | None = None) -> DataFrame:
-    """``keys, path, f, s``: the values of each section that its layout reads; others give none.
+    """``keys, path, i, f, s, src``: the values of each section that its layout reads; :func:`issues` tells of the others.
 
-    ``sections`` has ``lines`` and, without a given layout, mf and mt.
+    ``sections`` has ``lines`` and, without a given layout, mf and mt.  Whole numbers are
+    both in i and f, texts in s, and src is a number's field where the options keep it.
     """
 
     def run(batches):
@@ -37,14 +46,15 @@ def cells(sections: DataFrame, keys: list[str], layout: str | None = None, diale
                 if text is None:
                     continue
                 try:
-                    made = cells_of(read_section(text, row["lines"], options))
+                    made = cells_of(read_section(text, row["lines"], options, _control(row)))
                 except LayoutError:
                     continue
                 rows += made
                 at += [i] * len(made)
-            path, f, s = zip(*rows) if rows else ((), (), ())
+            cols = list(zip(*rows)) if rows else [(), (), (), (), ()]
             where = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in keys), pa.array(path, _PATH), pa.array(f, pa.float64()), pa.array(s, pa.string())], [*keys, "path", "f", "s"])
+            made = [pa.array(c, k) for c, k in zip(cols, (_PATH, pa.int64(), pa.float64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(where) for k in keys), *made], [*keys, "path", "i", "f", "s", "src"])
 
     return sections.mapInArrow(run, f"{_keys(sections, keys)}, {_CELLS}")
 
@@ -59,7 +69,7 @@ def status(sections: DataFrame, keys: list[str], layout: str | None = None, dial
                 text = _layout(layout, dialect, row)
                 try:
                     if text is not None:
-                        read_section(text, row["lines"], options)
+                        read_section(text, row["lines"], options, _control(row))
                     out.append(("verbatim" if text is None else "parsed", None))
                 except LayoutError as e:
                     out.append(("failed", e.code))
@@ -69,31 +79,93 @@ def status(sections: DataFrame, keys: list[str], layout: str | None = None, dial
     return sections.mapInArrow(run, f"{_keys(sections, keys)}, status string, code string")
 
 
+def issues(sections: DataFrame, keys: list[str], layout: str | None = None, dialect: str = "endf6-ext", options: Options | None = None) -> DataFrame:
+    """``keys, code, message, at, context``: why a section does not fit its layout, the line it was found at, and the lines up to it, 20 at most."""
+
+    def run(batches):
+        for batch in batches:
+            rows, where = [], []
+            for i, row in enumerate(batch.to_pylist()):
+                text = _layout(layout, dialect, row)
+                try:
+                    if text is not None:
+                        read_section(text, row["lines"], options, _control(row))
+                except LayoutError as e:
+                    rows.append((e.code, str(e), e.at, e.context))
+                    where.append(i)
+            cols = list(zip(*rows)) if rows else [(), (), (), ()]
+            made = [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string())))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(where, pa.int64())) for k in keys), *made], [*keys, "code", "message", "at", "context"])
+
+    return sections.mapInArrow(run, f"{_keys(sections, keys)}, code string, message string, at int, context array<string>")
+
+
+def described(cells: DataFrame, layout: str) -> DataFrame:
+    """Cells with ``about``, what the layout says of their path; an index may stand for ``*``, and lists' places are left out."""
+    spark = cells.sparkSession
+    known = spark.createDataFrame([(path.split("/"), about) for path, about in descriptions(layout)], "pattern array<string>, about string")
+    table = F.broadcast(known)  # as many rows as the layout has descriptions
+    bare = F.when(F.element_at("path", -1).rlike("^[0-9]+$") & (F.size("path") == F.size("pattern") + 1), F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))
+    fits = (F.size(bare) == F.size("pattern")) & F.forall(F.zip_with(bare, "pattern", lambda p, q: (q == "*") | (p == q)), lambda b: b)
+    return cells.join(table, fits, "left").drop("pattern")
+
+
+def written(documents: DataFrame, keys: list[str], column: str, layout: str, options: Options | None = None) -> DataFrame:
+    """``keys, code, n_lines``: whether each document in JSON can be written, and the reason's code where it can't."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for text in batch.column(column).to_pylist():
+                try:
+                    out.append((None, len(write_section(layout, _plain(json.loads(text)), options))))
+                except LayoutError as e:
+                    out.append((e.code, None))
+            a, b = zip(*out) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(a, pa.string()), pa.array(b, pa.int32())], [*keys, "code", "n_lines"])
+
+    return documents.mapInArrow(run, f"{_keys(documents, keys)}, code string, n_lines int")
+
+
 def _plain(value):
     """JSON's string keys back to indices."""
     if isinstance(value, dict):
-        return {int(k) if k.isdigit() else k: _plain(v) for k, v in value.items()}
-    return value
+        out = {int(k) if isinstance(k, str) and k.isdigit() else k: _plain(v) for k, v in value.items()}
+        if len(out) < len(value):
+            raise LayoutError("key_clash", "two keys are the same number")
+        return out
+    return [_plain(v) for v in value] if isinstance(value, list) else value
+
+
+def _document(text: str, lists: bool) -> dict:
+    made = json.loads(text)
+    return _plain(from_lists(made["document"], made["starts"]) if lists else made)
 
 
-def from_json(documents: DataFrame, keys: list[str], column: str, layout: str, options: Options | None = None) -> DataFrame:
-    """``keys, lines``: sections written from documents in JSON; a document that does not fit gives null lines."""
+def from_json(documents: DataFrame, keys: list[str], column: str, layout: str, options: Options | None = None, lists: bool = False) -> DataFrame:
+    """``keys, lines``: sections written from documents in JSON, as :func:`to_json` makes them; one that does not fit gives null lines."""
 
     def run(batches):
         for batch in batches:
             out = []
             for text in batch.column(column).to_pylist():
                 try:
-                    out.append(write_section(layout, _plain(json.loads(text)), options))
-                except (LayoutError, KeyError):
+                    out.append(write_section(layout, _document(text, lists), options))
+                except (LayoutError, KeyError, ValueError):
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, pa.list_(pa.string()))], [*keys, "lines"])
 
     return documents.mapInArrow(run, f"{_keys(documents, keys)}, lines array<string>")
 
 
-def to_json(sections: DataFrame, keys: list[str], layout: str | None = None, dialect: str = "endf6-ext", options: Options | None = None) -> DataFrame:
-    """``keys, document``: each section as JSON; null where its layout does not fit."""
+def to_json(sections: DataFrame, keys: list[str], layout: str | None = None, dialect: str = "endf6-ext", options: Options | None = None, lists: bool = False) -> DataFrame:
+    """``keys, document``: each section as JSON; null where its layout does not fit.
+
+    With ``lists`` the JSON holds ``document``, with arrays as lists from 0, and their first indices as ``starts``.
+    """
+
+    def shaped(document: dict):
+        return dict(zip(("document", "starts"), as_lists(document))) if lists else document
 
     def run(batches):
         for batch in batches:
@@ -101,7 +173,7 @@ def to_json(sections: DataFrame, keys: list[str], layout: str | None = None, dia
             for row in batch.to_pylist():
                 text = _layout(layout, dialect, row)
                 try:
-                    out.append(None if text is None else json.dumps(read_section(text, row["lines"], options)))
+                    out.append(None if text is None else json.dumps(shaped(read_section(text, row["lines"], options, _control(row)))))
                 except LayoutError:
                     out.append(None)
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(out, pa.string())], [*keys, "document"])

@@ -1,7 +1,8 @@
 """Documents as tables of addressed cells: paths, the match language, differences and edits.
 
-A cell is ``(file_id, path array<string>, f double, s string)``.  Steps of digits only
-are indices and are kept without leading zeros.
+A cell is ``(file_id, path array<string>, f double, s string)``, and ``i bigint`` too where
+whole numbers are told from others.  Steps of digits only are indices and are kept
+without leading zeros.
 """
 
 from __future__ import annotations
@@ -239,7 +240,8 @@ def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int) -> Data
             t, f = walk(node.args[0])
             return f, t
         if node.kind == "exists":
-            hit = bindings(node.args[0])
+            steps = node.args[0]
+            hit = below(F.slice("path", F.lit(depth + 1), F.greatest(F.size("path") - depth, F.lit(0))), steps)
             found = truth(leaf(F.bool_or(hit)))
             return found, F.lit(False) if "*" in node.args[0] else ~found
         if node.kind == "in":
@@ -264,24 +266,71 @@ def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int) -> Data
 # -- differences and edits
 
 
-def compare(left: DataFrame, right: DataFrame, rtol: float = 1e-6, atol: float = 1e-8) -> DataFrame:
+def compare(left: DataFrame, right: DataFrame, rtol: float = 1e-6, atol: float = 1e-8, strip: bool = False, first: int | None = None, lengths_only: bool = False) -> DataFrame:
     """``file_id, path, code``: cells on one side only, and values that differ.
 
-    Numbers are compared within a tolerance relative to the right side.
+    Numbers are compared within a tolerance relative to the right side, whole numbers
+    (where both sides have a column ``i``) exactly, and a whole number and another one
+    differ in ``type``.  Texts are compared without trailing blanks with ``strip``, up
+    to the ``first`` characters, or by their lengths only.
     """
-    a = left.select("file_id", "path", F.col("f").alias("lf"), F.col("s").alias("ls"), F.lit(True).alias("l"))
-    b = right.select("file_id", "path", F.col("f").alias("rf"), F.col("s").alias("rs"), F.lit(True).alias("r"))
+    typed = "i" in left.columns and "i" in right.columns
+    whole = lambda side: (F.col("i") if typed else F.lit(None).cast("bigint")).alias(f"{side}i")
+    a = left.select("file_id", "path", whole("l"), F.col("f").alias("lf"), F.col("s").alias("ls"), F.lit(True).alias("l"))
+    b = right.select("file_id", "path", whole("r"), F.col("f").alias("rf"), F.col("s").alias("rs"), F.lit(True).alias("r"))
     both = a.join(b, ["file_id", "path"], "full_outer")
+    one, two = F.col("ls"), F.col("rs")
+    if strip:
+        one, two = F.rtrim(one), F.rtrim(two)
+    if first is not None:
+        one, two = F.substring(one, 1, first), F.substring(two, 1, first)
+    text = F.when(F.length(one) != F.length(two), "length")
+    numbers = F.col("lf").isNotNull() & F.col("rf").isNotNull()
     code = (
         F.when(F.col("r").isNull(), "only_left")
         .when(F.col("l").isNull(), "only_right")
-        .when(F.col("lf").isNotNull() & F.col("rf").isNotNull(), F.when(~is_close(F.col("lf"), F.col("rf"), rtol, atol), "value"))
+        .when(numbers & F.lit(typed) & (F.col("li").isNull() != F.col("ri").isNull()), "type")
+        .when(numbers & F.col("li").isNotNull() & F.col("ri").isNotNull(), F.when(F.col("li") != F.col("ri"), "value"))
+        .when(numbers, F.when(~is_close(F.col("lf"), F.col("rf"), rtol, atol), "value"))
         .when(F.col("lf").isNotNull() | F.col("rf").isNotNull(), "type")
-        .when(F.col("ls") != F.col("rs"), F.when(F.length("ls") != F.length("rs"), "length").otherwise("string"))
+        .otherwise(text if lengths_only else text.when(one != two, "string"))
     )
     return both.withColumn("code", code).where("code IS NOT NULL").select("file_id", "path", "code")
 
 
+def equal_files(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``file_id, equal``: whether both sides hold the same cells with the same values."""
+    every = left.select("file_id").union(right.select("file_id")).distinct()
+    differ = compare(left, right, 0.0, 0.0).groupBy("file_id").agg(F.count("*").alias("n"))
+    return every.join(differ, "file_id", "left").select("file_id", F.col("n").isNull().alias("equal"))
+
+
+def in_order(differences: DataFrame) -> DataFrame:
+    """Sorted by file and path: at each step names before numbers, each in its own order."""
+    key = F.transform("path", lambda s: F.struct(s.rlike("^[0-9]+$").alias("n"), s.try_cast("bigint").alias("k"), s.alias("s")))
+    return differences.withColumn("_o", key).orderBy("file_id", "_o").drop("_o")
+
+
+def get_many(cells: DataFrame, paths: DataFrame) -> DataFrame:
+    """Cells at the paths of ``paths(path array<string>)``, in all files."""
+    return cells.join(paths.select("path").distinct(), "path", "left_semi").select(*cells.columns)
+
+
+def first_binding(cells: DataFrame, relation: str) -> DataFrame:
+    """``file_id, path, f``: of a relation between a path and a number, the first cell that makes it true in each file."""
+    tree = parse_match(relation)
+    if tree.kind not in _MIRROR or sum(isinstance(x, float) for x in tree.args) != 1:
+        raise ValueError("a relation of one path and one number is wanted")
+    sign, (a, b) = tree.kind, tree.args
+    if isinstance(a, float):
+        sign, a, b = _MIRROR[sign], b, a
+    value = F.col("f")
+    test = {"<": value < b, ">": value > b, "<=": value <= b, ">=": value >= b, "==": value == b, "!=": value != b}[sign]
+    hits = cells.where(matches(F.col("path"), a) & test)
+    place = F.transform("path", lambda s: F.struct(s.try_cast("bigint").alias("k"), s.alias("s")))
+    return hits.groupBy("file_id").agg(F.min_by(F.struct("path", "f"), place).alias("m")).select("file_id", "m.path", "m.f")
+
+
 def replace_subtree(target: DataFrame, source: DataFrame, path: str) -> DataFrame:
     """Target with everything at or below a path taken from the source."""
     return remove(target, path).unionByName(source.where(below(F.col("path"), parse_path(path))).select(*target.columns))

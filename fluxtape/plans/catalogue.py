@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fields as fd
+from ..layout import catalogue as layouts
 from ..layout import lane
 from ..layout.engine import Options
 from ..operators import cells as ce
@@ -113,7 +114,7 @@ def q09_vector_ops(spark, sf):
 
 @_query("SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 4 = 0 THEN l_orderkey // 4 END AS v FROM lineitem")
 def q10_exact_div(spark, sf):
-    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fd.exact_div(C("l_orderkey"), L(4)).alias("v"))
+    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fd.try_exact_div(C("l_orderkey"), L(4)).alias("v"))
 
 
 @_query("SELECT event_id, ((3 - event_id) % 6 + 6) % 6 AS v FROM events")
@@ -608,14 +609,98 @@ def q59_layout_sections(spark, sf):
     return ce.get(_items(spark, sf), "/item/*/p").groupBy("file_id").agg(F.max("f").alias("top"))
 
 
+@_query("SELECT l_orderkey AS file_id, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
+def q60_array_list_mode(spark, sf):
+    """Documents with arrays as lists from 0, back to sections by their first indices."""
+    documents = lane.to_json(_list_sections(spark, sf), ["file_id"], ITEMS, lists=True)
+    again = lane.cells(lane.from_json(documents, ["file_id"], "document", ITEMS, lists=True), ["file_id"], ITEMS)
+    return ce.get(again, "/item/*/q").groupBy("file_id").agg(F.count("*").alias("n"), F.round(F.sum("f"), 2).alias("total"))
+
+
 @_query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'parsed' ELSE 'kept' END AS status, count(*) AS n FROM orders GROUP BY 1")
 def q61_nofail_status(spark, sf):
     done = lane.status(_dirty(spark, sf), ["file_id"], DIRTY, options=Options(ignore_zero_mismatch=False))
     return done.groupBy(F.when(C("status") == "parsed", "parsed").otherwise("kept").alias("status")).agg(F.count("*").alias("n"))
 
 
+@_query("SELECT o_orderkey AS file_id, CASE o_orderkey % 3 WHEN 1 THEN 'unused_elements' WHEN 2 THEN 'missing_variable' END AS code, CASE WHEN o_orderkey % 3 = 0 THEN 2 END::INTEGER AS n_lines FROM orders")
+def q62_array_completeness(spark, sf):
+    """Documents of orders with all, one too many or one too few elements of an array."""
+    kind = C("o_orderkey") % 3
+    n = F.when(kind == 1, 4).when(kind == 2, 2).otherwise(3)
+    values = F.map_from_arrays(F.transform(F.sequence(L(1), n), lambda i: i.cast("string")), F.transform(F.sequence(L(1), n), lambda i: C("o_totalprice") + i))
+    documents = _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.to_json(F.struct(L(3).alias("N"), values.alias("v"))).alias("document"))
+    return lane.written(documents, ["file_id"], "document", "list 0 0 0 0 N 0\n    for i = 1..N\n        vals v[i]", Options(prefer_noexp=True, check_arrays=True))
+
+
+def _tables(spark, sf) -> DataFrame:
+    """Sections of MF 3 as ``file_id, mat, mf, mt, lines``, one for each order: prices by line number."""
+    part = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_extendedprice")))
+    orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(part.alias("p"))
+    points = F.flatten(F.transform("p", lambda x: F.array(x["l_linenumber"].cast("double"), x["l_extendedprice"])))
+    orders = orders.select("l_orderkey", F.size("p").alias("n"), fd.float_fields(points, prefer_noexp=True).alias("fields"))
+    key = {"mat": C("l_orderkey") % 9999 + 1, "mf": L(3), "mt": C("l_orderkey") % 90 + 1}
+    ctrl = rc.control(*key.values())
+    head = rc.cont_body(fd.float_field(C("l_orderkey"), prefer_noexp=True), _blank(), L(0), L(0), L(0), L(0))
+    top = rc.cont_body(_blank(), _blank(), L(0), L(0), L(1), C("n"))
+    lines = F.concat(F.array(head, top), rc.value_lines(F.array(fd.int_field(C("n")), fd.int_field(L(2)))), rc.value_lines(C("fields")))
+    return orders.select(C("l_orderkey").alias("file_id"), *(v.cast("int").alias(k) for k, v in key.items()), F.transform(lines, lambda x: F.concat(F.rpad(x, 66, " "), ctrl)).alias("lines"))
+
+
+@_query("""SELECT l_orderkey AS file_id, path, about, f FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS i FROM lineitem)
+  , LATERAL (VALUES ('xstable/E/' || i, 'energies of the incident particle in eV', l_linenumber::DOUBLE), ('xstable/xs/' || i, 'cross sections in barn', p)) t(path, about, f)
+  UNION ALL SELECT DISTINCT l_orderkey, 'ZA', 'charge and mass number of the material as 1000 Z + A', l_orderkey::DOUBLE FROM lineitem""")
+def q63_explain_path(spark, sf):
+    """What the layout says of the cells of a section."""
+    cells = lane.described(lane.cells(_tables(spark, sf), ["file_id"], dialect="endf6"), layouts.find("endf6", 3, 1))
+    wanted = ce.matches(C("path"), ["ZA"]) | ce.matches(C("path"), ["xstable", "E", "*"]) | ce.matches(C("path"), ["xstable", "xs", "*"])
+    return cells.where(wanted).select("file_id", F.array_join("path", "/").alias("path"), "about", "f")
+
+
 @_query("SELECT c_nationkey::BIGINT + 1 AS mat, count(*) AS n_lines FROM customer GROUP BY 1")
 def q64_multi_material(spark, sf):
     body = F.rpad(fd.float_field(C("c_acctbal"), prefer_noexp=True), 66, " ")
     lines = _t(spark, sf, "customer").select(L("one").alias("file_id"), C("c_custkey").alias("ofs"), F.concat(body, rc.control(C("c_nationkey") + 1, L(3), L(1))).alias("raw"))
     return tp.section_sizes(tp.with_control(lines)).select("mat", "n_lines")
+
+
+# -- sections by the catalogue's layouts
+
+
+@_query("""SELECT l_orderkey AS file_id, l_orderkey % 9999 + 1 AS mat, 3::BIGINT AS mf, l_orderkey % 90 + 1 AS mt, count(*) AS np, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey""")
+def q65_catalogue_cross_sections(spark, sf):
+    """MF 3 by its layout, with the control fields as part of the document."""
+    cells = lane.cells(_tables(spark, sf), ["file_id"], dialect="endf6")
+    key = lambda name: F.max(F.when(ce.matches(C("path"), [name]), C("i"))).alias(name.lower())
+    y = F.when(ce.matches(C("path"), ["xstable", "xs", "*"]), C("f"))
+    return cells.groupBy("file_id").agg(*(key(k) for k in ("MAT", "MF", "MT")), F.count(y).alias("np"), F.round(F.sum(y), 2).alias("total"))
+
+
+@_query("""SELECT c_nationkey::BIGINT AS file_id, count(*) + 5 AS nwd, count(DISTINCT c_mktsegment) AS nxc, count(*) AS described, max(c_name) AS last FROM customer GROUP BY 1""")
+def q66_catalogue_description(spark, sf):
+    """MF 1, MT 451: customers are the lines of a nation's description, segments its directory."""
+    names = F.array_sort(F.collect_list("c_name"))
+    nations = _t(spark, sf, "customer").groupBy("c_nationkey").agg(names.alias("p"), F.count_distinct("c_mktsegment").alias("k"))
+    blank = rc.cont_body(_blank(), _blank(), L(0), L(0), L(0), L(0))
+    counts = rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("p") + 5, C("k"))
+    text = F.transform("p", lambda x: F.rpad(x, 66, " "))
+    entries = F.transform(fd.counted(L(1), C("k")), lambda i: rc.dir_body(L(3), i, L(1), L(0)))
+    lines = F.concat(F.array(blank, blank, blank, counts), F.array_repeat(F.rpad(L("head"), 66, " "), 5), text, entries)
+    sections = nations.select(C("c_nationkey").cast("bigint").alias("file_id"), L(1).alias("mf"), L(451).alias("mt"), F.transform(lines, lambda x: F.rpad(x, 66, " ")).alias("lines"))
+    cells = lane.cells(sections, ["file_id"], dialect="endf6")
+    one = lambda name: F.max(F.when(ce.matches(C("path"), [name]), C("i"))).alias(name.lower())
+    said = F.when(ce.matches(C("path"), ["DESCRIPTION", "*"]), F.rtrim("s"))
+    return cells.groupBy("file_id").agg(one("NWD"), one("NXC"), F.count(said).alias("described"), F.max(said).alias("last"))
+
+
+@_query("""SELECT vec_id AS file_id, round(list_sum(list_transform(embedding[1:6], lambda x: round(CAST(x AS DOUBLE), 4))), 3) AS total, round(CAST(embedding[6] AS DOUBLE), 4) AS corner FROM embeddings""")
+def q67_catalogue_covariances(spark, sf):
+    """MF 33: a symmetric matrix (LB 5) over four energies from the first six components."""
+    values = F.concat(F.array(*(L(float(e)) for e in (1, 2, 3, 4))), F.transform(F.slice("embedding", 1, 6), lambda x: F.round(x.cast("double"), 4)))
+    made = _t(spark, sf, "embeddings").select("vec_id", fd.float_fields(values, prefer_noexp=True).alias("fields"))
+    none = [_blank(), _blank()]
+    heads = F.array(rc.cont_body(*none, L(0), L(0), L(0), L(1)), rc.cont_body(*none, L(0), L(2), L(0), L(1)), rc.cont_body(*none, L(1), L(5), L(10), L(4)))
+    sections = made.select(C("vec_id").alias("file_id"), L(33).alias("mf"), L(2).alias("mt"), F.transform(F.concat(heads, rc.value_lines(C("fields"))), lambda x: F.rpad(x, 66, " ")).alias("lines"))
+    found = ce.get(lane.cells(sections, ["file_id"], dialect="endf6"), "/subsection/1/ni_part/1/F/*/*")
+    corner = F.max(F.when(F.slice("path", L(6), L(2)) == F.array(L("3"), L("3")), C("f")))
+    return found.groupBy("file_id").agg(F.round(F.sum("f"), 3).alias("total"), corner.alias("corner"))
