@@ -16,6 +16,13 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
+def slices(batches, rows: int = 500):
+    """Parts of record batches, so that few texts at a time are Python objects."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about CHUNK bytes; a longer text is a range by itself."""
     lo, held = 0, 0
