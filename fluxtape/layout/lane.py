@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import catalogue
-from .engine import Options, as_lists, cells_of, from_lists, read_section, write_section
+from .engine import Kept, Options, as_lists, cells_of, from_lists, read_section, write_section
 from .notation import LayoutError, descriptions
 
 _CELLS = "path array<string>, i bigint, f double, s string, src string"
@@ -127,6 +127,106 @@ def written(documents: DataFrame, keys: list[str], column: str, layout: str, opt
     return documents.mapInArrow(run, f"{_keys(documents, keys)}, code string, n_lines int")
 
 
+#: The only key of a number in JSON that stands for the field it was read from.
+FIELD = "="
+
+
+def encoded(value):
+    """A document for JSON: numbers with a kept field as that field."""
+    if isinstance(value, dict):
+        return {k: encoded(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [encoded(v) for v in value]
+    return {FIELD: value.src} if isinstance(value, Kept) else value
+
+
+def decoded(value):
+    """The document that :func:`encoded` was made from, with JSON's string keys back to indices."""
+    if isinstance(value, dict) and list(value) == [FIELD]:
+        return Kept.read(value[FIELD], True)
+    if isinstance(value, dict):
+        return _plain({k: decoded(v) for k, v in value.items()})
+    return [decoded(v) for v in value] if isinstance(value, list) else value
+
+
+def parsed(sections: DataFrame, keys: list[str], dialect: str = "endf6-ext", options: Options | None = None, layouts: dict | None = None, functions: dict | None = None) -> DataFrame:
+    """``keys, status, code, message, at, document, lines`` of sections ``(keys, mat, mf, mt, lines)``.
+
+    ``status`` is parsed, verbatim (no layout) or failed; ``document`` is JSON, and ``lines`` are
+    kept where there is none.  ``layouts`` of (MF, MT), or (MF, -1), go before those of the
+    dialect, and a function of (MF, MT) that makes a document of lines before both.
+    """
+    own, made_by = layouts or {}, functions or {}
+
+    def find(mf: int, mt: int) -> str | None:
+        for key in ((mf, mt), (mf, -1)):
+            if key in own:
+                return own[key]
+        return catalogue.find(dialect, mf, mt)
+
+    def one(row: dict) -> tuple:
+        control = (row["mat"], row["mf"], row["mt"])
+        try:
+            if control[1:] in made_by:
+                return "parsed", None, None, None, json.dumps(encoded(made_by[control[1:]](row["lines"]))), None
+            text = find(*control[1:])
+            if text is None:
+                return "verbatim", None, None, None, None, row["lines"]
+            return "parsed", None, None, None, json.dumps(encoded(read_section(text, row["lines"], options, control))), None
+        except LayoutError as e:
+            return "failed", e.code, str(e), getattr(e, "at", None), None, row["lines"]
+        except Exception as e:  # a function of the caller's
+            return "failed", "function", f"{type(e).__name__}: {e}", None, None, row["lines"]
+
+    def run(batches):
+        for batch in batches:
+            cols = list(zip(*map(one, batch.to_pylist()))) or [()] * 6
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*keys, "status", "code", "message", "at", "document", "lines"])
+
+    return sections.mapInArrow(run, f"{_keys(sections, keys)}, status string, code string, message string, at int, document string, lines array<string>")
+
+
+def rendered(sections: DataFrame, keys: list[str], dialect: str = "endf6-ext", options: Options | None = None, layouts: dict | None = None) -> DataFrame:
+    """``keys, code, lines``: lines of 75 columns of what :func:`parsed` gave, verbatim lines as they are."""
+    own = layouts or {}
+
+    def one(row: dict) -> tuple:
+        control = (row["mat"], row["mf"], row["mt"])
+        try:
+            if row["document"] is None:
+                return None, row["lines"]
+            text = own.get(control[1:], own.get((control[1], -1), catalogue.find(dialect, *control[1:])))
+            return None, write_section(text, decoded(json.loads(row["document"])), options, control)
+        except LayoutError as e:
+            return e.code, None
+
+    def run(batches):
+        for batch in batches:
+            a, b = zip(*map(one, batch.to_pylist())) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(a, pa.string()), pa.array(b, pa.list_(pa.string()))], [*keys, "code", "lines"])
+
+    return sections.mapInArrow(run, f"{_keys(sections, keys)}, code string, lines array<string>")
+
+
+def document_cells(sections: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of what :func:`parsed` gave, below its MF and MT; the lines of other sections are texts counted from 0."""
+
+    def run(batches):
+        for batch in batches:
+            rows, where = [], []
+            for i, row in enumerate(batch.to_pylist()):
+                document = decoded(json.loads(row["document"])) if row["document"] is not None else (row["lines"] or [])
+                made = cells_of({str(row["mf"]): {str(row["mt"]): document}})
+                rows += made
+                where += [i] * len(made)
+            cols = list(zip(*rows)) if rows else [()] * 5
+            kinds = (_PATH, pa.int64(), pa.float64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(where, pa.int64())) for k in keys), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*keys, "path", "i", "f", "s", "src"])
+
+    return sections.mapInArrow(run, f"{_keys(sections, keys)}, {_CELLS}")
+
+
 def _plain(value):
     """JSON's string keys back to indices."""
     if isinstance(value, dict):

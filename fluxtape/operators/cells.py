@@ -167,7 +167,7 @@ def parse_match(text: str) -> Node:
     return out
 
 
-_MIRROR = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "==": "==", "!=": "!="}
+MIRROR = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "==": "==", "!=": "!="}
 
 
 def match(cells: DataFrame, query: str) -> DataFrame:
@@ -210,7 +210,7 @@ def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int) -> Data
         if isinstance(a, float) and isinstance(b, float):
             return F.lit(signs[sign](a, b)), F.lit(not signs[sign](a, b))
         if isinstance(a, float):
-            return relation(_MIRROR[sign], b, a)
+            return relation(MIRROR[sign], b, a)
         if isinstance(b, float):
             return one(a, signs[sign](F.col("f"), F.lit(b)))
         x, y = (F.when(bindings(p), F.col("f")) for p in (a, b))
@@ -319,11 +319,11 @@ def get_many(cells: DataFrame, paths: DataFrame) -> DataFrame:
 def first_binding(cells: DataFrame, relation: str) -> DataFrame:
     """``file_id, path, f``: of a relation between a path and a number, the first cell that makes it true in each file."""
     tree = parse_match(relation)
-    if tree.kind not in _MIRROR or sum(isinstance(x, float) for x in tree.args) != 1:
+    if tree.kind not in MIRROR or sum(isinstance(x, float) for x in tree.args) != 1:
         raise ValueError("a relation of one path and one number is wanted")
     sign, (a, b) = tree.kind, tree.args
     if isinstance(a, float):
-        sign, a, b = _MIRROR[sign], b, a
+        sign, a, b = MIRROR[sign], b, a
     value = F.col("f")
     test = {"<": value < b, ">": value > b, "<=": value <= b, ">=": value >= b, "==": value == b, "!=": value != b}[sign]
     hits = cells.where(matches(F.col("path"), a) & test)

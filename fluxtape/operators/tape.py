@@ -130,15 +130,15 @@ def end_record_issues(lines: DataFrame, ignore_missing_tpid: bool = False, ignor
     return text.select("file_id", "ofs", F.explode(codes).alias("code"))
 
 
-def end_records(sections_of: DataFrame, zero_as_blank: bool = False) -> DataFrame:
+def end_records(sections_of: DataFrame, zero_as_blank: bool = False, include_linenum: bool = True) -> DataFrame:
     """SEND, FEND, MEND and TEND lines for (file_id, mat, mf, mt), each with its sort place.
 
-    Their six fields are zeros, or blanks with ``zero_as_blank``.
+    Their six fields are zeros, or blanks with ``zero_as_blank``; line numbers may be left out.
     """
     zeros = F.lit(" " * 66 if zero_as_blank else "".join(("0.000000+0".rjust(11),) + ("0.000000+0".rjust(11),) + (f"{0:11d}",) * 4))
 
     def line(mat: Column, mf: Column, ns: int) -> Column:
-        return F.concat(zeros, F.lpad(mat.cast("string"), 4, " "), F.lpad(mf.cast("string"), 2, " "), F.lit(f"{0:3d}{ns:5d}"))
+        return F.concat(zeros, F.lpad(mat.cast("string"), 4, " "), F.lpad(mf.cast("string"), 2, " "), F.lit(f"{0:3d}{ns:5d}"[: 8 if include_linenum else 3]))
 
     key = sections_of.where("mf <> 0").select(*SECTION).distinct()
     top = F.lit(1 << 20)
@@ -155,15 +155,16 @@ def renumbered(lines: DataFrame, include_linenum: bool = True) -> DataFrame:
 
     place = F.row_number().over(Window.partitionBy(*SECTION).orderBy("ofs"))
     cut = F.rpad(F.substring("raw", 1, 75), 75, " ")
-    number = F.lpad(line_number(place.cast("bigint")).cast("string"), 5, " ")
+    head = (F.col("mf") == 0) & (F.col("mt") == 0)
+    number = F.lpad(F.when(head, 0).otherwise(line_number(place.cast("bigint"))).cast("string"), 5, " ")
     return lines.withColumn("raw", F.concat(cut, number) if include_linenum else cut)
 
 
-def _every_line(lines: DataFrame, zero_as_blank: bool) -> DataFrame:
+def _every_line(lines: DataFrame, zero_as_blank: bool, include_linenum: bool = True) -> DataFrame:
     """Data lines and end records with their sort places; a tape head (MF and MT 0) comes first."""
     columns = [*SECTION, F.col("ofs").cast("bigint").alias("ofs"), "raw"]
     placed = lines.withColumn("mat", F.when((F.col("mf") == 0) & (F.col("mt") == 0), -1).otherwise(F.col("mat")))
-    return placed.select(*columns).union(end_records(lines, zero_as_blank).select(*columns))
+    return placed.select(*columns).union(end_records(lines, zero_as_blank, include_linenum).select(*columns))
 
 
 def ordered_lines(lines: DataFrame, zero_as_blank: bool = False) -> DataFrame:
@@ -176,8 +177,8 @@ def ordered_lines(lines: DataFrame, zero_as_blank: bool = False) -> DataFrame:
     return _every_line(lines, zero_as_blank).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
-def file_texts(lines: DataFrame, zero_as_blank: bool = False) -> DataFrame:
+def file_texts(lines: DataFrame, zero_as_blank: bool = False, include_linenum: bool = True) -> DataFrame:
     """``file_id, text``: each file as one string, for files that fit a row."""
-    every = _every_line(lines, zero_as_blank)
+    every = _every_line(lines, zero_as_blank, include_linenum)
     part = F.array_sort(F.collect_list(F.struct("mat", "mf", "mt", "ofs", "raw")))
     return every.groupBy("file_id").agg(part.alias("parts")).select("file_id", F.array_join(F.transform("parts", lambda p: p["raw"]), "\n").alias("text"))
