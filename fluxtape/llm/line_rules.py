@@ -59,11 +59,12 @@ def _measured(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_frequency_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
+def line_frequency_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, texts: bool = True) -> DataFrame:
     """``doc_id``, the base measures, ``base_failed``, ``n_words_left``, ``kept`` and ``text_left`` of every row.
 
     ``text_left`` is the text without its frequent lines, rejected rows' too, and
-    ``n_words_left`` counts its words; lines without a word stay.
+    ``n_words_left`` counts its words; lines without a word stay.  Where the texts are not
+    wanted, ``texts=False`` leaves that column out, and they are not written between the steps.
 
     A line is its words in lower case with single blanks; lines without a word are
     not counted.  Each row is a document, repeated rows and repeated doc_ids
@@ -72,18 +73,20 @@ def line_frequency_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, mi
     doc_id keeps its row.  An empty table gives no rows, and other columns are not
     read.
     """
-    base = materialize(_measured(docs).withColumn("rid", F.monotonically_increasing_id()), "rules")
+    measured = _measured(docs) if texts else _measured(docs).drop("text")
+    base = materialize(measured.withColumn("rid", F.monotonically_increasing_id()), "rules")
     lines = base.select("rid", "host", F.explode(F.expr("array_distinct(transform(filter(lines, x -> x.w > 0), x -> x.h))")).alias("h"))
     often = materialize(lines.groupBy("host", "h").count().where(F.col("count") > max_documents).select("host", "h"), "often")
     gone = lines.join(often, ["host", "h"]).groupBy("rid").agg(F.collect_list("h").alias("gone"))  # distinct in a row
     left = base.drop("host").join(materialize(gone, "gone"), "rid", "left")
-    stays = "filter(split(text, '\\n'), (x, i) -> lines[i].w = 0 OR NOT array_contains(gone, lines[i].h))"
-    left = left.withColumn("text_left", F.expr(f"CASE WHEN gone IS NULL THEN text ELSE array_join({stays}, '\n') END"))
-    counted = F.expr(f"CASE WHEN gone IS NULL THEN n_words ELSE cast(size(array_remove(split(text_left, '{WS}+'), '')) as bigint) END")
-    left = left.withColumn("n_words_left", counted)
+    lost = "aggregate(filter(lines, x -> array_contains(gone, x.h)), 0L, (a, x) -> a + x.w)"
+    left = left.withColumn("n_words_left", F.expr(f"CASE WHEN gone IS NULL THEN n_words ELSE n_words - {lost} END"))
+    if texts:
+        stays = "filter(split(text, '\\n'), (x, i) -> lines[i].w = 0 OR NOT array_contains(gone, lines[i].h))"
+        left = left.withColumn("text_left", F.expr(f"CASE WHEN gone IS NULL THEN text ELSE array_join({stays}, '\n') END"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     enough = (F.col("n_words_left") >= min_words) & (F.col("n_words_left") >= F.lit(min_share) * F.col("n_words"))
-    return left.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_words_left", (~failed & enough).alias("kept"), "text_left")
+    return left.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "n_words_left", (~failed & enough).alias("kept"), *(["text_left"] if texts else []))
 
 
 SQL = r"""

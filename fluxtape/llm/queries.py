@@ -49,7 +49,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_frequency_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.line_frequency_rules(_table(spark, sf_dir, "documents")).drop("text_left")
+    return line_rules.line_frequency_rules(_table(spark, sf_dir, "documents"), texts=False)
 
 
 def op9_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
