@@ -4,9 +4,10 @@ Queries are taken in blocks of fixed size, so the block that is sent to the
 executors has a proven bound; each block meets every vector once.  A task cuts its
 vectors into trees of bounded size.  A tree's nodes are visited in order of their
 upper bound ``q . centre + |q| radius``, and a query leaves a node as soon as that
-bound falls below its current k-th score.  The k-th score is shared: a first pass
-over a few rows gives every shard a floor to start from, and inside a task each
-tree starts from what the trees before it found.
+bound falls below its current k-th score.  The k-th score is shared: a few rows and then
+one of EARLY parts of all rows are searched first, and what they give is the floor that
+every other shard starts from; inside a task each tree starts from what the trees before
+it found.
 """
 
 from __future__ import annotations
@@ -19,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import scratch_path
+from .scratch import materialize, release, scratch_path
 
 #: Queries sent to the executors at a time.
-BLOCK = 4096
+BLOCK = 16384
+#: One of so many parts of the rows is searched first.
+EARLY = 16
 #: Vectors in one tree, and in one of its leaves.
 TREE, LEAF = 16384, 64
 #: Vectors of the first pass, whose k-th scores are the floor for all shards.
@@ -187,15 +190,28 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024) ->
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     path = scratch_path(spark, "topk") if blocks > 1 else ""
+    early = F.pmod(F.xxhash64("vec_id", F.lit("early")), F.lit(EARLY)) == 0
     for b in range(blocks):
         own = asked.where(F.col("block") == b).select("vec_id", "v").toPandas()  # about BLOCK rows
-        found = _ranked(_search_block(clean, spark.sparkContext.broadcast(_block(own, head, k)), k), k)
+        sent = _block(own, head, k)
+        # the k-th scores of a share of the rows are a floor for all the other shards
+        some = materialize(_ranked(_search_block(clean.where(early), spark.sparkContext.broadcast(sent), k), k), "early")
+        floors = some.where(F.col("rank") == k).select("query_id", "score").toPandas()  # about BLOCK rows
+        sent = _raised(sent, dict(zip(floors.query_id, floors.score)))
+        rest = _search_block(clean.where(~early), spark.sparkContext.broadcast(sent), k)
+        found = _ranked(rest.unionByName(some.drop("rank")), k)
         if blocks == 1:
             return found
         found.write.mode("append").parquet(path)
+        release(some)
     return spark.read.schema("query_id bigint, rank int, vec_id bigint, score bigint").parquet(path)
 
 
+def _raised(block: dict, floors: dict) -> dict:
+    """A block with floors as high as those of ``floors``, by query."""
+    return {width: (ids, queries, np.maximum(floor, [floors.get(i, -np.inf) for i in ids.tolist()])) for width, (ids, queries, floor) in block.items()}
+
+
 def _block(own: pd.DataFrame, head: pd.DataFrame, k: int) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     out = {}
     for width, part in own.groupby(own.v.map(len)):
