@@ -84,6 +84,54 @@ def children(cells: DataFrame, path: str) -> DataFrame:
     return under.groupBy("file_id", F.get("path", F.lit(len(steps))).alias("step")).agg(F.count("*").alias("n_cells"), F.bool_and(F.size("path") == len(steps) + 1).alias("is_value"))
 
 
+@dataclass(frozen=True)
+class View:
+    """A place in the documents of cells: a path with what can be done there; changes give new views of the same place."""
+
+    cells: DataFrame
+    path: tuple[str, ...] | list[str] = ()
+
+    def at(self, path: str) -> View:
+        return View(self.cells, [*self.path, *parse_path(path)])
+
+    @property
+    def parent(self) -> View:
+        return View(self.cells, list(self.path[:-1]))
+
+    @property
+    def root(self) -> View:
+        return View(self.cells)
+
+    @property
+    def name(self) -> str:
+        return self.path[-1] if self.path else ""
+
+    def _text(self) -> str:
+        return "/".join(self.path)
+
+    def get(self) -> DataFrame:
+        return get(self.cells, self._text())
+
+    def exists(self) -> DataFrame:
+        return exists(self.cells, self._text())
+
+    def children(self) -> DataFrame:
+        return children(self.cells, self._text())
+
+    def put(self, value: float | str) -> View:
+        """One value at the place in every file, instead of what was there; the view of the root."""
+        files = self.cells.select("file_id").distinct()
+        made = files.select("file_id", F.array(*(F.lit(s) for s in self.path)).alias("path"), F.lit(None if isinstance(value, str) else float(value)).cast("double").alias("f"), F.lit(value if isinstance(value, str) else None).cast("string").alias("s"))
+        if "i" in self.cells.columns:
+            made = made.withColumn("i", F.lit(value if isinstance(value, int) else None).cast("bigint"))
+        if "src" in self.cells.columns:
+            made = made.withColumn("src", F.lit(None).cast("string"))
+        return View(put(self.cells, made.select(*self.cells.columns)))
+
+    def remove(self) -> View:
+        return View(remove(self.cells, self._text()))
+
+
 # -- the match language
 
 _TOKEN = re.compile(r"\s*(==|!=|<=|>=|[<>!&|()]|exists\b|/(?:[A-Za-z0-9_*]+/*)+|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)")

@@ -17,6 +17,7 @@ from ..layout import catalogue as layouts
 from ..layout import lane
 from ..layout.engine import Options
 from ..operators import cells as ce
+from ..operators import description as de
 from ..operators import records as rc
 from ..operators import tape as tp
 
@@ -140,9 +141,10 @@ def q12_cont_roundtrip(spark, sf):
 
 @_query("SELECT c_custkey, substring(c_name, 1, 22) AS name, c_mktsegment AS segment FROM customer")
 def q13_text_roundtrip(spark, sf):
-    body = F.rpad(F.concat(F.rpad("c_name", 22, " "), F.rpad("c_mktsegment", 44, " ")), 66, " ")
-    line = F.concat(body, rc.control(L(1), L(1), L(451)))
-    return _t(spark, sf, "customer").select("c_custkey", F.rtrim(F.substring(line, 1, 22)).alias("name"), F.rtrim(F.substring(line, 23, 44)).alias("segment"))
+    line = F.concat(F.rpad("c_name", 22, " "), F.rpad("c_mktsegment", 44, " "))
+    cells = lane.cells(_t(spark, sf, "customer").select("c_custkey", F.array(line).alias("lines")), ["c_custkey"], "text NAME{22} SEGMENT{44}")
+    one = lambda name: F.max(F.when(ce.matches(C("path"), [name]), F.rtrim("s"))).alias(name.lower())
+    return cells.groupBy("c_custkey").agg(one("NAME"), one("SEGMENT"))
 
 
 @_query("SELECT n_nationkey::BIGINT AS l1, n_regionkey::BIGINT AS l2, length(n_name)::BIGINT AS n1 FROM nation")
@@ -287,8 +289,11 @@ def q25_desired_number_policy(spark, sf):
 
 @_query("SELECT l_orderkey, l_linenumber, abs(round(l_extendedprice, 1) - l_extendedprice) <= 1e-7 + 1e-5 * abs(l_extendedprice) AS ok FROM lineitem")
 def q26_fuzzy_match(spark, sf):
-    first, again = (fd.fort_float(fd.float_field(x, prefer_noexp=True)) for x in (C("l_extendedprice"), F.round("l_extendedprice", 1)))
-    return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", fd.is_close(again, first, 1e-5, 1e-7).alias("ok"))
+    """A variable that is met again with fewer digits: read with the option of fuzzy matching, each line a section."""
+    lines = [F.rpad(rc.cont_body(fd.float_field(x, prefer_noexp=True), _blank(), L(0), L(0), L(0), L(0)), 66, " ") for x in (C("l_extendedprice"), F.round("l_extendedprice", 1))]
+    made = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array(*lines).alias("lines"))
+    done = lane.status(made, ["l_orderkey", "l_linenumber"], "cont P 0 0 0 0 0\ncont P 0 0 0 0 0", options=Options(fuzzy=True, ignore_varspec_mismatch=False))
+    return done.select("l_orderkey", "l_linenumber", (C("status") == "parsed").alias("ok"))
 
 
 #: Files by o_orderkey % 16 as (MAT, MF, MT) of their lines, and the break that each has: its line and code.
@@ -476,20 +481,22 @@ def q45_update_directory(spark, sf):
 @_query("SELECT doc_id AS file_id, len(string_split(coalesce(text, ''), chr(10))) + 1 + 5 AS nwd, 'inserted' AS second FROM documents")
 def q46_description_edit(spark, sf):
     lines = F.split(F.coalesce("text", L("")), "\n", -1)
-    padded = F.transform(lines, lambda x: F.when(F.length(x) < 66, F.rpad(x, 66, " ")).otherwise(x))
-    new = F.concat(F.slice(padded, 1, 1), F.array(F.rpad(L("inserted"), 66, " ")), F.slice(padded, L(2), F.greatest(F.size(padded) - 1, L(0))))
-    return _t(spark, sf, "documents").select(C("doc_id").alias("file_id"), (F.size(new) + 5).cast("bigint").alias("nwd"), F.rtrim(F.get(new, L(1))).alias("second"))
+    numbered = F.map_from_arrays(F.transform(lines, lambda x, i: (i + 1).cast("string")), lines)
+    first = _t(spark, sf, "documents").select("doc_id", F.to_json(F.struct(numbered.alias("DESCRIPTION"))).alias("d"))
+    done = first.select("doc_id", de.edited(C("d"), de.with_inserted, L("inserted"), L(1)).alias("d"))
+    return done.select(C("doc_id").alias("file_id"), F.get_json_object("d", "$.NWD").cast("bigint").alias("nwd"), F.rtrim(F.get_json_object("d", "$.DESCRIPTION.2")).alias("second"))
 
 
-#: NLIB, NVER and LREL of each library name.
-LIBRARIES = {"ENDF/B-VII.0": (0, 7, 0), "ENDF/B-VII.1": (0, 7, 1), "ENDF/B-VIII.0": (0, 8, 0), "FENDL-3.2": (33, 3, 2)}
-
-
-@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 33 ELSE 0 END AS nlib, CASE o_orderkey % 4 WHEN 3 THEN 3 WHEN 2 THEN 8 ELSE 7 END AS nver, CASE o_orderkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS lrel FROM orders""")
+@_query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 33 ELSE 0 END AS nlib, CASE o_orderkey % 4 WHEN 3 THEN 3 WHEN 2 THEN 8 ELSE 7 END AS nver, CASE o_orderkey % 4 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END AS lrel,
+  rpad('----' || CASE o_orderkey % 4 WHEN 0 THEN 'ENDF/B-VII.0' WHEN 1 THEN 'ENDF/B-VII.1' WHEN 2 THEN 'ENDF/B-VIII.0' ELSE 'FENDL-3.2' END, 22, ' ') || o_orderkey AS line FROM orders""")
 def q47_set_library(spark, sf):
-    name = F.element_at(F.array(*(L(x) for x in LIBRARIES)), (C("o_orderkey") % 4 + 1).cast("int"))
-    table = F.create_map(*(x for k, v in LIBRARIES.items() for x in (L(k), F.struct(*(L(i).alias(n) for i, n in zip(v, ("nlib", "nver", "lrel")))))))
-    return _t(spark, sf, "orders").select("o_orderkey", table[name].alias("m")).select("o_orderkey", "m.*")
+    """Numbers of the library and its name in the third line of the description, whose rest stays."""
+    name = F.element_at(F.array(*(L(x) for x in de.LIBRARIES)), (C("o_orderkey") % 4 + 1).cast("int"))
+    third = F.concat(F.rpad(L("----OLD"), 22, " "), C("o_orderkey").cast("string"))
+    first = F.to_json(F.struct(F.create_map(L("3"), third).alias("DESCRIPTION")))
+    done = _t(spark, sf, "orders").select("o_orderkey", de.edited(first, de.with_library, name).alias("d"))
+    number = lambda k: F.get_json_object("d", f"$.{k}").cast("int").alias(k.lower())
+    return done.select("o_orderkey", *(number(k) for k in ("NLIB", "NVER", "LREL")), F.get_json_object("d", "$.DESCRIPTION.3").alias("line"))
 
 
 @_query("""SELECT o_orderkey AS file_id, o_orderstatus || '/price' AS path, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE o_totalprice + 1 END AS f FROM orders WHERE o_orderstatus <> 'F'""")
@@ -704,3 +711,29 @@ def q67_catalogue_covariances(spark, sf):
     found = ce.get(lane.cells(sections, ["file_id"], dialect="endf6"), "/subsection/1/ni_part/1/F/*/*")
     corner = F.max(F.when(F.slice("path", L(6), L(2)) == F.array(L("3"), L("3")), C("f")))
     return found.groupBy("file_id").agg(F.round(F.sum("f"), 3).alias("total"), corner.alias("corner"))
+
+
+# -- kinds of values, subtrees and bindings
+
+
+@_query("""SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 3 = 1 THEN 'value' ELSE 'type' END AS code FROM orders WHERE o_orderkey % 3 <> 0""")
+def q68_diff_kinds(spark, sf):
+    """Large whole numbers that differ by one, and a whole number against another of the same value."""
+    orders, far = _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(L("n")).alias("path")), C("file_id") + 10_000_000
+    left = orders.withColumns({"i": far, "f": far.cast("double"), "s": L(None).cast("string")})
+    kind = C("file_id") % 3
+    right = orders.withColumns({"i": F.when(kind != 2, far + (kind == 1).cast("bigint")), "f": (far + (kind == 1).cast("bigint")).cast("double"), "s": L(None).cast("string")})
+    return ce.compare(left, right).select("file_id", "code")
+
+
+@_query("SELECT l_orderkey AS file_id FROM lineitem GROUP BY 1 HAVING count(*) >= 3")
+def q69_match_exists_subtree(spark, sf):
+    """A path to a subsection exists although it is no value itself."""
+    return _matched(_items(spark, sf), "exists(/item/3) & !exists(/item/0)")
+
+
+@_query("""SELECT file_id, 'item/' || i || '/p' AS path, p AS f FROM (SELECT l_orderkey AS file_id, l_extendedprice AS p,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) AS i FROM lineitem) WHERE p > 60000 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY i) = 1""")
+def q70_match_first_binding(spark, sf):
+    """The first cell of each file that makes a relation true."""
+    return ce.first_binding(_items(spark, sf), "/item/*/p > 60000").select("file_id", F.array_join("path", "/").alias("path"), "f")

@@ -1,14 +1,15 @@
 """Files of 80-column lines as a Spark data source: ``spark.read.format("tape80")``.
 
-A task reads whole files through Spark's own text reader elsewhere; this source is for
-paths that Python can open on every executor, and it drops sections by MF and MT
-before their lines leave the reader.
+Files in any store are read by :func:`fluxtape.operators.tape.read_lines`, through Spark's own
+text reader; this source is for paths that Python can open on every executor, and it
+drops sections by MF and MT before their lines leave the reader.
 """
 
 from __future__ import annotations
 
 import glob
 import os
+import uuid
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
@@ -54,30 +55,48 @@ class TapeReader(DataSourceReader):
 
 
 class _Written(WriterCommitMessage):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, parts: list[tuple[str, str]]):
+        self.parts = parts
 
 
 class TapeWriter(DataSourceWriter):
-    """Writes ``file_id, text`` rows as files below a folder; existing files are an error."""
+    """Writes ``file_id, text`` rows as files below a folder that all machines share; existing files are an error.
+
+    Each task writes to names of its own, so a task that is tried again or twice at a time does not meet
+    what another left; only the commit gives the files of the tasks that counted their names.
+    """
 
     def __init__(self, path: str, overwrite: bool):
         self.path, self.overwrite = path, overwrite
 
     def write(self, rows):
+        os.makedirs(self.path, exist_ok=True)
         done = []
         for row in rows:
-            to = os.path.join(self.path, f"{row.file_id}.endf")
-            os.makedirs(self.path, exist_ok=True)
-            with open(to, "w" if self.overwrite else "x", encoding="utf-8", newline="") as f:
+            name = str(row.file_id).strip("/").replace("/", "_")
+            to = os.path.join(self.path, f"{name}.endf")
+            if not self.overwrite and os.path.exists(to):
+                raise FileExistsError(to)
+            part = os.path.join(self.path, f".{name}.{uuid.uuid4().hex}")
+            with open(part, "w", encoding="utf-8", newline="") as f:
                 f.write(row.text)
-            done.append(to)
+            done.append((part, to))
         return _Written(done)
 
+    def commit(self, messages):
+        parts = [p for m in messages if m for p in m.parts]
+        twice = len(parts) - len({to for _, to in parts})
+        if twice or not self.overwrite and any(os.path.exists(to) for _, to in parts):
+            self.abort(messages)
+            raise FileExistsError(f"{twice} names are given twice" if twice else "a file is there already")
+        for part, to in parts:
+            os.replace(part, to)
+
     def abort(self, messages):
         for m in messages:
-            for p in m.paths if m else ():
-                os.unlink(p)
+            for part, _ in m.parts if m else ():
+                if os.path.exists(part):
+                    os.unlink(part)
 
 
 class TapeSource(DataSource):

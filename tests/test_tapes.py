@@ -10,6 +10,8 @@ from fluxtape import cli
 from fluxtape.layout.engine import Options
 from fluxtape.operators import cells as ce
 from fluxtape.operators import description as de
+from fluxtape.sources import tape_source
+from fluxtape.streaming import arrivals
 from fluxtape.tapes import TapeError, Tapes, dialects
 
 HEAD = {"ZA": 1001.0, "AWR": 0.9991673}
@@ -148,3 +150,38 @@ def test_library_and_description(spark):
     frame = spark.createDataFrame([(json.dumps(FIRST), "x\ny"), (None, "x"), (json.dumps({"NWD": 5}), "only")], "d string, t string")
     got = [None if r.n is None else json.loads(r.n) for r in frame.select(de.edited(F.col("d"), de.with_inserted, F.col("t"), F.lit(0)).alias("n")).collect()]
     assert got[1] is None and got[0]["NWD"] == 10 and got[2]["DESCRIPTION"] == {"1": "only".ljust(66)}
+
+
+def test_files_that_arrive(spark, file, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.endf").write_text(open(file).read())
+    for stream, name, want in ((arrivals.stream_lines(spark, str(folder)), "arrived", len(open(file).read().split("\n"))), (arrivals.stream_sizes(spark, str(folder)), "sized", 4)):
+        query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(60)
+        assert spark.table(name).count() == want
+    assert {(r.mf, r.mt): r.n_lines for r in spark.table("sized").collect()} == {(1, 451): 13, (3, 1): 4, (3, 2): 4, (99, 1): 2}
+
+
+def test_the_source_writes_whole_files_or_none(spark, tmp_path):
+    tape_source.register(spark)
+    out = str(tmp_path / "out")
+    files = spark.createDataFrame([("x/1", "one"), ("2", "two")], "file_id string, text string").repartition(2)
+    files.write.format("tape80").mode("append").option("path", out).save()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["2.endf", "x_1.endf"]
+    with pytest.raises(Exception, match="FileExistsError"):
+        files.write.format("tape80").mode("append").option("path", out).save()
+    with pytest.raises(Exception, match="twice"):
+        files.union(files).write.format("tape80").mode("overwrite").option("path", out).save()
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["2.endf", "x_1.endf"]
+
+
+def test_views(spark):
+    cells = spark.createDataFrame([("f", ["a", "1", "x"], 1.0, None), ("f", ["a", "2", "x"], 2.0, None), ("f", ["b"], None, "t")], "file_id string, path array<string>, f double, s string")
+    view = ce.View(cells).at("a")
+    assert view.name == "a" and view.at("1").parent.path == ["a"] and view.at("2/x").exists().count() == 1
+    assert [r.f for r in view.at("2").at("x").get().collect()] == [2.0]
+    changed = view.at("1/x").put(5.0).at("b").put("u").at("a[2]").remove()
+    assert sorted((tuple(r.path), r.f, r.s) for r in changed.cells.collect()) == [(("a", "1", "x"), 5.0, None), (("b",), None, "u")]
+    assert [r.equal for r in ce.equal_files(cells, cells).collect()] == [True] and [r.equal for r in ce.equal_files(cells, changed.cells).collect()] == [False]
+    assert ce.get_many(cells, spark.createDataFrame([(["b"],), (["a", "1", "x"],)], "path array<string>")).count() == 2
