@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as fd
 from ..layout import catalogue as layouts
-from ..layout import lane
+from ..layout import lane, native
 from ..layout.engine import Options
 from ..operators import cells as ce
 from ..operators import description as de
@@ -737,3 +737,11 @@ def q69_match_exists_subtree(spark, sf):
 def q70_match_first_binding(spark, sf):
     """The first cell of each file that makes a relation true."""
     return ce.first_binding(_items(spark, sf), "/item/*/p > 60000").select("file_id", F.array_join("path", "/").alias("path"), "f")
+
+
+@_query("""SELECT l_orderkey AS file_id, l_orderkey::DOUBLE AS za, count(*) AS np, round(sum(l_extendedprice), 2) AS total, NULL::VARCHAR AS code FROM lineitem GROUP BY l_orderkey""")
+def q71_native_cross_sections(spark, sf):
+    """MF 3 by its layout as column expressions, without Python for the reading."""
+    done = native.decoded(_tables(spark, sf), ["file_id"], layouts.find("endf6", 3, 1))
+    total = F.round(F.aggregate("document.xstable.xs", L(0.0), lambda a, x: a + x), 2)
+    return done.select("file_id", C("document.ZA").alias("za"), F.size("document.xstable.E").cast("bigint").alias("np"), total.alias("total"), "code")

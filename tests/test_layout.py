@@ -1,6 +1,6 @@
 import pytest
 
-from fluxtape.layout import catalogue
+from fluxtape.layout import catalogue, lane, native
 from fluxtape.layout.engine import Options, Writer, as_lists, cells_of, from_lists, read_section, write_section, zero_based
 from fluxtape.layout.notation import LayoutError, descriptions, explain, parse
 
@@ -122,3 +122,21 @@ def test_descriptions():
     assert descriptions(text) == (("ZA", "a number"), ("part/*/Q", "an energy"), ("v/*/*", "values"))
     assert explain(text, ["part", "3", "Q"]) == "an energy" and explain(text, ["part", "Q"]) is None
     assert [len(catalogue.find("endf6", mf, mt)) > 0 for mf, mt in ((1, 451), (3, 1))] == [True, True]
+
+
+def test_straight_layouts_as_expressions(spark):
+    """Column expressions and the section reader agree on documents and on the codes of defects."""
+    layout = "cont ZA AWR 0 LRP 0 0\ntab1 QM ZA? 0 LR -> t E xs\ntext A{11} {5} B"
+    document = {"ZA": 1.0, "AWR": 2.5, "LRP": 3, "QM": 0.5, "LR": 0, "t": {"NBT": [4], "INT": [2], "E": [1.0, 2.0, 3.0, 4.0], "xs": [1.5, 2.5, 3.5, 4.5]}, "A": "abc".ljust(11), "B": "x".ljust(50)}
+    good = write_section(layout, document)
+    assert native.is_straight(layout) and not native.is_straight("for i = 1..2\n    cont 0 0 0 0 0 0") and not native.is_straight("cont 2*N 0 0 0 0 0")
+    zero = good[0][:22] + "          7" + good[0][33:]
+    other = good[1][:11] + " 9.000000+0" + good[1][22:]
+    bad = good[0][:11] + "     x     " + good[0][22:]
+    cases = {"good": good, "short": good[:3], "none": [], "long": [*good, good[0]], "zero": [zero, *good[1:]], "other": [good[0], other, *good[2:]], "bad": [bad, *good[1:]]}
+    frame = spark.createDataFrame(list(cases.items()), "k string, lines array<string>")
+    for options in (Options(), Options.strict(), Options(ignore_varspec_mismatch=False), Options(fuzzy=True)):
+        want = {r.k: r.code for r in lane.status(frame, ["k"], layout, options=options).collect()}
+        got = {r.k: r for r in native.decoded(frame, ["k"], layout, options).collect()}
+        assert {k: r.code for k, r in got.items()} == want
+        assert got["good"].document.asDict(recursive=True) == document
