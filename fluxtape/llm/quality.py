@@ -94,22 +94,23 @@ def _hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return distinct(row, feature & np.uint32(WIDTH - 1))
 
 
-def fit(features: list[np.ndarray], target: np.ndarray, epochs: int = 6, rate: float = 0.5) -> tuple[np.ndarray, float]:
+def fit(features: list[np.ndarray], target: np.ndarray, steps: int = 120, rate: float = 0.5) -> tuple[np.ndarray, float]:
     """Logistic regression on soft targets; a text's features share one unit of weight."""
     w, bias, seen = np.zeros(WIDTH), 0.0, np.full(WIDTH, 1e-3)
     order = np.random.default_rng(5).permutation(len(features))
-    for _ in range(epochs):
-        for lo in range(0, len(order), 500):
-            some = order[lo : lo + 500]
-            size = np.array([len(features[i]) for i in some])
-            col = np.concatenate([features[i] for i in some]) if size.sum() else np.zeros(0, np.int64)
-            row = np.repeat(np.arange(len(some)), size)
-            scale = 1 / np.sqrt(np.maximum(size, 1))
-            gap = sigmoid(bias + scale * np.bincount(row, w[col], len(some))) - target[some]
-            grad = np.bincount(col, (gap * scale)[row], WIDTH) / len(some)
-            seen += grad**2
-            w -= rate * grad / np.sqrt(seen)
-            bias -= rate * gap.mean()
+    places = range(0, len(order), 500)
+    for step in range(steps):  # as many for any sample
+        lo = places[step % len(places)]
+        some = order[lo : lo + 500]
+        size = np.array([len(features[i]) for i in some])
+        col = np.concatenate([features[i] for i in some]) if size.sum() else np.zeros(0, np.int64)
+        row = np.repeat(np.arange(len(some)), size)
+        scale = 1 / np.sqrt(np.maximum(size, 1))
+        gap = sigmoid(bias + scale * np.bincount(row, w[col], len(some))) - target[some]
+        grad = np.bincount(col, (gap * scale)[row], WIDTH) / len(some)
+        seen += grad**2
+        w -= rate * grad / np.sqrt(seen)
+        bias -= rate * gap.mean()
     return w.astype(np.float32), float(bias)
 
 

@@ -342,6 +342,71 @@ def test_sharding(docs, rows):
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
 
 
+def test_shards_have_the_mixture_of_the_whole(spark, tmp_path, monkeypatch):
+    """Against ranking everything at once; a third of all rows are equal and without an id."""
+    monkeypatch.setattr(sharding, "WINDOW_ROWS", 20)
+    data = [(None, "same text", "hot")] * 400 + [(i, f"text {i}", "hot" if i % 3 else "b" if i % 2 else None) for i in range(800)]
+    frame = spark.createDataFrame(data, "doc_id int, text string, source string").repartition(5)
+    got = sharding.stratified_shards(frame, shards=8, carry=True).collect()
+    assert collections.Counter((r.doc.doc_id, r.doc.text) for r in got) == collections.Counter((d, t) for d, t, _ in data)
+    sources = collections.Counter(s for _, _, s in data)
+    for shard in range(8):
+        own = collections.Counter(r.doc.source for r in got if r.shard == shard)
+        assert sum(own.values()) == 150 and all(abs(own[s] - n / 8) <= len(sources) for s, n in sources.items())
+    place = {(r.shard, r.slot): r for r in got}
+    ranks = collections.Counter()
+    last = 0.0
+    for at in sorted(place):  # the order of the whole is that of fractional ranks within sources
+        source = place[at].doc.source
+        ranks[source] += 1
+        fraction = (2 * ranks[source] - 1) / (2 * sources[source])
+        assert fraction >= last - 1e-12
+        last = fraction
+    again = {r.doc.doc_id: (r.shard, r.slot) for r in sharding.stratified_shards(frame.repartition(2), shards=8, carry=True).collect() if r.doc.doc_id is not None and r.doc.source != "hot"}
+    assert again == {r.doc.doc_id: at for at, r in place.items() if r.doc.doc_id is not None and r.doc.source != "hot"}
+    sharding.write_shards(frame, f"{tmp_path}/shards", shards=8)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert {r["count"] for r in back.groupBy("_shard").count().collect()} == {150} and set(back.columns) == {"doc_id", "text", "source", "_shard"}
+
+
+def test_weak_labels_equal_plain_expectation_maximisation():
+    """Votes of simulated labellers: their accuracies are found, and each step is that of the textbook."""
+    rng = np.random.default_rng(3)
+    truth = rng.random(4000) < 0.6
+    right = np.array([0.9, 0.8, 0.75, 0.7, 0.85, 0.65])
+    votes_ = np.where(rng.random((4000, 6)) < right, truth[:, None], ~truth[:, None]).astype(int)
+    votes_[rng.random((4000, 6)) < 0.2] = -1
+    patterns, counts = np.unique(votes_, axis=0, return_counts=True)
+    model = quality.Labellers(patterns, counts.astype(float))
+    share, p = 0.7, {(j, y, v): x for j in range(6) for y, row in ((0, (0.5, 0.2, 0.3)), (1, (0.1, 0.6, 0.3))) for v, x in zip((0, 1, -1), row)}
+
+    def good(row):
+        a, b = share, 1 - share
+        for j, v in enumerate(row):
+            a, b = a * p[j, 1, v], b * p[j, 0, v]
+        return a / (a + b)
+
+    for _ in range(60):
+        each = [good(row) for row in patterns.tolist()]
+        share = sum(g * n for g, n in zip(each, counts)) / counts.sum()
+        for j, y, v in list(p):
+            part = [(g if y else 1 - g) * n for g, n in zip(each, counts)]
+            p[j, y, v] = (sum(x for x, row in zip(part, patterns) if row[j] == v) + 1) / (sum(part) + 3)
+    assert model.share == pytest.approx(share) and model.posterior(patterns) == pytest.approx([good(r) for r in patterns.tolist()])
+    assert abs(model.share - truth.mean()) < 0.03 and np.mean((model.posterior(votes_) > 0.5) == truth) > 0.9
+    found = model.p[:, 1, 1] / (model.p[:, 1, 0] + model.p[:, 1, 1])
+    assert np.abs(found - right).max() < 0.05
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="the tables of the driver are not here")
+def test_quality_ranks_rows_of_the_tables(spark):
+    """The labels were never seen by the heuristics or the scorer."""
+    known = spark.read.parquet(f"{TABLES}/labels.parquet").where("quality IS NOT NULL")
+    rows = quality.weak_label_quality(spark.read.parquet(f"{TABLES}/documents.parquet")).join(known, "doc_id").select("score", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    assert np.mean([(g > b) + (g == b) / 2 for g in good for b in bad]) > 0.85
+
+
 def test_mixing_reaches_the_targets(spark):
     frame = spark.createDataFrame([(i, "x" * 400, "en" if i % 3 else "de", "a" if i % 4 else "b") for i in range(4000)], "doc_id int, text string, lang string, source string")
     cells = mixing.raked_cells(mixing._placed(frame, mixing.TOPIC_SQL), {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"prose": 1.0}}, rounds=20).collect()
