@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from textwrap import indent
 
+from .resonance_covariances import MULTILEVEL, RESONANCE_COVARIANCES
+
 
 def _within(levels: int, text: str) -> str:
     return indent(text.strip("\n"), "    " * levels)
@@ -98,6 +100,8 @@ for i = 1..NIS
 {_within(6, _RESOLVED.format(second="APL", flag="0", widths="GN[r] GG[r] GFA[r] GFB[r]"))}
                     elif LRF == 7
 {_within(6, _RMATRIX)}
+                    elif LRF == 4
+{_within(6, MULTILEVEL)}
                     else
                         stop this resonance formalism is not covered
                 else
@@ -347,6 +351,7 @@ BY_SECTION: dict[tuple[int, int], str] = {
     (1, 458): FISSION_ENERGY,
     (1, 460): DELAYED_PHOTONS,
     (2, 151): RESONANCES,
+    (32, 151): RESONANCE_COVARIANCES,
     (4, -1): ANGULAR,
     (5, -1): SPECTRA,
     (6, -1): PRODUCTS,
