@@ -283,8 +283,9 @@ else
             for i = 1..NNF
                 vals lambda_[k,i] alpha[k,i]
 if LNU == 1
-    list 0 0 0 0 1 0
-        vals nu_d
+    list 0 0 0 0 NC 0
+        for c = 1..NC
+            vals nu_d[c]
 else
     tab1 0 0 0 0 -> nubar_table Eint nubar
 """
