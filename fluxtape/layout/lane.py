@@ -172,7 +172,7 @@ def parsed(sections: DataFrame, keys: list[str], dialect: str = "endf6-ext", opt
             text = find(*control[1:])
             if text is None:
                 return "verbatim", None, None, None, None, row["lines"]
-            return "parsed", None, None, None, json.dumps(encoded(read_section(text, row["lines"], options, control))), None
+            return "parsed", None, None, None, json.dumps(encoded(read_section(text, row["lines"], options, _control(row)))), None
         except LayoutError as e:
             return "failed", e.code, str(e), getattr(e, "at", None), None, row["lines"]
         except Exception as e:  # a function of the caller's

@@ -248,10 +248,14 @@ def q21_section_split(spark, sf):
     return tp.section_sizes(tp.with_control(_item_tape(spark, sf))).select(*tp.SECTION, "n_lines")
 
 
-@_query("SELECT l_linenumber::BIGINT AS mf, count(*) AS n FROM lineitem WHERE l_linenumber = 3 OR (l_linenumber = 1 AND CAST(l_quantity AS BIGINT) = 5) GROUP BY 1")
+@_query("""SELECT 'include' AS rule, l_orderkey * 10 + l_linenumber AS ofs, l_linenumber::BIGINT AS mf, CAST(l_quantity AS BIGINT) AS mt FROM lineitem WHERE l_linenumber = 3 OR (l_linenumber = 1 AND CAST(l_quantity AS BIGINT) = 5)
+  UNION ALL SELECT 'exclude', l_orderkey * 10 + l_linenumber, l_linenumber, CAST(l_quantity AS BIGINT) FROM lineitem WHERE NOT (l_linenumber = 2 OR (l_linenumber = 4 AND CAST(l_quantity AS BIGINT) = 7))""")
 def q22_include_exclude(spark, sf):
+    """The lines that are kept by each rule; with both, the exclusion counts."""
     lines = tp.with_control(_item_tape(spark, sf))
-    return tp.keep_sections(lines, include=[3, (1, 5)]).groupBy("mf").agg(F.count("*").alias("n"))
+    kept = tp.keep_sections(lines, include=[3, (1, 5)]).withColumn("rule", L("include"))
+    left = tp.keep_sections(lines, include=[3], exclude=[2, (4, 7)]).withColumn("rule", L("exclude"))
+    return kept.unionByName(left).select("rule", "ofs", "mf", "mt")
 
 
 # -- validation
@@ -277,14 +281,14 @@ def q23_strict_validate(spark, sf):
     return lane.status(_dirty(spark, sf), ["file_id"], DIRTY, options=Options(ignore_zero_mismatch=False, ignore_varspec_mismatch=False))
 
 
-@_query("SELECT CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'parsed' ELSE 'failed' END AS status, count(*) AS n FROM orders GROUP BY 1")
+@_query("SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'parsed' ELSE 'failed' END AS status FROM orders")
 def q24_zero_slot_policy(spark, sf):
-    return lane.status(_dirty(spark, sf), ["file_id"], DIRTY).groupBy("status").agg(F.count("*").alias("n"))
+    return lane.status(_dirty(spark, sf), ["file_id"], DIRTY).select("file_id", "status")
 
 
-@_query("SELECT CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN 'parsed' ELSE 'failed' END AS status, count(*) AS n FROM orders GROUP BY 1")
+@_query("SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN 'parsed' ELSE 'failed' END AS status FROM orders")
 def q25_desired_number_policy(spark, sf):
-    return lane.status(_dirty(spark, sf), ["file_id"], "cont P 0 K 0 1 2?", options=Options(ignore_number_mismatch=True)).groupBy("status").agg(F.count("*").alias("n"))
+    return lane.status(_dirty(spark, sf), ["file_id"], "cont P 0 K 0 1 2?", options=Options(ignore_number_mismatch=True)).select("file_id", "status")
 
 
 @_query("SELECT l_orderkey, l_linenumber, abs(round(l_extendedprice, 1) - l_extendedprice) <= 1e-7 + 1e-5 * abs(l_extendedprice) AS ok FROM lineitem")
@@ -624,10 +628,12 @@ def q60_array_list_mode(spark, sf):
     return ce.get(again, "/item/*/q").groupBy("file_id").agg(F.count("*").alias("n"), F.round(F.sum("f"), 2).alias("total"))
 
 
-@_query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'parsed' ELSE 'kept' END AS status, count(*) AS n FROM orders GROUP BY 1")
+@_query("SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 5 = 0 THEN 'parsed' ELSE 'failed' END AS status, CASE WHEN o_orderkey % 5 = 0 THEN 0 WHEN o_orderkey % 5 = 3 THEN 0 ELSE 1 END AS kept_lines FROM orders")
 def q61_nofail_status(spark, sf):
-    done = lane.status(_dirty(spark, sf), ["file_id"], DIRTY, options=Options(ignore_zero_mismatch=False))
-    return done.groupBy(F.when(C("status") == "parsed", "parsed").otherwise("kept").alias("status")).agg(F.count("*").alias("n"))
+    """A section that fails keeps its lines, and the others are parsed all the same."""
+    sections = _dirty(spark, sf).withColumns({"mat": L(1), "mf": L(3), "mt": L(1)})
+    done = lane.parsed(sections, ["file_id"], options=Options(ignore_zero_mismatch=False), layouts={(3, 1): DIRTY})
+    return done.select("file_id", "status", F.coalesce(F.size("lines"), L(0)).alias("kept_lines"))
 
 
 @_query("SELECT o_orderkey AS file_id, CASE o_orderkey % 3 WHEN 1 THEN 'unused_elements' WHEN 2 THEN 'missing_variable' END AS code, CASE WHEN o_orderkey % 3 = 0 THEN 2 END::INTEGER AS n_lines FROM orders")
