@@ -19,6 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .features import slices
+
 #: Bytes that one leaf of the tree encodes directly.
 LEAF = 32
 #: Matches whose encodings a worker remembers; it forgets all when there are more.
@@ -140,7 +142,7 @@ def _mapped(docs: DataFrame, path: str, pattern: str, keep: list[str], names: li
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             rows = [work(c, t or "") for t in batch.column("text").to_pylist()]
             made = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_ARROW[t.split()[1]] for t in types.split(", "))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *made], [*keep, *names])
@@ -176,7 +178,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches):
         c = codec(path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             data = [c.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], ["doc_id", "data"])
 

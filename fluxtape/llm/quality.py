@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import chunks, distinct, sigmoid, word_features
+from .features import chunks, distinct, sigmoid, slices, word_features
 
 #: Texts the scorer is trained on, at most about.
 SAMPLE = 10_000
@@ -98,6 +98,8 @@ def fit(features: list[np.ndarray], target: np.ndarray, steps: int = 120, rate:
     """Logistic regression on soft targets; a text's features share one unit of weight."""
     w, bias, seen = np.zeros(WIDTH), 0.0, np.full(WIDTH, 1e-3)
     order = np.random.default_rng(5).permutation(len(features))
+    if not len(order):
+        return w.astype(np.float32), bias
     places = range(0, len(order), 500)
     for step in range(steps):  # as many for any sample
         lo = places[step % len(places)]
@@ -129,7 +131,7 @@ def weak_label_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     texts_only = docs.select("text")
 
     def tally(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found, n = np.unique(votes(_bytes(batch)), axis=0, return_counts=True)
             yield pa.RecordBatch.from_arrays([_lists(found), pa.array(n)], ["votes", "n"])
 
@@ -141,27 +143,30 @@ def weak_label_quality(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) <= min(1 << 20, int(SAMPLE / max(total, 1) * (1 << 20)))
 
     def gather(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = _bytes(batch)
             for lo, hi in chunks(texts):
                 row, feature = _hashed(texts[lo:hi])
                 cuts = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([_lists(votes(texts[lo:hi])), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.view(np.int32)))], ["votes", "features"])
-
-    sample = docs.where(drawn).select("text").mapInArrow(gather, "votes array<int>, features array<int>").toArrow()
-    lists = sample.column("features").combine_chunks()
-    if sample.num_rows:
-        flat, cuts = lists.values.to_numpy(), lists.offsets.to_numpy()
-        soft = model.posterior(np.array(sample.column("votes").to_pylist(), np.int64))
-        weights, bias = fit([flat[a:b] for a, b in zip(cuts, cuts[1:])], soft)
-    else:
-        weights, bias = np.zeros(WIDTH, np.float32), 0.0
+                yield pa.RecordBatch.from_arrays([batch.column("o").slice(lo, hi - lo), _lists(votes(texts[lo:hi])), pa.ListArray.from_arrays(pa.array(cuts), pa.array(feature.view(np.int32)))], ["o", "votes", "features"])
+
+    def learn(batches):
+        rows = []
+        for batch in batches:
+            rows += zip(batch.column("o").to_pylist(), batch.column("votes").to_pylist(), (x.values.to_numpy() for x in batch.column("features")))
+        rows.sort(key=lambda r: r[0])  # the order of arrival says nothing
+        weights, bias = fit([r[2] for r in rows], model.posterior(np.array([r[1] for r in rows], np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()]), pa.array([bias])], ["weights", "bias"])
+
+    sample = docs.where(drawn).select(F.xxhash64("text", "doc_id").alias("o"), "text").mapInArrow(gather, "o bigint, votes array<int>, features array<int>")
+    learned = sample.repartition(1).mapInArrow(learn, "weights binary, bias double").first() if total else None  # one task, about SAMPLE texts
+    weights, bias = (np.frombuffer(learned.weights, np.float32), learned.bias) if learned else (np.zeros(WIDTH, np.float32), 0.0)
     sent = spark.sparkContext.broadcast((weights, bias, model))  # WIDTH weights
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         w, b, em = sent.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = _bytes(batch)
             out = np.zeros(len(texts))
             for lo, hi in chunks(texts):

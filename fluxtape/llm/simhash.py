@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .features import slices
 from .scratch import materialize
 
 BITS = 64
@@ -66,7 +67,7 @@ def with_fingerprints(docs: DataFrame, shingle_words: int = 3) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             fps = np.array([fingerprint(t or b"", shingle_words) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .features import slices
 from .scratch import materialize, release, text_key
 from .simhash import as_hex, links, majority, named_by, shingle_hashes
 
@@ -100,7 +101,7 @@ def _sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     """``fp``, ``shingles``: the distinct shingle hashes of each row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for t in batch.column("text").cast(pa.binary()).to_pylist():
                 hashes = np.unique(shingle_hashes(t or b"", shingle_words))
                 one = pa.array([hashes.view(np.int64)], pa.list_(pa.int64()))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .features import chunks, distinct, sigmoid, word_features
+from .features import chunks, distinct, sigmoid, slices, word_features
 
 #: Bounds of the training sample: confirmed toxic texts and unlabelled texts.
 POSITIVES, UNLABELLED = 3000, 9000
@@ -151,7 +151,7 @@ def _sampled(docs: DataFrame, some: DataFrame, most: int) -> DataFrame:
 
     def run(batches):
         seen = set()
-        for batch in batches:
+        for batch in slices(batches):
             keys = list(zip(batch.column("toxic").to_pylist(), batch.column("toss").to_pylist()))
             fresh = [i for i, k in enumerate(keys) if not (k in seen or seen.add(k))]
             batch = batch.take(pa.array(fresh, pa.int64()))
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     kind = docs.select(whole).schema["doc"].dataType.simpleString()
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or b"" for t in batch.column("own").cast(pa.binary()).to_pylist()]
             out = sent.value.scores(texts)
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out), pa.array((out >= threshold).astype(np.int32))], ["doc", "score", "predicted"])
