@@ -78,7 +78,7 @@ def tape_heads(lines: DataFrame) -> DataFrame:
     return first.where("h.mf = 0 AND h.mt = 0").select("file_id", "h.ofs", "h.raw")
 
 
-def end_record_issues(lines: DataFrame, ignore_missing_tpid: bool = False, ignore_send_records: bool = False, ignore_blank_lines: bool = False) -> DataFrame:
+def end_record_issues(lines: DataFrame, ignore_missing_tpid: bool = False, ignore_send_records: bool = False, ignore_blank_lines: bool = False, ascending: bool = False) -> DataFrame:
     """``file_id, ofs, code`` of each break of the control rules, in all files.
 
     A file begins with its tape head (MF and MT 0).  A data line opens the section MT of
@@ -89,7 +89,8 @@ def end_record_issues(lines: DataFrame, ignore_missing_tpid: bool = False, ignor
     (CLOSES) and hold zeros or blanks (``end_fields``), nothing but blank lines follows the tape's
     end (``after_tend``) and nothing may be left open (``open_section``, ``missing_tend``, at
     the last line).  ``no_tape_head``, ``blank_line`` and ``bad_control`` name lines that are
-    not what they should be.  After a break, counting goes on as if the line were right.
+    not what they should be.  With ``ascending``, MF numbers of a material (``mf_order``) and MT numbers
+    of a file (``mt_order``) must grow.  After a break, counting goes on as if the line were right.
     """
     order = Window.partitionBy("file_id").orderBy("ofs")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -107,6 +108,8 @@ def end_record_issues(lines: DataFrame, ignore_missing_tpid: bool = False, ignor
     text = text.withColumn("after", F.greatest(after, F.lit(-1)))
     text = text.withColumns({"level": F.coalesce(F.lag("after").over(order), F.lit(0)), "last": F.lag("open").over(order), "final": F.lead("ofs").over(order).isNull()})
     level, last = F.col("level"), F.col("last")
+    grows = F.lit(ascending) & F.col("data") & (F.col("mat") == last["mat"])
+    order_code = F.when(grows & (level <= 1) & (F.col("mf") <= last["mf"]), "mf_order").when(grows & (level == 2) & (F.col("mf") == last["mf"]) & (F.col("mt") <= last["mt"]), "mt_order")
     right_end = (
         F.when(level >= 3, (F.col("mat") == last["mat"]) & (F.col("mf") == last["mf"]))
         .when(level == 2, (F.col("mat") == last["mat"]) & (F.col("mf") == 0))
@@ -126,7 +129,7 @@ def end_record_issues(lines: DataFrame, ignore_missing_tpid: bool = False, ignor
         .when(strict & F.col("end"), F.when(~right_end, F.element_at(F.array(*(F.lit(c) for c in CLOSES)), (level + 1).cast("int"))).when(~zeros, "end_fields"))
     )
     left = F.when(strict & F.col("final"), F.when(F.col("after") >= 1, "open_section").when(F.col("after") == 0, "missing_tend"))
-    codes = F.filter(F.array(here, left), lambda c: c.isNotNull())
+    codes = F.filter(F.array(here, order_code, left), lambda c: c.isNotNull())
     return text.select("file_id", "ofs", F.explode(codes).alias("code"))
 
 

@@ -34,3 +34,10 @@ def test_include_and_exclude(spark):
     lines = tp.with_control(spark.createDataFrame([("f", i, _line(1, mf, mt)) for i, (mf, mt) in enumerate([(3, 1), (3, 2), (4, 2)])], "file_id string, ofs int, raw string"))
     assert tp.keep_sections(lines, include=[(3, 2), 4]).count() == 2
     assert tp.keep_sections(lines, include=[4], exclude=[3]).count() == 1
+
+
+def test_numbers_grow(spark):
+    keys = [(9, 3, 2), (9, 3, 0), (9, 3, 1), (9, 3, 0), (9, 0, 0), (9, 1, 5), (9, 1, 0), (9, 0, 0), (0, 0, 0), (8, 1, 1), (8, 1, 0), (8, 0, 0), (0, 0, 0), (-1, 0, 0)]
+    lines = spark.createDataFrame([("f", i, _line(*k)) for i, k in enumerate([(1, 0, 0), *keys])], "file_id string, ofs int, raw string")
+    assert tp.end_record_issues(lines).count() == 0
+    assert sorted((r.ofs, r.code) for r in tp.end_record_issues(lines, ascending=True).collect()) == [(3, "mt_order"), (6, "mf_order")]
