@@ -310,17 +310,16 @@ def language_scores(docs: DataFrame) -> DataFrame:
     total, kinds = (row.n or 0) + ends, row.v + (1 if ends else 0)
     frequent = _above(words, HEAD)
     head = words.where(F.col("c") >= frequent).toArrow()  # HEAD rows at most
-    table = dict(zip(head.column("w").to_pylist(), head.column("c").to_pylist()))
     models = materialize(_modelled(grams), "models")
     sure = models.where(F.col("n") >= _above(models, GRAMS, "n")).orderBy(F.desc("n")).toArrow()  # GRAMS rows at most
     strings = Head(sure.column("g").to_numpy().astype(np.uint64), sure.column("p").to_numpy())
     bottom = total + 0.5 * (kinds + 1)
-    sent = spark.sparkContext.broadcast((table, strings))
+    logs = {w: math.log10((c + 0.5) / bottom) for w, c in zip(head.column("w").to_pylist(), head.column("c").to_pylist())}
+    sent = spark.sparkContext.broadcast((logs, strings))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        known, model = sent.value
-        logs = {w: math.log10((c + 0.5) / bottom) for w, c in known.items()}
+        logs, model = sent.value
         end = math.log10((ends + 0.5) / bottom)
         number = TaskContext.get().partitionId() << 40
         for batch in slices(batches):
