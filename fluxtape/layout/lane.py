@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import catalogue
@@ -102,12 +102,19 @@ def issues(sections: DataFrame, keys: list[str], layout: str | None = None, dial
 
 def described(cells: DataFrame, layout: str) -> DataFrame:
     """Cells with ``about``, what the layout says of their path; an index may stand for ``*``, and lists' places are left out."""
-    spark = cells.sparkSession
-    known = spark.createDataFrame([(path.split("/"), about) for path, about in descriptions(layout)], "pattern array<string>, about string")
-    table = F.broadcast(known)  # as many rows as the layout has descriptions
-    bare = F.when(F.element_at("path", -1).rlike("^[0-9]+$") & (F.size("path") == F.size("pattern") + 1), F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))
-    fits = (F.size(bare) == F.size("pattern")) & F.forall(F.zip_with(bare, "pattern", lambda p, q: (q == "*") | (p == q)), lambda b: b)
-    return cells.join(table, fits, "left").drop("pattern")
+    path = F.col("path")
+    bare = F.when(F.element_at(path, -1).rlike("^[0-9]+$"), F.slice(path, F.lit(1), F.size(path) - 1)).otherwise(path)
+
+    def fits(steps: list[str], of: Column) -> Column:
+        out = F.size(of) == len(steps)
+        for i, step in enumerate(steps):
+            if step != "*":
+                out = out & (F.get(of, F.lit(i)) == step)
+        return out
+
+    known = [(pattern.split("/"), about) for pattern, about in descriptions(layout)]
+    found = [F.when(fits(steps, path) | fits(steps, bare), F.lit(about)) for steps, about in known]
+    return cells.withColumn("about", F.coalesce(*found) if found else F.lit(None).cast("string"))
 
 
 def written(documents: DataFrame, keys: list[str], column: str, layout: str, options: Options | None = None) -> DataFrame:
