@@ -3,6 +3,7 @@
 import collections
 import functools
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -144,8 +145,17 @@ def test_equal_fingerprints_of_different_sets_are_not_one_class(spark):
 
 
 def test_thresholds_cover_the_distance():
-    _, t = simhash.allocate([[0, 5, 9, 12], [0, 1, 2, 9], [0, 7, 8, 9]], 3)
-    assert sum(x + 1 for x in t) == 3 and t == [0, 1, -1] or sum(x + 1 for x in t) == 3
+    """The dynamic program finds the cheapest thresholds that any two fingerprints within the distance must meet."""
+    rng = random.Random(7)
+    for _ in range(50):
+        parts, budget = rng.randint(1, 4), rng.randint(1, 4)
+        costs = [[0, *(rng.randint(1, 50) for _ in range(4))] for _ in range(parts)]
+        cost, found = simhash.allocate(costs, budget)
+        every = [t for t in itertools.product(range(-1, 4), repeat=parts) if sum(x + 1 for x in t) == budget]
+        assert sum(x + 1 for x in found) == budget and cost == sum(costs[i][t + 1] for i, t in enumerate(found)) == min(sum(costs[i][x + 1] for i, x in enumerate(t)) for t in every)
+    for t in ((0, 1, -1), (2, -1, -1), (0, 0, 0)):  # two bits anywhere: some part has no more than its threshold
+        for bits in itertools.product(range(3), repeat=2):
+            assert any(bits.count(i) <= x for i, x in enumerate(t))
 
 
 def test_top_k(spark, monkeypatch):
