@@ -38,11 +38,17 @@ def _number(slot: str) -> float | None:
 class _Plan:
     """Values and checks, collected record by record; ``at`` is the place of the next line, from 0."""
 
-    def __init__(self, lines: Column, options: Options):
-        self.lines, self.options, self.at = lines, options, F.lit(0)
+    def __init__(self, frame: DataFrame, options: Options):
+        self.frame, self.lines, self.options, self.at = frame, F.col("lines"), options, F.lit(0)
         self.values: dict[str, Column] = {}
         self.codes: list[Column] = []
 
+    def _kept(self, value: Column) -> Column:
+        """A column of its own for what is used several times, so that it is computed once."""
+        name = f"_kept{len(self.frame.columns)}"
+        self.frame = self.frame.withColumn(name, value)
+        return F.col(name)
+
     def _check(self, slot: str, value: Column) -> None:
         soft, bare = slot.endswith("?"), slot.rstrip("?")
         wanted = _number(bare)
@@ -75,8 +81,8 @@ class _Plan:
         first, table = self.at + 1, line_count(2 * ranges)
         rest = line_count(2 * points)
         part = lambda begin, count: F.slice(self.lines, begin + 1, F.greatest(count, F.lit(0)))
-        pairs = read_values(part(first, table), 2 * ranges, fort_int)
-        numbers = read_values(part(first + table, rest), 2 * points, lambda t: fort_float(t, self.options.accept_spaces))
+        pairs = self._kept(read_values(part(first, table), 2 * ranges, fort_int))
+        numbers = self._kept(read_values(part(first + table, rest), 2 * points, lambda t: fort_float(t, self.options.accept_spaces)))
         made = {"NBT": every_other(pairs, 0), "INT": every_other(pairs, 1), line.columns[0]: every_other(numbers, 0), line.columns[1]: every_other(numbers, 1)}
         self.at = first + table + rest
         self.codes += [F.when(F.size(self.lines) < self.at, "missing_line"), F.when(F.exists(numbers, lambda x: x.isNull()) | F.exists(pairs, lambda x: x.isNull()), "bad_number")]
@@ -104,10 +110,10 @@ def decoded(sections: DataFrame, keys: list[str], layout: str, options: Options
     """
     if not is_straight(layout):
         raise ValueError("only records in a row, of plain slots, have expressions")
-    plan = _Plan(F.col("lines"), options or Options())
+    plan = _Plan(sections.select(*keys, "lines"), options or Options())
     for line in parse(layout):
         getattr(plan, line.kind)(line)
     plan.codes.append(F.when(F.size("lines") > plan.at, "more_lines"))
     code = F.coalesce(*plan.codes)
     document = F.struct(*(v.alias(k) for k, v in plan.values.items()))
-    return sections.select(*keys, code.alias("code"), F.when(code.isNull(), document).alias("document"))
+    return plan.frame.select(*keys, code.alias("code"), F.when(code.isNull(), document).alias("document"))
