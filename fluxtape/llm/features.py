@@ -23,11 +23,11 @@ def slices(batches, rows: int = 500):
             yield batch.slice(lo, rows)
 
 
-def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about CHUNK bytes; a longer text is a range by itself."""
+def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes; a longer text is a range by itself."""
     lo, held = 0, 0
     for i, t in enumerate(texts):
-        if held and held + len(t) > CHUNK:
+        if held and held + len(t) > size:
             yield lo, i
             lo, held = i, 0
         held += len(t) + 1

@@ -40,6 +40,9 @@ HEAD = 200_000
 #: Different words a task counts before it passes them on, and four times as many byte strings; rows that are solved together.
 HELD = 150_000
 
+#: Bytes of text whose strings are arrays at a time.
+PART = 1 << 19
+
 START = b"\n" * ORDER
 
 
@@ -107,7 +110,7 @@ def _counts(docs: DataFrame) -> DataFrame:
             for learn in (True, False):
                 some = [t for t, h in zip(texts, held) if h != learn]
                 ends += len(some) if learn else 0
-                for lo, hi in chunks(some):
+                for lo, hi in chunks(some, PART):
                     if learn:
                         for t in some[lo:hi]:
                             words.update(t.lower().split())
@@ -255,7 +258,7 @@ class Head:
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, pa.ListArray]:
         """log10 probability of each text's byte strings that are here, and the other strings."""
         out, counts, others = np.zeros(len(texts)), np.zeros(len(texts), np.int64), [np.zeros(0, np.int64)]
-        for lo, hi in chunks(texts):
+        for lo, hi in chunks(texts, PART):
             grams, sizes = _grams(texts[lo:hi])
             at, begin = self.find(grams), np.r_[0, np.cumsum(sizes)[:-1]]
             out[lo:hi] = np.add.reduceat(self.log_p[at], begin)
