@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_rules, mixing, ppm, quality, sharding, simhash, suffix_dedup, topk, toxicity
+from . import bpe, fill_in_middle, line_rules, merkle, mixing, ppm, quality, sharding, simhash, suffix_dedup, token_counts, topk, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -60,6 +61,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"), shards=40)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents"), sentinels=("<P>", "<S>", "<M>"), seed="7", rate=100, spm=50)
+    chars = [F.length(c).cast("bigint").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return made.select("doc.doc_id", "n", "form", *chars, *(F.sha2(c, 256).alias(f"{c}_sha256") for c in ("output", "restored")))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    return merkle.manifest(_table(spark, sf_dir, "documents"), presented={"text": F.when(drawn, lowered).otherwise(F.col("text"))})
+
+
 OP2_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
@@ -74,8 +91,8 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_weak_label_quality, op4_source_mixing, op5_toxicity, op6_suffix_array_dedup, op7_byte_bpe, op8_line_frequency_rules, op9_ppm_scoring, op10_sharding)}
+    return {f.__name__: f for f in (op1_simhash_near_dedup, op2_exact_top_k, op3_weak_label_quality, op4_source_mixing, op5_toxicity, op6_suffix_array_dedup, op7_byte_bpe, op8_line_frequency_rules, op9_ppm_scoring, op10_sharding, op11_fill_in_middle, op12_token_counts, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": OP2_SQL.strip(), "op4_source_mixing": mixing.oracle_sql(), "op8_line_frequency_rules": line_rules.SQL}
+    return {"op2_exact_top_k": OP2_SQL.strip(), "op4_source_mixing": mixing.oracle_sql(), "op8_line_frequency_rules": line_rules.SQL, "op11_fill_in_middle": fill_in_middle.SQL.strip(), "op13_merkle_manifest": merkle.SQL}
