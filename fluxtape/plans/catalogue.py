@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fields as fd
 from ..layout import catalogue as layouts
-from ..layout import lane, native
+from ..layout import columns, lane, native
 from ..layout.engine import Options
 from ..operators import cells as ce
 from ..operators import description as de
@@ -215,7 +215,7 @@ def q18_tab2_nested(spark, sf):
     nations = segs.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_mktsegment", "lines"))).alias("p"))
     top = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), L(1), F.size("p")), 66, " ")
     lines = F.concat(F.array(top), rc.value_lines(F.array(fd.int_field(F.size("p")), fd.int_field(L(1)))), F.flatten(F.transform("p", lambda x: x["lines"])))
-    got = lane.cells(nations.select(C("c_nationkey").cast("bigint").alias("file_id"), lines.alias("lines")), ["file_id"], NESTED)
+    got = columns.cells(nations.select(C("c_nationkey").cast("bigint").alias("file_id"), lines.alias("lines")), ["file_id"], NESTED)
     ys = got.where(ce.matches(C("path"), ["segment", "*", "t", "Y", "*"]))
     return ys.groupBy("file_id", F.get("path", L(1)).alias("segment")).agg(F.count("*").alias("n"), F.round(F.sum("f"), 2).alias("total"))
 
@@ -278,17 +278,17 @@ _CODES = "CASE o_orderkey % 5 WHEN 1 THEN {1} WHEN 2 THEN 'bad_number' WHEN 3 TH
 
 @_query(f"SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 5 = 0 THEN 'parsed' ELSE 'failed' END AS status, {_CODES.replace('{1}', chr(39) + 'mismatch' + chr(39)).replace('{4}', chr(39) + 'mismatch' + chr(39))} AS code FROM orders")
 def q23_strict_validate(spark, sf):
-    return lane.status(_dirty(spark, sf), ["file_id"], DIRTY, options=Options(ignore_zero_mismatch=False, ignore_varspec_mismatch=False))
+    return columns.status(_dirty(spark, sf), ["file_id"], DIRTY, options=Options(ignore_zero_mismatch=False, ignore_varspec_mismatch=False))
 
 
 @_query("SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'parsed' ELSE 'failed' END AS status FROM orders")
 def q24_zero_slot_policy(spark, sf):
-    return lane.status(_dirty(spark, sf), ["file_id"], DIRTY).select("file_id", "status")
+    return columns.status(_dirty(spark, sf), ["file_id"], DIRTY).select("file_id", "status")
 
 
 @_query("SELECT o_orderkey AS file_id, CASE WHEN o_orderkey % 5 IN (0, 1, 4) THEN 'parsed' ELSE 'failed' END AS status FROM orders")
 def q25_desired_number_policy(spark, sf):
-    return lane.status(_dirty(spark, sf), ["file_id"], "cont P 0 K 0 1 2?", options=Options(ignore_number_mismatch=True)).select("file_id", "status")
+    return columns.status(_dirty(spark, sf), ["file_id"], "cont P 0 K 0 1 2?", options=Options(ignore_number_mismatch=True)).select("file_id", "status")
 
 
 @_query("SELECT l_orderkey, l_linenumber, abs(round(l_extendedprice, 1) - l_extendedprice) <= 1e-7 + 1e-5 * abs(l_extendedprice) AS ok FROM lineitem")
@@ -296,7 +296,7 @@ def q26_fuzzy_match(spark, sf):
     """A variable that is met again with fewer digits: read with the option of fuzzy matching, each line a section."""
     lines = [F.rpad(rc.cont_body(fd.float_field(x, prefer_noexp=True), _blank(), L(0), L(0), L(0), L(0)), 66, " ") for x in (C("l_extendedprice"), F.round("l_extendedprice", 1))]
     made = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array(*lines).alias("lines"))
-    done = lane.status(made, ["l_orderkey", "l_linenumber"], "cont P 0 0 0 0 0\ncont P 0 0 0 0 0", options=Options(fuzzy=True, ignore_varspec_mismatch=False))
+    done = columns.status(made, ["l_orderkey", "l_linenumber"], "cont P 0 0 0 0 0\ncont P 0 0 0 0 0", options=Options(fuzzy=True, ignore_varspec_mismatch=False))
     return done.select("l_orderkey", "l_linenumber", (C("status") == "parsed").alias("ok"))
 
 
@@ -356,7 +356,7 @@ def q29_list_length_guard(spark, sf):
     head = F.get("lines", L(0))
     fewer = F.concat(F.substring(head, 1, 55), fd.int_field(fd.fort_int(F.substring(head, 56, 11)) - 1))
     lines = F.when(C("file_id") % 3 == 0, F.concat(F.array(fewer), F.slice("lines", L(2), F.size("lines")))).otherwise(C("lines"))
-    return lane.status(lists.select("file_id", lines.alias("lines")), ["file_id"], layout).select("file_id", "code")
+    return columns.status(lists.select("file_id", lines.alias("lines")), ["file_id"], layout).select("file_id", "code")
 
 
 # -- paths
@@ -401,7 +401,7 @@ def q34_locate(spark, sf):
 
 def _items(spark, sf) -> DataFrame:
     """Cells of the LIST sections by their layout: item/<i>/q and item/<i>/p."""
-    return lane.cells(_list_sections(spark, sf), ["file_id"], ITEMS)
+    return columns.cells(_list_sections(spark, sf), ["file_id"], ITEMS)
 
 
 @_query("SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::VARCHAR AS step, 2::BIGINT AS n_cells, false AS is_value FROM lineitem")
@@ -542,7 +542,7 @@ def q51_layout_for_loop(spark, sf):
     orders = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(part.alias("v")).select(C("l_orderkey").alias("file_id"), fd.float_fields(C("v"), prefer_noexp=True).alias("fields"))
     head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), L(0)), 66, " ")
     lists = orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines"))
-    got = lane.cells(lists, ["file_id"], "list 0 0 0 0 N 0\n    for i = 1..N\n        vals v[i]")
+    got = columns.cells(lists, ["file_id"], "list 0 0 0 0 N 0\n    for i = 1..N\n        vals v[i]")
     return got.groupBy("file_id").agg(F.count(F.when(ce.matches(C("path"), ["v", "*"]), 1)).alias("n"))
 
 
@@ -553,7 +553,7 @@ def q52_layout_triangle(spark, sf):
     brands = brands.select(C("p_brand").alias("file_id"), "n", fd.float_fields(values, prefer_noexp=True).alias("fields"))
     head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), C("n")), 66, " ")
     lists = brands.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines"))
-    got = lane.cells(lists, ["file_id"], "list 0 0 0 0 NT N\n    for i = 1..N\n        for j = i..N\n            vals F[i,j]")
+    got = columns.cells(lists, ["file_id"], "list 0 0 0 0 NT N\n    for i = 1..N\n        for j = i..N\n            vals F[i,j]")
     return ce.get(got, "/F/*/*").groupBy("file_id").agg(F.count("*").alias("cells"))
 
 
@@ -562,7 +562,7 @@ def q53_layout_if_lookahead(spark, sf):
     flag = F.when(C("o_orderstatus") == "F", 1).otherwise(2)
     line = F.rpad(rc.cont_body(_blank(), _blank(), flag, C("o_custkey"), L(0), L(0)), 66, " ")
     made = _t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(line).alias("lines"))
-    got = lane.cells(made, ["file_id"], "if LF == 1 ~1\n    cont 0 0 LF A 0 0\nelse\n    cont 0 0 LF B 0 0")
+    got = columns.cells(made, ["file_id"], "if LF == 1 ~1\n    cont 0 0 LF A 0 0\nelse\n    cont 0 0 LF B 0 0")
     return got.where(F.get("path", L(0)) != "LF").select("file_id", F.get("path", L(0)).alias("branch"), "f")
 
 
@@ -570,14 +570,14 @@ def q53_layout_if_lookahead(spark, sf):
 def q54_layout_repeat_until(spark, sf):
     nations = _t(spark, sf, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
     lines = F.transform(fd.counted(L(1), C("n")), lambda i: F.rpad(rc.cont_body(_blank(), _blank(), C("n"), i, L(0), L(0)), 66, " "))
-    got = lane.cells(nations.select(C("c_nationkey").cast("bigint").alias("file_id"), lines.alias("lines")), ["file_id"], "repeat i = 1 until IG[i] == NG\n    cont 0 0 NG IG[i] 0 0")
+    got = columns.cells(nations.select(C("c_nationkey").cast("bigint").alias("file_id"), lines.alias("lines")), ["file_id"], "repeat i = 1 until IG[i] == NG\n    cont 0 0 NG IG[i] 0 0")
     return ce.get(got, "/IG/*").groupBy("file_id").agg(F.count("*").alias("n"))
 
 
 @_query("SELECT o_orderkey AS file_id, o_custkey::DOUBLE AS n FROM orders")
 def q55_layout_linear_solve(spark, sf):
     line = F.rpad(rc.cont_body(_blank(), _blank(), C("o_custkey") * 2 + 1, C("o_custkey"), L(0), L(0)), 66, " ")
-    got = lane.cells(_t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(line).alias("lines")), ["file_id"], "cont 0 0 2*N+1 N 0 0")
+    got = columns.cells(_t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(line).alias("lines")), ["file_id"], "cont 0 0 2*N+1 N 0 0")
     return ce.get(got, "/N").select("file_id", C("f").alias("n"))
 
 
@@ -588,7 +588,7 @@ def q56_layout_abbreviation(spark, sf):
     values = F.concat(C("v"), F.array_repeat(L(0.0), spare.cast("int")))
     orders = orders.select(C("l_orderkey").alias("file_id"), "n", fd.float_fields(values, prefer_noexp=True).alias("fields"))
     head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), C("n")), 66, " ")
-    got = lane.cells(orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines")), ["file_id"], "let SP = (5-N)%6\nlist 0 0 0 0 NT N\n    for i = 1..N\n        vals q[i]\n    for i = 1..SP\n        vals z[i]")
+    got = columns.cells(orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines")), ["file_id"], "let SP = (5-N)%6\nlist 0 0 0 0 NT N\n    for i = 1..N\n        vals q[i]\n    for i = 1..SP\n        vals z[i]")
     return got.groupBy("file_id").agg(F.max(F.when(ce.matches(C("path"), ["N"]), C("f"))).alias("n"), F.count(F.when(ce.matches(C("path"), ["z", "*"]), 1)).alias("spare"))
 
 
@@ -603,7 +603,7 @@ def q57_padline(spark, sf):
 
     orders = orders.select(C("l_orderkey").alias("file_id"), "n", fd.float_fields(F.concat(padded("l_quantity"), padded("l_extendedprice")), prefer_noexp=True).alias("fields"))
     head = F.rpad(rc.cont_body(_blank(), _blank(), L(0), L(0), F.size("fields"), C("n")), 66, " ")
-    got = lane.cells(orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines")), ["file_id"], "list 0 0 0 0 NT N\n    for i = 1..N\n        vals q[i]\n    pad\n    for i = 1..N\n        vals p[i]\n    pad")
+    got = columns.cells(orders.select("file_id", F.concat(F.array(head), rc.value_lines(C("fields"))).alias("lines")), ["file_id"], "list 0 0 0 0 NT N\n    for i = 1..N\n        vals q[i]\n    pad\n    for i = 1..N\n        vals p[i]\n    pad")
     return ce.get(got, "/p/*").groupBy("file_id").agg(F.count("*").alias("n"), F.round(F.sum("f"), 2).alias("total"))
 
 
@@ -611,7 +611,7 @@ def q57_padline(spark, sf):
 def q58_nested_index(spark, sf):
     first = F.rpad(rc.cont_body(_blank(), _blank(), L(10), L(3), L(0), L(0)), 66, " ")
     second = F.rpad(rc.cont_body(_blank(), _blank(), C("o_custkey"), L(0), L(0), L(0)), 66, " ")
-    got = lane.cells(_t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(first, second).alias("lines")), ["file_id"], "cont 0 0 A[1] A[2] 0 0\ncont 0 0 B[A[1]-A[2]] 0 0 0")
+    got = columns.cells(_t(spark, sf, "orders").select(C("o_orderkey").alias("file_id"), F.array(first, second).alias("lines")), ["file_id"], "cont 0 0 A[1] A[2] 0 0\ncont 0 0 B[A[1]-A[2]] 0 0 0")
     return ce.get(got, "/B/7").select("file_id", "f")
 
 
@@ -665,7 +665,7 @@ def _tables(spark, sf) -> DataFrame:
   UNION ALL SELECT DISTINCT l_orderkey, 'ZA', 'charge and mass number of the material as 1000 Z + A', l_orderkey::DOUBLE FROM lineitem""")
 def q63_explain_path(spark, sf):
     """What the layout says of the cells of a section."""
-    cells = lane.described(lane.cells(_tables(spark, sf), ["file_id"], dialect="endf6"), layouts.find("endf6", 3, 1))
+    cells = lane.described(columns.cells(_tables(spark, sf), ["file_id"], dialect="endf6", mf=3, mt=1), layouts.find("endf6", 3, 1))
     wanted = ce.matches(C("path"), ["ZA"]) | ce.matches(C("path"), ["xstable", "E", "*"]) | ce.matches(C("path"), ["xstable", "xs", "*"])
     return cells.where(wanted).select("file_id", F.array_join("path", "/").alias("path"), "about", "f")
 
@@ -683,7 +683,7 @@ def q64_multi_material(spark, sf):
 @_query("""SELECT l_orderkey AS file_id, l_orderkey % 9999 + 1 AS mat, 3::BIGINT AS mf, l_orderkey % 90 + 1 AS mt, count(*) AS np, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY l_orderkey""")
 def q65_catalogue_cross_sections(spark, sf):
     """MF 3 by its layout, with the control fields as part of the document."""
-    cells = lane.cells(_tables(spark, sf), ["file_id"], dialect="endf6")
+    cells = columns.cells(_tables(spark, sf), ["file_id"], dialect="endf6", mf=3, mt=1)
     key = lambda name: F.max(F.when(ce.matches(C("path"), [name]), C("i"))).alias(name.lower())
     y = F.when(ce.matches(C("path"), ["xstable", "xs", "*"]), C("f"))
     return cells.groupBy("file_id").agg(*(key(k) for k in ("MAT", "MF", "MT")), F.count(y).alias("np"), F.round(F.sum(y), 2).alias("total"))
@@ -700,7 +700,7 @@ def q66_catalogue_description(spark, sf):
     entries = F.transform(fd.counted(L(1), C("k")), lambda i: rc.dir_body(L(3), i, L(1), L(0)))
     lines = F.concat(F.array(blank, blank, blank, counts), F.array_repeat(F.rpad(L("head"), 66, " "), 5), text, entries)
     sections = nations.select(C("c_nationkey").cast("bigint").alias("file_id"), L(1).alias("mf"), L(451).alias("mt"), F.transform(lines, lambda x: F.rpad(x, 66, " ")).alias("lines"))
-    cells = lane.cells(sections, ["file_id"], dialect="endf6")
+    cells = columns.cells(sections, ["file_id"], dialect="endf6", mf=1, mt=451)
     one = lambda name: F.max(F.when(ce.matches(C("path"), [name]), C("i"))).alias(name.lower())
     said = F.when(ce.matches(C("path"), ["DESCRIPTION", "*"]), F.rtrim("s"))
     return cells.groupBy("file_id").agg(one("NWD"), one("NXC"), F.count(said).alias("described"), F.max(said).alias("last"))
@@ -714,7 +714,7 @@ def q67_catalogue_covariances(spark, sf):
     none = [_blank(), _blank()]
     heads = F.array(rc.cont_body(*none, L(0), L(0), L(0), L(1)), rc.cont_body(*none, L(0), L(2), L(0), L(1)), rc.cont_body(*none, L(1), L(5), L(10), L(4)))
     sections = made.select(C("vec_id").alias("file_id"), L(33).alias("mf"), L(2).alias("mt"), F.transform(F.concat(heads, rc.value_lines(C("fields"))), lambda x: F.rpad(x, 66, " ")).alias("lines"))
-    found = ce.get(lane.cells(sections, ["file_id"], dialect="endf6"), "/subsection/1/ni_part/1/F/*/*")
+    found = ce.get(columns.cells(sections, ["file_id"], dialect="endf6", mf=33, mt=2), "/subsection/1/ni_part/1/F/*/*")
     corner = F.max(F.when(F.slice("path", L(6), L(2)) == F.array(L("3"), L("3")), C("f")))
     return found.groupBy("file_id").agg(F.round(F.sum("f"), 3).alias("total"), corner.alias("corner"))
 
