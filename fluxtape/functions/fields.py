@@ -25,7 +25,7 @@ _NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 def fort_int(text: Column) -> Column:
     """Blank is 0, a whole number is itself, anything else is null."""
     bare = F.trim(text)
-    return F.when(bare == "", F.lit(0).cast("bigint")).when(bare.rlike("^[+-]?[0-9]+$"), bare.try_cast("bigint"))
+    return F.when(bare == "", F.lit(0).cast("bigint")).otherwise(bare.try_cast("bigint"))
 
 
 def fort_float(text: Column, accept_spaces: bool = True) -> Column:

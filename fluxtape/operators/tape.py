@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.fields import fort_float
+from ..sources.files import read_lines
 from .records import read_control
 
 SECTION = ["file_id", "mat", "mf", "mt"]
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file_id, ofs, raw`` of all files under a path; a file is read by one task, so lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_id"), "value")
-    return split_text(whole, "file_id", "value")
-
-
 def split_text(files: DataFrame, key: str, text: str) -> DataFrame:
     lines = F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")
     return files.select(F.col(key).alias("file_id"), F.posexplode(lines).alias("ofs", "raw"))
@@ -143,13 +138,23 @@ def end_records(sections_of: DataFrame, zero_as_blank: bool = False, include_lin
     def line(mat: Column, mf: Column, ns: int) -> Column:
         return F.concat(zeros, F.lpad(mat.cast("string"), 4, " "), F.lpad(mf.cast("string"), 2, " "), F.lit(f"{0:3d}{ns:5d}"[: 8 if include_linenum else 3]))
 
+    # what is closed at each level, by one pass over the sections: their distinct keys, and those of what holds them
     key = sections_of.where("mf <> 0").select(*SECTION).distinct()
-    top = F.lit(1 << 20)
-    send = key.select(*SECTION, F.lit(1 << 40).alias("ofs"), line(F.col("mat"), F.col("mf"), 99999).alias("raw"))
-    fend = key.select("file_id", "mat", "mf").distinct().select("file_id", "mat", "mf", top.alias("mt"), F.lit(0).alias("ofs"), line(F.col("mat"), F.lit(0), 0).alias("raw"))
-    mend = key.select("file_id", "mat").distinct().select("file_id", "mat", top.alias("mf"), F.lit(0).alias("mt"), F.lit(0).alias("ofs"), line(F.lit(0), F.lit(0), 0).alias("raw"))
-    tend = key.select("file_id").distinct().select("file_id", top.alias("mat"), F.lit(0).alias("mf"), F.lit(0).alias("mt"), F.lit(0).alias("ofs"), line(F.lit(-1), F.lit(0), 0).alias("raw"))
-    return send.union(fend).union(mend).union(tend)
+    levels = [[F.col(c) for c in SECTION[:n]] for n in (4, 3, 2, 1)]
+    closed = key.groupingSets(levels, *SECTION).agg(F.grouping_id().alias("open"))
+    top, none = F.lit(1 << 20).cast("bigint"), F.lit(0).cast("bigint")
+    mat, mf = F.col("mat"), F.col("mf")
+    ends = {  # MAT, MF, MT and place by which each is sorted, and its line
+        0: (mat, mf, F.col("mt"), F.lit(1 << 40), line(mat, mf, 99999)),
+        1: (mat, mf, top, none, line(mat, F.lit(0), 0)),
+        3: (mat, top, none, none, line(F.lit(0), F.lit(0), 0)),
+        7: (top, none, none, none, line(F.lit(-1), F.lit(0), 0)),
+    }
+
+    def of(k: int) -> Column:
+        return F.coalesce(*(F.when(F.col("open") == level, made[k]) for level, made in ends.items()))
+
+    return closed.select("file_id", *(of(k).alias(c) for k, c in enumerate(("mat", "mf", "mt", "ofs", "raw"))))
 
 
 def renumbered(lines: DataFrame, include_linenum: bool = True) -> DataFrame:
@@ -170,14 +175,15 @@ def _every_line(lines: DataFrame, zero_as_blank: bool, include_linenum: bool = T
     return placed.select(*columns).union(end_records(lines, zero_as_blank, include_linenum).select(*columns))
 
 
-def ordered_lines(lines: DataFrame, zero_as_blank: bool = False) -> DataFrame:
+def ordered_lines(lines: DataFrame, zero_as_blank: bool = False, include_linenum: bool = True) -> DataFrame:
     """``file_id, mat, mf, mt, ofs, raw``: data lines and end records, dealt out and sorted as they are written.
 
     Files are split over tasks by range and no file is gathered into a row, so a file may
-    be of any size; writing the partitions in turn gives its lines in order.
+    be of any size; writing the partitions in turn gives its lines in order.  ``lines`` are read three times,
+    for the end records, for the ranges and for the lines, so what is costly to make should be stored before.
     """
     order = [*SECTION, "ofs"]
-    return _every_line(lines, zero_as_blank).repartitionByRange(*order).sortWithinPartitions(*order)
+    return _every_line(lines, zero_as_blank, include_linenum).repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def file_texts(lines: DataFrame, zero_as_blank: bool = False, include_linenum: bool = True) -> DataFrame:

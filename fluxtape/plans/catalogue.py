@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fields as fd
@@ -20,6 +20,8 @@ from ..operators import cells as ce
 from ..operators import description as de
 from ..operators import records as rc
 from ..operators import tape as tp
+from ..sources.files import write_files
+from ..sources.stored import fresh_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -228,8 +230,6 @@ def q19_ctrl_decode(spark, sf):
 
 @_query("SELECT event_id, ((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) % 99999 + 1)::BIGINT AS ns FROM events")
 def q20_line_numbers(spark, sf):
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
     line = rc.numbered(F.rpad(fd.float_field(C("value")), 66, " "), rc.control(L(1), L(3), L(1)), tp.line_number(place))
     return _t(spark, sf, "events").select("event_id", line.alias("line")).select("event_id", fd.fort_int(F.substring("line", 76, 5)).alias("ns"))
@@ -240,7 +240,8 @@ def _item_tape(spark, sf) -> DataFrame:
     body = rc.cont_body(fd.float_field(C("l_extendedprice"), prefer_noexp=True), _blank(), C("l_partkey"), C("l_suppkey"), L(0), L(0))
     ctrl = rc.control(C("l_orderkey") % 9999 + 1, C("l_linenumber"), C("l_quantity").cast("int"))
     items = _t(spark, sf, "lineitem")
-    return items.select((C("l_orderkey") / 9999).cast("bigint").alias("file_id"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("ofs"), F.concat(F.rpad(body, 66, " "), ctrl).alias("raw"))
+    line = F.explode(F.array(F.concat(F.rpad(body, 66, " "), ctrl)))  # rendered once, as conditions on its columns stay behind it
+    return items.select((C("l_orderkey") / 9999).cast("bigint").alias("file_id"), (C("l_orderkey") * 10 + C("l_linenumber")).alias("ofs"), line.alias("raw"))
 
 
 @_query("""SELECT CAST(floor(l_orderkey / 9999) AS BIGINT) AS file_id, l_orderkey % 9999 + 1 AS mat, l_linenumber::BIGINT AS mf, CAST(l_quantity AS BIGINT) AS mt, count(*) AS n_lines FROM lineitem GROUP BY ALL""")
@@ -529,7 +530,7 @@ def q49_json_roundtrip(spark, sf):
   UNION ALL SELECT DISTINCT file_id, 1048576, 0, 0, 0, lpad('-1', 4, ' ') || z FROM c""")
 def q50_write_sort(spark, sf):
     """Every line as it is written, data and end records, with its sort place."""
-    done = tp.ordered_lines(tp.with_control(_item_tape(spark, sf)))
+    done = tp.ordered_lines(stored(tp.with_control(_item_tape(spark, sf)), "items"))
     return done.select("file_id", *(C(c).cast("bigint").alias(c) for c in ("mat", "mf", "mt", "ofs")), F.substring("raw", 67, 14).alias("control"))
 
 
@@ -673,8 +674,9 @@ def q63_explain_path(spark, sf):
 @_query("SELECT c_nationkey::BIGINT + 1 AS mat, count(*) AS n_lines FROM customer GROUP BY 1")
 def q64_multi_material(spark, sf):
     body = F.rpad(fd.float_field(C("c_acctbal"), prefer_noexp=True), 66, " ")
-    lines = _t(spark, sf, "customer").select(L("one").alias("file_id"), C("c_custkey").alias("ofs"), F.concat(body, rc.control(C("c_nationkey") + 1, L(3), L(1))).alias("raw"))
-    return tp.section_sizes(tp.with_control(lines)).select("mat", "n_lines")
+    lines = _t(spark, sf, "customer").select(L("one").alias("file_id"), (C("c_nationkey") + 1).cast("bigint").alias("mat"), L(3).cast("bigint").alias("mf"), L(1).cast("bigint").alias("mt"), C("c_custkey").alias("ofs"), F.concat(body, rc.control(C("c_nationkey") + 1, L(3), L(1))).alias("raw"))
+    (path,) = write_files(tp.ordered_lines(stored(lines, "customers")), fresh_path(spark, "files"))
+    return tp.section_sizes(tp.with_control(tp.read_lines(spark, path))).select("mat", "n_lines")
 
 
 # -- sections by the catalogue's layouts
@@ -751,3 +753,40 @@ def q71_native_cross_sections(spark, sf):
     done = native.decoded(_tables(spark, sf), ["file_id"], layouts.find("endf6", 3, 1))
     total = F.round(F.aggregate("document.xstable.xs", L(0.0), lambda a, x: a + x), 2)
     return done.select("file_id", C("document.ZA").alias("za"), F.size("document.xstable.E").cast("bigint").alias("np"), total.alias("total"), "code")
+
+
+# -- files of any size
+
+
+_WHOLE_FILE = """WITH d AS (SELECT l_orderkey % 9999 + 1 AS mat, l_linenumber::BIGINT AS mf, CAST(l_quantity AS BIGINT) AS mt, row_number() OVER (PARTITION BY l_orderkey % 9999, l_linenumber, CAST(l_quantity AS BIGINT) ORDER BY l_orderkey, l_partkey, l_suppkey) AS k,
+    lpad('', 22, ' ') || lpad(l_partkey::VARCHAR, 11, ' ') || lpad(l_suppkey::VARCHAR, 11, ' ') || lpad(l_orderkey::VARCHAR, 11, ' ') || lpad('0', 11, ' ') AS body FROM lineitem),
+  c AS (SELECT mat, mf, mt, k, body || lpad(mat::VARCHAR, 4, ' ') || lpad(mf::VARCHAR, 2, ' ') || lpad(mt::VARCHAR, 3, ' ') || lpad(((row_number() OVER (PARTITION BY mat, mf, mt ORDER BY k) - 1) % 99999 + 1)::VARCHAR, 5, ' ') AS raw FROM d),
+  z AS (SELECT ' 0.000000+0 0.000000+0' || repeat(lpad('0', 11, ' '), 4) AS zeros, lpad('0', 2, ' ') || lpad('0', 3, ' ') || lpad('0', 5, ' ') AS none),
+  e AS (SELECT mat, mf, mt, k, raw FROM c
+    UNION ALL SELECT DISTINCT mat, mf, mt, 9223372036854775807, zeros || lpad(mat::VARCHAR, 4, ' ') || lpad(mf::VARCHAR, 2, ' ') || lpad('0', 3, ' ') || '99999' FROM c, z
+    UNION ALL SELECT DISTINCT mat, mf, 1048576, 0, zeros || lpad(mat::VARCHAR, 4, ' ') || none FROM c, z
+    UNION ALL SELECT DISTINCT mat, 1048576, 0, 0, zeros || lpad('0', 4, ' ') || none FROM c, z
+    UNION ALL SELECT 1048576, 0, 0, 0, zeros || lpad('-1', 4, ' ') || none FROM z WHERE EXISTS (SELECT 1 FROM c))
+  SELECT row_number() OVER (ORDER BY mat, mf, mt, k, raw) - 1 AS ofs, raw FROM e"""
+
+
+def _whole_file(spark, sf) -> str:
+    """The path of one file of all items: MAT of the order, MF of the line, MT of the quantity."""
+    body = rc.cont_body(_blank(), _blank(), C("l_partkey"), C("l_suppkey"), C("l_orderkey"), L(0))
+    key = {"mat": C("l_orderkey") % 9999 + 1, "mf": C("l_linenumber").cast("bigint"), "mt": C("l_quantity").cast("bigint")}
+    place = F.row_number().over(Window.partitionBy(*key.values()).orderBy("l_orderkey", "l_partkey", "l_suppkey"))
+    items = _t(spark, sf, "lineitem").select(L("items").alias("file_id"), *(v.alias(k) for k, v in key.items()), place.alias("ofs"), F.concat(body, rc.control(*key.values())).alias("raw"))
+    lines = stored(tp.renumbered(items), "items")
+    return write_files(tp.ordered_lines(lines), fresh_path(spark, "files"))[0]
+
+
+@_query(_WHOLE_FILE)
+def q72_file_by_many_tasks(spark, sf):
+    """One file, written and read again by many tasks: every line with its number."""
+    return tp.read_lines(spark, _whole_file(spark, sf)).select("ofs", "raw")
+
+
+@_query(_WHOLE_FILE)
+def q73_file_of_records(spark, sf):
+    """The same, with line numbers from the places of ranges, as all lines have 81 bytes."""
+    return tp.read_lines(spark, _whole_file(spark, sf), record=81).select("ofs", "raw")

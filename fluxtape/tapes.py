@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 import os
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +18,8 @@ from .layout.engine import CONTROL, Options, zero_based
 from .layout.notation import explain
 from .operators import cells as ce
 from .operators import tape as tp
+from .sources.files import write_files
+from .sources.stored import stored
 
 KEYS = ["file_id", "mat", "mf", "mt"]
 
@@ -53,9 +54,8 @@ class Tapes:
 
     def lines(self, paths: str | list[str]) -> DataFrame:
         """``file_id, ofs, raw, mat, mf, mt`` of files; each file_id is a path."""
-        whole = self.spark.read.text(paths, wholetext=True)
-        named = whole.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("file_id"), "value")
-        return tp.with_control(tp.split_text(named, "file_id", "value"))
+        lines = tp.read_lines(self.spark, paths)
+        return tp.with_control(lines.withColumn("file_id", F.regexp_replace("file_id", "^file:(//)?", "")))
 
     def text(self, text: str | list[str], name: str = "text") -> DataFrame:
         """The same for one text or its lines."""
@@ -134,13 +134,11 @@ class Tapes:
         return tp.file_texts(self.write(parsed), self.zero_as_blank, self.include_linenum)
 
     def save(self, parsed: DataFrame, path: str, overwrite: bool = False) -> None:
-        """Write the only file of ``parsed`` to a local path; an existing file is an error unless told otherwise."""
+        """Write the only file of ``parsed`` to a path, by as many tasks as it takes; an existing file is an error unless told otherwise."""
         if os.path.exists(path) and not overwrite:
             raise FileExistsError(path)
-        text = self.texts(parsed).first().text
-        part = Path(f"{path}.part")
-        part.write_text(text, encoding="utf-8", newline="")
-        part.replace(path)
+        lines = stored(self.write(parsed), "lines")
+        write_files(tp.ordered_lines(lines, self.zero_as_blank, self.include_linenum), path, overwrite=overwrite, single=True)
 
     # -- queries
 
