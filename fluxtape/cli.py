@@ -65,7 +65,7 @@ def _only(path: str) -> list | None:
 
 def compare(args) -> int:
     tapes = _tapes(args)
-    one, two = (tapes.cells(tapes.parse(tapes.lines(f))).withColumn("file_id", F.lit("f")) for f in args.files)
+    one, two = (tapes.cells(tapes.parse(tapes.lines(f))).withColumn("file_id", F.concat(F.lit("f"), F.regexp_extract("file_id", "(#[0-9]+)$", 1))) for f in args.files)
     rows = ce.in_order(ce.compare(one, two, args.rtol, args.atol)).collect()
     for r in rows:
         print(f"at path /{'/'.join(r.path)}: {r.code}")

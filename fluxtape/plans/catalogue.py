@@ -22,6 +22,7 @@ from ..operators import records as rc
 from ..operators import tape as tp
 from ..sources.files import write_files
 from ..sources.stored import fresh_path, stored
+from ..tapes import KEYS, Tapes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -790,3 +791,15 @@ def q72_file_by_many_tasks(spark, sf):
 def q73_file_of_records(spark, sf):
     """The same, with line numbers from the places of ranges, as all lines have 81 bytes."""
     return tp.read_lines(spark, _whole_file(spark, sf), record=81).select("ofs", "raw")
+
+
+@_query("""WITH t AS (SELECT DISTINCT CAST(floor(l_orderkey / 9999) AS BIGINT) AS block, l_orderkey FROM lineitem)
+  SELECT CASE WHEN count(*) OVER (PARTITION BY block) > 1 THEN block || '#' || (l_orderkey % 9999 + 1) ELSE block::VARCHAR END AS file_id, l_orderkey::DOUBLE AS za FROM t""")
+def q74_materials_apart(spark, sf):
+    """Files of many materials, each with a section of the same MF and MT: no value takes another's place."""
+    sections = _tables(spark, sf).withColumns({"file_id": F.floor(C("file_id") / 9999).cast("string"), "mt": L(1)})
+    ctrl = rc.control(C("mat"), C("mf"), C("mt"))
+    sections = sections.withColumn("lines", F.transform("lines", lambda x: F.concat(F.substring(x, 1, 66), ctrl)))
+    tapes = Tapes(spark, dialect="endf6")
+    cells = tapes.cells(lane.parsed(sections, KEYS, tapes.dialect, tapes.options))
+    return ce.get(cells, "/3/1/ZA").select("file_id", C("f").alias("za"))

@@ -88,18 +88,36 @@ class Tapes:
             rest = every.join(wanted, KEYS, "left_anti")
             none = {c: F.lit(None).cast(t) for c, t in (("code", "string"), ("message", "string"), ("at", "int"), ("document", "string"))}
             done = done.unionByName(rest.withColumn("status", F.lit("verbatim")).withColumns(none))
-        if not nofail and (bad := done.where("status = 'failed'").orderBy(*KEYS).first()):
+        if nofail:
+            return done
+        done = stored(done, "parsed")  # the check below and every use after it read what was parsed once
+        if bad := done.where("status = 'failed'").orderBy(*KEYS).first():
             raise TapeError(f"{bad.file_id}, MF {bad.mf}, MT {bad.mt}: {bad.code}: {bad.message}")
         return done
 
     def cells(self, parsed: DataFrame) -> DataFrame:
-        """``file_id, path, i, f, s, src``: paths begin with MF and MT."""
-        return lane.document_cells(parsed, KEYS).drop("mat", "mf", "mt")
+        """``file_id, path, i, f, s, src``: paths begin with MF and MT.
 
-    def document(self, path: str, include=None, exclude=None, nofail: bool = False) -> dict:
-        """One file as nested dictionaries, MF, MT and variables; sections that were not parsed are lists of lines."""
+        In a file of several materials each is told apart as ``file_id#MAT``; the head of such a file keeps its file_id.
+        """
+        several = parsed.where("mf > 0").groupBy("file_id").agg(F.count_distinct("mat").alias("_mats")).where("_mats > 1")
+        made = lane.document_cells(parsed, KEYS).join(several, "file_id", "left")
+        name = F.when(F.col("_mats").isNotNull() & (F.col("mf") > 0), F.concat_ws("#", F.col("file_id").cast("string"), F.col("mat").cast("string"))).otherwise(F.col("file_id"))
+        return made.withColumn("file_id", name).drop("mat", "mf", "mt", "_mats")
+
+    def document(self, path: str, include=None, exclude=None, nofail: bool = False, mat: int | None = None) -> dict:
+        """One file as nested dictionaries, MF, MT and variables; sections that were not parsed are lists of lines.
+
+        Of a file of several materials ``mat`` chooses one; without it there is a :class:`TapeError`.
+        """
         out: dict = {}
-        for row in self.parse(self.lines(path), include, exclude, nofail).collect():  # one file
+        rows = self.parse(self.lines(path), include, exclude, nofail).collect()  # one file
+        mats = {r.mat for r in rows if r.mf}
+        if mat is None and len(mats) > 1:
+            raise TapeError(f"{path} holds the materials {', '.join(map(str, sorted(mats)))}: one must be chosen")
+        for row in rows:
+            if mat is not None and row.mf and row.mat != mat:
+                continue
             made = list(row.lines) if row.document is None else lane.decoded(json.loads(row.document))
             out.setdefault(row.mf, {})[row.mt] = zero_based(made) if self.array_type == "list" and isinstance(made, dict) else made
         return {mf: dict(sorted(out[mf].items())) for mf in sorted(out)}

@@ -185,3 +185,22 @@ def test_views(spark):
     assert sorted((tuple(r.path), r.f, r.s) for r in changed.cells.collect()) == [(("a", "1", "x"), 5.0, None), (("b",), None, "u")]
     assert [r.equal for r in ce.equal_files(cells, cells).collect()] == [True] and [r.equal for r in ce.equal_files(cells, changed.cells).collect()] == [False]
     assert ce.get_many(cells, spark.createDataFrame([(["b"],), (["a", "1", "x"],)], "path array<string>")).count() == 2
+
+
+def test_materials_of_one_file_are_told_apart(spark, tmp_path):
+    from fluxtape.tapes import TapeError
+
+    tapes, paths = Tapes(spark, dialect="endf6"), []
+    parsed = None
+    for mat in (9, 8):
+        document = {3: {1: {"MAT": mat, "MF": 3, "MT": 1, "ZA": 1000.0 + mat, "AWR": 1.0, "QM": 0.0, "QI": 0.0, "LR": 0, "xstable": {"NBT": [2], "INT": [2], "E": [1.0, 2.0], "xs": [3.0, 4.0]}}}}
+        made = tapes.table({**({0: {0: ["a tape".ljust(66) + "   1 0  0    0"]}} if mat == 9 else {}), **document}, "two")
+        parsed = made if parsed is None else parsed.unionByName(made)
+    tapes.save(parsed, str(tmp_path / "two"))
+    again = tapes.parse(tapes.lines(str(tmp_path / "two")))
+    got = ce.get(tapes.cells(again), "/3/1/ZA").collect()
+    assert sorted((r.file_id.rpartition("#")[2], r.f) for r in got) == [("8", 1008.0), ("9", 1009.0)]
+    assert len({(r.file_id, tuple(r.path)) for r in tapes.cells(again).collect()}) == tapes.cells(again).count()
+    with pytest.raises(TapeError, match="8, 9"):
+        tapes.document(str(tmp_path / "two"))
+    assert tapes.document(str(tmp_path / "two"), mat=8)[3][1]["ZA"] == 1008.0
