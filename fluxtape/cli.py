@@ -192,7 +192,7 @@ def match(args) -> int:
     parsed = tapes.parse(tapes.lines(files), nofail=True)
     broken = {r.file_id for r in parsed.where("status = 'failed'").select("file_id").distinct().collect()}
     cells = tapes.cells(parsed)
-    hits = {r.file_id for r in ce.match(cells, args.query).where("matched").collect()} - broken
+    hits = {r.file_id for r in ce.matched(cells, args.query).collect()} - broken
     tree = ce.parse_match(args.query)
     shown = {}
     if tree.kind in ce.MIRROR and sum(isinstance(x, float) for x in tree.args) == 1:

@@ -223,15 +223,22 @@ def match(cells: DataFrame, query: str) -> DataFrame:
 
     An expression is true for a file if one way of binding its wildcards is, so all
     that is carried up the expression is whether a true and whether a false binding
-    exists.  A path without a wildcard always has one binding, false where the cell
-    is missing or not a number; a wildcard that meets nothing has none.  All
-    relations are aggregates of one grouping; only a prefix groups once more.
+    exists.  A path without a wildcard always has one binding.  A wildcard has one for each node that it meets,
+    a value or not, and none where it meets nothing; what follows the last one may be missing there.
+    A binding is false where its cell is missing or no number.  All
+    relations are aggregates of one grouping; only a prefix, and the false bindings of a wildcard before a path's
+    end, group once more.
     """
-    tree = parse_match(query)
-    return _evaluate(cells, tree, ["file_id"], 0).select("file_id", F.col("ct").alias("matched"), F.col("cf").alias("unmatched"))
+    return _evaluate(cells, parse_match(query), ["file_id"], 0, "tf").select("file_id", F.col("ct").alias("matched"), F.col("cf").alias("unmatched"))
 
 
-def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int) -> DataFrame:
+def matched(cells: DataFrame, query: str) -> DataFrame:
+    """``file_id`` of each file that an expression is true for; false bindings are only looked for where it takes them."""
+    return _evaluate(cells, parse_match(query), ["file_id"], 0, "t").where("ct").select("file_id")
+
+
+def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int, need: str) -> DataFrame:
+    """``keys, ct, cf``: whether a true and a false binding exist; ``need`` names those that are asked for, the other is false."""
     aggregates: dict[str, Column] = {}
     joined: list[tuple[str, DataFrame]] = []
 
@@ -246,21 +253,40 @@ def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int) -> Data
     def truth(name: str) -> Column:
         return F.coalesce(F.col(name), F.lit(False))
 
-    def one(steps: list[str], test: Column) -> tuple[Column, Column]:
+    part = F.slice("path", F.lit(depth + 1), F.greatest(F.size("path") - depth, F.lit(0)))
+
+    def missing(steps: list[str], subtree: bool = False) -> Column:
+        """Whether a binding of a path lacks its number, or with ``subtree`` anything at or below it."""
+        if "*" not in steps:
+            return ~truth(leaf(F.bool_or(below(part, steps) if subtree else matches(part, steps) & F.col("f").isNotNull())))
+        nodes = len(steps) - steps[::-1].index("*")
+        if nodes == len(steps):
+            return F.lit(False) if subtree else truth(leaf(F.bool_or(below(part, steps) & ((F.size(part) > nodes) | F.col("f").isNull()))))
+        rest, name = F.slice(part, F.lit(nodes + 1), F.greatest(F.size(part) - nodes, F.lit(0))), f"m{depth}_{len(joined)}"
+        there = below(rest, steps[nodes:]) if subtree else matches(rest, steps[nodes:]) & F.col("f").isNotNull()
+        under = cells.where(below(part, steps[:nodes])).groupBy(*keys, F.slice(part, 1, nodes).alias(name)).agg(F.bool_or(there).alias("there"))
+        joined.append((name, under.groupBy(*keys).agg(F.bool_or(~F.col("there")).alias(name))))
+        return truth(name)
+
+    def met(steps: list[str]) -> Column:
+        """Whether a path has a binding."""
+        return truth(leaf(F.bool_or(below(part, steps[: len(steps) - steps[::-1].index("*")])))) if "*" in steps else F.lit(True)
+
+    def one(steps: list[str], test: Column, need: str) -> tuple[Column, Column]:
         hit = bindings(steps)
-        yes, no = leaf(F.bool_or(hit & F.coalesce(test, F.lit(False)))), leaf(F.bool_or(hit & ~F.coalesce(test, F.lit(False))))
-        if "*" in steps:
-            return truth(yes), truth(no)
-        return truth(yes), truth(no) | ~truth(leaf(F.bool_or(hit)))
+        yes = truth(leaf(F.bool_or(hit & F.coalesce(test, F.lit(False))))) if "t" in need else F.lit(False)
+        if "f" not in need:
+            return yes, F.lit(False)
+        return yes, truth(leaf(F.bool_or(hit & ~F.coalesce(test, F.lit(False))))) | missing(steps)
 
-    def relation(sign: str, a, b) -> tuple[Column, Column]:
+    def relation(sign: str, a, b, need: str) -> tuple[Column, Column]:
         signs = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y, "==": lambda x, y: x == y, "!=": lambda x, y: x != y}
         if isinstance(a, float) and isinstance(b, float):
             return F.lit(signs[sign](a, b)), F.lit(not signs[sign](a, b))
         if isinstance(a, float):
-            return relation(MIRROR[sign], b, a)
+            return relation(MIRROR[sign], b, a, need)
         if isinstance(b, float):
-            return one(a, signs[sign](F.col("f"), F.lit(b)))
+            return one(a, signs[sign](F.col("f"), F.lit(b)), need)
         x, y = (F.when(bindings(p), F.col("f")) for p in (a, b))
         lo_x, hi_x, lo_y, hi_y = (F.col(leaf(v)) for v in (F.min(x), F.max(x), F.min(y), F.max(y)))
         if sign in "<=" and sign != "==":
@@ -271,40 +297,38 @@ def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int) -> Data
             xs, ys = F.col(leaf(F.collect_set(x))), F.col(leaf(F.collect_set(y)))
             same, other = F.arrays_overlap(xs, ys), (F.size(xs) > 0) & (F.size(ys) > 0) & (F.size(F.array_union(xs, ys)) > 1)
             yes, no = (same, other) if sign == "==" else (other, same)
-        missing = F.lit(False)
-        for path, low in ((a, lo_x), (b, lo_y)):
-            if "*" not in path:
-                missing = missing | low.isNull()
-        return F.coalesce(yes, F.lit(False)), F.coalesce(no, F.lit(False)) | missing
+        yes, no = F.coalesce(yes, F.lit(False)), F.coalesce(no, F.lit(False))
+        if "f" in need:
+            no = no | (missing(a) & met(b)) | (missing(b) & met(a))
+        return yes, no
 
-    def walk(node: Node) -> tuple[Column, Column]:
+    def walk(node: Node, need: str) -> tuple[Column, Column]:
         if node.kind in ("and", "or"):
-            (ta, fa), (tb, fb) = walk(node.args[0]), walk(node.args[1])
+            both = need if node.kind == "and" and need == "t" or node.kind == "or" and need == "f" else "tf"
+            (ta, fa), (tb, fb) = walk(node.args[0], both), walk(node.args[1], both)
             na, nb = ta | fa, tb | fb
             if node.kind == "and":
                 return ta & tb, (fa & nb) | (fb & na)
             return (ta & nb) | (tb & na), fa & fb
         if node.kind == "not":
-            t, f = walk(node.args[0])
+            t, f = walk(node.args[0], need.translate(str.maketrans("tf", "ft")))
             return f, t
         if node.kind == "exists":
             steps = node.args[0]
-            hit = below(F.slice("path", F.lit(depth + 1), F.greatest(F.size("path") - depth, F.lit(0))), steps)
-            found = truth(leaf(F.bool_or(hit)))
-            return found, F.lit(False) if "*" in node.args[0] else ~found
+            return truth(leaf(F.bool_or(below(part, steps)))), missing(steps, subtree=True) if "f" in need else F.lit(False)
         if node.kind == "in":
             steps, inner = node.args
-            part = F.slice("path", F.lit(depth + 1), F.greatest(F.size("path") - depth, F.lit(0)))
             scope = f"scope{depth}_{len(joined)}"
             under = cells.where(below(part, steps)).withColumn(scope, F.slice("path", depth + 1, len(steps)))
-            each = _evaluate(under, inner, [*keys, scope], depth + len(steps))
+            each = _evaluate(under, inner, [*keys, scope], depth + len(steps), need)
             name = f"p{depth}_{len(joined)}"
             joined.append((name, each.groupBy(*keys).agg(F.bool_or("ct").alias(f"{name}t"), F.bool_or("cf").alias(f"{name}f"))))
-            missing = F.lit(False) if "*" in steps else F.col(f"{name}t").isNull()
-            return truth(f"{name}t"), truth(f"{name}f") | missing
-        return relation(node.kind, *node.args)
+            rest = steps[len(steps) - steps[::-1].index("*") :] if "*" in steps else steps
+            none = missing(steps, subtree=True) if "f" in need and rest else F.lit(False)
+            return truth(f"{name}t"), truth(f"{name}f") | none
+        return relation(node.kind, *node.args, need)
 
-    ct, cf = walk(tree)
+    ct, cf = walk(tree, need)
     out = cells.groupBy(*keys).agg(*([v.alias(n) for n, v in aggregates.items()] or [F.count("*").alias("a0")]))
     for _, frame in joined:
         out = out.join(frame, keys, "left")

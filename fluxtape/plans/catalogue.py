@@ -412,7 +412,7 @@ def q35_show_children(spark, sf):
 
 
 def _matched(cells: DataFrame, query: str) -> DataFrame:
-    return ce.match(cells, query).where("matched").select("file_id")
+    return ce.matched(cells, query)
 
 
 @_query("SELECT l_orderkey AS file_id FROM lineitem GROUP BY 1 HAVING count(*) >= 5")
@@ -803,3 +803,23 @@ def q74_materials_apart(spark, sf):
     tapes = Tapes(spark, dialect="endf6")
     cells = tapes.cells(lane.parsed(sections, KEYS, tapes.dialect, tapes.options))
     return ce.get(cells, "/3/1/ZA").select("file_id", C("f").alias("za"))
+
+
+@_query("""WITH i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) AS i, l_quantity AS q, l_extendedprice AS p FROM lineitem)
+  SELECT l_orderkey AS file_id FROM i GROUP BY 1 HAVING bool_or(NOT coalesce(CASE WHEN i % 3 <> 0 THEN p END > 2000, false))""")
+def q75_match_missing_tail(spark, sf):
+    """A wildcard before a tail that every third item lacks: a negation is true where the tail is missing."""
+    third = ce.matches(C("path"), ["item", "*", "p"]) & (F.get("path", L(1)).cast("int") % 3 == 0)
+    return _matched(_items(spark, sf).where(~F.coalesce(third, L(False))), "! /item/*/p > 2000")
+
+
+@_query("""SELECT l_orderkey AS file_id, max(l_quantity) > 10 AS matched, min(l_quantity) <= 10 AS unmatched FROM lineitem GROUP BY 1""")
+def q76_match_bindings(spark, sf):
+    """Whether a true and whether a false binding exists: of each item's quantity, as any order has items."""
+    return ce.match(_items(spark, sf), "/item/*/q > 10").select("file_id", "matched", "unmatched")
+
+
+@_query("SELECT DISTINCT l_orderkey AS file_id FROM lineitem")
+def q77_match_nodes_that_are_no_values(spark, sf):
+    """A wildcard that meets subsections has a false binding for each, so a negated relation to them holds."""
+    return _matched(_items(spark, sf), "! /item/* > 0 & ! exists(/item/*/none) & ! /N == /item/*/none")
