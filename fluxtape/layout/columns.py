@@ -143,8 +143,16 @@ class _Compiler:
     #: columns that the expressions refer to: lines, their number, their fields as numbers and as whole numbers
     lines, count, numbers, whole = Text("lines"), Text("_n"), Text("_f"), Text("_i")
 
-    def __init__(self, options: Options):
-        self.options = options
+    def __init__(self, options: Options, wanted: tuple[tuple[str, ...], ...] | None = None):
+        self.options, self.wanted = options, wanted
+
+    def asked(self, path: list[Text]) -> bool:
+        """Whether a cell may be at or below a wanted path; an index, which only a row knows, may be any."""
+
+        def may(step: str, at: Text) -> bool:
+            return step == "*" or not at.sql.startswith("'") or at.sql == q.lit(step).sql
+
+        return self.wanted is None or any(len(path) >= len(steps) and all(map(may, steps, path)) for steps in self.wanted)
 
     # -- expressions
 
@@ -261,7 +269,9 @@ class _Compiler:
 
     def store(self, st: State, name: str, at: tuple[ast.expr, ...], value: Value, found: list[Text]) -> None:
         st.scope.values[name, tuple(map(ast.unparse, at))] = value
-        found.append(value.cell([*st.scope.path, q.lit(name), *self.steps(st, at)]))
+        path = [*st.scope.path, q.lit(name), *self.steps(st, at)]
+        if self.asked(path):
+            found.append(value.cell(path))
 
     def steps(self, st: State, at: tuple[ast.expr, ...]) -> list[Text]:
         out = []
@@ -331,7 +341,8 @@ class _Compiler:
             bad = (lambda x: x.equals(Text("_no"))) if source is self.whole else (lambda x: x.is_null())
             st.fail((self.count < start + _line_count(2 * n), "missing_line"), (q.exists(values, bad), "bad_number"))
             for k, name in enumerate(two):
-                st.out.append(self._listed([*path, q.lit(name)], _every_other(values, k), source is self.whole))
+                if self.asked([*path, q.lit(name), Text("k")]):
+                    st.out.append(self._listed([*path, q.lit(name)], _every_other(values, k), source is self.whole))
             size = size + _line_count(2 * n)
         st.step(size)
 
@@ -444,7 +455,8 @@ class _Compiler:
         if endless is not None:
             st.fail((endless, "missing_line"))
         ran = q.call("size", places) > 0
-        own = [v.cell([*st.scope.path, q.lit(n), *self.steps(probe, tuple(tree_of(x) for x in at))]) for (n, at), v in once.items()]
+        paths = {key: [*st.scope.path, q.lit(key[0]), *self.steps(probe, tuple(tree_of(x) for x in key[1]))] for key in once}
+        own = [once[key].cell(path) for key, path in paths.items() if self.asked(path)]
         if own:
             st.out.append(q.when((ran, q.call("array", *own)), otherwise=NONE))
         st.scope.values |= once
@@ -562,9 +574,9 @@ def _ahead(body: list[Line], records: int) -> list[Line]:
 
 
 @lru_cache(maxsize=256)
-def _compiled_for(layout: str, options: tuple) -> Text:
+def _compiled_for(layout: str, options: tuple, wanted: tuple | None) -> Text:
     """Cells and defects, in the layout's order, as an expression of ``lines`` and ``_numbers``."""
-    maker = _Compiler(Options(**dict(options)))
+    maker = _Compiler(Options(**dict(options)), wanted)
     if maker.options.preserve_value_strings:
         raise NotExpressible("fields are not kept")
     state = State(q.lit(0), 0, Scope([]))
@@ -576,8 +588,8 @@ def _compiled_for(layout: str, options: tuple) -> Text:
     return made
 
 
-def _compiled(layout: str, options: Options | None) -> Text:
-    return _compiled_for(layout, tuple(vars(options or Options()).items()))
+def _compiled(layout: str, options: Options | None, wanted: list[list[str]] | None = None) -> Text:
+    return _compiled_for(layout, tuple(vars(options or Options()).items()), None if wanted is None else tuple(map(tuple, wanted)))
 
 
 def is_expressible(layout: str, options: Options | None = None) -> bool:
@@ -589,9 +601,9 @@ def is_expressible(layout: str, options: Options | None = None) -> bool:
     return True
 
 
-def _read(sections: DataFrame, keys: list[str], layout: str, options: Options | None, control: bool = False) -> DataFrame:
+def _read(sections: DataFrame, keys: list[str], layout: str, options: Options | None, control: bool = False, wanted: list[list[str]] | None = None) -> DataFrame:
     """``keys, _out, code``: cells and defects, and the code of the first defect."""
-    made = _compiled(layout, options)
+    made = _compiled(layout, options, wanted)
     if control:  # the control fields are part of the document, and each line must have them
         names = ("mat", "mf", "mt")
         own = [Value(Text(c).cast("double"), Text(c).cast("bigint")).cell([q.lit(n)]) for n, c in zip(CONTROL, names)]
@@ -606,14 +618,16 @@ def _read(sections: DataFrame, keys: list[str], layout: str, options: Options |
     return rows.select(*keys, "_out", F.get(F.filter("_out", lambda c: c["path"].isNull()), F.lit(0))["s"].alias("code"))
 
 
-def cells(sections: DataFrame, keys: list[str], layout: str | None = None, options: Options | None = None, dialect: str = "", mf: int = 0, mt: int = 0) -> DataFrame:
+def cells(sections: DataFrame, keys: list[str], layout: str | None = None, options: Options | None = None, dialect: str = "", mf: int = 0, mt: int = 0, wanted: list[list[str]] | None = None) -> DataFrame:
     """``keys, path, i, f, s`` of sections ``(keys, lines)`` that fit the layout, as :func:`fluxtape.layout.lane.cells` gives them.
 
     Without a layout the sections are those of one MF and MT of a dialect; with columns ``mat``, ``mf`` and ``mt`` their control fields are cells.
+    With ``wanted`` paths only cells at or below them are made, such as :func:`fluxtape.operators.cells.paths_of`
+    gives for a query; sections are checked as a whole all the same.
     """
     if layout is None and (layout := catalogue.find(dialect, mf, mt)) is None:
         raise ValueError(f"no layout of MF {mf}, MT {mt}")
-    done = _read(sections, keys, layout, options, control={"mat", "mf", "mt"} <= set(sections.columns))
+    done = _read(sections, keys, layout, options, control={"mat", "mf", "mt"} <= set(sections.columns), wanted=wanted)
     kept = F.when(F.col("code").isNull(), F.col("_out"))
     # an outer one, because Spark looks for empty arrays before the others, and would make them twice
     return done.select(*keys, F.inline_outer(kept)).where("path IS NOT NULL")

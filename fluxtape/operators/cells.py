@@ -232,6 +232,39 @@ def match(cells: DataFrame, query: str) -> DataFrame:
     return _evaluate(cells, parse_match(query), ["file_id"], 0, "tf").select("file_id", F.col("ct").alias("matched"), F.col("cf").alias("unmatched"))
 
 
+def paths_of(query: str, unmatched: bool = False) -> list[list[str]]:
+    """The paths at or below which an expression looks: of :func:`matched`, or with ``unmatched`` of :func:`match`.
+
+    Where a false binding counts, a wildcard meets every node, so all below the last one is looked at.  A file that
+    has none of them is known by other cells, if an expression may be true of what is missing.
+    """
+    found: list[list[str]] = []
+
+    def look(path: list[str], need: str) -> None:
+        whole = "f" not in need or "*" not in path
+        found.append(path if whole else path[: len(path) - path[::-1].index("*")])
+
+    def walk(node: Node, before: list[str], need: str) -> None:
+        if node.kind in ("and", "or"):
+            both = need if node.kind == "and" and need == "t" or node.kind == "or" and need == "f" else "tf"
+            for x in node.args:
+                walk(x, before, both)
+        elif node.kind == "not":
+            walk(node.args[0], before, need.translate(str.maketrans("tf", "ft")))
+        elif node.kind == "exists":
+            look(before + node.args[0], need)
+        elif node.kind == "in":
+            # an inner expression may be true of what is missing, so its scope must be known to be there
+            look(before + node.args[0], "tf")
+            walk(node.args[1], before + node.args[0], need)
+        else:
+            for path in (a for a in node.args if isinstance(a, list)):
+                look(before + path, need)
+
+    walk(parse_match(query), [], "tf" if unmatched else "t")
+    return [p for k, p in enumerate(found) if p not in found[:k]]
+
+
 def matched(cells: DataFrame, query: str) -> DataFrame:
     """``file_id`` of each file that an expression is true for; false bindings are only looked for where it takes them."""
     return _evaluate(cells, parse_match(query), ["file_id"], 0, "t").where("ct").select("file_id")

@@ -401,9 +401,9 @@ def q34_locate(spark, sf):
     return ce.locate(table, "text").select("file_id", F.array_join("path", "/").alias("path"))
 
 
-def _items(spark, sf) -> DataFrame:
-    """Cells of the LIST sections by their layout: item/<i>/q and item/<i>/p."""
-    return columns.cells(_list_sections(spark, sf), ["file_id"], ITEMS)
+def _items(spark, sf, wanted=None) -> DataFrame:
+    """Cells of the LIST sections by their layout: item/<i>/q and item/<i>/p; those that are wanted, if that is told."""
+    return columns.cells(_list_sections(spark, sf), ["file_id"], ITEMS, wanted=wanted)
 
 
 @_query("SELECT l_orderkey AS file_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber)::VARCHAR AS step, 2::BIGINT AS n_cells, false AS is_value FROM lineitem")
@@ -415,30 +415,35 @@ def _matched(cells: DataFrame, query: str) -> DataFrame:
     return ce.matched(cells, query)
 
 
+def _items_matched(spark, sf, query: str) -> DataFrame:
+    """Orders whose items match; only cells that the query looks at are made."""
+    return _matched(_items(spark, sf, ce.paths_of(query)), query)
+
+
 @_query("SELECT l_orderkey AS file_id FROM lineitem GROUP BY 1 HAVING count(*) >= 5")
 def q36_match_relation(spark, sf):
-    return _matched(_items(spark, sf), "/N >= 5")
+    return _items_matched(spark, sf, "/N >= 5")
 
 
 @_query("SELECT DISTINCT l_orderkey AS file_id FROM lineitem WHERE l_extendedprice > 60000")
 def q37_match_wildcard(spark, sf):
-    return _matched(_items(spark, sf), "/item/*/p > 60000")
+    return _items_matched(spark, sf, "/item/*/p > 60000")
 
 
 @_query("""SELECT l_orderkey AS file_id FROM lineitem GROUP BY 1
   HAVING (bool_or(l_quantity < 5) AND count(*) > 2) OR bool_or(NOT l_extendedprice > 5000)""")
 def q38_match_and_or_not(spark, sf):
-    return _matched(_items(spark, sf), "(/item/*/q < 5 & /N > 2) | ! /item/*/p > 5000")
+    return _items_matched(spark, sf, "(/item/*/q < 5 & /N > 2) | ! /item/*/p > 5000")
 
 
 @_query("SELECT DISTINCT l_orderkey AS file_id FROM lineitem WHERE l_quantity < 10 AND l_extendedprice > 15000")
 def q39_match_prefix(spark, sf):
-    return _matched(_items(spark, sf), "/item/*(/q < 10 & /p > 15000)")
+    return _items_matched(spark, sf, "/item/*(/q < 10 & /p > 15000)")
 
 
 @_query("SELECT l_orderkey AS file_id FROM lineitem GROUP BY 1 HAVING max(l_quantity) > 7 * min(l_quantity) / 7 AND count(DISTINCT l_quantity) > 1")
 def q40_match_path_vs_path(spark, sf):
-    return _matched(_items(spark, sf), "/item/*/q > /item/*/q")
+    return _items_matched(spark, sf, "/item/*/q > /item/*/q")
 
 
 # -- differences and edits
@@ -619,7 +624,7 @@ def q58_nested_index(spark, sf):
 
 @_query("SELECT l_orderkey AS file_id, max(l_extendedprice) AS top FROM lineitem GROUP BY 1")
 def q59_layout_sections(spark, sf):
-    return ce.get(_items(spark, sf), "/item/*/p").groupBy("file_id").agg(F.max("f").alias("top"))
+    return ce.get(_items(spark, sf, [["item", "*", "p"]]), "/item/*/p").groupBy("file_id").agg(F.max("f").alias("top"))
 
 
 @_query("SELECT l_orderkey AS file_id, count(*) AS n, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
@@ -738,14 +743,15 @@ def q68_diff_kinds(spark, sf):
 @_query("SELECT l_orderkey AS file_id FROM lineitem GROUP BY 1 HAVING count(*) >= 3")
 def q69_match_exists_subtree(spark, sf):
     """A path to a subsection exists although it is no value itself."""
-    return _matched(_items(spark, sf), "exists(/item/3) & !exists(/item/0)")
+    return _items_matched(spark, sf, "exists(/item/3) & !exists(/item/0)")
 
 
 @_query("""SELECT file_id, 'item/' || i || '/p' AS path, p AS f FROM (SELECT l_orderkey AS file_id, l_extendedprice AS p,
   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) AS i FROM lineitem) WHERE p > 60000 QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY i) = 1""")
 def q70_match_first_binding(spark, sf):
     """The first cell of each file that makes a relation true."""
-    return ce.first_binding(_items(spark, sf), "/item/*/p > 60000").select("file_id", F.array_join("path", "/").alias("path"), "f")
+    query = "/item/*/p > 60000"
+    return ce.first_binding(_items(spark, sf, ce.paths_of(query)), query).select("file_id", F.array_join("path", "/").alias("path"), "f")
 
 
 @_query("""SELECT l_orderkey AS file_id, l_orderkey::DOUBLE AS za, count(*) AS np, round(sum(l_extendedprice), 2) AS total, NULL::VARCHAR AS code FROM lineitem GROUP BY l_orderkey""")
@@ -822,4 +828,4 @@ def q76_match_bindings(spark, sf):
 @_query("SELECT DISTINCT l_orderkey AS file_id FROM lineitem")
 def q77_match_nodes_that_are_no_values(spark, sf):
     """A wildcard that meets subsections has a false binding for each, so a negated relation to them holds."""
-    return _matched(_items(spark, sf), "! /item/* > 0 & ! exists(/item/*/none) & ! /N == /item/*/none")
+    return _items_matched(spark, sf, "! /item/* > 0 & ! exists(/item/*/none) & ! /N == /item/*/none")

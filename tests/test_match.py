@@ -4,6 +4,8 @@ import itertools
 import operator
 import random
 
+from pyspark.sql import functions as F
+
 from fluxtape.layout.engine import cells_of
 from fluxtape.operators import cells as ce
 
@@ -56,7 +58,7 @@ def made(rng, depth=0):
 
 
 def path(rng):
-    return "/" + "/".join(rng.choices(["a", "b", "1", "2", "*"], k=rng.randint(1, 3)))
+    return "/" + "/".join(rng.choices(["a", "b", "1", "2"], k=1) + rng.choices(["a", "b", "1", "2", "*"], k=rng.randint(0, 2)))
 
 
 def expression(rng, depth=0):
@@ -77,10 +79,17 @@ def test_every_binding(spark):
     documents = [made(rng) for _ in range(60)]
     rows = [(i, list(p), f, s) for i, d in enumerate(documents) for p, _, f, s, _ in cells_of(d)]
     cells = spark.createDataFrame(rows, "file_id int, path array<string>, f double, s string").cache()
-    fixed = ["! /a/*/1 > 1", "/a/* > 1", "! /a/* > 1", "!exists(/*/b)", "/*/*(! /a > 1)", "! /a == /*/b", "! /a/*(/b > 1)", "/*/1(/2 > 1) | !/b > 2"]
+    every = cells.select("file_id", F.array(F.lit("other")).alias("path"), F.lit(0.0).alias("f"), F.lit(None).cast("string").alias("s")).distinct()
+    fixed = ["! /a/*/1 > 1", "/a/* > 1", "! /a/* > 1", "!exists(/a/*/b)", "/a/*(! /a > 1)", "! /a == /b/*/b", "! /a/*(/b > 1)", "/a/*/1(/2 > 1) | !/b > 2"]
     for text in [*fixed, *(expression(rng) for _ in range(22))]:
         tree = ce.parse_match(text)
         want = {i: {bool(x) for x in truths(tree, d)} for i, d in enumerate(documents)}
         got = {r.file_id: {x for x, there in ((True, r.matched), (False, r.unmatched)) if there} for r in ce.match(cells, text).collect()}
         assert got == want, text
-        assert {r.file_id for r in ce.matched(cells, text).collect()} == {i for i, t in want.items() if True in t}, text
+        true = {i for i, t in want.items() if True in t}
+        assert {r.file_id for r in ce.matched(cells, text).collect()} == true, text
+        # cells that the expression doesn't look at may be left out; a file that keeps none is known by its other cells
+        asked = F.lit(False)
+        for steps in ce.paths_of(text):
+            asked = asked | ce.below(F.col("path"), steps)
+        assert {r.file_id for r in ce.matched(cells.where(asked).union(every), text).collect()} == true, text
