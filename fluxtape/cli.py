@@ -192,18 +192,20 @@ def match(args) -> int:
     parsed = tapes.parse(tapes.lines(files), nofail=True)
     broken = {r.file_id for r in parsed.where("status = 'failed'").select("file_id").distinct().collect()}
     cells = tapes.cells(parsed)
-    hits = {r.file_id for r in ce.matched(cells, args.query).collect()} - broken
-    tree = ce.parse_match(args.query)
-    shown = {}
-    if tree.kind in ce.MIRROR and sum(isinstance(x, float) for x in tree.args) == 1:
-        shown = {r.file_id: f"  /{'/'.join(r.path)} = {r.f}" for r in ce.first_binding(cells, args.query).collect()}
+    bare = lambda name: name if name in files else name.rpartition("#")[0] or name  # noqa: E731, a material's file
+    hits, shown = {bare(r.file_id) for r in ce.matched(cells, args.query).collect()} - broken, {}
+    try:
+        for r in ce.first_binding(cells, args.query).collect():
+            shown[bare(r.file_id)] = "\n".join(f"  /{'/'.join(b.path)}" + ("" if b.f is None else f" = {b.f}") for b in r.binding)
+    except ValueError:  # relations that have no first binding here are matched all the same
+        pass
     for f in files:
         name = os.path.abspath(f)
         if name in broken:
             print(f"parsing failed: {f}")
         elif name in hits:
             print(f"match: {f}")
-            if name in shown:
+            if shown.get(name):
                 print(shown[name])
     return int(bool(broken))
 

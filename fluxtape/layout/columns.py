@@ -576,6 +576,7 @@ def _ahead(body: list[Line], records: int) -> list[Line]:
 @lru_cache(maxsize=256)
 def _compiled_for(layout: str, options: tuple, wanted: tuple | None) -> Text:
     """Cells and defects, in the layout's order, as an expression of ``lines`` and ``_numbers``."""
+    q.restart()
     maker = _Compiler(Options(**dict(options)), wanted)
     if maker.options.preserve_value_strings:
         raise NotExpressible("fields are not kept")

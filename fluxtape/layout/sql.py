@@ -8,6 +8,12 @@ from itertools import count
 _names = count()
 
 
+def restart() -> None:
+    """Count lambda variables from 0 again, so that an expression's text is always the same."""
+    global _names
+    _names = count()
+
+
 class Text:
     """An expression as SQL."""
 

@@ -421,19 +421,95 @@ def get_many(cells: DataFrame, paths: DataFrame) -> DataFrame:
     return cells.join(paths.select("path").distinct(), "path", "left_semi").select(*cells.columns)
 
 
-def first_binding(cells: DataFrame, relation: str) -> DataFrame:
-    """``file_id, path, f``: of a relation between a path and a number, the first cell that makes it true in each file."""
-    tree = parse_match(relation)
-    if tree.kind not in MIRROR or sum(isinstance(x, float) for x in tree.args) != 1:
-        raise ValueError("a relation of one path and one number is wanted")
-    sign, (a, b) = tree.kind, tree.args
-    if isinstance(a, float):
-        sign, a, b = MIRROR[sign], b, a
-    value = F.col("f")
-    test = {"<": value < b, ">": value > b, "<=": value <= b, ">=": value >= b, "==": value == b, "!=": value != b}[sign]
-    hits = cells.where(matches(F.col("path"), a) & test)
-    place = F.transform("path", lambda s: F.struct(s.try_cast("bigint").alias("k"), s.alias("s")))
-    return hits.groupBy("file_id").agg(F.min_by(F.struct("path", "f"), place).alias("m")).select("file_id", "m.path", "m.f")
+def _place(path: Column) -> Column:
+    """Order of paths: at each step names before numbers, each in its own order."""
+    return F.transform(path, lambda s: F.struct(s.rlike("^[0-9]+$").alias("n"), s.try_cast("bigint").alias("k"), s.alias("s")))
+
+
+def first_binding(cells: DataFrame, query: str) -> DataFrame:
+    """``file_id, path, f, binding`` of the first binding that makes an expression true in each file that it is true for.
+
+    ``binding`` holds the path and number that each path of the expression is bound to, in their order, ``path`` and ``f`` the
+    first of them.  Bindings are tried with the last path turning fastest, each in the order of :func:`in_order`.  Up the expression only
+    the first true and the first false binding of each part are carried, from which those of the whole follow.
+    A relation of two paths may have wildcards in one of them.
+    """
+    done = _first(cells, parse_match(query), ["file_id"], 0).where("t IS NOT NULL")
+    head = F.get("t", F.lit(0))
+    return done.select("file_id", head["path"].alias("path"), head["f"].alias("f"), F.transform("t", lambda b: F.struct(b["path"].alias("path"), b["f"].alias("f"))).alias("binding"))
+
+
+def _first(cells: DataFrame, tree: Node, keys: list[str], depth: int) -> DataFrame:
+    """``keys, t, n``: the first true and the first false binding, each a list of place, path and number, or null."""
+    part = F.slice("path", F.lit(depth + 1), F.greatest(F.size("path") - depth, F.lit(0)))
+    whole = cells.groupBy(*keys).agg(F.count("*").alias("_all"))
+    tests = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y, "==": lambda x, y: x == y, "!=": lambda x, y: x != y}
+
+    def bound(path: Column, f: Column) -> Column:
+        return F.struct(_place(path).alias("k"), path.alias("path"), f.cast("double").alias("f"))
+
+    def nodes(steps: list[str], subtree: bool) -> DataFrame:
+        """``keys, path, f, there``: every binding of a path, its number, and whether anything is at or below it."""
+        cut = len(steps) - steps[::-1].index("*") if "*" in steps else 0
+        rest = F.slice(part, F.lit(cut + 1), F.greatest(F.size(part) - cut, F.lit(0)))
+        value = F.max(F.when(matches(rest, steps[cut:]), F.col("f"))).alias("f")
+        there = F.bool_or(below(rest, steps[cut:]) if subtree else matches(rest, steps[cut:])).alias("there")
+        tail = F.array(*(F.lit(x) for x in steps[cut:])).cast("array<string>")
+        if not cut:
+            return cells.groupBy(*keys).agg(value, there).select(*keys, tail.alias("path"), "f", "there")
+        met = cells.where(below(part, steps[:cut])).groupBy(*keys, F.slice(part, 1, cut).alias("_node")).agg(value, there)
+        return met.select(*keys, F.concat("_node", tail).alias("path"), "f", "there")
+
+    def chosen(rows: DataFrame, true: Column, binding: Column) -> DataFrame:
+        """The first true and the first false of rows that are bindings."""
+        order = F.transform(binding, lambda b: b["k"])
+        marked = rows.select(*keys, F.coalesce(true, F.lit(False)).alias("_true"), binding.alias("_b"), order.alias("_o"))
+        pick = lambda cond, name: F.min_by(F.when(cond, F.col("_b")), F.when(cond, F.col("_o"))).alias(name)
+        return marked.groupBy(*keys).agg(pick(F.col("_true"), "t"), pick(~F.col("_true"), "n"))
+
+    if tree.kind == "not":
+        return _first(cells, tree.args[0], keys, depth).select(*keys, F.col("n").alias("t"), F.col("t").alias("n"))
+    if tree.kind in ("and", "or"):
+        one, two = (_first(cells, x, keys, depth).select(*keys, F.col("t").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k, x in enumerate(tree.args))
+        both = one.join(two, keys)
+        t0, n0, t1, n1 = (F.col(c) for c in ("t0", "n0", "t1", "n1"))
+        key = lambda b: F.transform(b, lambda x: x["k"])
+        starts_true = lambda t, n: t.isNotNull() & (n.isNull() | F.coalesce(key(t) < key(n), F.lit(True)))
+        any1 = F.when(starts_true(t1, n1), t1).otherwise(n1)
+        if tree.kind == "and":
+            t, n = F.concat(t0, t1), F.when(starts_true(t0, n0), F.coalesce(F.concat(t0, n1), F.concat(n0, any1))).otherwise(F.concat(n0, any1))
+        else:
+            t, n = F.when(starts_true(t0, n0), F.concat(t0, any1)).otherwise(F.coalesce(F.concat(n0, t1), F.concat(t0, any1))), F.concat(n0, n1)
+        return both.select(*keys, t.alias("t"), n.alias("n"))
+    if tree.kind == "exists":
+        return chosen(nodes(tree.args[0], True), F.col("there"), F.array(bound(F.col("path"), F.col("f"))))
+    if tree.kind == "in":
+        steps, inner = tree.args
+        known = nodes(steps, True).select(*keys, F.col("path").alias("_scope"), "there")
+        under = cells.where(below(part, steps)).withColumn("_scope", F.slice("path", depth + 1, len(steps)))
+        scope = f"_scope{depth}"
+        each = _first(under.withColumnRenamed("_scope", scope), inner, [*keys, scope], depth + len(steps)).withColumnRenamed(scope, "_scope")
+        absolute = lambda b: F.transform(b, lambda x: bound(F.concat("_scope", x["path"]), x["f"]))
+        inside = each.select(*keys, "_scope", absolute(F.col("t")).alias("t"), absolute(F.col("n")).alias("n"))
+        every = known.join(inside, [*keys, "_scope"], "left")
+        lost = F.when(~F.col("there"), F.array(bound(F.col("_scope"), F.lit(None))))
+        every = every.select(*keys, "t", F.coalesce("n", lost).alias("n"), _place(F.col("_scope")).alias("_o"))
+        pick = lambda c: F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_o"))).alias(c)
+        return every.groupBy(*keys).agg(pick("t"), pick("n"))
+    a, b = tree.args
+    test = tests[tree.kind]
+    if isinstance(a, float) and isinstance(b, float):
+        none = F.array().cast("array<struct<k:array<struct<n:boolean,k:bigint,s:string>>,path:array<string>,f:double>>")
+        holds = test(a, b)
+        return whole.select(*keys, F.when(F.lit(holds), none).alias("t"), F.when(F.lit(not holds), none).alias("n"))
+    if isinstance(a, float) or isinstance(b, float):
+        steps, number = (b, a) if isinstance(a, float) else (a, b)
+        true = test(F.lit(number), F.col("f")) if isinstance(a, float) else test(F.col("f"), F.lit(number))
+        return chosen(nodes(steps, False), true, F.array(bound(F.col("path"), F.col("f"))))
+    if "*" in a and "*" in b:
+        raise ValueError("a relation of two paths may have wildcards in one of them")
+    left, right = (nodes(x, False).select(*keys, F.col("path").alias(f"_p{k}"), F.col("f").alias(f"_f{k}")) for k, x in enumerate((a, b)))
+    return chosen(left.join(right, keys), test(F.col("_f0"), F.col("_f1")), F.array(bound(F.col("_p0"), F.col("_f0")), bound(F.col("_p1"), F.col("_f1"))))
 
 
 def replace_subtree(target: DataFrame, source: DataFrame, path: str) -> DataFrame:

@@ -829,3 +829,24 @@ def q76_match_bindings(spark, sf):
 def q77_match_nodes_that_are_no_values(spark, sf):
     """A wildcard that meets subsections has a false binding for each, so a negated relation to them holds."""
     return _items_matched(spark, sf, "! /item/* > 0 & ! exists(/item/*/none) & ! /N == /item/*/none")
+
+
+_NUMBERED = "SELECT l_orderkey, l_quantity AS q, l_extendedprice AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem"
+
+
+def _first_bindings(spark, sf, query: str) -> DataFrame:
+    """The paths and numbers of the first binding that makes a query true of each order."""
+    found = ce.first_binding(_items(spark, sf, ce.paths_of(query, unmatched=True)), query)
+    return found.select("file_id", F.array_join(F.transform("binding", lambda b: F.array_join(b["path"], "/")), " ").alias("paths"), F.aggregate("binding", L(0.0), lambda x, b: x + b["f"]).alias("total"))
+
+
+@_query(f"SELECT l_orderkey AS file_id, 'item/' || i || '/q item/' || i || '/p' AS paths, q + p AS total FROM ({_NUMBERED}) WHERE q < 10 AND p > 15000 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY i) = 1")
+def q78_first_binding_of_prefix(spark, sf):
+    """Of a conjunction below a prefix: both paths of the first item that it is true of."""
+    return _first_bindings(spark, sf, "/item/*(/q < 10 & /p > 15000)")
+
+
+@_query(f"SELECT l_orderkey AS file_id, 'item/' || i || '/p N' AS paths, p + n AS total FROM ({_NUMBERED}) WHERE p > 60000 OR (i = 1 AND n > 5) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY i) = 1")
+def q79_first_binding_of_either(spark, sf):
+    """Of a disjunction: the first price with a number that makes either side true."""
+    return _first_bindings(spark, sf, "/item/*/p > 60000 | /N > 5")

@@ -3,6 +3,7 @@
 import itertools
 import operator
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def test_every_binding(spark):
     cells = spark.createDataFrame(rows, "file_id int, path array<string>, f double, s string").cache()
     every = cells.select("file_id", F.array(F.lit("other")).alias("path"), F.lit(0.0).alias("f"), F.lit(None).cast("string").alias("s")).distinct()
     fixed = ["! /a/*/1 > 1", "/a/* > 1", "! /a/* > 1", "!exists(/a/*/b)", "/a/*(! /a > 1)", "! /a == /b/*/b", "! /a/*(/b > 1)", "/a/*/1(/2 > 1) | !/b > 2"]
-    for text in [*fixed, *(expression(rng) for _ in range(22))]:
+    for text in [*fixed, *(expression(rng) for _ in range(12))]:
         tree = ce.parse_match(text)
         want = {i: {bool(x) for x in truths(tree, d)} for i, d in enumerate(documents)}
         got = {r.file_id: {x for x, there in ((True, r.matched), (False, r.unmatched)) if there} for r in ce.match(cells, text).collect()}
@@ -93,3 +94,45 @@ def test_every_binding(spark):
         for steps in ce.paths_of(text):
             asked = asked | ce.below(F.col("path"), steps)
         assert {r.file_id for r in ce.matched(cells.where(asked).union(every), text).collect()} == true, text
+
+
+def bindings(node, document, order):
+    """Truth and bound paths of each binding, in their order."""
+    children = lambda d: {k: d[k] for k in sorted(d, key=order)}
+    if node.kind in ("and", "or"):
+        for (a, p), (b, q) in itertools.product(*(list(bindings(x, document, order)) for x in node.args)):
+            yield (a and b) if node.kind == "and" else (a or b), p + q
+    elif node.kind == "not":
+        yield from ((not t, p) for t, p in bindings(node.args[0], document, order))
+    elif node.kind == "exists":
+        yield from ((find(document, p) is not None, [p]) for p in nodes(ordered(document, children), node.args[0]))
+    elif node.kind == "in":
+        for p in nodes(ordered(document, children), node.args[0]):
+            inner = find(document, p)
+            yield from [(False, [p])] if inner is None else ((t, [(*p, *x) for x in q]) for t, q in bindings(node.args[1], inner, order))
+    else:
+        sides = [[(a, [])] if isinstance(a, float) else [(find(document, p), [p]) for p in nodes(ordered(document, children), a)] for a in node.args]
+        for (x, p), (y, q) in itertools.product(*sides):
+            yield all(isinstance(v, float) for v in (x, y)) and SIGNS[node.kind](x, y), p + q
+
+
+def ordered(document, children):
+    return {k: ordered(v, children) for k, v in children(document).items()} if isinstance(document, dict) else document
+
+
+def test_the_first_true_binding(spark):
+    rng = random.Random(5)
+    documents = [made(rng) for _ in range(60)]
+    rows = [(i, list(p), f, s) for i, d in enumerate(documents) for p, _, f, s, _ in cells_of(d)]
+    cells = spark.createDataFrame(rows, "file_id int, path array<string>, f double, s string").cache()
+    order = lambda k: (k.isdigit(), int(k) if k.isdigit() else 0, k)
+    fixed = ["/a/* > 1 & /b/* > 0", "/a/* > 1 | /b/* > 0", "! (/a/* > 1 & /b/* > 0)", "! (/a/* > 1 | exists(/b/*/1))", "/a/*(/b > 0 | ! /1 > 1)", "/a < /b/*", "/a/*/1 >= /b & ! /1 > 1", "2 > 1 & /a/* > 0"]
+    for text in [*fixed, *(x for x in (expression(rng) for _ in range(40)) if not re.search(r"\*\S* (<|>|<=|>=|==|!=) \S*\*", x))][:18]:
+        tree = ce.parse_match(text)
+        want = {}
+        for i, d in enumerate(documents):
+            first = next((p for t, p in bindings(tree, d, order) if t), None)
+            if first is not None:
+                want[i] = first
+        got = {r.file_id: [tuple(b.path) for b in r.binding] for r in ce.first_binding(cells, text).collect()}
+        assert got == want, text
