@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -431,16 +433,30 @@ def first_binding(cells: DataFrame, query: str) -> DataFrame:
 
     ``binding`` holds the path and number that each path of the expression is bound to, in their order, ``path`` and ``f`` the
     first of them.  Bindings are tried with the last path turning fastest, each in the order of :func:`in_order`.  Up the expression only
-    the first true and the first false binding of each part are carried, from which those of the whole follow.
+    the first true and the first false binding of each part are carried, from which those of the whole follow; one that no
+    part above asks for is not looked for, and what only takes true bindings of cells is found by one pass over those cells.
     A relation of two paths may have wildcards in one of them.
     """
-    done = _first(cells, parse_match(query), ["file_id"], 0).where("t IS NOT NULL")
+    done = _first(cells, parse_match(query), ["file_id"], 0, "t").where("t IS NOT NULL")
     head = F.get("t", F.lit(0))
     return done.select("file_id", head["path"].alias("path"), head["f"].alias("f"), F.transform("t", lambda b: F.struct(b["path"].alias("path"), b["f"].alias("f"))).alias("binding"))
 
 
-def _first(cells: DataFrame, tree: Node, keys: list[str], depth: int) -> DataFrame:
-    """``keys, t, n``: the first true and the first false binding, each a list of place, path and number, or null."""
+def _leaves(tree: Node, kinds: tuple[str, ...] = ("and", "or", "not")) -> list[Node] | None:
+    """Relations of paths to numbers, in their order, that an expression puts together by these kinds of nodes alone; else None."""
+    if tree.kind in kinds:
+        parts = [_leaves(x, kinds) for x in tree.args]
+        return None if any(x is None for x in parts) else [y for x in parts for y in x]
+    if tree.kind in MIRROR and sum(isinstance(x, float) for x in tree.args) == 1:
+        return [tree if isinstance(tree.args[1], float) else Node(MIRROR[tree.kind], tree.args[::-1])]
+    return None
+
+
+def _first(cells: DataFrame, tree: Node, keys: list[str], depth: int, need: str = "tn") -> DataFrame:
+    """``keys, t, n``: the first true and the first false binding, each a list of place, path and number, or null.
+
+    ``need`` names those that are asked for; the other may be null, and rows without any may be left out if only true ones are.
+    """
     part = F.slice("path", F.lit(depth + 1), F.greatest(F.size("path") - depth, F.lit(0)))
     whole = cells.groupBy(*keys).agg(F.count("*").alias("_all"))
     tests = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y, "==": lambda x, y: x == y, "!=": lambda x, y: x != y}
@@ -467,20 +483,86 @@ def _first(cells: DataFrame, tree: Node, keys: list[str], depth: int) -> DataFra
         pick = lambda cond, name: F.min_by(F.when(cond, F.col("_b")), F.when(cond, F.col("_o"))).alias(name)
         return marked.groupBy(*keys).agg(pick(F.col("_true"), "t"), pick(~F.col("_true"), "n"))
 
+    def true_only(leaves: list[Node]) -> DataFrame:
+        """The first true binding of relations of paths to numbers that all have one, by one grouping of the cells that make one true."""
+        hits = [matches(part, steps) & F.coalesce(tests[sign](F.col("f"), F.lit(number)), F.lit(False)) for sign, (steps, number) in ((x.kind, x.args) for x in leaves)]
+        met = cells.where(reduce(or_, hits)).select(*keys, bound(part, F.col("f")).alias("_b"), *(h.alias(f"_h{k}") for k, h in enumerate(hits)))
+        firsts = [F.min(F.when(F.col(f"_h{k}"), F.col("_b"))).alias(f"_t{k}") for k in range(len(hits))]
+        found = met.groupBy(*keys).agg(*firsts).where(reduce(and_, (F.col(f"_t{k}").isNotNull() for k in range(len(hits)))))
+        every = F.array(*(F.col(f"_t{k}") for k in range(len(hits))))
+        return found.select(*keys, every.alias("t"), F.when(F.lit(False), every).alias("n"))
+
+    if need == "t" and (leaves := _leaves(tree, ("and",))):
+        return true_only(leaves)
+    if tree.kind == "in" and need == "t" and _leaves(tree.args[1], ("and",)):
+        scope = tree.args[0]
+        inner = _first(cells.where(below(part, scope)).withColumn(f"_scope{depth}", F.slice("path", depth + 1, len(scope))), tree.args[1], [*keys, f"_scope{depth}"], depth + len(scope), "t")
+        absolute = F.transform("t", lambda x: bound(F.concat(F.col(f"_scope{depth}"), x["path"]), x["f"]))
+        each = inner.select(*keys, _place(F.col(f"_scope{depth}")).alias("_o"), absolute.alias("_t"))
+        first = each.groupBy(*keys).agg(F.min_by("_t", "_o").alias("t"))
+        return first.select(*keys, "t", F.when(F.lit(False), F.col("t")).alias("n"))
     if tree.kind == "not":
-        return _first(cells, tree.args[0], keys, depth).select(*keys, F.col("n").alias("t"), F.col("t").alias("n"))
-    if tree.kind in ("and", "or"):
-        one, two = (_first(cells, x, keys, depth).select(*keys, F.col("t").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k, x in enumerate(tree.args))
-        both = one.join(two, keys)
-        t0, n0, t1, n1 = (F.col(c) for c in ("t0", "n0", "t1", "n1"))
+        return _first(cells, tree.args[0], keys, depth, need.translate(str.maketrans("tn", "nt"))).select(*keys, F.col("n").alias("t"), F.col("t").alias("n"))
+    def joint(kind: str, t0: Column, n0: Column, t1: Column, n1: Column) -> tuple[Column, Column]:
+        """The first true and the first false binding of two parts together."""
         key = lambda b: F.transform(b, lambda x: x["k"])
         starts_true = lambda t, n: t.isNotNull() & (n.isNull() | F.coalesce(key(t) < key(n), F.lit(True)))
         any1 = F.when(starts_true(t1, n1), t1).otherwise(n1)
-        if tree.kind == "and":
-            t, n = F.concat(t0, t1), F.when(starts_true(t0, n0), F.coalesce(F.concat(t0, n1), F.concat(n0, any1))).otherwise(F.concat(n0, any1))
-        else:
-            t, n = F.when(starts_true(t0, n0), F.concat(t0, any1)).otherwise(F.coalesce(F.concat(n0, t1), F.concat(t0, any1))), F.concat(n0, n1)
-        return both.select(*keys, t.alias("t"), n.alias("n"))
+        if kind == "and":
+            return F.concat(t0, t1), F.when(starts_true(t0, n0), F.coalesce(F.concat(t0, n1), F.concat(n0, any1))).otherwise(F.concat(n0, any1))
+        return F.when(starts_true(t0, n0), F.concat(t0, any1)).otherwise(F.coalesce(F.concat(n0, t1), F.concat(t0, any1))), F.concat(n0, n1)
+
+    def one_pass(leaves: list[Node]) -> DataFrame:
+        """``keys, t0, n0, t1, ...`` of relations of paths to numbers: a cell goes to the nodes that wildcards meet in it, then nodes to their keys."""
+        cuts = [len(x.args[0]) - x.args[0][::-1].index("*") if "*" in x.args[0] else 0 for x in leaves]
+        role = lambda k, node: F.struct(F.lit(k).alias("k"), node.alias("node"))
+        roles = [F.when(below(part, x.args[0][:cut]), role(k, F.slice(part, 1, cut))) for k, (x, cut) in enumerate(zip(leaves, cuts)) if cut]
+        none = F.array(role(-1, F.lit(None).cast("array<string>")))
+        to = F.filter(F.array(*roles), lambda r: r.isNotNull()) if roles else none
+        values = [F.max(F.when(matches(part, x.args[0]), F.col("f"))).alias(f"_v{k}") for k, x in enumerate(leaves)]
+        seen = cells.select(*keys, "path", "f", F.explode(F.when(F.size(to) > 0, to).otherwise(none)).alias("_r"))
+        each = seen.groupBy(*keys, F.col("_r.k").alias("_k"), F.col("_r.node").alias("_node")).agg(*values)
+        firsts = []
+        for k, (x, cut) in enumerate(zip(leaves, cuts)):
+            tail = F.array(*(F.lit(step) for step in x.args[0][cut:])).cast("array<string>")
+            value = F.col(f"_v{k}")
+            if not cut:
+                firsts.append(F.max(value).alias(f"_v{k}"))
+                continue
+            true = F.coalesce(tests[x.kind](value, F.lit(x.args[1])), F.lit(False))
+            firsts += [F.min(F.when((F.col("_k") == k) & cond, bound(F.concat("_node", tail), value))).alias(f"{c}{k}") for c, cond in (("t", true), ("n", ~true))]
+        found = each.groupBy(*keys).agg(*firsts)
+        for k, (x, cut) in enumerate(zip(leaves, cuts)):
+            if not cut:
+                value = F.col(f"_v{k}")
+                true = F.coalesce(tests[x.kind](value, F.lit(x.args[1])), F.lit(False))
+                made = bound(F.array(*(F.lit(step) for step in x.args[0])).cast("array<string>"), value)
+                found = found.withColumns({f"t{k}": F.when(true, made), f"n{k}": F.when(~true, made)})
+        as_list = lambda c: F.when(F.col(c).isNotNull(), F.array(c)).alias(c)
+        return found.select(*keys, *(as_list(f"{c}{k}") for k in range(len(leaves)) for c in "tn"))
+
+    if tree.kind in ("and", "or") and (leaves := _leaves(tree)):
+        found = one_pass(leaves)
+        place = iter(range(len(leaves)))
+
+        def walk(node: Node) -> tuple[str, str]:
+            nonlocal found
+            if node.kind == "not":
+                return walk(node.args[0])[::-1]
+            if node.kind not in ("and", "or"):
+                k = next(place)
+                return f"t{k}", f"n{k}"
+            (t0, n0), (t1, n1) = walk(node.args[0]), walk(node.args[1])
+            made = [f"_{len(found.columns)}t", f"_{len(found.columns)}n"]
+            found = found.withColumns(dict(zip(made, joint(node.kind, *map(F.col, (t0, n0, t1, n1))))))
+            return made[0], made[1]
+
+        t, n = walk(tree)
+        return found.select(*keys, F.col(t).alias("t"), F.col(n).alias("n"))
+    if tree.kind in ("and", "or"):
+        one, two = (_first(cells, x, keys, depth).select(*keys, F.col("t").alias(f"t{k}"), F.col("n").alias(f"n{k}")) for k, x in enumerate(tree.args))
+        t, n = joint(tree.kind, *(F.col(c) for c in ("t0", "n0", "t1", "n1")))
+        return one.join(two, keys).select(*keys, t.alias("t"), n.alias("n"))
     if tree.kind == "exists":
         return chosen(nodes(tree.args[0], True), F.col("there"), F.array(bound(F.col("path"), F.col("f"))))
     if tree.kind == "in":

@@ -136,3 +136,14 @@ def test_the_first_true_binding(spark):
                 want[i] = first
         got = {r.file_id: [tuple(b.path) for b in r.binding] for r in ce.first_binding(cells, text).collect()}
         assert got == want, text
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_first_bindings_are_found_in_one_pass(spark):
+    cells = spark.range(100).selectExpr("id div 10 AS file_id", "array('a', cast(id % 10 AS string), 'q') AS path", "cast(id AS double) AS f", "cast(null AS string) AS s")
+    for text in ("/a/*/q > 5", "/a/*(/q > 5 & /q < 9)", "/a/*/q > 50 | /N > 5", "/a/*/q > 50 & ! (/N > 5 | /a/*/q > 80)"):
+        plan = _plan(ce.first_binding(cells, text))
+        assert plan.count("Range (") == 1 and "Join" not in plan, text
