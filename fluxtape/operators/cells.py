@@ -228,8 +228,8 @@ def match(cells: DataFrame, query: str) -> DataFrame:
     exists.  A path without a wildcard always has one binding.  A wildcard has one for each node that it meets,
     a value or not, and none where it meets nothing; what follows the last one may be missing there.
     A binding is false where its cell is missing or no number.  All
-    relations are aggregates of one grouping; only a prefix, and the false bindings of a wildcard before a path's
-    end, group once more.
+    relations are aggregates of one grouping, before which the false bindings of a wildcard before a path's
+    end group by its nodes; only a prefix groups its cells by itself.
     """
     return _evaluate(cells, parse_match(query), ["file_id"], 0, "tf").select("file_id", F.col("ct").alias("matched"), F.col("cf").alias("unmatched"))
 
@@ -274,15 +274,16 @@ def matched(cells: DataFrame, query: str) -> DataFrame:
 
 def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int, need: str) -> DataFrame:
     """``keys, ct, cf``: whether a true and a false binding exist; ``need`` names those that are asked for, the other is false."""
-    aggregates: dict[str, Column] = {}
+    aggregates: dict[str, tuple[str, Column]] = {}
     joined: list[tuple[str, DataFrame]] = []
+    nodes_of: list[tuple[str, list[str], Column]] = []  # a pattern's nodes, and what each of them may lack
 
     def bindings(steps: list[str]) -> Column:
         return matches(F.slice("path", F.lit(depth + 1), F.greatest(F.size("path") - depth, F.lit(0))), steps)
 
-    def leaf(value: Column) -> str:
+    def leaf(kind: str, value: Column) -> str:
         name = f"a{len(aggregates)}"
-        aggregates[name] = value
+        aggregates[name] = kind, value
         return name
 
     def truth(name: str) -> Column:
@@ -293,26 +294,25 @@ def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int, need: s
     def missing(steps: list[str], subtree: bool = False) -> Column:
         """Whether a binding of a path lacks its number, or with ``subtree`` anything at or below it."""
         if "*" not in steps:
-            return ~truth(leaf(F.bool_or(below(part, steps) if subtree else matches(part, steps) & F.col("f").isNotNull())))
+            return ~truth(leaf("or", (below(part, steps) if subtree else matches(part, steps) & F.col("f").isNotNull())))
         nodes = len(steps) - steps[::-1].index("*")
         if nodes == len(steps):
-            return F.lit(False) if subtree else truth(leaf(F.bool_or(below(part, steps) & ((F.size(part) > nodes) | F.col("f").isNull()))))
-        rest, name = F.slice(part, F.lit(nodes + 1), F.greatest(F.size(part) - nodes, F.lit(0))), f"m{depth}_{len(joined)}"
+            return F.lit(False) if subtree else truth(leaf("or", (below(part, steps) & ((F.size(part) > nodes) | F.col("f").isNull()))))
+        rest, name = F.slice(part, F.lit(nodes + 1), F.greatest(F.size(part) - nodes, F.lit(0))), f"m{depth}_{len(nodes_of)}"
         there = below(rest, steps[nodes:]) if subtree else matches(rest, steps[nodes:]) & F.col("f").isNotNull()
-        under = cells.where(below(part, steps[:nodes])).groupBy(*keys, F.slice(part, 1, nodes).alias(name)).agg(F.bool_or(there).alias("there"))
-        joined.append((name, under.groupBy(*keys).agg(F.bool_or(~F.col("there")).alias(name))))
+        nodes_of.append((name, steps[:nodes], there))
         return truth(name)
 
     def met(steps: list[str]) -> Column:
         """Whether a path has a binding."""
-        return truth(leaf(F.bool_or(below(part, steps[: len(steps) - steps[::-1].index("*")])))) if "*" in steps else F.lit(True)
+        return truth(leaf("or", (below(part, steps[: len(steps) - steps[::-1].index("*")])))) if "*" in steps else F.lit(True)
 
     def one(steps: list[str], test: Column, need: str) -> tuple[Column, Column]:
         hit = bindings(steps)
-        yes = truth(leaf(F.bool_or(hit & F.coalesce(test, F.lit(False))))) if "t" in need else F.lit(False)
+        yes = truth(leaf("or", (hit & F.coalesce(test, F.lit(False))))) if "t" in need else F.lit(False)
         if "f" not in need:
             return yes, F.lit(False)
-        return yes, truth(leaf(F.bool_or(hit & ~F.coalesce(test, F.lit(False))))) | missing(steps)
+        return yes, truth(leaf("or", (hit & ~F.coalesce(test, F.lit(False))))) | missing(steps)
 
     def relation(sign: str, a, b, need: str) -> tuple[Column, Column]:
         signs = {"<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y, "==": lambda x, y: x == y, "!=": lambda x, y: x != y}
@@ -323,13 +323,13 @@ def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int, need: s
         if isinstance(b, float):
             return one(a, signs[sign](F.col("f"), F.lit(b)), need)
         x, y = (F.when(bindings(p), F.col("f")) for p in (a, b))
-        lo_x, hi_x, lo_y, hi_y = (F.col(leaf(v)) for v in (F.min(x), F.max(x), F.min(y), F.max(y)))
+        lo_x, hi_x, lo_y, hi_y = (F.col(leaf(*v)) for v in (("min", x), ("max", x), ("min", y), ("max", y)))
         if sign in "<=" and sign != "==":
             yes, no = signs[sign](lo_x, hi_y), ~signs[sign](hi_x, lo_y)
         elif sign in ">=":
             yes, no = signs[sign](hi_x, lo_y), ~signs[sign](lo_x, hi_y)
         else:
-            xs, ys = F.col(leaf(F.collect_set(x))), F.col(leaf(F.collect_set(y)))
+            xs, ys = F.col(leaf("set", x)), F.col(leaf("set", y))
             same, other = F.arrays_overlap(xs, ys), (F.size(xs) > 0) & (F.size(ys) > 0) & (F.size(F.array_union(xs, ys)) > 1)
             yes, no = (same, other) if sign == "==" else (other, same)
         yes, no = F.coalesce(yes, F.lit(False)), F.coalesce(no, F.lit(False))
@@ -350,7 +350,7 @@ def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int, need: s
             return f, t
         if node.kind == "exists":
             steps = node.args[0]
-            return truth(leaf(F.bool_or(below(part, steps)))), missing(steps, subtree=True) if "f" in need else F.lit(False)
+            return truth(leaf("or", (below(part, steps)))), missing(steps, subtree=True) if "f" in need else F.lit(False)
         if node.kind == "in":
             steps, inner = node.args
             scope = f"scope{depth}_{len(joined)}"
@@ -364,7 +364,23 @@ def _evaluate(cells: DataFrame, tree: Node, keys: list[str], depth: int, need: s
         return relation(node.kind, *node.args, need)
 
     ct, cf = walk(tree, need)
-    out = cells.groupBy(*keys).agg(*([v.alias(n) for n, v in aggregates.items()] or [F.count("*").alias("a0")]))
+    if tree.kind == "in" and need == "t" and not depth:  # nothing is true of a file without the prefix
+        return joined[0][1].select(*keys, ct.alias("ct"), cf.alias("cf"))
+    first = {"or": F.bool_or, "min": F.min, "max": F.max, "set": F.collect_set}
+    again = first | {"set": lambda c: F.array_distinct(F.flatten(F.collect_list(c)))}
+    if not nodes_of:
+        out = cells.groupBy(*keys).agg(*([first[kind](v).alias(n) for n, (kind, v) in aggregates.items()] or [F.count("*").alias("a0")]))
+    else:  # each cell goes to the nodes that it is at or below, nodes to their keys: what is found per node is put together once more
+        role = lambda k, node: F.struct(F.lit(k).alias("k"), node.alias("node"))
+        patterns = [p for k, (_, p, _) in enumerate(nodes_of) if p not in [q for _, q, _ in nodes_of[:k]]]
+        to = F.filter(F.array(*(F.when(below(part, p), role(k, F.slice(part, 1, len(p)))) for k, p in enumerate(patterns))), lambda r: r.isNotNull())
+        none = F.array(role(-1, F.lit(None).cast("array<string>")))
+        values = {n: v for n, (_, v) in aggregates.items()} | {n: (F.col("_r.k") == patterns.index(p)) & there for n, p, there in nodes_of}
+        kinds = {n: kind for n, (kind, _) in aggregates.items()} | {n: "or" for n, _, _ in nodes_of}
+        seen = cells.withColumn("_r", F.explode_outer(F.when(F.size(to) > 0, to).otherwise(none)))
+        each = seen.groupBy(*keys, F.col("_r.k").alias("_k"), F.col("_r.node").alias("_node")).agg(*(first[kinds[n]](v).alias(n) for n, v in values.items()))
+        lacking = {n: F.bool_or((F.col("_k") == patterns.index(p)) & ~truth(n)).alias(n) for n, p, _ in nodes_of}
+        out = each.groupBy(*keys).agg(*(lacking[n] if n in lacking else again[kind](F.col(n)).alias(n) for n, kind in kinds.items()))
     for _, frame in joined:
         out = out.join(frame, keys, "left")
     return out.select(*keys, ct.alias("ct"), cf.alias("cf"))
@@ -520,7 +536,7 @@ def _first(cells: DataFrame, tree: Node, keys: list[str], depth: int, need: str
         none = F.array(role(-1, F.lit(None).cast("array<string>")))
         to = F.filter(F.array(*roles), lambda r: r.isNotNull()) if roles else none
         values = [F.max(F.when(matches(part, x.args[0]), F.col("f"))).alias(f"_v{k}") for k, x in enumerate(leaves)]
-        seen = cells.select(*keys, "path", "f", F.explode(F.when(F.size(to) > 0, to).otherwise(none)).alias("_r"))
+        seen = cells.select(*keys, "path", "f", F.explode_outer(F.when(F.size(to) > 0, to).otherwise(none)).alias("_r"))
         each = seen.groupBy(*keys, F.col("_r.k").alias("_k"), F.col("_r.node").alias("_node")).agg(*values)
         firsts = []
         for k, (x, cut) in enumerate(zip(leaves, cuts)):

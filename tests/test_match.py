@@ -147,3 +147,12 @@ def test_first_bindings_are_found_in_one_pass(spark):
     for text in ("/a/*/q > 5", "/a/*(/q > 5 & /q < 9)", "/a/*/q > 50 | /N > 5", "/a/*/q > 50 & ! (/N > 5 | /a/*/q > 80)"):
         plan = _plan(ce.first_binding(cells, text))
         assert plan.count("Range (") == 1 and "Join" not in plan, text
+
+
+def test_expressions_are_evaluated_in_one_pass(spark):
+    cells = spark.range(100).selectExpr("id div 10 AS file_id", "array('a', cast(id % 10 AS string), 'q') AS path", "cast(id AS double) AS f", "cast(null AS string) AS s")
+    for text in ("/a/*(/q > 5 & /q < 9)", "! /a/*/q > 50", "(/a/*/q < 5 & /N > 2) | ! /a/*/q > 50", "! /a/* > 0 & ! exists(/a/*/none) & ! /N == /a/*/none"):
+        plan = _plan(ce.matched(cells, text))
+        assert plan.count("Range (") == 1 and "Join" not in plan, text
+    plan = _plan(ce.match(cells, "/a/*/q > 50"))
+    assert plan.count("Range (") == 1 and "Join" not in plan
