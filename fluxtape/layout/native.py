@@ -2,7 +2,7 @@
 
 Such a layout (cross sections, atomic data, heads of tapes) needs no Python on the executors:
 each record's place follows from the counts of the records before it, so a section's values are
-expressions of its array of lines, and only those that are asked for are computed.
+expressions of the array of its fields, and only those that are asked for are computed.
 """
 
 from __future__ import annotations
@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fields import fort_float, fort_int
-from ..operators.records import every_other, field, line_count, read_values
+from ..operators.records import every_other, line_count
+from .columns import NO_WHOLE, fields_of
 from .engine import Options
 from .notation import Line, parse
 
@@ -42,6 +42,7 @@ class _Plan:
         self.frame, self.lines, self.options, self.at = frame, F.col("lines"), options, F.lit(0)
         self.values: dict[str, Column] = {}
         self.codes: list[Column] = []
+        self.numbers, self.whole = map(self._kept, fields_of(self.lines, options.accept_spaces))
 
     def _kept(self, value: Column) -> Column:
         """A column of its own for what is used several times, so that it is computed once."""
@@ -63,29 +64,31 @@ class _Plan:
             near = F.abs(value - other) <= F.lit(1e-7) + F.lit(1e-5) * F.abs(other) if o.fuzzy else value == other
             self.codes.append(F.when(~near, "mismatch"))
 
-    def _head(self, slots: list[str]) -> Column:
+    def _head(self, slots: list[str]) -> None:
         line = F.get(self.lines, self.at)
         self.codes.append(F.when(line.isNull(), "missing_line"))
-        for k, slot in enumerate(slots, 1):
-            read = (lambda t: fort_float(t, self.options.accept_spaces)) if k <= 2 else fort_int
-            self._check(slot, read(field(line, k)))
-        return line
+        for k, slot in enumerate(slots):
+            self._check(slot, F.get(self.numbers, 6 * self.at + k) if k < 2 else self._integer(k))
+
+    def _integer(self, k: int) -> Column:
+        """A field of the next line as a whole number."""
+        return F.nullif(F.get(self.whole, 6 * self.at + k), F.lit(NO_WHOLE))
 
     def cont(self, line: Line) -> None:
         self._head(line.slots)
         self.at = self.at + 1
 
     def tab1(self, line: Line) -> None:
-        head = self._head(line.slots)
-        ranges, points = (F.coalesce(fort_int(field(head, k)), F.lit(0)).cast("int") for k in (5, 6))
+        self._head(line.slots)
+        ranges, points = (F.coalesce(self._integer(k), F.lit(0)).cast("int") for k in (4, 5))
         first, table = self.at + 1, line_count(2 * ranges)
         rest = line_count(2 * points)
-        part = lambda begin, count: F.slice(self.lines, begin + 1, F.greatest(count, F.lit(0)))
-        pairs = self._kept(read_values(part(first, table), 2 * ranges, fort_int))
-        numbers = self._kept(read_values(part(first + table, rest), 2 * points, lambda t: fort_float(t, self.options.accept_spaces)))
+        part = lambda fields, begin, count: F.slice(fields, 6 * begin + 1, F.greatest(count, F.lit(0)))
+        pairs = self._kept(part(self.whole, first, 2 * ranges))
+        numbers = self._kept(part(self.numbers, first + table, 2 * points))
         made = {"NBT": every_other(pairs, 0), "INT": every_other(pairs, 1), line.columns[0]: every_other(numbers, 0), line.columns[1]: every_other(numbers, 1)}
         self.at = first + table + rest
-        self.codes += [F.when(F.size(self.lines) < self.at, "missing_line"), F.when(F.exists(numbers, lambda x: x.isNull()) | F.exists(pairs, lambda x: x.isNull()), "bad_number")]
+        self.codes += [F.when(F.size(self.lines) < self.at, "missing_line"), F.when(F.exists(numbers, lambda x: x.isNull()) | F.exists(pairs, lambda x: x == NO_WHOLE), "bad_number")]
         if line.name:
             self.values[line.name] = F.struct(*(v.alias(k) for k, v in made.items()))
         else:
