@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import catalogue
-from .engine import Kept, Options, as_lists, cells_of, from_lists, read_section, write_section
+from .engine import Kept, Options, as_lists, cells_of, from_lists, pruned, read_section, write_section
 from .notation import LayoutError, descriptions
 
 _CELLS = "path array<string>, i bigint, f double, s string, src string"
@@ -216,15 +216,24 @@ def rendered(sections: DataFrame, keys: list[str], dialect: str = "endf6-ext", o
     return sections.mapInArrow(run, f"{_keys(sections, keys)}, code string, lines array<string>")
 
 
-def document_cells(sections: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells of what :func:`parsed` gave, below its MF and MT; the lines of other sections are texts counted from 0."""
+def document_cells(sections: DataFrame, keys: list[str], wanted: list[list[str]] | None = None) -> DataFrame:
+    """Cells of what :func:`parsed` gave, below its MF and MT; the lines of other sections are texts counted from 0.
+
+    With ``wanted`` paths, which begin with MF and MT, only cells at or below them are made.
+    """
+
+    def document_of(row: dict):
+        made = json.loads(row["document"]) if row["document"] is not None else (row["lines"] or [])
+        if wanted is not None:
+            made = pruned({str(row["mf"]): {str(row["mt"]): made}}, wanted)
+            made = made.get(str(row["mf"]), {}).get(str(row["mt"]), {})
+        return decoded(made) if row["document"] is not None else made
 
     def run(batches):
         for batch in batches:
             rows, where = [], []
             for i, row in enumerate(batch.to_pylist()):
-                document = decoded(json.loads(row["document"])) if row["document"] is not None else (row["lines"] or [])
-                made = cells_of({str(row["mf"]): {str(row["mt"]): document}})
+                made = cells_of({str(row["mf"]): {str(row["mt"]): document_of(row)}})
                 rows += made
                 where += [i] * len(made)
             cols = list(zip(*rows)) if rows else [()] * 5

@@ -95,13 +95,14 @@ class Tapes:
             raise TapeError(f"{bad.file_id}, MF {bad.mf}, MT {bad.mt}: {bad.code}: {bad.message}")
         return done
 
-    def cells(self, parsed: DataFrame) -> DataFrame:
-        """``file_id, path, i, f, s, src``: paths begin with MF and MT.
+    def cells(self, parsed: DataFrame, wanted: list[list[str]] | None = None) -> DataFrame:
+        """``file_id, path, i, f, s, src``: paths begin with MF and MT; with ``wanted`` paths only cells at or below them.
 
         In a file of several materials each is told apart as ``file_id#MAT``; the head of such a file keeps its file_id.
         """
+        parsed = stored(parsed, "parsed")  # read twice: for the materials and for the cells
         several = parsed.where("mf > 0").groupBy("file_id").agg(F.count_distinct("mat").alias("_mats")).where("_mats > 1")
-        made = lane.document_cells(parsed, KEYS).join(several, "file_id", "left")
+        made = lane.document_cells(parsed.select(*KEYS, "document", "lines"), KEYS, wanted).join(several, "file_id", "left")
         name = F.when(F.col("_mats").isNotNull() & (F.col("mf") > 0), F.concat_ws("#", F.col("file_id").cast("string"), F.col("mat").cast("string"))).otherwise(F.col("file_id"))
         return made.withColumn("file_id", name).drop("mat", "mf", "mt", "_mats")
 

@@ -72,3 +72,8 @@ def test_rendering_is_the_longest_that_fits():
 
 def test_what_is_not_finite_gives_null():
     assert fd.write_floats(np.array([1.0, np.nan, np.inf])).to_pylist() == [" 1.000000+0", None, None]
+
+
+def test_whole_digits_of_large_numbers_are_exact():
+    assert fd.plain_form(1.7e308) == " " + str(int(1.7e308))
+    assert fd.plain_form(-(2.0**100)) == str(-(2**100))

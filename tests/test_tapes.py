@@ -204,3 +204,25 @@ def test_materials_of_one_file_are_told_apart(spark, tmp_path):
     with pytest.raises(TapeError, match="8, 9"):
         tapes.document(str(tmp_path / "two"))
     assert tapes.document(str(tmp_path / "two"), mat=8)[3][1]["ZA"] == 1008.0
+
+
+def test_cells_are_made_of_sections_that_were_parsed_once(spark):
+    from fluxtape.layout import lane
+    from fluxtape.tapes import KEYS
+
+    document = {3: {1: {"MAT": 9, "MF": 3, "MT": 1, "ZA": 1009.0, "AWR": 1.0, "QM": 0.0, "QI": 0.0, "LR": 0, "xstable": {"NBT": [2], "INT": [2], "E": [1.0, 2.0], "xs": [3.0, 4.0]}}}}
+    tapes, seen = Tapes(spark, dialect="endf6"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    sections = lane.rendered(tapes.table(document, "one"), KEYS, "endf6", tapes.options).select(*KEYS, "lines")
+    parsed = lane.parsed(sections, KEYS, "endf6", tapes.options)
+    cells = tapes.cells(parsed.mapInArrow(counted, parsed.schema))
+    every = {(tuple(r.path), r.f) for r in cells.collect()}
+    assert seen.value == 1
+    for wanted in ([["3", "1", "ZA"]], [["3", "*", "xstable", "xs"], ["3", "1", "MAT"]], [["4"]]):
+        some = {(tuple(r.path), r.f) for r in tapes.cells(parsed, wanted).collect()}
+        assert some == {x for x in every if any(len(x[0]) >= len(w) and all(a in ("*", b) for a, b in zip(w, x[0])) for w in wanted)}
