@@ -11,6 +11,15 @@ from .records import read_control
 
 SECTION = ["file_id", "mat", "mf", "mt"]
 
+#: Lines that one task sorts.
+LINES = 250_000
+
+
+def dealt(lines: DataFrame, n_lines: int, *by: str) -> DataFrame:
+    """Lines dealt out by columns to as many tasks as they need; few lines are left to Spark."""
+    parts = -(-n_lines // LINES)
+    return lines.repartition(parts, *by) if parts > 1 else lines
+
 
 def split_text(files: DataFrame, key: str, text: str) -> DataFrame:
     lines = F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")
@@ -128,10 +137,11 @@ def end_record_issues(lines: DataFrame, ignore_missing_tpid: bool = False, ignor
     return text.select("file_id", "ofs", F.explode(codes).alias("code"))
 
 
-def end_records(sections_of: DataFrame, zero_as_blank: bool = False, include_linenum: bool = True) -> DataFrame:
+def end_records(sections_of: DataFrame, zero_as_blank: bool = False, include_linenum: bool = True, n_lines: int = 0) -> DataFrame:
     """SEND, FEND, MEND and TEND lines for (file_id, mat, mf, mt), each with its sort place.
 
-    Their six fields are zeros, or blanks with ``zero_as_blank``; line numbers may be left out.
+    Their six fields are zeros, or blanks with ``zero_as_blank``; line numbers may be left out. Where ``n_lines`` tells
+    how many lines there are, no task holds more of their keys as the table grows.
     """
     zeros = F.lit(" " * 66 if zero_as_blank else "".join(("0.000000+0".rjust(11),) + ("0.000000+0".rjust(11),) + (f"{0:11d}",) * 4))
 
@@ -139,9 +149,15 @@ def end_records(sections_of: DataFrame, zero_as_blank: bool = False, include_lin
         return F.concat(zeros, F.lpad(mat.cast("string"), 4, " "), F.lpad(mf.cast("string"), 2, " "), F.lit(f"{0:3d}{ns:5d}"[: 8 if include_linenum else 3]))
 
     # what is closed at each level, by one pass over the sections: their distinct keys, and those of what holds them
-    key = sections_of.where("mf <> 0").select(*SECTION).distinct()
-    levels = [[F.col(c) for c in SECTION[:n]] for n in (4, 3, 2, 1)]
-    closed = key.groupingSets(levels, *SECTION).agg(F.grouping_id().alias("open"))
+    key = dealt(sections_of.where("mf <> 0").select(*SECTION), n_lines, *SECTION).distinct()
+    kind = {c: key.schema[c].dataType for c in SECTION}
+
+    def held(level: int, n: int) -> Column:
+        return F.struct(F.lit(level).alias("open"), *((F.col(c) if c in SECTION[:n] else F.lit(None).cast(kind[c])).alias(c) for c in SECTION))
+
+    # a material has few sections, by the width of its fields, but a tape any number: those are made distinct before they are dealt out
+    below = dealt(key.select(F.inline(F.array(held(0, 4), held(1, 3), held(3, 2)))), n_lines, "open", *SECTION).distinct()
+    closed = below.union(key.select(F.inline(F.array(held(7, 1)))).distinct())
     top, none = F.lit(1 << 20).cast("bigint"), F.lit(0).cast("bigint")
     mat, mf = F.col("mat"), F.col("mf")
     ends = {  # MAT, MF, MT and place by which each is sorted, and its line
@@ -168,22 +184,27 @@ def renumbered(lines: DataFrame, include_linenum: bool = True) -> DataFrame:
     return lines.withColumn("raw", F.concat(cut, number) if include_linenum else cut)
 
 
-def _every_line(lines: DataFrame, zero_as_blank: bool, include_linenum: bool = True) -> DataFrame:
+def _every_line(lines: DataFrame, zero_as_blank: bool, include_linenum: bool = True, n_lines: int = 0) -> DataFrame:
     """Data lines and end records with their sort places; a tape head (MF and MT 0) comes first."""
     columns = [*SECTION, F.col("ofs").cast("bigint").alias("ofs"), "raw"]
     placed = lines.withColumn("mat", F.when((F.col("mf") == 0) & (F.col("mt") == 0), -1).otherwise(F.col("mat")))
-    return placed.select(*columns).union(end_records(lines, zero_as_blank, include_linenum).select(*columns))
+    return placed.select(*columns).union(end_records(lines, zero_as_blank, include_linenum, n_lines).select(*columns))
 
 
 def ordered_lines(lines: DataFrame, zero_as_blank: bool = False, include_linenum: bool = True) -> DataFrame:
     """``file_id, mat, mf, mt, ofs, raw``: data lines and end records, dealt out and sorted as they are written.
 
     Files are split over tasks by range and no file is gathered into a row, so a file may
-    be of any size; writing the partitions in turn gives its lines in order.  ``lines`` are read three times,
-    for the end records, for the ranges and for the lines, so what is costly to make should be stored before.
+    be of any size; writing the partitions in turn gives its lines in order.  ``lines`` are counted and then read three times,
+    for the end records, for the ranges and for the lines, so what is costly to make should be stored before. Tasks are as many as the lines
+    need, so that none sorts more as files grow.
     """
     order = [*SECTION, "ofs"]
-    return _every_line(lines, zero_as_blank, include_linenum).repartitionByRange(*order).sortWithinPartitions(*order)
+    n_lines = lines.count()
+    every = _every_line(lines, zero_as_blank, include_linenum, n_lines)
+    parts = -(-n_lines // LINES)
+    ranges = every.repartitionByRange(parts, *order) if parts > 1 else every.repartitionByRange(*order)
+    return ranges.sortWithinPartitions(*order)
 
 
 def file_texts(lines: DataFrame, zero_as_blank: bool = False, include_linenum: bool = True) -> DataFrame:

@@ -786,8 +786,10 @@ def _whole_file(spark, sf) -> str:
     """The path of one file of all items: MAT of the order, MF of the line, MT of the quantity."""
     body = rc.cont_body(_blank(), _blank(), C("l_partkey"), C("l_suppkey"), C("l_orderkey"), L(0))
     key = {"mat": C("l_orderkey") % 9999 + 1, "mf": C("l_linenumber").cast("bigint"), "mt": C("l_quantity").cast("bigint")}
-    place = F.row_number().over(Window.partitionBy(*key.values()).orderBy("l_orderkey", "l_partkey", "l_suppkey"))
-    items = _t(spark, sf, "lineitem").select(L("items").alias("file_id"), *(v.alias(k) for k, v in key.items()), place.alias("ofs"), F.concat(body, rc.control(*key.values())).alias("raw"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("l_orderkey", "l_partkey", "l_suppkey"))
+    items = _t(spark, sf, "lineitem")
+    items = tp.dealt(items.withColumns(key), items.count(), *key)  # both windows sort what a task has
+    items = items.select(L("items").alias("file_id"), *key, place.alias("ofs"), F.concat(body, rc.control(*map(C, key))).alias("raw"))
     lines = stored(tp.renumbered(items), "items")
     return write_files(tp.ordered_lines(lines), fresh_path(spark, "files"))[0]
 

@@ -106,3 +106,13 @@ def test_parts_are_joined_where_places_cannot_be_written(spark, tmp_path, monkey
 
 def test_no_lines_give_no_files(spark, tmp_path):
     assert files.write_files(tp.ordered_lines(_tape(spark, 10).limit(0)), str(tmp_path / "none")) == []
+
+
+def test_no_task_sorts_more_as_files_grow(spark, monkeypatch):
+    monkeypatch.setattr(tp, "LINES", 100)
+    want = [r.raw for r in tp.ordered_lines(_tape(spark, 500)).collect()]
+    few = tp.ordered_lines(_tape(spark, 500)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    many = tp.ordered_lines(_tape(spark, 2000)).select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(many) > 8 and max(r["count"] for r in many) < 2 * max(r["count"] for r in few)
+    monkeypatch.setattr(tp, "LINES", 10**9)
+    assert [r.raw for r in tp.ordered_lines(_tape(spark, 500)).collect()] == want
