@@ -236,6 +236,15 @@ def test_repeats_are_removed(docs, rows, crowd, monkeypatch):
     assert got == want
 
 
+def test_snippets_of_a_crowded_hash_are_not_dealt_by_it(docs, monkeypatch):
+    """Whether a snippet's hash is crowded is looked up in a small table: one task does not get all snippets of a hash."""
+    plans, made = {}, suffix_dedup.materialize
+    monkeypatch.setattr(suffix_dedup, "CROWD", 2)
+    monkeypatch.setattr(suffix_dedup, "materialize", lambda df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or made(df, name))
+    assert suffix_dedup.remove_repeats(docs, 400).where("n_removed > 0").count() and "crowded" in plans
+    assert "wants" in plans["cut"] and "hashpartitioning(h#" not in plans["cut"]
+
+
 def test_bpe_equals_the_library(docs, rows):
     ranks = bpe.read_ranks(PATH)
     library = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
