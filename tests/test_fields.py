@@ -77,3 +77,27 @@ def test_what_is_not_finite_gives_null():
 def test_whole_digits_of_large_numbers_are_exact():
     assert fd.plain_form(1.7e308) == " " + str(int(1.7e308))
     assert fd.plain_form(-(2.0**100)) == str(-(2**100))
+
+
+def test_many_numbers_are_written_in_little_memory():
+    """A batch of long arrays is some million numbers."""
+    import tracemalloc
+
+    values = np.arange(1.0, 600_001.0) / 7
+    tracemalloc.start()
+    try:
+        made = fd.write_floats(values, prefer_noexp=True)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(made) == len(values) and peak < 60e6, peak
+    some = [0, 1, fd.TURN - 1, fd.TURN, fd.TURN + 1, len(values) - 1]
+    assert [made[i].as_py() for i in some] == [fd.write_float(values[i], prefer_noexp=True) for i in some]
+    assert len(fd.write_floats(np.array([]))) == 0
+
+
+def test_whole_numbers_are_written_as_their_digits():
+    values = [s * (10**k + d) for k in range(17) for d in (-1, 0, 1, 3) for s in (1, -1)] + [0.0, -0.0, 0.5, 12.25, 1e300, float("nan"), float("inf")]
+    for options in ({}, {"width": 8}, {"width": 15}, {"width": 4}, {"abuse_signpos": True}, {"skip_intzero": True}, {"keep_e": True}):
+        got = fd.write_floats(np.array(values, float), prefer_noexp=True, **options).to_pylist()
+        assert got == [fd.write_float(float(v), prefer_noexp=True, **options) if np.isfinite(v) else None for v in values], options
